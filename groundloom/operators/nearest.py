@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from groundloom.session import spread_by
+
 SALTS = 16
 
 
@@ -24,15 +26,15 @@ def segment_distance(at: list[Column], a: list[Column], b: list[Column]) -> tupl
     return F.sqrt(sum((o * o for o in off[1:]), off[0] * off[0])), t
 
 
-def candidates(targets: DataFrame, box: DataFrame, dims: list[str], tie: str, depth: int = 4) -> DataFrame:
+def candidates(targets: DataFrame, box: DataFrame, dims: list[str], tie: str, depth: int = 5) -> DataFrame:
     """Targets worth comparing per grid cell.
 
     ``targets`` has scene_id, ``tie`` (unique within a scene) and ``a_<dim>``, ``b_<dim>`` end points; ``box`` has
     scene_id, ``lo_<dim>``, ``hi_<dim>`` covering every point that will be looked up. Adds the
     cell columns ``c_<dim>`` at resolution 2^depth per axis.
     """
-    live = targets.join(box, "scene_id")
-    first = min(2, depth)
+    live = spread_by(targets.join(box, "scene_id"), "scene_id", tie)
+    first = min(6 // len(dims), depth)  # start from about 64 cells
     for level in range(first, depth + 1):
         parts = 2**level
         for d in dims:
@@ -51,7 +53,7 @@ def candidates(targets: DataFrame, box: DataFrame, dims: list[str], tie: str, de
     return live.drop("_d", "_slack", "_best", *["lo_" + d for d in dims], *["hi_" + d for d in dims])
 
 
-def cells_of(points: DataFrame, box: DataFrame, columns: dict[str, str], depth: int = 4) -> DataFrame:
+def cells_of(points: DataFrame, box: DataFrame, columns: dict[str, str], depth: int = 5) -> DataFrame:
     """Give each point the cell columns used by ``candidates``; ``columns`` maps dim -> point column."""
     at = points.join(box, "scene_id")
     n = 2**depth
@@ -66,7 +68,7 @@ def bounding_box(points: DataFrame, columns: dict[str, str]) -> DataFrame:
     return points.groupBy("scene_id").agg(*aggs)
 
 
-def nearest(points: DataFrame, targets: DataFrame, columns: dict[str, str], point_key: list[str], tie: str, carry: list[str], depth: int = 4) -> DataFrame:
+def nearest(points: DataFrame, targets: DataFrame, columns: dict[str, str], point_key: list[str], tie: str, carry: list[str], depth: int = 5) -> DataFrame:
     """Nearest target per point (first by ``tie`` when equal): keys, ``distance``, ``t`` and the carried target columns."""
     dims = list(columns)
     box = bounding_box(points, columns)

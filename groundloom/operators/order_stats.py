@@ -1,97 +1,74 @@
 """Exact order statistics without ever gathering a group in one task.
 
-Values are first collapsed to (value, count), then located by a histogram that is refined
-once: only the rows of the one fine bin that holds the wanted rank are sorted.
+A first pass counts values into equal-width bins per key (combined before the shuffle). The bins
+that hold the wanted ranks are then known, and a second pass sorts the distinct values of those
+bins only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
-
-BINS = 256
+from collections.abc import Callable
 
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-def _bin(v: Column, lo: Column, hi: Column) -> Column:
-    share = (v.cast("double") - lo.cast("double")) / (hi.cast("double") - lo.cast("double"))
-    return F.when(hi.cast("double") > lo.cast("double"), F.least(F.lit(BINS - 1), F.floor(share * BINS).cast("int"))).otherwise(0)
+BINS = 4096
 
 
-def select_ranks(values: DataFrame, keys: list[str], value: str, ranks: DataFrame) -> DataFrame:
+def select_ranks(df: DataFrame, keys: list[str], value: Column | str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """The value at each 0-based ascending rank.
 
-    ``values`` holds keys and ``value``; ``ranks`` holds keys, ``name`` and ``rank`` (a few rows
-    per key). Returns keys, name, rank, value.
+    ``ranks`` maps a name to a rank as a function of the key's row count. Returns keys, name,
+    rank, value, total and ``upto`` (how many rows are at or below the value).
     """
-    counted = values.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    span = counted.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    coarse = counted.join(span, keys).withColumn("_b1", _bin(F.col("_v"), F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
-
-    def locate(hist: DataFrame, by: list[str], bin_col: str, wanted: DataFrame) -> DataFrame:
-        """wanted (by, name, rank, _base) joined to the bin of `hist` holding its rank."""
-        w = Window.partitionBy(*by).orderBy(bin_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        cum = hist.withColumn("_upto", F.sum("_n").over(w)).withColumn("_before", F.col("_upto") - F.col("_n"))
-        return (
-            wanted.join(cum, by)
-            .where((F.col("rank") >= F.col("_base") + F.col("_before")) & (F.col("rank") < F.col("_base") + F.col("_upto")))
-            .withColumn("_base", F.col("_base") + F.col("_before"))
-            .drop("_before", "_upto", "_n")
-        )
-
-    def histogram(rows: DataFrame, by: list[str]) -> DataFrame:
-        return rows.groupBy(*by).agg(F.sum("_n").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-
-    wanted = ranks.select(*keys, "name", "rank").withColumn("_base", F.lit(0).cast("bigint"))
-    at1 = locate(histogram(coarse, keys + ["_b1"]), keys, "_b1", wanted)
-    chosen1 = at1.select(*keys, "_b1", "_lo", "_hi").distinct()
-    fine = (
-        coarse.join(chosen1, keys + ["_b1"])
-        .withColumn("_b2", _bin(F.col("_v"), F.col("_lo"), F.col("_hi")))
-        .drop("_lo", "_hi")
-    )
-    at2 = locate(histogram(fine, keys + ["_b1", "_b2"]), keys + ["_b1"], "_b2", at1.drop("_lo", "_hi")).drop("_lo", "_hi")
-    chosen2 = at2.select(*keys, "_b1", "_b2").distinct()
-    inside = fine.join(chosen2, keys + ["_b1", "_b2"])
-    found = locate(inside, keys + ["_b1", "_b2"], "_v", at2)
-    return found.select(*keys, "name", "rank", F.col("_v").alias("value"))
-
-
-def _group_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
+    base = df.select(*keys, (F.col(value) if isinstance(value, str) else value).alias("_v")).where("_v IS NOT NULL")
+    span = base.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("total"))
+    lo, hi, v = (F.col(c).cast("double") for c in ("_lo", "_hi", "_v"))
+    # halves keep the span finite for values at both ends of the double range
+    slot = F.when(hi > lo, F.least(F.lit(BINS - 1), F.floor((v / 2 - lo / 2) / (hi / 2 - lo / 2) * BINS).cast("int"))).otherwise(0)
+    hist = base.join(span, keys).groupBy(*keys, "total", slot.alias("_slot")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_from"), F.max("_v").alias("_to"))
+    running = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hist = hist.withColumn("_upto", F.sum("_n").over(running)).withColumn("_before", F.col("_upto") - F.col("_n"))
+    asks = F.array(*[F.struct(F.lit(n).alias("name"), rank(F.col("total")).cast("bigint").alias("rank")) for n, rank in ranks.items()])
+    mine = F.filter(asks, lambda a: (a["rank"] >= F.col("_before")) & (a["rank"] < F.col("_upto")))
+    chosen = hist.select(*keys, "total", "_before", "_from", "_to", F.explode(mine).alias("_a")).select(
+        *keys, "total", "_before", "_from", "_to", F.col("_a.name").alias("name"), F.col("_a.rank").alias("rank"))
+    inside = base.join(chosen, keys).where((F.col("_v") >= F.col("_from")) & (F.col("_v") <= F.col("_to")))
+    counted = inside.groupBy(*keys, "name", "rank", "total", "_before", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    within = Window.partitionBy(*keys, "name").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = counted.withColumn("upto", F.col("_before") + F.sum("_n").over(within))
+    found = found.where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("_n")))
+    return found.select(*keys, "name", "rank", F.col("_v").alias("value"), "total", "upto")
 
 
 def quantiles(
-    df: DataFrame, keys: list[str], value: Column | str, wanted: dict[str, float], method: str = "linear"
+    df: DataFrame, keys: list[str], value: Column | str, wanted: dict[str, float], method: str = "linear", count: str | None = None
 ) -> DataFrame:
-    """keys + one column per wanted quantile.
+    """keys + one column per wanted quantile (+ the number of values, when ``count`` names it).
 
     ``linear`` interpolates between the two neighbouring ranks; ``lower`` takes the value at
     floor(q*(n-1)).
     """
-    values = df.select(*keys, (F.col(value) if isinstance(value, str) else value).alias("_value"))
-    totals = _group_counts(values, keys, "_value")
-    asks = []
+
+    def position(q: float, total: Column) -> Column:
+        return F.lit(float(q)) * (total - 1).cast("double")
+
+    ranks: dict[str, Callable[[Column], Column]] = {}
     for name, q in wanted.items():
-        position = F.lit(float(q)) * (F.col("_total") - 1).cast("double")
-        low = F.floor(position).cast("bigint")
-        asks.append(F.struct(F.lit(name + ":lo").alias("name"), low.alias("rank")))
+        ranks[name + ":lo"] = lambda n, q=q: F.floor(position(q, n))
         if method == "linear":
-            asks.append(F.struct(F.lit(name + ":hi").alias("name"), F.least(low + 1, F.col("_total") - 1).alias("rank")))
-    ranks = totals.select(*keys, F.explode(F.array(*asks)).alias("_a")).select(*keys, "_a.name", "_a.rank")
-    got = select_ranks(values, keys, "_value", ranks)
-    aggs = []
-    for name in wanted:
-        aggs.append(F.max(F.when(F.col("name") == name + ":lo", F.col("value"))).alias("_lo_" + name))
-        aggs.append(F.max(F.when(F.col("name") == name + ":hi", F.col("value"))).alias("_hi_" + name))
-    wide = got.groupBy(*keys).agg(*aggs)
-    if method == "lower":
-        return wide.select(*keys, *[F.col("_lo_" + n).alias(n) for n in wanted])
-    out = totals.join(wide, keys)
-    cols = []
+            ranks[name + ":hi"] = lambda n, q=q: F.least(F.floor(position(q, n)) + 1, n - 1)
+    got = select_ranks(df, keys, value, ranks)
+    pick = lambda label: F.max(F.when(F.col("name") == label, F.col("value")))
+    wide = got.groupBy(*keys).agg(F.max("total").alias("_total"), *[pick(r).alias("_" + r.replace(":", "_")) for r in ranks])
+    cols = [F.col("_total").alias(count)] if count else []
     for name, q in wanted.items():
-        position = F.lit(float(q)) * (F.col("_total") - 1).cast("double")
-        frac = position - F.floor(position).cast("double")
-        cols.append((F.col("_lo_" + name) + (F.col("_hi_" + name) - F.col("_lo_" + name)) * frac).alias(name))
-    return out.select(*keys, *cols)
+        low = F.col(f"_{name}_lo")
+        if method == "linear":
+            p = position(q, F.col("_total"))
+            low = low + (F.col(f"_{name}_hi") - low) * (p - F.floor(p).cast("double"))
+        cols.append(low.alias(name))
+    return wide.select(*keys, *cols)
 
 
 def top_n(df: DataFrame, keys: list[str], score: str, tie: str, n: int) -> DataFrame:
@@ -99,19 +76,12 @@ def top_n(df: DataFrame, keys: list[str], score: str, tie: str, n: int) -> DataF
 
     Works by threshold, so n may be millions and a key may hold any share of the table.
     """
-    totals = _group_counts(df, keys, score)
-    cut_rank = totals.select(*keys, F.lit("cut").alias("name"), F.greatest(F.col("_total") - n, F.lit(0)).alias("rank"))
-    cut = select_ranks(df.select(*keys, score), keys, score, cut_rank).select(*keys, F.col("value").alias("_cut"))
+    cut = select_ranks(df, keys, score, {"cut": lambda total: F.greatest(total - n, F.lit(0))})
+    # rows above the threshold are all in; what is left of n goes to the tied rows
+    cut = cut.select(*keys, F.col("value").alias("_cut"), (F.lit(n) - (F.col("total") - F.col("upto"))).alias("_room"))
     marked = df.join(cut, keys)
     sure = marked.where(F.col(score) > F.col("_cut"))
-    above = sure.groupBy(*keys).agg(F.count(F.lit(1)).alias("_above"))
     tied = marked.where(F.col(score) == F.col("_cut"))
-    room = (
-        cut.select(*keys)
-        .join(above, keys, "left")
-        .join(_group_counts(tied, keys, tie), keys)
-        .select(*keys, F.lit("room").alias("name"), (F.least(F.col("_total"), F.lit(n) - F.coalesce("_above", F.lit(0))) - 1).alias("rank"))
-    )
-    last = select_ranks(tied.select(*keys, tie), keys, tie, room).select(*keys, F.col("value").alias("_last"))
-    admitted = tied.join(last, keys).where(F.col(tie) <= F.col("_last")).drop("_last")
-    return sure.unionByName(admitted).drop("_cut")
+    last = select_ranks(tied, [*keys, "_room"], tie, {"last": lambda total: F.least(total, F.col("_room")) - 1})
+    admitted = tied.join(last.select(*keys, F.col("value").alias("_last")), keys).where(F.col(tie) <= F.col("_last")).drop("_last")
+    return sure.unionByName(admitted).drop("_cut", "_room")

@@ -51,7 +51,7 @@ def segments(walk: DataFrame) -> DataFrame:
     return s.select("scene_id", F.col("frame").alias("seg"), F.col("px").alias("a_x"), F.col("py").alias("a_y"), F.col("nx_").alias("b_x"), F.col("ny_").alias("b_y"), "start", "step")
 
 
-def along_walk(points: DataFrame, walk: DataFrame, depth: int = 4) -> DataFrame:
+def along_walk(points: DataFrame, walk: DataFrame, depth: int = 5) -> DataFrame:
     """Distance, along and signed across (left +) of each point to the walk line."""
     n = nearest.nearest(points, segments(walk), {"x": "x", "y": "y"}, ["point_id", "x", "y", "z"], "seg", ["seg", "start", "step", "a_x", "a_y", "b_x", "b_y"], depth)
     side = F.signum((F.col("b_x") - F.col("a_x")) * (F.col("y") - F.col("a_y")) - (F.col("b_y") - F.col("a_y")) * (F.col("x") - F.col("a_x")))
@@ -97,14 +97,12 @@ def held_height(points: DataFrame, walk: DataFrame, share: float = 0.08, least:
     """How high above the ground the camera was held: per frame the height over the low tenth of the
     points near it, then the median over frames; NULL when under ``frames`` frames have ground below."""
     length = cumulative_length(walk, plan=True).groupBy("scene_id").agg((F.sum(micro("step")).cast("double") / 1e6).alias("walk"))
-    centres = walk.join(length, "scene_id").select("scene_id", "frame", F.col("px").alias("cx"), F.col("py").alias("cy"), "pz", "walk")
+    centres = walk.join(length, "scene_id").select("scene_id", "frame", F.col("px").alias("cx"), F.col("py").alias("cy"), "walk")
     pairs = nearest.within_radius(points.select("scene_id", "x", "y", "z"), centres, F.greatest(F.col("walk") * share, F.lit(1e-6)))
-    counted = pairs.groupBy("scene_id", "frame").agg(F.count(F.lit(1)).alias("n"), F.first("pz").alias("pz"))
-    low = quantiles(pairs, ["scene_id", "frame"], "z", {"low": 0.1})
-    heights = counted.where(F.col("n") >= least).join(low, ["scene_id", "frame"]).select("scene_id", "frame", (F.col("pz") - F.col("low")).alias("height"))
-    med = quantiles(heights, ["scene_id"], "height", {"held": 0.5})
-    n = heights.groupBy("scene_id").agg(F.count(F.lit(1)).alias("frames"))
-    return walk.select("scene_id").distinct().join(n, "scene_id", "left").join(med, "scene_id", "left").select(
+    low = quantiles(pairs, ["scene_id", "frame"], "z", {"low": 0.1}, count="n").where(F.col("n") >= least)
+    heights = low.join(walk.select("scene_id", "frame", "pz"), ["scene_id", "frame"]).select("scene_id", (F.col("pz") - F.col("low")).alias("height"))
+    med = quantiles(heights, ["scene_id"], "height", {"held": 0.5}, count="frames")
+    return walk.select("scene_id").distinct().join(med, "scene_id", "left").select(
         "scene_id", F.coalesce("frames", F.lit(0)).alias("frames"), F.when(F.col("frames") >= frames, F.col("held")).alias("held"))
 
 

@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from groundloom.operators import raster
+from groundloom.session import spread
 
 CELL = 0.5
 MIN_POINTS = 2
@@ -85,6 +86,11 @@ class Tables:
         point_id = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint").alias("point_id")
         return li.select(point_id, *[F.expr(e) for e in POINT_EXPRS])
 
+    @cached_property
+    def points_wide(self) -> DataFrame:
+        """The points over all cores, for steps with heavy work per point."""
+        return spread(self.points)
+
     @cached_property
     def frames(self) -> DataFrame:
         base = self.raw("events").select("event_type", *[F.expr(e) for e in FRAME_EXPRS])

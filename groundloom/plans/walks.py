@@ -39,26 +39,26 @@ def path_length_extent(t):
 
 @query("nearest_segment", f"SELECT scene_id, point_id, seg, {r6('distance')} AS distance, {r6('along')} AS along, {r6('across')} AS across FROM along", "along")
 def nearest_segment(t):
-    return walk.along_walk(t.points, t.walk).select("scene_id", "point_id", "seg", R6("distance").alias("distance"), R6("along").alias("along"), R6("across").alias("across"))
+    return walk.along_walk(t.points_wide, t.walk).select("scene_id", "point_id", "seg", R6("distance").alias("distance"), R6("along").alias("along"), R6("across").alias("across"))
 
 
 @query("corridor", f"""WITH c AS (SELECT *, count(*) OVER (PARTITION BY scene_id) AS n FROM along WHERE distance <= 15e-1)
  SELECT scene_id, point_id, {r6('along')} AS along, {r6('across')} AS across, CASE WHEN n < 100 THEN 'too few points' ELSE 'ok' END AS status FROM c""", "along")
 def corridor(t):
-    return walk.corridor(t.points, t.walk, 1.5).select("scene_id", "point_id", R6("along").alias("along"), R6("across").alias("across"), "status")
+    return walk.corridor(t.points_wide, t.walk, 1.5).select("scene_id", "point_id", R6("along").alias("along"), R6("across").alias("across"), "status")
 
 
 @query("profile_along", f"""SELECT scene_id, CAST(floor(along/2e0) AS BIGINT)*2e0 AS "from", (CAST(floor(along/2e0) AS BIGINT)+1)*2e0 AS "to",
  floor(CAST(sum(CAST(floor(z*1e6+5e-1) AS BIGINT)) AS DOUBLE)/1e6/count(*)*1e3+5e-1)/1e3 AS mean_z, count(*) AS points FROM along WHERE distance <= 15e-1 GROUP BY 1,2,3 HAVING count(*) >= 10""", "along")
 def profile_along(t):
-    return walk.profile(walk.corridor(t.points, t.walk, 1.5), 2.0).withColumn("mean_z", rounded("mean_z", 3))
+    return walk.profile(walk.corridor(t.points_wide, t.walk, 1.5), 2.0).withColumn("mean_z", rounded("mean_z", 3))
 
 
 @query("grade_fit", f"""WITH s AS (SELECT scene_id, count(*) AS n, {', '.join(f"CAST(sum(CAST(floor({e}*1e6+5e-1) AS BIGINT)) AS DOUBLE)/1e6 AS {a}" for a, e in (('sx', 'along'), ('sy', 'z'), ('sxx', '(along*along)'), ('sxy', '(along*z)')))}, max(along)-min(along) AS run
  FROM along WHERE distance <= 15e-1 GROUP BY 1), m AS (SELECT *, (n*sxy-sx*sy)/(n*sxx-sx*sx) AS slope FROM s WHERE n > 2 AND run > 0)
  SELECT scene_id, n, {r6('run')} AS run, floor(-slope*run*1e3+5e-1)/1e3 AS fall, floor(-slope*100*1e1+5e-1)/1e1 AS grade_percent FROM m""", "along")
 def grade_fit(t):
-    g = walk.grade(walk.corridor(t.points, t.walk, 1.5))
+    g = walk.grade(walk.corridor(t.points_wide, t.walk, 1.5))
     return g.select("scene_id", "n", R6("run").alias("run"), rounded("fall", 3).alias("fall"), rounded("grade_percent", 1).alias("grade_percent"))
 
 
@@ -67,7 +67,7 @@ def grade_fit(t):
  FROM c JOIN e ON e.scene_id=c.scene_id GROUP BY 1,2,3""", "along")
 def unrolled_raster(t):
     """The corridor laid out flat: along by across."""
-    flat = walk.corridor(t.points, t.walk, 1.5).select("scene_id", F.col("along").alias("x"), F.col("across").alias("y"), "z")
+    flat = walk.corridor(t.points_wide, t.walk, 1.5).select("scene_id", F.col("along").alias("x"), F.col("across").alias("y"), "z")
     return raster.rasterise(flat, 0.5, 2).select("scene_id", "i", "j", R9("z").alias("z"), "n")
 
 
