@@ -42,9 +42,12 @@ def project(pairs: DataFrame) -> DataFrame:
     """Adds u, v (pixels) and depth of (x, y, z) in the camera columns."""
     d = [F.col(a) - F.col(p) for a, p in (("x", "px"), ("y", "py"), ("z", "pz"))]
     along = lambda p: d[0] * F.col(p + "x") + d[1] * F.col(p + "y") + d[2] * F.col(p + "z")
-    p = pairs.withColumns({"depth": along("f"), "_r": along("s"), "_d": along("d")}).where("depth > 0")
-    return p.withColumns({"u": F.col("focal") * F.col("_r") / F.col("depth") + F.col("width") / 2,
-                          "v": F.col("focal") * F.col("_d") / F.col("depth") + F.col("height") / 2}).drop("_r", "_d")
+    # a one-element explode keeps the optimizer from copying these expressions into every later filter
+    cam = F.explode(F.array(F.struct(along("f").alias("depth"), along("s").alias("r"), along("d").alias("d"))))
+    p = pairs.withColumn("_p", cam).where("_p.depth > 0")
+    uv = F.explode(F.array(F.struct((F.col("focal") * F.col("_p.r") / F.col("_p.depth") + F.col("width") / 2).alias("u"),
+                                    (F.col("focal") * F.col("_p.d") / F.col("_p.depth") + F.col("height") / 2).alias("v"))))
+    return p.withColumn("_uv", uv).withColumns({"depth": F.col("_p.depth"), "u": F.col("_uv.u"), "v": F.col("_uv.v")}).drop("_p", "_uv")
 
 
 def in_frame(border: float = 0.0) -> Column:

@@ -18,6 +18,8 @@ def duck(folder: str):
 
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
+    con.execute("SET temp_directory='/tmp/duckdb_spill'")
+    con.execute("SET max_temp_directory_size='4GB'")
     for t in PARQUET:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
     return con

@@ -13,3 +13,21 @@ def raster_fingerprint(grid: DataFrame) -> DataFrame:
     place = F.col("i") * 31 + F.col("j") * 17 + 1
     term = place * (z % 65521 + 65521) % 2147483647
     return grid.groupBy("scene_id").agg(F.count(F.lit(1)).alias("cells"), F.min(z).alias("low"), F.max(z).alias("high"), F.sum(term).alias("mark"))
+
+
+def obj_lines(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+    """OBJ lines per scene in writing order (section, ord): used vertices renumbered densely from 1."""
+    from groundloom.functions.numeric import rounded
+    from groundloom.operators import sequence
+
+    corner = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("vid")) for k, c in enumerate("abc")]))
+    corners = faces.select("scene_id", "fid", corner.alias("c")).select("scene_id", "fid", "c.k", "c.vid")
+    used = vertices.join(corners.select("scene_id", "vid").distinct(), ["scene_id", "vid"], "left_semi")
+    used = sequence.row_number(used, ["scene_id"], ["vid"], "n", 4.0 * 1048576)
+    xyz = [rounded(c) for c in ("x", "y", "z")]
+    v = used.select("scene_id", F.lit(0).alias("section"), F.col("vid").alias("ord"), F.format_string("v %.6f %.6f %.6f", *xyz).alias("line"))
+    at = corners.join(used.select("scene_id", "vid", "n"), ["scene_id", "vid"])
+    place = lambda k: F.max(F.when(F.col("k") == k, F.col("n")))
+    f = at.groupBy("scene_id", "fid").agg(*[place(k).alias(f"n{k}") for k in range(3)])
+    f = f.select("scene_id", F.lit(1).alias("section"), F.col("fid").alias("ord"), F.format_string("f %d %d %d", "n0", "n1", "n2").alias("line"))
+    return v.unionByName(f)
