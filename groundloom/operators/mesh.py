@@ -116,7 +116,23 @@ def closed_check(triangles: DataFrame) -> DataFrame:
                                            F.count(F.lit(1)).alias("edges"))
 
 
-def signed_volume(corners: DataFrame) -> Column:
+def signed_volume() -> Column:
+    """Aggregate over face corners: the volume enclosed."""
     a = tuple(F.col(ax + "a") for ax in ("x", "y", "z"))
     c = cross(tuple(F.col(ax + "b") for ax in ("x", "y", "z")), tuple(F.col(ax + "c") for ax in ("x", "y", "z")))
     return F.sum(micro(a[0] * c[0] + a[1] * c[1] + a[2] * c[2])).cast("double") / 1e6 / 6
+
+
+def sample_surface(faces: DataFrame, per_area: float, seed: int = 7) -> DataFrame:
+    """Points spread over the faces in proportion to area; ``faces`` has corners and ``area``.
+
+    Draws are hashes of (seed, face, sample), so they do not depend on partitioning; a face's share that
+    is not a whole number is rounded up with that chance.
+    """
+    draw = lambda salt, *c: (F.pmod(F.xxhash64(F.lit(seed + salt), *c), F.lit(2**53)).cast("double") + 0.5) / float(2**53)
+    want = F.col("area") * per_area
+    n = (F.floor(want) + F.when(draw(0, "scene_id", "fid") < want - F.floor(want), 1).otherwise(0)).cast("int")
+    s = faces.withColumn("_n", n).where("_n > 0").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    s = s.withColumn("_s", F.sqrt(draw(1, "scene_id", "fid", "k"))).withColumn("_t", draw(2, "scene_id", "fid", "k"))
+    at = lambda a: (1 - F.col("_s")) * F.col(a + "a") + F.col("_s") * (1 - F.col("_t")) * F.col(a + "b") + F.col("_s") * F.col("_t") * F.col(a + "c")
+    return s.withColumns({a: at(a) for a in "xyz"}).drop("_n", "_s", "_t")

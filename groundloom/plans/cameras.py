@@ -274,9 +274,8 @@ def visible_from(t):
     return v.groupBy("scene_id", "frame").agg(F.count(F.lit(1)).alias("visible"), F.min("point_id").alias("low_id"), F.max("point_id").alias("high_id"))
 
 
-view("fcent", ("faces", "vertices"), """SELECT *, cxx/l AS nx, cyy/l AS ny, czz/l AS nz FROM (SELECT *, sqrt(cxx*cxx+cyy*cyy+czz*czz) AS l FROM (SELECT f.scene_id, f.fid, (a.x+b.x+c.x)/3 AS x, (a.y+b.y+c.y)/3 AS y, (a.z+b.z+c.z)/3 AS z,
- (b.y-a.y)*(c.z-a.z)-(b.z-a.z)*(c.y-a.y) AS cxx, (b.z-a.z)*(c.x-a.x)-(b.x-a.x)*(c.z-a.z) AS cyy, (b.x-a.x)*(c.y-a.y)-(b.y-a.y)*(c.x-a.x) AS czz FROM faces f
- JOIN vertices a ON a.scene_id=f.scene_id AND a.vid=f.a JOIN vertices b ON b.scene_id=f.scene_id AND b.vid=f.b JOIN vertices c ON c.scene_id=f.scene_id AND c.vid=f.c) q) r""")
+view("fcent", ("corners",), """SELECT *, cxx/l AS nx, cyy/l AS ny, czz/l AS nz FROM (SELECT *, sqrt(cxx*cxx+cyy*cyy+czz*czz) AS l FROM (SELECT scene_id, fid, (xa+xb+xc)/3 AS x, (ya+yb+yc)/3 AS y, (za+zb+zc)/3 AS z,
+ (yb-ya)*(zc-za)-(zb-za)*(yc-ya) AS cxx, (zb-za)*(xc-xa)-(xb-xa)*(zc-za) AS cyy, (xb-xa)*(yc-ya)-(yb-ya)*(xc-xa) AS czz FROM corners) q) r""")
 
 
 def face_centres(t):

@@ -211,9 +211,10 @@ def nice_steps(t):
     return t.raw("events").select("event_id", up.alias("up"), bar.alias("bar"))
 
 
-@query("obj_text", f"""WITH u AS (SELECT scene_id, vid, x, y, z, row_number() OVER (PARTITION BY scene_id ORDER BY vid) AS k FROM vertices WHERE (scene_id, vid) IN (SELECT (scene_id, a) FROM faces UNION SELECT (scene_id, b) FROM faces UNION SELECT (scene_id, c) FROM faces))
+@query("obj_text", f"""WITH e AS (SELECT scene_id, a AS vid FROM faces UNION SELECT scene_id, b FROM faces UNION SELECT scene_id, c FROM faces),
+ u AS (SELECT v.scene_id, v.vid, x, y, z, vk, row_number() OVER (PARTITION BY v.scene_id ORDER BY v.vid) AS k FROM vkeys v JOIN e ON e.scene_id=v.scene_id AND e.vid=v.vid)
  SELECT scene_id, 0 AS section, vid AS ord, 'v ' || printf('%.6f', x) || ' ' || printf('%.6f', y) || ' ' || printf('%.6f', z) AS line FROM (SELECT scene_id, vid, {r6('x')} AS x, {r6('y')} AS y, {r6('z')} AS z FROM u) q
- UNION ALL SELECT f.scene_id, 1, f.fid, 'f ' || a.k || ' ' || b.k || ' ' || c.k FROM faces f JOIN u a ON a.scene_id=f.scene_id AND a.vid=f.a JOIN u b ON b.scene_id=f.scene_id AND b.vid=f.b JOIN u c ON c.scene_id=f.scene_id AND c.vid=f.c""", "vertices faces")
+ UNION ALL SELECT f.scene_id, 1, f.fid, 'f ' || a.k || ' ' || b.k || ' ' || c.k FROM (SELECT *, CAST(scene_id AS BIGINT)*1099511627776 AS base FROM faces) f JOIN u a ON a.vk=f.base+f.a JOIN u b ON b.vk=f.base+f.b JOIN u c ON c.vk=f.base+f.c""", "vkeys faces")
 def obj_text(t):
     """OBJ lines: only used vertices, renumbered densely from 1."""
     from groundloom.sources import sinks

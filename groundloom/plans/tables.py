@@ -242,6 +242,10 @@ view("vertices", ("grid", "meta"), """SELECT g.scene_id, g.i*1048576+g.j AS vid,
  FROM grid g JOIN meta m ON g.scene_id=m.scene_id""")
 view("faces", ("quads",), """SELECT scene_id, (i*1048576+j)*2 AS fid, (i+1)*1048576+j AS a, (i+1)*1048576+j+1 AS b, i*1048576+j+1 AS c FROM quads
  UNION ALL SELECT scene_id, (i*1048576+j)*2+1, (i+1)*1048576+j, i*1048576+j+1, i*1048576+j FROM quads""")
+# corner lookups join on one combined key, so no engine is tempted to pair a scene's vertices first
+view("vkeys", ("vertices",), "SELECT *, CAST(scene_id AS BIGINT)*1099511627776+vid AS vk FROM vertices")
+view("corners", ("faces", "vkeys"), """SELECT f.scene_id, f.fid, f.a, f.b, f.c, p.x AS xa, p.y AS ya, p.z AS za, q.x AS xb, q.y AS yb, q.z AS zb, r.x AS xc, r.y AS yc, r.z AS zc
+ FROM (SELECT *, CAST(scene_id AS BIGINT)*1099511627776 AS base FROM faces) f JOIN vkeys p ON p.vk=f.base+f.a JOIN vkeys q ON q.vk=f.base+f.b JOIN vkeys r ON r.vk=f.base+f.c""")
 view("splats", ("points",), """SELECT p.scene_id, p.point_id AS splat_id, p.x, p.y, p.z, p.opacity_logit, p.ls0, p.ls1, p.ls2,
  1e0 AS rw, (CAST(p.r AS DOUBLE)-125e0)/25e1 AS rx, (CAST(p.g AS DOUBLE)-125e0)/25e1 AS ry, (CAST(p.b AS DOUBLE)-2e1)/1e2 AS rz,
  (CAST(p.r AS DOUBLE)-125e0)/125e0 AS dc0, (CAST(p.g AS DOUBLE)-125e0)/125e0 AS dc1, (CAST(p.b AS DOUBLE)-125e0)/125e0 AS dc2,
