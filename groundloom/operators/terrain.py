@@ -53,11 +53,12 @@ def contour_interval(points: DataFrame) -> DataFrame:
 
 
 # marching squares, fixed values: corner bits top-left 1, top-right 2, bottom-right 4, bottom-left 8;
-# each pair names the two edges (Top, Right, Bottom, Left) a contour joins
+# each pair names the edge (Top, Right, Bottom, Left) a contour enters by and the one it leaves by,
+# so that higher ground is always on its left
 CONTOUR_CASES = {
-    1: "LT", 2: "TR", 3: "LR", 4: "RB", 6: "TB", 7: "LB", 8: "BL", 9: "TB", 11: "RB", 12: "LR", 13: "TR", 14: "LT",
+    1: "LT", 2: "TR", 3: "LR", 4: "RB", 6: "TB", 7: "LB", 8: "BL", 9: "BT", 11: "BR", 12: "RL", 13: "RT", 14: "TL",
 }
-SADDLE_HIGH = {5: ("TR", "BL"), 10: ("LT", "RB")}
+SADDLE_HIGH = {5: ("RT", "LB"), 10: ("TL", "BR")}
 SADDLE_LOW = {5: ("LT", "RB"), 10: ("TR", "BL")}
 
 
