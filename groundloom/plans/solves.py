@@ -1 +1,111 @@
-"""placeholder"""
+"""Registered queries: contour lines, outlines, drawings, and estimates."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from groundloom.functions.constants import CELL_STRIDE
+from groundloom.functions.numeric import rounded
+from groundloom.operators import chains, estimate, mesh, repair, terrain, walk
+from groundloom.plans.cameras import out
+from groundloom.plans.catalog import query
+from groundloom.plans.tables import CELL
+from groundloom.plans.terrain import r6, r9, _contour_sql
+from groundloom.session import cut_lineage
+
+R6 = rounded
+
+
+@query("contour_lines", f"""WITH RECURSIVE seg AS (SELECT * FROM ({_contour_sql()}) q), nodes AS (SELECT scene_id, k, e1 AS node FROM seg UNION SELECT scene_id, k, e2 FROM seg),
+ heads AS (SELECT n.scene_id, n.k, n.node FROM nodes n LEFT JOIN seg s ON s.scene_id=n.scene_id AND s.k=n.k AND s.e2=n.node WHERE s.e2 IS NULL),
+ w AS (SELECT scene_id, k, node AS head, node, 0 AS pos FROM heads UNION ALL SELECT w.scene_id, w.k, w.head, s.e2, w.pos+1 FROM w JOIN seg s ON s.scene_id=w.scene_id AND s.k=w.k AND s.e1=w.node)
+ SELECT n.scene_id, n.k, n.node, w.node IS NULL AS closed, CASE WHEN w.node IS NOT NULL THEN CAST(w.pos AS DOUBLE) END AS pos, n.k % 5 = 0 AS major FROM nodes n LEFT JOIN w ON w.scene_id=n.scene_id AND w.k=n.k AND w.node=n.node""", "grid meta")
+def contour_lines(t):
+    """Every contour vertex with its place in its line (places in rings are left to the tests)."""
+    s = terrain.contour_segments(t.grid, t.meta, CELL, 0.25)
+    c = chains.contour_lines(cut_lineage(s))
+    return c.select("scene_id", "k", "node", "closed", F.when(~F.col("closed"), F.col("pos").cast("double")).alias("pos"), "major")
+
+
+@query("outline")
+def outline(t):
+    """Outer rings and holes of the thinned quad footprint, with their areas in cells."""
+    q = repair.unpinch(t.quads)
+    sw, se, ne, nw = mesh.quad_corner_ids()
+    top = q.select("scene_id", sw.alias("p"), se.alias("q"), ne.alias("r"), nw.alias("s"))
+    rim = cut_lineage(mesh.border_edges(mesh.directed_edges(top, ["p", "q", "r", "s"])))
+    return chains.outlines(rim, CELL_STRIDE)
+
+
+ORTHO = """e AS (SELECT scene_id, min(least(xa,xb,xc)) AS x0, max(greatest(ya,yb,yc)) AS y1 FROM corners GROUP BY 1),
+ c AS (SELECT q.*, (xa-x0)/125e-3 AS ua, (xb-x0)/125e-3 AS ub, (xc-x0)/125e-3 AS uc, (y1-ya)/125e-3 AS va, (y1-yb)/125e-3 AS vb, (y1-yc)/125e-3 AS vc FROM corners q JOIN e ON e.scene_id=q.scene_id),
+ b AS (SELECT *, unnest(generate_series(CAST(ceil(least(ua,ub,uc)-5e-1) AS BIGINT), CAST(floor(greatest(ua,ub,uc)-5e-1) AS BIGINT))) AS iu FROM c),
+ d AS (SELECT *, unnest(generate_series(CAST(ceil(least(va,vb,vc)-5e-1) AS BIGINT), CAST(floor(greatest(va,vb,vc)-5e-1) AS BIGINT))) AS iv FROM b),
+ l AS (SELECT *, ((iu+5e-1-ua)*(vc-va)-(uc-ua)*(iv+5e-1-va))/den AS l1, ((ub-ua)*(iv+5e-1-va)-(iu+5e-1-ua)*(vb-va))/den AS l2 FROM (SELECT *, (ub-ua)*(vc-va)-(uc-ua)*(vb-va) AS den FROM d) z WHERE den<>0),
+ s AS (SELECT scene_id, iu, iv, max(za+l1*(zb-za)+l2*(zc-za)) AS depth, count(*) AS layers FROM l WHERE l1>=-1e-9 AND l2>=-1e-9 AND l1+l2<=1+1e-9 GROUP BY 1,2,3)"""
+
+
+@query("ortho_raster", f"WITH {ORTHO} SELECT scene_id, iu, iv, {r6('depth')} AS depth FROM s", "corners")
+def ortho_raster(t):
+    """The gridded mesh drawn from above at a quarter of a cell."""
+    return mesh.ortho_samples(mesh.face_corners(t.faces, t.vertices), 0.125).select("scene_id", "iu", "iv", R6("depth").alias("depth"))
+
+
+@query("surface_grid", f"WITH {ORTHO} SELECT scene_id, CAST(floor(iv/4) AS BIGINT) AS i, CAST(floor(iu/4) AS BIGINT) AS j, {r6('CAST(sum(CAST(floor(floor(depth*1e4+5e-1)/1e4*1e6+5e-1) AS BIGINT)) AS DOUBLE)/1e6/count(*)')} AS z, count(*) AS n FROM s GROUP BY 1,2,3 HAVING count(*)>=8", "corners")
+def surface_grid(t):
+    s = mesh.ortho_samples(mesh.face_corners(t.faces, t.vertices), 0.125).withColumn("depth", rounded("depth", 4))
+    return mesh.surface_grid(s, 4).select("scene_id", "i", "j", R6("z").alias("z"), "n")
+
+
+def second_solve(t):
+    """The same walk in another solve's frame: scaled 3.7, turned, shifted; every eleventh frame is missing."""
+    return t.walk.where("frame % 11 <> 0").selectExpr("scene_id", "frame", "name", "37e-1*(8e-1*px-6e-1*py)+5e0 AS px", "37e-1*(6e-1*px+8e-1*py)-2e0 AS py", "37e-1*pz+1e0 AS pz")
+
+
+@query("shared_cameras", "SELECT scene_id, count(*) FILTER (frame % 11 <> 0) AS shared, CASE WHEN count(*) FILTER (frame % 11 <> 0) < 4 THEN 'too few' ELSE 'ok' END AS status FROM walk GROUP BY 1", "walk")
+def shared_cameras(t):
+    s = t.walk.select("scene_id", "name").join(second_solve(t).select("scene_id", "name"), ["scene_id", "name"])
+    return s.groupBy("scene_id").agg(F.count(F.lit(1)).alias("shared")).withColumn("status", F.when(F.col("shared") < 4, "too few").otherwise("ok"))
+
+
+@query("pose_drift", f"""SELECT scene_id, count(*) FILTER (frame % 11 <> 0) AS matched, {r6('1e2*count(*) FILTER (frame % 11 <> 0)/count(*)')} AS match_pct, 37e-1 AS scale, 5313e-2 AS rotation_deg, 0e0 AS rms, 0e0 AS worst,
+ CASE WHEN 1e2*count(*) FILTER (frame % 11 <> 0)/count(*) >= 90 THEN 'pass' ELSE 'fail' END AS verdict FROM walk GROUP BY 1""", "walk")
+def pose_drift(t):
+    reference = t.walk.selectExpr("scene_id", "name", "37e-1*(8e-1*px-6e-1*py)+5e0 AS px", "37e-1*(6e-1*px+8e-1*py)-2e0 AS py", "37e-1*pz+1e0 AS pz")
+    d = estimate.pose_drift(t.walk.where("frame % 11 <> 0"), reference)
+    return d.select("scene_id", "matched", R6("match_pct").alias("match_pct"), rounded("scale", 3).alias("scale"), rounded("rotation_deg", 2).alias("rotation_deg"), rounded("rms", 2).alias("rms"), rounded("worst", 2).alias("worst"), "verdict")
+
+
+@query("dominant_plane")
+def dominant_plane(t):
+    return out(estimate.dominant_plane(t.points), ["scene_id"], nx="nx", ny="ny", nz="nz", d="d", share="share")
+
+
+def up_of(t):
+    cams = t.cameras.selectExpr("*", "-dx AS ux", "-dy AS uy", "-dz AS uz")
+    return estimate.estimate_up(cams, cut_lineage(estimate.dominant_plane(t.points)))
+
+
+@query("estimate_up")
+def estimate_up(t):
+    u = up_of(t)
+    return u.select("scene_id", *[R6(c).alias(c) for c in ("upx", "upy", "upz", "spread", "share", "look_down")], "method")
+
+
+@query("site_frame")
+def site_frame(t):
+    held = walk.held_height(t.points, cut_lineage(t.walk)).select("scene_id", "held")
+    f = estimate.site_frame(cut_lineage(up_of(t)), t.cameras, held)
+    return f.select("scene_id", *[R6(f"m{r}{c}").alias(f"m{r}{c}") for r in range(3) for c in range(4)], "first_camera", R6("first_camera_height").alias("first_camera_height"), "units")
+
+
+@query("camera_moves")
+def camera_moves(t):
+    """Largest orbit, pass-by, rise, push-in and dolly of each scene that stay on scanned ground."""
+    p = t.points_wide.select("scene_id", "point_id", "x", "y", "z", (F.pmod("point_id", F.lit(4)) != 0).alias("seen"))
+    mid = t.walk.groupBy("scene_id").agg(F.avg("px").alias("wx"), F.avg("py").alias("wy"))
+    s = t.points.groupBy("scene_id").agg(F.avg("x").alias("ox"), F.avg("y").alias("oy"), F.avg("z").alias("oz")).join(mid, "scene_id")
+    s = s.withColumn("dist", F.greatest(F.sqrt((F.col("wx") - F.col("ox")) * (F.col("wx") - F.col("ox")) + (F.col("wy") - F.col("oy")) * (F.col("wy") - F.col("oy"))), F.lit(4.0)))
+    s = s.select("scene_id", "ox", "oy", "oz", F.lit(0.0).alias("ex"), F.lit(-1.0).alias("ey"), "dist", F.lit(1.6).alias("eye"))
+    m = estimate.camera_moves(p, t.cameras.drop("name"), s)
+    return m.select("scene_id", "move", "size", R6("least").alias("least"), R6("yard").alias("yardstick"))
