@@ -30,9 +30,8 @@ def wedge_cells(cameras: DataFrame, box: DataFrame, size: float = REACH) -> Data
     # in the camera's right / plan-forward axes: |right| <= depth * tan + slack, for any height in the scene
     right = dx * F.col("sx") + dy * F.col("sy")
     flat = F.sqrt(F.col("fx") * F.col("fx") + F.col("fy") * F.col("fy"))
-    ahead = (dx * F.col("fx") + dy * F.col("fy")) / flat + radius
     lift = F.greatest(F.abs(F.col("lo_z") - F.col("pz")), F.abs(F.col("hi_z") - F.col("pz")))
-    depth = ahead * flat + lift * F.abs(F.col("fz"))  # the largest depth any point of the cell can have
+    depth = dx * F.col("fx") + dy * F.col("fy") + flat * radius + lift * F.abs(F.col("fz"))  # the largest depth any point of the cell can have
     tan = F.col("width") / 2 / F.col("focal")
     keep = (depth > 0) & (F.abs(right) - radius <= F.greatest(depth, F.lit(0.0)) * tan + 1e-9)
     return c.where(keep).drop("lo_x", "hi_x", "lo_y", "hi_y", "lo_z", "hi_z")
