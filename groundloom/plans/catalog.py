@@ -11,7 +11,7 @@ from groundloom.plans.tables import Tables, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("terrain", "walks", "cameras", "splats", "meshes", "images", "records", "logs", "repairs", "solves")
+MODULES = ("terrain", "walks", "cameras", "splats", "meshes", "images", "records", "logs", "repairs", "solves", "storage")
 
 
 def query(name: str, sql: str | None = None, views: str = ""):

@@ -1,11 +1,12 @@
 """Job logs as streams: per-job state kept by a stateful processor.
 
-Ours, not part of the batch semantics: a ten-minute watermark on ts drops later lines, and state of a job silent for
+Ours, not part of the batch semantics: a ten-minute watermark on ts drops later lines, and state of a job silent (by event time) for
 a day is removed.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,7 +21,7 @@ IDLE_MS = 24 * 3600 * 1000
 
 STATE = StructType([StructField(n, t) for n, t in (("stage", StringType()), ("phase", StringType()), ("phase_us", LongType()), ("done", LongType()), ("total", LongType()),
                                                    ("frames", LongType()), ("warnings", LongType()), ("line_no", LongType()))])
-OUTPUT = StructType([StructField("job_id", LongType()), *STATE.fields, StructField("phase_seconds", DoubleType())])
+OUTPUT = StructType([StructField("job_id", LongType()), *STATE.fields, StructField("spent", StringType())])  # spent: JSON, phase -> seconds
 
 
 class JobTracker(StatefulProcessor):
@@ -54,8 +55,8 @@ class JobTracker(StatefulProcessor):
                 s["frames"] = int(r.frames)
             s["warnings"] += int(r.kind == "warning")
         self.now.update(tuple(s[n] for n in STATE.names))
-        spent = sum(v[0] for _, v in self.spent.iterator())
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + IDLE_MS)
+        spent = json.dumps({k[0]: v[0] for k, v in self.spent.iterator()})
+        self.handle.registerTimer(timerValues.getCurrentWatermarkInMs() + IDLE_MS)
         yield pd.DataFrame([[key[0], *[s[n] for n in STATE.names], spent]], columns=OUTPUT.names)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -97,7 +98,7 @@ def parsed(lines: DataFrame) -> DataFrame:
 
 
 def job_state(lines: DataFrame) -> DataFrame:
-    return parsed(lines).groupBy("job_id").transformWithStateInPandas(JobTracker(), outputStructType=OUTPUT, outputMode="Update", timeMode="ProcessingTime")
+    return parsed(lines).groupBy("job_id").transformWithStateInPandas(JobTracker(), outputStructType=OUTPUT, outputMode="Update", timeMode="EventTime")
 
 
 def progress(lines: DataFrame) -> DataFrame:
@@ -116,7 +117,7 @@ def eta_batch(model: DataFrame, steps: int, write):
 
     def run(batch: DataFrame, epoch: int) -> None:
         s = batch.select("job_id", "phase", "done", "total", "frames", F.timestamp_micros("phase_us").alias("phase_since"), F.current_timestamp().alias("seen"))
-        spent = batch.select("job_id", F.lit("frames").alias("phase"), F.col("phase_seconds").alias("seconds"))
+        spent = batch.select("job_id", F.explode(F.from_json("spent", "map<string,double>")).alias("phase", "seconds"))
         write(jobs.eta(s, spent, model, steps), epoch)
 
     return run
