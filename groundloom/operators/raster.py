@@ -85,14 +85,21 @@ def neighbour_mean() -> Column:
 
 
 def fill_holes(grid: DataFrame, meta: DataFrame, passes: int = 4) -> DataFrame:
-    """Close small gaps: an empty cell takes the mean of its existing 4-neighbours, ``passes`` times."""
-    size = meta.select("scene_id", "nx", "ny")
-    out = grid.select(*KEY, "z").withColumn("filled", F.lit(False))
+    """Close small gaps: an empty cell takes the mean of its existing 4-neighbours, ``passes`` times.
+
+    The frame's size travels with the cells, so a pass is one scatter and one grouping, without a join.
+    """
+    out = grid.select(*KEY, "z").join(meta.select("scene_id", "nx", "ny"), "scene_id").withColumn("filled", F.lit(False))
+    steps = F.array(*[F.struct(F.lit(a).cast("bigint").alias("di"), F.lit(b).cast("bigint").alias("dj")) for a, b in [(0, 0), *FOUR]])
+    home = (F.col("_o.di") == 0) & (F.col("_o.dj") == 0)
     for _ in range(passes):
-        g = gather(out, FOUR, {"mean": neighbour_mean()}, keep=["filled"])
-        g = g.select(*KEY, F.coalesce("own", "mean").alias("z"), F.coalesce("filled", F.lit(True)).alias("filled"))
-        out = g.join(size, "scene_id").where("i >= 0 AND j >= 0 AND i < ny AND j < nx").drop("nx", "ny")
-    return out
+        at = out.withColumn("_o", F.explode(steps)).select(
+            "scene_id", "nx", "ny", (F.col("i") + F.col("_o.di")).alias("i"), (F.col("j") + F.col("_o.dj")).alias("j"),
+            F.when(home, F.col("z")).alias("own"), F.when(~home, F.col("z")).alias("nb"), F.when(home, F.col("filled")).alias("filled"))
+        at = at.where("i >= 0 AND j >= 0 AND i < ny AND j < nx")
+        g = at.groupBy("scene_id", "nx", "ny", "i", "j").agg(F.max("own").alias("own"), F.max("filled").alias("filled"), neighbour_mean().alias("mean"))
+        out = g.select(*KEY, "nx", "ny", F.coalesce("own", "mean").alias("z"), F.coalesce("filled", F.lit(True)).alias("filled"))
+    return out.drop("nx", "ny")
 
 
 def despike(grid: DataFrame, cell: float, limit: float = 3.0) -> DataFrame:

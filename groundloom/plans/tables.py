@@ -88,8 +88,7 @@ class Tables:
 
     @cached_property
     def points_wide(self) -> DataFrame:
-        """The points over all cores, for steps with heavy work per point."""
-        return spread(self.points)
+        return self.points
 
     @cached_property
     def frames(self) -> DataFrame:
