@@ -171,13 +171,11 @@ def site_frame(up: DataFrame, cameras: DataFrame, held: DataFrame, scale: float
 def move_candidates(scenes: DataFrame, checks: int = 5) -> DataFrame:
     """Cameras of every candidate move: ``scenes`` has poi (ox, oy, oz), side (ex, ey), dist, eye. Columns scene_id, move,
     size (bigger is better), frame, position and pinhole axes."""
-    import math
-
     sizes = {"orbit": [float(a) for a in range(120, 0, -20)], "pass_by": [k / 10 for k in range(9, 0, -2)], "rise_and_tilt": [k / 10 for k in range(16, 1, -2)],
              "push_in": [k / 10 for k in range(18, 7, -2)], "dolly_zoom": [k / 10 for k in range(18, 7, -2)]}
-    rows = [(m, s, k / (checks - 1)) for m, v in sizes.items() for s in v for k in range(checks)]
-    table = scenes.sparkSession.createDataFrame(rows, "move string, size double, t double")
-    c = scenes.crossJoin(F.broadcast(table))  # a fixed table of a few hundred rows
+    tries = F.array(*[F.struct(F.lit(m).alias("move"), F.lit(s).alias("size")) for m, v in sizes.items() for s in v])
+    places = F.array(*[F.lit(k / (checks - 1)) for k in range(checks)])
+    c = scenes.withColumn("_m", F.explode(tries)).select(*scenes.columns, "_m.move", "_m.size").withColumn("t", F.explode(places))
     s = F.col("t") * F.col("t") * (3 - 2 * F.col("t"))
     e, a = F.col("move"), F.atan2("ey", "ex") + F.radians(F.col("size") * (s - 0.5))
     side = lambda k: (F.col("ox") + F.col("ex") * F.col("dist") * k, F.col("oy") + F.col("ey") * F.col("dist") * k)

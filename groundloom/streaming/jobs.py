@@ -105,8 +105,9 @@ def units(kind: Column, n: Column, steps: Column) -> Column:
 
 
 def predict(jobs: DataFrame, model: DataFrame) -> DataFrame:
-    """Predicted seconds per job (with n frames and training steps) and phase; the nine model rows are broadcast."""
-    p = jobs.crossJoin(F.broadcast(model))
+    """Predicted seconds per job (with n frames and training steps) and phase; the nine model rows are one array value."""
+    rows = model.agg(F.collect_list(F.struct("ord", "phase", "a", "b", "kind")).alias("m")).scalar()
+    p = jobs.withColumn("_m", F.explode(rows)).select(*jobs.columns, "_m.*")
     s = F.col("a") + F.col("b") * units(F.col("kind"), F.col("n"), F.col("steps"))
     return p.withColumn("seconds", F.floor(s * 1e6 + 0.5).cast("double") / 1e6)
 
