@@ -130,6 +130,21 @@ def fill_from_rims(a: Arrays, f: Frame, sweeps: int | None) -> Arrays:
     return {"z": z, "hole": a["hole"]}
 
 
+def fill_around(a: Arrays, f: Frame, sweeps: int | None) -> Arrays:
+    """Empty cells take the mean of their filled 8-neighbours, level by level from the edge of each hole."""
+    z = a["z"]
+    ring = [(di, dj) for di in (-1, 0, 1) for dj in (-1, 0, 1) if di or dj]
+    for _ in range(sweeps if sweeps is not None else 1 << 30):
+        around = [shifted(z, *s) for s in ring]
+        n = sum(np.isfinite(x).astype(float) for x in around)
+        total = sum(np.where(np.isfinite(x), x, 0.0) for x in around)
+        can = f.present & np.isnan(z) & (n > 0)
+        if not can.any():
+            break
+        z = np.where(can, total / np.maximum(n, 1), z)
+    return {"z": z}
+
+
 def relax(a: Arrays, f: Frame, sweeps: int | None) -> Arrays:
     """Hole cells become the mean of their four neighbours; a neighbour beyond the raster's edge is the cell itself."""
     z, hole = a["z"], a["hole"] > 0

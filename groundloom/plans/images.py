@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from groundloom.functions.numeric import micro, rounded
-from groundloom.operators import images, visibility
+from groundloom.operators import images, tiles
 from groundloom.plans.cameras import out, pairs, r4
 from groundloom.plans.catalog import query
 from groundloom.plans.tables import view
-from groundloom.plans.terrain import r6
+from groundloom.plans.terrain import r6, r9
 
 R6 = rounded
 
@@ -160,3 +160,24 @@ def coverage_share(t):
         F.min_by(F.pmod("point_id", F.lit(4)) != 0, F.struct("depth", "point_id")).alias("seen"))
     c = images.coverage(px.repartition("scene_id", "frame"), 64, 48)
     return c.select("scene_id", "frame", "seen_pixels", R6("coverage").alias("coverage"))
+
+
+def _photo_fill_sql() -> str:
+    """Level-synchronous filling of the 30 x 50 photo grid as a recursive query (60 levels reach any cell)."""
+    return f"""WITH RECURSIVE p AS (SELECT scene_id, point_id, z, CAST(floor(((x-1e1)/z*1e2+1e2)/4+5e-1) AS BIGINT) AS j, CAST(floor(((y-6e0)/z*1e2+6e1)/4+5e-1) AS BIGINT) AS k FROM points WHERE z>1e-6),
+ g AS (SELECT scene_id, k, j, arg_min(z, point_id) AS z FROM p WHERE j>=0 AND k>=0 AND j<50 AND k<30 GROUP BY 1,2,3),
+ a AS (SELECT s.scene_id, k, unnest(generate_series(0,49)) AS j FROM (SELECT scene_id, unnest(generate_series(0,29)) AS k FROM (SELECT DISTINCT scene_id FROM g) d) s),
+ f_r AS (SELECT a.scene_id, a.k, a.j, g.z, 0 AS it FROM a LEFT JOIN g ON g.scene_id=a.scene_id AND g.k=a.k AND g.j=a.j UNION ALL
+ SELECT scene_id, k, j, coalesce(max(z) FILTER (home), avg(z) FILTER (NOT home)), any_value(it) FROM (SELECT r.scene_id, r.k+x.a AS k, r.j+y.b AS j, z, x.a=0 AND y.b=0 AS home, it+1 AS it FROM f_r r
+ CROSS JOIN (VALUES (-1),(0),(1)) x(a) CROSS JOIN (VALUES (-1),(0),(1)) y(b) WHERE it<60) q GROUP BY 1,2,3 HAVING bool_or(home))
+ SELECT scene_id, k, j, {r9('z')} AS depth FROM f_r WHERE it=60"""
+
+
+@query("photo_fill", _photo_fill_sql(), "points")
+def photo_fill(t):
+    """The photo grid made one sheet: every empty cell filled inward from the edges of its hole."""
+    grid = photo(t)[0].select("scene_id", "k", "j", "depth")
+    every = grid.select("scene_id").distinct().withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(29).cast("bigint")))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(49).cast("bigint"))))
+    cells = every.join(grid, ["scene_id", "k", "j"], "left").select("scene_id", F.col("k").alias("i"), "j", F.lit(30).cast("bigint").alias("ny"), F.lit(50).cast("bigint").alias("nx"), F.col("depth").alias("z"))
+    full = tiles.rounds(cells, ["z"], tiles.fill_around)
+    return full.select("scene_id", F.col("i").alias("k"), "j", rounded("z", 9).alias("depth"))
