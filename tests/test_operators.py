@@ -208,3 +208,13 @@ def test_estimated_labels(spark):
     df = spark.createDataFrame([(0.0456,), (3.14159,), (47.6,), (123.4,), (1234.0,)], "v double")
     got = [r[0] for r in df.select(text.two_digits(F.col("v"))).collect()]
     assert got == ["0.046", "3.1", "48", "120", "1200"]
+
+
+def test_outline_areas_add_up(spark):
+    r = rng()
+    q = pd.DataFrame([(0, i, j) for i in range(8) for j in range(8) if r.random() < 0.75], columns=["scene_id", "i", "j"])
+    thin = repair.unpinch(spark.createDataFrame(q))
+    sw, se, ne, nw = mesh.quad_corner_ids()
+    top = thin.select("scene_id", sw.alias("p"), se.alias("q"), ne.alias("r"), nw.alias("s"))
+    rings = chains.outlines(mesh.border_edges(mesh.directed_edges(top, ["p", "q", "r", "s"])), mesh.S, share=0.0)
+    assert rings.agg(F.sum("area")).first()[0] == thin.count()
