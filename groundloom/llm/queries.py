@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from groundloom.llm import packing, piece_counts
+from groundloom.llm import packing, piece_counts, quality, simhash
 from groundloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,12 +25,27 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+@query("op1_quality_rules")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    rules = quality.learn(docs, table(spark, folder, "labels"))
+    return quality.judge(docs, rules).select(
+        "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule", *[f for f in quality.FEATURES if f.endswith(("rate", "word"))]
+    )
+
+
 @query("op5_packing")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.pack(table(spark, folder, "documents"), public_tokenizers.path(WORD_BPE))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "cut_before", "cut_after")
 
 
+@query("op9_simhash_near_dups")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
 @query("op10_token_counts")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return piece_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path(PIECE_BPE))
