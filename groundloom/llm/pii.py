@@ -145,6 +145,10 @@ def listed(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def is_kind(kind: str):
+    return lambda k: k == kind
+
+
 def redacted(text: str) -> str:
     """The text with each span replaced by its kind in square brackets; overlapping spans become one."""
     out, at = [], 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from groundloom.llm import packing, pii, piece_counts, pivots, quality, simhash
+from groundloom.llm import bpe_words, langid, packing, pii, piece_counts, pivots, quality, simhash
 from groundloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,14 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return pivots.top_k(table(spark, folder, "embeddings"))
 
 
+@query("op3_language_id")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    out = langid.held_out(docs["doc_id"])
+    found = langid.identify(docs, langid.train(docs.where(~out)))
+    return found.select("doc_id", langid.held_out(found["doc_id"]).alias("held_out"), "lang_pred", "score", F.to_json("languages").alias("languages"))
+
+
 @query("op5_packing")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.pack(table(spark, folder, "documents"), public_tokenizers.path(WORD_BPE))
@@ -59,10 +67,18 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.find(table(spark, folder, "documents"))
     fixed = found.withColumn("base", F.filter("spans", lambda s: s["fixed"]))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, pii.is_kind(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
     return fixed.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
 
+@query("op8_bpe_words")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    coded = bpe_words.encode(table(spark, folder, "documents"), public_tokenizers.path(WORD_BPE))
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query("op9_simhash_near_dups")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
