@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from groundloom.llm import bpe_words, langid, packing, pii, piece_counts, pivots, quality, simhash
+from groundloom.llm import bpe_words, langid, licenses, packing, pii, piece_counts, pivots, quality, secrets, simhash
 from groundloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,12 +57,23 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(found["doc_id"]).alias("held_out"), "lang_pred", "score", F.to_json("languages").alias("languages"))
 
 
+@query("op4_secret_forest")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scan(table(spark, folder, "documents"))
+
+
 @query("op5_packing")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.pack(table(spark, folder, "documents"), public_tokenizers.path(WORD_BPE))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "cut_before", "cut_after")
 
 
+@query("op6_license_scan")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return licenses.scan(docs, licenses.train(docs))
+
+
 @query("op7_pii")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.find(table(spark, folder, "documents"))
