@@ -117,6 +117,25 @@ def infer(p: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
+SHARES = "array<struct<lang:string,share:double>>"
+
+
+def judged(texts: pd.Series, model: tuple[list[str], np.ndarray]) -> pd.DataFrame:
+    """lang_pred, score and languages of each text."""
+    names, table = model
+    pred, score, sets = [], [], []
+    for text in texts:
+        w = np.zeros(0)
+        if names and has_letter(text):
+            g, n = grams(f" {text} ")
+            w = infer(table[:, g], n.astype(np.float64)) if len(g) else w
+        order = [k for k in np.argsort(-w, kind="stable").tolist() if w[k] > 0]
+        pred.append(names[order[0]] if order else "und")
+        score.append(float(min(1.0, w[order[0]])) if order else 0.0)
+        sets.append([{"lang": names[k], "share": float(w[k])} for k in order])
+    return pd.DataFrame({"lang_pred": pred, "score": score, "languages": sets})
+
+
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """doc_id, lang_pred, score and languages (name and proportion of each in the selected set, largest first) for every row of ``docs``.
 
@@ -124,28 +143,27 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     all texts if no language was learned, are ``und`` with score 0. Only text is read; repeated rows are judged each; an empty table
     gives an empty one. Texts are read whole.
     """
-    names, table = model
-    logs = np.ascontiguousarray(table.T)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            pred, score, sets = [], [], []
-            for text in x["text"]:
-                w = np.zeros(0)
-                if names and has_letter(text):
-                    g, n = grams(f" {text} ")
-                    w = infer(logs[g].T, n.astype(np.float64)) if len(g) else w
-                order = [k for k in np.argsort(-w, kind="stable").tolist() if w[k] > 0]
-                pred.append(names[order[0]] if order else "und")
-                score.append(float(min(1.0, w[order[0]])) if order else 0.0)
-                sets.append([{"lang": names[k], "share": float(w[k])} for k in order])
-            yield pd.DataFrame({"doc_id": x["doc_id"], "lang_pred": pred, "score": score, "languages": sets})
+            yield judged(x["text"], model).assign(doc_id=x["doc_id"].to_numpy(dtype=object))[["doc_id", "lang_pred", "score", "languages"]]
 
     rows = docs.select(docs["doc_id"].cast("string").alias("doc_id"), body(docs).alias("text"))
-    done = rows.mapInPandas(run, "doc_id string, lang_pred string, score double, languages array<struct<lang:string,share:double>>")
+    done = rows.mapInPandas(run, f"doc_id string, lang_pred string, score double, languages {SHARES}")
     return done.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
+def accepted(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` with a language that makes up ``least`` of the text or more, all columns as they are."""
+
+    @F.pandas_udf("boolean")
+    def clear(texts: pd.Series) -> pd.Series:
+        found = judged(texts, model)
+        return (found["lang_pred"] != "und") & (found["score"] >= least)
+
+    return docs.where(clear(body(docs)))
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows kept out of training: crc32 of the id as text, modulo 5, is 0. A null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -160,10 +160,13 @@ def redacted(text: str) -> str:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with personal data in ``text`` replaced; null stays null, all other columns and rows stay as they are."""
+    """``docs`` with personal data in ``text`` replaced and n_chars, if there, counted anew; null stays null, all else stays as it is."""
 
     @F.pandas_udf("string")
     def cleaned(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else redacted(t))
 
-    return docs.withColumn("text", cleaned(docs["text"]))
+    out = docs.withColumn("text", cleaned(docs["text"]))
+    if "n_chars" not in docs.columns:
+        return out
+    return out.withColumn("n_chars", F.when(out["text"].isNull(), out["n_chars"]).otherwise(F.length(out["text"]).cast(docs.schema["n_chars"].dataType)))

@@ -209,7 +209,7 @@ WIDE_RADIUS = 52
 
 
 def sketches(docs: DataFrame, size: int = 5) -> DataFrame:
-    """doc_id, fp (32 bytes) and keys (a key for each band of minima) of the texts' shingles; no keys without a word."""
+    """doc_id, row_key (hash of id and text), fp (32 bytes) and keys (a key for each band of minima) of the texts' shingles; no keys without a word."""
     draw = np.random.default_rng(20)
     factor = draw.integers(1, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     shift = draw.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64)
@@ -235,14 +235,20 @@ def sketches(docs: DataFrame, size: int = 5) -> DataFrame:
 
         for x in batches:
             out = [sketch(t) for t in x["text"]]
-            yield pd.DataFrame({"doc_id": x["doc_id"], "fp": [f for f, _ in out], "keys": [k for _, k in out]})
+            yield pd.DataFrame({"doc_id": x["doc_id"], "row_key": x["row_key"], "fp": [f for f, _ in out], "keys": [k for _, k in out]})
 
-    rows = docs.select(docs["doc_id"].cast("string").alias("doc_id"), body(docs).alias("text")).mapInPandas(run, "doc_id string, fp binary, keys array<long>")
-    return rows.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "fp", "keys")
+    rows = docs.select(docs["doc_id"].cast("string").alias("doc_id"), row_key(docs).alias("row_key"), body(docs).alias("text"))
+    done = rows.mapInPandas(run, "doc_id string, row_key long, fp binary, keys array<long>")
+    return done.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
+
+
+def row_key(docs: DataFrame) -> Column:
+    """The same for repeated rows, and for them only."""
+    return F.xxhash64(docs["doc_id"], docs["text"])
 
 
 def near_texts(docs: DataFrame, size: int = 5, block: int = BLOCK) -> DataFrame:
-    """doc_id, fp, group and component_id for every row of ``docs``, linked at a similarity of about 0.8 or more on ``size``-word shingles.
+    """doc_id, row_key, fp, group and component_id for every row of ``docs``, linked at a similarity of about 0.8 or more on ``size``-word shingles.
 
     Texts of Jaccard similarity 0.8 share a band with probability 0.998 and lie within the radius with 0.99. A bucket of more than
     ``block`` members is dealt in parts of ``block / 2``, and every two parts meet in a row of their own, so no link is lost and no task
@@ -259,4 +265,12 @@ def near_texts(docs: DataFrame, size: int = 5, block: int = BLOCK) -> DataFrame:
     pairs = F.explode(F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct(F.least(mine, k).alias("p"), F.greatest(mine, k).alias("q"))))
     large = found.where(F.col("n") > half).select("t", "key", "fp", pairs.alias("x")).groupBy("t", "key", "x").agg(F.collect_list("fp").alias("members"))
     links = compare_blocks(small.select("members").union(large.select("members")), WIDE_RADIUS)
-    return rows.select("doc_id", "fp").join(_labels(first.select("fp", "first"), links), "fp").select("doc_id", "fp", "group", "component_id")
+    return rows.select("doc_id", "row_key", "fp").join(_labels(first.select("fp", "first"), links), "fp").select("doc_id", "row_key", "fp", "group", "component_id")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each group of near copies, the one of smallest doc_id (ties: of smallest row_key), all columns as they are."""
+    found = near_texts(docs)
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("group").agg(F.min("row_key").alias("_key"))
+    keyed = docs.withColumn("_key", row_key(docs))
+    return keyed.join(first.select("_key"), "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
