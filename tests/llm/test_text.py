@@ -1,0 +1,497 @@
+"""Text operators: brute force, exact round trips, held-out accuracy, and odd rows."""
+
+import collections
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from groundloom.llm import bpe_words, components, langid, licenses, packing, pii, piece_counts, pivots, quality, queries, ragged, secrets, simhash, words
+from groundloom.plans.verify import differences, duck
+
+FOLDER = "/root/testdata/sf0.001"
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
+
+#: Nulls in any column, empty and blank texts, repeated rows, one id twice, one long text, letters beyond Latin.
+ODD = [
+    (1, "It's the café ½  x.\nIt's the café ½  x.", "en", "a", 1),
+    (1, "It's the café ½  x.\nIt's the café ½  x.", "en", "a", 1),
+    (1, "another text under the same id", "en", "b", 2),
+    (2, None, None, None, None),
+    (3, "", "en", "a", 0),
+    (4, " \t\n ", "de", "a", 4),
+    (None, "“quote”—中文 x<|startoftext|> mail a.b@c.org now", None, "a", 9),
+    (5, "a\x1cb　c\x85d é İ", "fr", "a", 7),
+    (6, "word " * 60000 + "9" * 20000 + "@" * 50 + "z" * 20000, "en", "a", 1),
+]
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """ODD with extra columns that carry the operators' own names."""
+    return spark.createDataFrame(ODD, COLUMNS).withColumns({c: F.lit(7) for c in ("n_words", "kept", "fp", "part", "ids", "spans", "score", "row", "t", "w", "k", "key", "bad")})
+
+
+@pytest.fixture(scope="module")
+def empty(odd):
+    return odd.where("false")
+
+
+def as_key(i):
+    return -1 if i is None else i
+
+
+# ---- byte-pair merges, counts, packing, encoding
+
+
+def fuzz(n=400, seed=3):
+    r = np.random.default_rng(seed)
+    letters = list("  \n\t'abcsterdvm'lAÉéß²1½9<|>_-.,▁　\x1c\x85\xa0İΣς—“中文́e\x00日😀ª")
+    return ["".join(r.choice(letters, r.integers(0, 40))) for _ in range(n)] + ["a" * 3000, "ab" * 900, " " * 700 + "x", "<|endoftext|>", "x<|startoftext|>y <|endoftext|"]
+
+
+def test_counts_match_library():
+    import sentencepiece
+
+    texts = fuzz()
+    want = [len(x) for x in sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE).encode(texts, num_threads=1)]
+    assert piece_counts.pieces(PIECE_BPE).count(texts) == want
+
+
+def test_chunk_ids_match_library():
+    coder = words.chunk_ids(WORD_BPE)
+    texts = fuzz(seed=4)
+    want = [coder.model.library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(b, coder.dtype).tolist() for b in coder.encode(texts)] == want
+
+
+def test_long_and_short_sequences_merge_alike():
+    merges = ragged.word_ends(WORD_BPE).merges
+    for seq in (np.arange(60) % 7, np.zeros(50, dtype=int), np.array([5])):
+        together, _ = merges.run(np.tile(seq, 2), np.array([len(seq)] * 2))
+        assert together.tolist() == merges.run_alone(seq.tolist()) * 2
+
+
+def test_op10(spark, odd, empty):
+    got = piece_counts.count_tokens(odd, PIECE_BPE).collect()
+    model = piece_counts.pieces(PIECE_BPE)
+    want = [(i, len((t or "").encode()), model.count([t or ""])[0]) for i, t, *_ in ODD]
+    assert sorted((as_key(r.doc_id), r.n_bytes, r.n_tokens) for r in got) == sorted((as_key(i), a, b) for i, a, b in want)
+    assert {r.over_limit for r in got} == {False, True}
+    assert piece_counts.count_tokens(empty, PIECE_BPE).count() == 0
+
+
+def check_pieces(docs, pieces, window):
+    library = ragged.word_ends(WORD_BPE).library
+    by = collections.defaultdict(list)
+    for r in pieces:
+        by[r.sequence_id].append(r)
+    flat = []
+    for s, rows in sorted(by.items()):
+        rows.sort(key=lambda r: r.offset)
+        at = 0
+        for r in rows:
+            assert r.offset == at and r.length > 0
+            at += r.length
+        assert at == window or s == max(by)
+    assert sorted(by) == list(range(len(by)))
+    joined = collections.Counter()
+    stream = sorted(pieces, key=lambda r: (r.sequence_id, r.offset))
+    for r in stream:
+        ids = np.frombuffer(bytes(r.ids), "<u4").tolist()
+        assert len(ids) == r.length and r.cut_before == (r.start > 0) and r.cut_after == (r.start + r.length < r.doc_tokens)
+        flat += ids
+        joined[as_key(r.doc_id)] += r.length
+        if r.start + r.length == r.doc_tokens:
+            assert ids[-1] == 1
+    want = [(as_key(i), library.encode(t or "", add_special_tokens=False).ids + [1]) for i, t in docs]
+    assert len(flat) == sum(len(x) for _, x in want)
+    sizes = collections.Counter()
+    for i, x in want:
+        sizes[i] += len(x)
+    assert joined == sizes
+    cut = []  # the stream is the documents one after another
+    for r in stream:
+        if r.start == 0:
+            cut.append([])
+        cut[-1] += np.frombuffer(bytes(r.ids), "<u4").tolist()
+    assert sorted(map(tuple, cut)) == sorted(tuple(x) for _, x in want)
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_op5(spark, odd, empty, parts):
+    check_pieces([(i, t) for i, t, *_ in ODD], packing.pack(odd.repartition(parts), WORD_BPE, window=64).collect(), 64)
+    assert packing.pack(empty, WORD_BPE).count() == 0
+
+
+def test_op5_query(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    check_pieces([(r.doc_id, r.text) for r in docs.collect()], packing.pack(docs, WORD_BPE).collect(), 2048)
+
+
+def test_op5_long_rows(spark, odd, monkeypatch):
+    monkeypatch.setattr(packing, "ROW_IDS", 100)
+    check_pieces([(i, t) for i, t, *_ in ODD], packing.pack(odd, WORD_BPE, window=64).collect(), 64)
+
+
+def test_op8(spark, odd, empty):
+    library = ragged.word_ends(WORD_BPE).library
+    for parts in (1, 4):
+        got = sorted((as_key(r.doc_id), list(r.ids), r.decoded) for r in bpe_words.encode(odd.repartition(parts), WORD_BPE).collect())
+        ids = [(as_key(i), library.encode(t or "", add_special_tokens=False).ids) for i, t, *_ in ODD]
+        assert got == sorted((i, x, library.decode(x, skip_special_tokens=False)) for i, x in ids)
+    assert bpe_words.encode(empty, WORD_BPE).count() == 0
+
+
+def test_op8_query(spark):
+    library = ragged.word_ends(WORD_BPE).library
+    got = {r.doc_id: r for r in queries.QUERIES["op8_bpe_words"](spark, FOLDER).collect()}
+    for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect():
+        ids = library.encode(r.text, add_special_tokens=False).ids
+        digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        assert got[r.doc_id][1:] == (len(ids), digest(" ".join(map(str, ids))), digest(library.decode(ids, skip_special_tokens=False)))
+
+
+def test_decode(spark):
+    library = ragged.word_ends(WORD_BPE).library
+    rows = [(1, [320, 472, 49407]), (2, []), (3, None), (4, [999999, 321])]
+    got = {r.doc_id: r.decoded for r in bpe_words.decode(spark.createDataFrame(rows, "doc_id long, ids array<int>"), WORD_BPE).collect()}
+    assert got == {i: library.decode(x or [], skip_special_tokens=False) for i, x in rows}
+
+
+# ---- quality rules
+
+
+def brute_statistics(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    places = collections.defaultdict(list)
+    for i in range(len(w) - 4):
+        places[tuple(w[i : i + 5])].append(i)
+    covered = {j for v in places.values() if len(v) > 1 for i in v for j in range(i, i + 5)}
+    seen, dup = set(), 0
+    for line in (text or "").split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(covered), len(w) < 10 or 100 * len(covered) > 20 * len(w)
+
+
+STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def test_op1_statistics(spark, odd, empty):
+    more = [(10 + k, t, None, None, None) for k, t in enumerate(["a b c d e a b c d e", "a a a a a a a a a a a", "x y z a b c d e q a b c d e a b c d e", "l\nl\n\nl \nl", "##| <b>"])]
+    docs = odd.select("doc_id", "text", "n_words", "kept").union(spark.createDataFrame(more, COLUMNS).select("doc_id", "text", F.lit(1), F.lit(1)))
+    got = sorted((as_key(r.row.doc_id), *[r[c] for c in STATS]) for r in quality.statistics(docs).collect())
+    assert got == sorted((as_key(i), *brute_statistics(t)) for i, t, *_ in [*ODD, *more])
+    assert quality.statistics(empty).count() == 0
+
+
+def test_op1_query(spark):
+    got = {r.doc_id: r for r in queries.QUERIES["op1_quality_rules"](spark, FOLDER).collect()}
+    for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect():
+        x = got[r.doc_id]
+        assert tuple(x[c] for c in STATS) == brute_statistics(r.text)
+        assert x.kept == (not x.base_failed and x.rule == 0)
+
+
+def test_op1_learns_and_emits_in_order(spark):
+    good = [(i, " ".join(f"w{i}x{k}" for k in range(40))) for i in range(300)]
+    bad = [(1000 + i, " ".join(f"w{i}z{k}$" for k in range(40))) for i in range(100)]
+    docs = spark.createDataFrame([*good, *bad, (None, "x"), (5000, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i, _ in good] + [(i, 0, 0) for i, _ in bad] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    rules = quality.learn(docs, labels)
+    kept = {r.row.doc_id: r.kept for r in quality.judge(docs, rules).collect()}
+    assert all(kept[i] for i, _ in good) and not any(kept[i] for i, _ in bad)
+    assert quality.learn(docs, labels.where("false")) == []
+    assert quality.learn(docs.where("false"), labels) == []
+    first, second = (quality.Test("n_words", True, 5.0),), (quality.Test("n_words", True, 2.0), quality.Test("mean_word", False, 9.0))
+    out = spark.createDataFrame([(6.0, 1.0), (3.0, 1.0), (3.0, 10.0)], "n_words double, mean_word double").select(quality.verdict([first, second]).alias("v"))
+    assert [r.v for r in out.collect()] == [1, 2, 0]
+
+
+# ---- top-k search
+
+
+def brute_top(rows, k=5):
+    rows = [(i, np.floor(256 * np.array(v, dtype=np.float64))) for i, v in rows]
+    width = max(len(v) for _, v in rows)
+    rows = [(i, np.pad(v, (0, width - len(v)))) for i, v in rows]
+    out = []
+    for q, x in {i: v for i, v in rows if i % 50 == 0}.items():
+        best = sorted(((-int(v @ x), i) for i, v in rows if i != q))[:k]
+        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_op2(spark, small):
+    r = np.random.default_rng(5)
+    base = r.normal(size=(40, 6))
+    rows = [(int(i), [float(x) for x in base[i % 40] + (0 if i % 3 else r.normal(size=6) / 9)]) for i in range(260)]
+    rows += [(7, rows[7][1]), (900, [0.5, 0.25]), (901, [])]
+    bad = [(None, [1.0]), (950, None), (1000, [float("nan")] * 6), (1050, [1.0, None]), (1100, [float("inf")] * 6)]
+    docs = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>").withColumn("score", F.lit(1)).withColumn("d", F.lit(1))
+    sizes = {"query_block": 2, "candidate_block": 40, "pivots": 3, "sample": 20} if small else {}
+    got = sorted(tuple(x) for x in pivots.top_k(docs, **sizes).collect())
+    assert got == brute_top(rows)
+    assert pivots.top_k(docs.where("false")).count() == 0
+    assert pivots.top_k(docs.where("vec_id in (50, 51)")).count() == 1
+
+
+def test_op2_query(spark):
+    got = queries.QUERIES["op2_pivot_top_k"](spark, FOLDER).toPandas()
+    assert differences(got, duck(FOLDER).execute(queries.ORACLES["op2_pivot_top_k"]).df()) is None
+
+
+# ---- language
+
+
+def test_op3(spark, odd, empty):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = queries.QUERIES["op3_language_id"](spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    for r in got:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1
+    out = [r for r in got if r.held_out]
+    assert len(out) > 100 and sum(r.lang == r.lang_pred for r in out) >= 0.98 * len(out)
+    model = langid.train(docs)
+    found = {(as_key(r.doc_id), r.lang_pred) for r in langid.identify(odd, model).collect()}
+    assert {(2, "und"), (3, "und"), (4, "und")} <= found and (6, "und") not in found
+    assert langid.identify(empty, model).count() == 0
+    none = langid.train(docs.withColumn("lang", F.lit(None).cast("string")))
+    assert {(r.lang_pred, r.score) for r in langid.identify(odd, none).collect()} == {("und", 0.0)}
+    assert langid.train(empty)[0] == []
+
+
+def test_op3_mixtures(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    names, table = langid.train(docs)
+    by = {n: [r.text for r in docs.where(F.col("lang") == n).where("n_chars > 900").limit(12).collect()] for n in names}
+    right = total = 0
+    for a in names:
+        for b in names:
+            for x, y in zip(by[a], by[b][1:]) if a < b else ():
+                g, n = langid.grams(x[:450] + " " + y[:450])
+                w = langid.infer(table[:, g], n.astype(float))
+                right += {names[k] for k in np.flatnonzero(w)} == {a, b}
+                total += 1
+    assert total > 30 and right >= 0.9 * total
+
+
+def test_op3_slices_count_every_trigram(monkeypatch):
+    text = " the quick brown fox " * 50
+    whole = langid.grams(text)
+    monkeypatch.setattr(langid, "STEP", 64)
+    parts = langid.grams(text)
+    assert all((a == b).all() for a, b in zip(whole, parts))
+
+
+# ---- secrets and licences
+
+
+def test_op4(spark, odd, empty):
+    x = secrets.scan(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    truth = re.compile(r"^(AKIA[0-9A-Z]{16}|[0-9a-f]{18}|[0-9a-f]{40})$")
+    assert sum(r.kept for r in x) > 5 and all(r.kept == bool(truth.match(r.value)) for r in x)
+    got = secrets.scan(odd).collect()
+    assert {as_key(r.doc_id) for r in got} <= {6, -1} and secrets.scan(empty).count() == 0
+
+
+def test_op4_learns_from_labels(spark):
+    """Half of the findings are labelled; the forest judges the other half."""
+    r = np.random.default_rng(8)
+    hexes = lambda n: "".join(r.choice(list("0123456789abcdef"), n))
+    rows = [(i, f"some words then password: {hexes(24)} and more words") if i % 2 else (i, f"see commit sha {hexes(24)} for the words") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = secrets.candidates(docs).select("doc_id", "word_index")
+    judged = found.where("doc_id < 200").withColumn("y", (F.col("doc_id") % 2).cast("int"))
+    out = [x for x in secrets.scan(docs, judged).collect() if x.doc_id >= 200]
+    assert len(out) >= 199 and sum(x.kept == (x.doc_id % 2 == 1) for x in out) >= 0.97 * len(out)
+
+
+def test_op6(spark, odd, empty):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = licenses.train(docs)
+    got = collections.Counter((r.doc_id, r.family) for r in licenses.scan(docs, model).where("confirmed").collect())
+    marks = {"Apache License, Version 2.0": "Apache-2.0", "MIT License": "MIT", "GNU General Public License, version 3": "GPL-3.0", "CC BY-NC 4.0": "CC-BY-NC-4.0"}
+    want = collections.Counter((r.doc_id, f) for r in docs.collect() for line in r.text.split("\n") for m, f in marks.items() if m in line)
+    assert got == want
+    assert licenses.scan(odd, model).count() == 0 and licenses.scan(empty, model).count() == 0
+    assert licenses.train(empty).predict(set())[0] == licenses.UNKNOWN
+    edited = "This work is now licensed under the GNU General Public License, version 3 of it."
+    assert model.predict(licenses.pairs(edited))[0] == "GPL-3.0"
+
+
+# ---- personal data
+
+
+def brute_spans(text):
+    """The fixed kinds as the patterns say."""
+    out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m.group().split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m.group() if c.isdigit()]
+        if 14 <= len(d) <= 19 and sum(sum(divmod(2 * x, 10)) if k % 2 else x for k, x in enumerate(reversed(d))) % 10 == 0:
+            out.append(("card", m.start(), m.end()))
+    out += [("phone", m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 10 <= sum(c.isdigit() for c in m.group()) <= 15]
+    return sorted(out, key=lambda s: (s[1], pii.KINDS.index(s[0])))
+
+
+def test_op7_fixed_kinds(spark):
+    r = np.random.default_rng(6)
+    parts = ["a.b@c.org", "x@y", "@", "%d@e.f", "é", " ", "1.2.3.4", "300.1.2.3", ".5", "4111 1111 1111 1111", "4111111111111112", "-", "+1 (555) 123-4567", "+", "12", "a@b.c%d@e.f.", "00", "(", "007.0.0.1"]
+    texts = ["".join(r.choice(parts, r.integers(1, 9))) for _ in range(3000)] + [x.text for x in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]
+    for t in texts:
+        assert pii.base_spans(t) == brute_spans(t), t
+        fixed = [s[:3] for s in pii.spans(t) if s[4]]
+        assert sorted(fixed) == sorted(brute_spans(t))
+
+
+def test_op7_more_kinds():
+    kinds = lambda t: [s[0] for s in pii.spans(t)]
+    assert kinds("my iban GB82 WEST 1234 5698 7654 32 ok") == ["iban"] and kinds("iban GB82 WEST 1234 5698 7654 33") == []
+    assert kinds("social security 123-45-6789") == ["ssn"] and kinds("part 123-45-6789") == []
+    assert kinds("call (212) 555-0187 now") == ["local_phone"] and kinds("row (212) 555-0187") == []
+    assert kinds("visa card 4222222222222") == ["card13"] and kinds("it 4222222222222") == []
+
+
+def test_op7(spark, odd, empty):
+    got = sorted((as_key(r.doc_id), [tuple(s) for s in r.spans]) for r in pii.find(odd).collect())
+    assert got == sorted((as_key(i), pii.spans(t or "")) for i, t, *_ in ODD)
+    assert pii.find(empty).count() == 0 and pii.redact(empty).count() == 0
+    clean = {(as_key(r.doc_id), r.text) for r in pii.redact(odd).collect()}
+    assert (-1, "“quote”—中文 x<|startoftext|> mail [EMAIL] now") in clean and (2, None) in clean
+
+
+def test_op7_query(spark):
+    got = {r.doc_id: r for r in queries.QUERIES["op7_pii"](spark, FOLDER).collect()}
+    for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect():
+        want, x = brute_spans(r.text), got[r.doc_id]
+        text = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert [x[f"n_{k}"] for k in pii.KINDS] == [sum(s[0] == k for s in want) for k in pii.KINDS]
+        assert x.base_sha256 == hashlib.sha256(text.encode()).hexdigest() and x.spans == text
+
+
+# ---- near copies
+
+
+def brute_fingerprint(text):
+    import xxhash
+
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    w = re.findall(r"[^\x20\x09-\x0D]+", low)
+    s = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else ([" ".join(w)] if w else [])
+    h = [xxhash.xxh64_intdigest(x.encode(), seed=42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(fps):
+    """fps: (id, fingerprint); the smallest id reachable over links of two bits or fewer, for each place."""
+    root = list(range(len(fps)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a in range(len(fps)):
+        for b in range(a):
+            if bin(fps[a][1] ^ fps[b][1]).count("1") <= 2:
+                root[find(a)] = find(b)
+    least = {}
+    for k, (i, _) in enumerate(fps):
+        if i is not None:
+            least[find(k)] = min(i, least.get(find(k), i))
+    return [least.get(find(k)) for k in range(len(fps))]
+
+
+@pytest.mark.parametrize(("radius", "width"), [(2, 8), (0, 8), (3, 8), (52, 32)])
+def test_bit_sliced_comparison(radius, width):
+    r = np.random.default_rng(radius)
+    members = []
+    for _ in range(40):
+        bits = r.integers(0, 2, 8 * width, dtype=np.uint8)
+        for _ in range(7):
+            x = bits.copy()
+            x[r.choice(8 * width, r.integers(0, 2 * radius + 3), replace=False)] ^= 1
+            members.append(np.packbits(x).tobytes())
+    i, j = simhash.near_in_block(members, radius)
+    v = [int.from_bytes(m, "big") for m in members]
+    want = {(a, b) for a in range(len(v)) for b in range(a + 1, len(v)) if bin(v[a] ^ v[b]).count("1") <= radius}
+    assert set(zip(i.tolist(), j.tolist())) == want and want
+
+
+@pytest.mark.parametrize("block", [2048, 4])
+def test_op9_links(spark, block):
+    """Also when buckets are over the block size."""
+    r = np.random.default_rng(9)
+    fps = []
+    for v in r.integers(0, 1 << 62, 30):
+        for _ in range(20):
+            x = int(v)
+            for b in r.choice(64, r.integers(0, 5), replace=False):
+                x ^= 1 << int(b)
+            fps.append((len(fps), x))
+    rows = spark.createDataFrame([(i, bytearray(x.to_bytes(8, "big"))) for i, x in fps], "first long, fp binary").groupBy("fp").agg(F.min("first").alias("first"))
+    got = {bytes(x.fp): x.component_id for x in simhash._labels(rows, simhash.near_fingerprints(rows, block)).collect()}
+    assert [got[x.to_bytes(8, "big")] for _, x in fps] == brute_components(fps)
+
+
+def test_op9_query(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in queries.QUERIES["op9_simhash_near_dups"](spark, FOLDER).collect()}
+    fps = [(i, brute_fingerprint(t)) for i, t in docs]
+    assert got == {i: (f"{f:016x}", c) for (i, f), c in zip(fps, brute_components(fps), strict=True)}
+
+
+def test_op9_odd(spark, odd, empty):
+    got = sorted((as_key(r.doc_id), int.from_bytes(bytes(r.fp), "big"), r.component_id) for r in simhash.near_duplicates(odd).collect())
+    fps = [(i, brute_fingerprint(t)) for i, t, *_ in ODD]
+    assert got == sorted((as_key(i), f, c) for (i, f), c in zip(fps, brute_components(fps), strict=True))
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+def test_components(spark):
+    r = np.random.default_rng(2)
+    links = [(int(a), int(b)) for a, b in r.integers(0, 400, (300, 2))] + [(1000 + k, 1001 + k) for k in range(60)] + [(5, 5), (7, 9), (7, 9)]
+    root = {}
+    for a, b in links:
+        root.setdefault(a, a), root.setdefault(b, b)
+    for _ in range(400):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {x.node: x.root for x in components.components(spark.createDataFrame(links + [(None, 3)], "a long, b long")).collect()}
+    alone = {a for a, b in links if a == b and all(a not in (c, d) for c, d in links if (c, d) != (a, b))}
+    assert got == {n: m for n, m in root.items() if n not in alone}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("block", [2048, 6])
+def test_near_texts(spark, block):
+    r = np.random.default_rng(4)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    texts = []
+    for _ in range(25):
+        base = list(r.choice(vocabulary, 250))
+        for _ in range(6):
+            x = list(base)
+            for k in r.choice(250, 3, replace=False):  # similarity about 0.89
+                x[k] = str(r.choice(vocabulary))
+            texts.append(" ".join(x))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in simhash.near_texts(docs, block=block).collect()}
+    assert got == {i: i - i % 6 for i in range(len(texts))}
+    left = sorted(x.doc_id for x in simhash.deduplicated(docs.union(docs)).collect())
+    assert left == [i for i in range(len(texts)) if i % 6 == 0]
+
+
+def test_deduplicated_odd(spark, odd, empty):
+    got = sorted((as_key(r.doc_id), r.text or "") for r in simhash.deduplicated(odd).collect())
+    assert got == sorted((as_key(i), t or "") for i, t in {(i, t) for i, t, *_ in ODD} - {(3, ""), (4, " \t\n ")})
+    assert simhash.deduplicated(empty).count() == 0
