@@ -19,7 +19,7 @@ def label(cells: DataFrame, meta: DataFrame, diagonal: bool = False) -> DataFram
     """Connected patches: each cell's label is its patch's smallest i*stride + j."""
     c = framed(cells, meta).select("scene_id", "i", "j", "ny", "nx", (F.col("i") * CELL_STRIDE + F.col("j")).cast("double").alias("label"))
     steps = raster.EIGHT if diagonal else raster.FOUR
-    return tiles.rounds(c, ["label"], tiles.spread_min(steps)).select(*KEY, F.col("label").cast("bigint").alias("label"))
+    return tiles.rounds(c, ["label"], tiles.spread_min(steps), monotone=True).select(*KEY, F.col("label").cast("bigint").alias("label"))
 
 
 def empty_cells(valid: DataFrame, meta: DataFrame) -> DataFrame:
@@ -112,7 +112,7 @@ def drain(grid: DataFrame, meta: DataFrame, cell: float) -> DataFrame:
     rim = F.when(F.col("n") < 8, 1.0).otherwise(0.0)
     c = framed(g.select(*KEY, F.col("own").alias("z"), rim.alias("rim")), meta)
     c = c.withColumn("w", F.when(F.col("rim") > 0, F.col("z"))).withColumn("eps", F.lit(1e-5 * cell))
-    return tiles.rounds(c, ["z", "rim", "eps", "w"], tiles.drain).select(*KEY, F.col("w").alias("z"), (F.col("w") > F.col("z") + 1e-9).alias("raised"))
+    return tiles.rounds(c, ["z", "rim", "eps", "w"], tiles.drain, monotone=True).select(*KEY, F.col("w").alias("z"), (F.col("w") > F.col("z") + 1e-9).alias("raised"))
 
 
 def unpinch(quads: DataFrame) -> DataFrame:

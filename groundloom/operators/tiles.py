@@ -39,12 +39,13 @@ def shifted(a: np.ndarray, di: int, dj: int, fill: float = np.nan) -> np.ndarray
 
 
 def rounds(cells: DataFrame, values: list[str], kernel: Callable[[Arrays, Frame, int | None], Arrays], reach: int = 1,
-           sweeps: int | None = None, tile: int = TILE, halo: int = HALO) -> DataFrame:
-    """Run ``kernel`` over the scenes' rasters.
+           sweeps: int | None = None, tile: int = TILE, halo: int = HALO, monotone: bool = False) -> DataFrame:
+    """Run ``kernel`` over the scenes' rasters; the result does not depend on ``tile`` and ``halo``.
 
     ``cells`` has scene_id, i, j, ny, nx and double ``values``. With ``sweeps`` the kernel is run for exactly that
-    many; without, it must be a monotone update that it repeats until its tile is still, and rounds go on until no
-    tile changes.
+    many; without, rounds go on until no tile changes. A ``monotone`` update may then repeat until its tile is still:
+    whatever it took from a cut-off halo is bettered later. Any other is held to the sweeps for which the halo is wide
+    enough, since what it fills stays. Tiles far from any change stay out of the later rounds.
     """
     size = cells.agg(F.max("ny").alias("h"), F.max("nx").alias("w")).first()
     if size["h"] is None:
@@ -54,8 +55,18 @@ def rounds(cells: DataFrame, values: list[str], kernel: Callable[[Arrays, Frame,
     schema = "scene_id int, i bigint, j bigint, ny bigint, nx bigint, " + ", ".join(f"{v} double" for v in values) + ", changed boolean"
     left = sweeps
     state = cells.select("scene_id", "i", "j", "ny", "nx", *values)
+    within = max(1, halo // reach)
+    about = -(-halo // tile)  # tiles in reach of a tile's halo
+    span = range(-about, about + 1)
+    tile_of = [F.floor(F.col(c) / tile).alias(t) for c, t in (("i", "_ti"), ("j", "_tj"))]
+    active = None
     while True:
-        take = left if (left is None or single) else min(left, max(1, halo // reach))
+        if single:
+            take = left
+        elif left is None:
+            take = None if monotone else within
+        else:
+            take = min(left, within)
 
         def run(rows: pd.DataFrame) -> pd.DataFrame:
             i, j = rows["i"].to_numpy(), rows["j"].to_numpy()
@@ -82,9 +93,14 @@ def rounds(cells: DataFrame, values: list[str], kernel: Callable[[Arrays, Frame,
 
         near = lambda c: F.sequence(F.floor((F.col(c) - pad) / tile), F.floor((F.col(c) + pad) / tile))
         spread = state.withColumn("_ti", F.explode(near("i"))).withColumn("_tj", F.explode(near("j")))
+        if active is not None:
+            spread = spread.join(active, ["scene_id", "_ti", "_tj"], "left_semi")
         done = spread.groupBy("scene_id", "_ti", "_tj").applyInPandas(run, schema)
         # Arrow brings NaN; the tables use NULL
         done = done.select("scene_id", "i", "j", "ny", "nx", *[F.nanvl(F.col(v), F.lit(None).cast("double")).alias(v) for v in values], "changed")
+        if active is not None:
+            still = state.select("*", *tile_of).join(active, ["scene_id", "_ti", "_tj"], "left_anti").drop("_ti", "_tj")
+            done = done.unionByName(still.withColumn("changed", F.lit(False)))
         state = cut_lineage(done)
         if left is not None:
             left -= take
@@ -92,6 +108,10 @@ def rounds(cells: DataFrame, values: list[str], kernel: Callable[[Arrays, Frame,
                 break
         elif single or state.where("changed").isEmpty():
             break
+        else:
+            moved = state.where("changed").select("scene_id", *tile_of).distinct()
+            steps = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in span for b in span]))
+            active = cut_lineage(moved.withColumn("_o", steps).select("scene_id", (F.col("_ti") + F.col("_o.a")).alias("_ti"), (F.col("_tj") + F.col("_o.b")).alias("_tj")).distinct())
         state = state.drop("changed")
     return state.drop("changed")
 

@@ -98,10 +98,37 @@ def test_labels_cross_tiles(spark, tile):
     snake[::2] = 1.0
     snake[1::4, -1] = snake[3::4, 0] = 1.0
     c = cells(spark, snake).withColumn("label", (F.col("i") * 100 + F.col("j")).cast("double"))
-    got = tiles.rounds(c, ["label"], tiles.spread_min(raster.FOUR), tile=tile, halo=2)
+    got = tiles.rounds(c, ["label"], tiles.spread_min(raster.FOUR), tile=tile, halo=2, monotone=True)
     assert got.select("label").distinct().count() == 1
 
 
+@pytest.mark.parametrize("kernel", ["rims", "around", "relax", "drain"])
+@pytest.mark.parametrize("tile,halo", [(8, 3), (5, 7)])
+def test_every_kernel_is_the_same_on_many_tiles(spark, kernel, tile, halo):
+    """Holes deeper than the halo, with rims of unlike heights on either side, and scenes of unlike sizes in one table."""
+    z = np.full((24, 29), np.nan)
+    z[:, 0], z[:, -1], z[0, 3:17] = 1.0, 9.0, 4.0
+    z[20:, 8:14] = rng().uniform(0, 3, (4, 6))
+    hole = np.isnan(z).astype(float)
+    i, j = (x.ravel() for x in np.indices(z.shape))
+    d = pd.DataFrame({"scene_id": 0, "i": i, "j": j, "ny": 24, "nx": 29, "z": z.ravel(), "hole": hole.ravel()})
+    if kernel in ("relax", "drain"):
+        d["z"] = np.where(np.isnan(d["z"]), (d["i"] * 7 + d["j"] * 3) % 11, d["z"])
+    d["rim"] = ((d["i"] == 0) | (d["j"] == 28)).astype(float)
+    d["eps"], d["w"] = 1e-5, np.where(d["rim"] > 0, d["z"], np.nan)
+    small = d[(d["i"] < 4) & (d["j"] < 4)].assign(scene_id=1, ny=4, nx=4)
+    rows = pd.concat([d, small]).astype({"scene_id": "int32", "i": "int64", "j": "int64", "ny": "int64", "nx": "int64"})
+    values, run, options = {"rims": (["z", "hole"], tiles.fill_from_rims, {}), "around": (["z"], tiles.fill_around, {}), "relax": (["z", "hole"], tiles.relax, {"sweeps": 23}),
+                            "drain": (["z", "rim", "eps", "w"], tiles.drain, {"monotone": True})}[kernel]
+    df = spark.createDataFrame(rows)
+    df = df.select(*[F.nanvl(F.col(c), F.lit(None).cast("double")).alias(c) if c in ("z", "w") else F.col(c) for c in df.columns])
+    order = ["scene_id", "i", "j"]
+    one = tiles.rounds(df, values, run, **options).toPandas().sort_values(order)
+    many = tiles.rounds(df, values, run, tile=tile, halo=halo, **options).toPandas().sort_values(order)
+    assert len(one) == len(many) == 24 * 29 + 16
+    assert np.allclose(one[values[-1] if kernel == "drain" else "z"], many[values[-1] if kernel == "drain" else "z"], atol=1e-12, equal_nan=True)
+
+
 def test_water_runs_off_and_only_rises(spark):
     r = rng()
     z = np.round(r.uniform(0, 3, (12, 15)), 1)
