@@ -10,9 +10,8 @@ import time
 from groundloom.plans import catalog
 from groundloom.session import local_session
 
-# radius_ground, zbuffer and visible_from have not been timed at sf0.1 yet; ask for them with BENCH_ONLY
 HEADLINE = ["rasterise", "fill_holes", "despike", "contour_segments", "shell_underside", "cloth_ground", "hydro_fill", "robust_bounds", "splat_levels", "top_surface_colour",
-            "alpha_composite", "voxel_anti", "nearest_segment", "mesh_quality", "sun_position", "job_state"]
+            "alpha_composite", "voxel_anti", "nearest_segment", "mesh_quality", "sun_position", "job_state", "radius_ground", "zbuffer", "visible_from"]
 
 
 def main() -> None:

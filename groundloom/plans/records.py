@@ -67,12 +67,12 @@ def scene_index_upsert(t):
 
 
 @query("newest_scenes", """WITH e AS (SELECT 'scene_' || (user_id) AS name, event_id AS seq, CASE WHEN event_type <> 'signup' THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') END AS created FROM events)
- SELECT name, created FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY seq DESC) AS k FROM e) q WHERE k=1 ORDER BY created DESC NULLS LAST, name LIMIT 20""")
+ SELECT name, created FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY seq DESC) AS k FROM e) q WHERE k=1""")
 def newest_scenes(t):
-    """The twenty newest scenes, those without a date last."""
+    """All scenes, newest first, those without a date last."""
     e = t.raw("events").select(F.concat(F.lit("scene_"), F.col("user_id").cast("string")).alias("name"), F.col("event_id").alias("seq"),
                                F.when(F.col("event_type") != "signup", F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss")).alias("created"))
-    return records.latest(e, "name", "seq").select("name", "created").orderBy(F.col("created").desc_nulls_last(), "name").limit(20)
+    return records.latest(e, "name", "seq").select("name", "created").orderBy(F.col("created").desc_nulls_last(), "name")
 
 
 @query("scene_readiness", """WITH s AS (SELECT scene_id, max(CASE WHEN event_type='click' AND value>48e1 THEN 1 ELSE 0 END) AS a, max(CASE WHEN event_type='view' AND value>465e0 THEN 1 ELSE 0 END) AS b, max(CASE WHEN value>47e1 THEN 1 ELSE 0 END) AS c FROM frames GROUP BY 1)

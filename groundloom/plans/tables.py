@@ -12,7 +12,6 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from groundloom.operators import raster
-from groundloom.session import spread
 
 CELL = 0.5
 MIN_POINTS = 2

@@ -55,13 +55,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Give a plain scan that arrives in fewer splits than there are cores (one small file) to all of
-    them. Large inputs already have many splits and pass through untouched."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
-
-
 def spread_by(df: DataFrame, *keys: str) -> DataFrame:
     """Hash rows over all cores before a step that multiplies them, so that small inputs are not
     gathered into one task first."""

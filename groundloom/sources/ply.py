@@ -1,7 +1,7 @@
 """PLY point tables as a Spark data source: ``spark.read.format("ply")`` and ``df.write.format("ply")``.
 
 The header is read once per file on the driver. A binary file's rows have a fixed size, so it is cut into
-row ranges; an ASCII file is cut into byte ranges at line ends. Only the properties in the requested schema are
+row ranges; an ASCII file is cut into byte ranges at line ends, and its first lines, as many as the header says, are its vertices. Only the properties in the requested schema are
 decoded. A written table is a folder of complete PLY files, one or more per task and scene.
 """
 
@@ -34,6 +34,7 @@ class Header:
     fields: list[tuple[str, str]]
     size: int
     comments: list[str]
+    more: bool = False  # other elements follow the vertices
 
     @property
     def dtype(self) -> np.dtype:
@@ -45,7 +46,7 @@ def parse_header(head: bytes, path: str) -> Header:
     if not head.startswith(b"ply") or end < 0:
         raise ValueError(f"{path}: no PLY header")
     size = head.index(b"\n", end) + 1
-    kind, count, fields, comments, inside = None, None, [], [], False
+    kind, count, fields, comments, inside, more = None, None, [], [], False, False
     for line in head[:end].decode("ascii", "replace").splitlines():
         words = line.split()
         if not words:
@@ -58,6 +59,10 @@ def parse_header(head: bytes, path: str) -> Header:
             inside = words[1] == "vertex"
             if inside:
                 count = int(words[2])
+            elif count is None and int(words[2]):
+                raise ValueError(f"{path}: vertices have to come first")
+            else:
+                more = more or int(words[2]) > 0
         elif words[0] == "property" and inside:
             if words[1] == "list":
                 raise ValueError(f"{path}: list properties on vertices are not supported")
@@ -66,7 +71,7 @@ def parse_header(head: bytes, path: str) -> Header:
         raise ValueError(f"{path}: format {kind} is not supported")
     if not count or not fields:
         raise ValueError(f"{path}: no vertices")
-    return Header(kind != "ascii", count, fields, size, comments)
+    return Header(kind != "ascii", count, fields, size, comments, more)
 
 
 def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -108,6 +113,7 @@ class Slice(InputPartition):
     header: Header
     start: int  # first row (binary) or byte (ascii)
     stop: int
+    last: bool = False  # of an ascii file
 
 
 class PlyReader(DataSourceReader):
@@ -128,7 +134,7 @@ class PlyReader(DataSourceReader):
                 out += [Slice(path, h, a, min(h.count, a + step)) for a in range(0, h.count, step)]
             else:
                 chunk = step * 4 * len(h.fields)
-                out += [Slice(path, h, a, min(size, a + chunk)) for a in range(h.size, size, chunk)]
+                out += [Slice(path, h, a, min(size, a + chunk), a + chunk >= size) for a in range(h.size, max(size, h.size + 1), chunk)]
         return out
 
     def read(self, part: Slice):
@@ -157,8 +163,8 @@ class PlyReader(DataSourceReader):
 
     @staticmethod
     def _ascii(fh, part: Slice):
-        """Lines that begin inside the byte range; ``row`` is the line's byte offset. A file's vertex lines are as many as
-        its header says, checked where the whole file is one range."""
+        """Vertex lines that begin inside the byte range; ``row`` is the line's byte offset. A file's vertices are as many as
+        its header says; fewer are refused."""
         begin = part.start
         if begin > part.header.size:
             fh.seek(begin - 1)
@@ -170,21 +176,44 @@ class PlyReader(DataSourceReader):
             if not more:
                 break
             data += more[: more.index(b"\n") + 1] if b"\n" in more else more
-        rows, numbers, at = [], [], begin
+        # places of the lines matter where other elements follow, and to tell a cut-off file
+        before = PlyReader._lines(fh, part.header.size, begin) if part.header.more or part.last else 0
+        lines, numbers, at = [], [], begin
         for line in data.split(b"\n"):
-            words = line.split()
-            if words:
-                if len(words) != len(part.header.fields):
-                    raise ValueError(f"{part.path}: {len(words)} values at byte {at}, {len(part.header.fields)} expected")
-                rows.append(tuple(float(w) for w in words))
+            if words := line.split():
+                lines.append(words)
                 numbers.append(at)
             at += len(line) + 1
-        if part.start == part.header.size and at >= part.stop and len(rows) < part.header.count and part.stop == at - 1:
-            raise ValueError(f"{part.path}: {len(rows)} vertices of {part.header.count}")
-        if rows:
-            wide = np.array(rows)
+        if part.last and before + len(lines) < part.header.count:
+            raise ValueError(f"{part.path}: {before + len(lines)} vertices of {part.header.count}")
+        if part.header.more or part.last:
+            keep = max(0, part.header.count - before)
+            lines, numbers = lines[:keep], numbers[:keep]
+        width = len(part.header.fields)
+        for words, place in zip(lines, numbers):
+            if len(words) != width:
+                raise ValueError(f"{part.path}: {len(words)} values at byte {place}, {width} expected")
+        if lines:
+            wide = np.array(lines, dtype="S").astype("f8")
             yield np.rec.fromarrays(list(wide.T), names=[n for n, _ in part.header.fields]), np.array(numbers)
 
+    @staticmethod
+    def _lines(fh, start: int, stop: int) -> int:
+        """Lines with content between two line starts."""
+        fh.seek(start)
+        n, open_ = 0, False
+        while start < stop:
+            data = fh.read(min(1 << 22, stop - start))
+            if not data:
+                break
+            start += len(data)
+            parts = data.split(b"\n")
+            for k, x in enumerate(parts):
+                open_ = open_ or bool(x.strip())
+                if k < len(parts) - 1:
+                    n, open_ = n + open_, False
+        return n + open_
+
 
 @dataclass
 class Written(WriterCommitMessage):
@@ -209,9 +238,9 @@ class PlyWriter(DataSourceArrowWriter):
         fs.create_dir(root, recursive=True)
         limit, attempt = int(self.options.get("rowsperfile", 4_000_000)), TaskContext.get().taskAttemptId()
         names = [f.name for f in self.schema if f.name != "scene_id"]
-        kinds = {"double": "<f8", "float": "<f4", "bigint": "<i4", "int": "<i4", "smallint": "u1", "tinyint": "i1"}
+        kinds = {"double": "<f8", "float": "<f4", "bigint": "<f8", "int": "<i4", "smallint": "<i2", "tinyint": "i1"}  # the format has no 64-bit integers
         dt = np.dtype([(f.name, kinds[f.dataType.simpleString()]) for f in self.schema if f.name != "scene_id"])
-        words = {"<f8": "double", "<f4": "float", "<i4": "int", "u1": "uchar", "i1": "char"}
+        words = {"<f8": "double", "<f4": "float", "<i4": "int", "<i2": "short", "i1": "char"}
         files, total, held, scene = [], 0, [], None
 
         def flush():
@@ -221,7 +250,7 @@ class PlyWriter(DataSourceArrowWriter):
                 return
             name = f"scene-{scene}-{attempt}-{len(files)}.ply"
             head = ["ply", "format binary_little_endian 1.0", f"comment scene {scene}", f"element vertex {n}"]
-            head += [f"property {words[dt[k].str if dt[k].str != '|u1' and dt[k].str != '|i1' else dt[k].str[1:]]} {k}" for k in names] + ["end_header"]
+            head += [f"property {words[dt[k].str.lstrip('|')]} {k}" for k in names] + ["end_header"]
             with fs.open_output_stream(f"{root.rstrip('/')}/{name}") as fh:
                 fh.write(("\n".join(head) + "\n").encode("ascii"))
                 for b in held:
@@ -234,7 +263,13 @@ class PlyWriter(DataSourceArrowWriter):
             scenes = batch.column("scene_id").to_numpy(zero_copy_only=False) if "scene_id" in batch.schema.names else np.zeros(batch.num_rows, int)
             rows = np.empty(batch.num_rows, dtype=dt)
             for k in names:
-                rows[k] = batch.column(k).to_numpy(zero_copy_only=False)
+                column = batch.column(k)
+                if column.null_count:
+                    raise ValueError(f"{k}: the format has no nulls")
+                values = column.to_numpy(zero_copy_only=False)
+                if values.dtype.kind == "i" and dt[k].kind == "f" and len(values) and max(abs(int(values.min())), abs(int(values.max()))) > 1 << 53:
+                    raise ValueError(f"{k}: integers beyond 2^53 cannot be kept in a double")
+                rows[k] = values
             cuts = np.flatnonzero(np.diff(scenes)) + 1
             for a, b in zip([0, *cuts], [*cuts, len(rows)]):
                 if a == b:
@@ -284,14 +319,23 @@ def splat_columns(rest: int) -> list[str]:
             + ["opacity", "scale_0", "scale_1", "scale_2", "rot_0", "rot_1", "rot_2", "rot_3"])
 
 
+def qualified(spark, path: str) -> str:
+    """``path`` with the scheme of the file system that Spark itself would use for it."""
+    if re.match(r"^[a-z0-9+.-]+:", path):
+        return path
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return re.sub(r"^file:/+", "file:///", full)
+
+
 def write_table(df: DataFrame, path: str, columns: list[str]) -> None:
     """Write scene_id + columns; rows are spread by scene and row so that no scene needs one task."""
     df.sparkSession.dataSource.register(PlySource)
     order = [c for c in ("scene_id", "row", "point_id", "splat_id") if c in df.columns]
-    df.repartitionByRange(*order).sortWithinPartitions(*order).select("scene_id", *columns).write.format("ply").mode("append").save(path)
+    df.repartitionByRange(*order).sortWithinPartitions(*order).select("scene_id", *columns).write.format("ply").mode("append").save(qualified(df.sparkSession, path))
 
 
 def read_table(spark, path: str, schema: str | None = None, **options) -> DataFrame:
     spark.dataSource.register(PlySource)
     r = spark.read.format("ply").options(**options)
-    return (r.schema(schema) if schema else r).load(path)
+    return (r.schema(schema) if schema else r).load(qualified(spark, path))

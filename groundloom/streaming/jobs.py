@@ -113,12 +113,13 @@ def predict(jobs: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def learn(finished: DataFrame, model: DataFrame) -> DataFrame:
-    """b <- (b + fitted) / 2 per finished job in order. The fold has a closed form: job k from the end weighs 2^-(k+1),
-    so 60 jobs back nothing is left in a double, and only each phase's newest jobs are needed."""
+    """b <- (b + fitted) / 2 per finished job in order, in closed form over all jobs: the k-th from the end weighs 2^-k, what was
+    known before 2^-n. Places come from chunked numbering, so a phase of very many jobs is no single task."""
     f = finished.join(model, "phase").where((F.col("units") > 0) & (F.col("secs") > F.col("a"))).withColumn("fit", (F.col("secs") - F.col("a")) / F.col("units"))
-    f = f.withColumn("back", F.row_number().over(Window.partitionBy("phase").orderBy(F.desc("finished")))).where("back <= 1074")
-    s = f.groupBy("phase").agg(F.first("b").alias("b"), F.max("back").alias("n"), F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("o"), "fit"))).alias("fits"))
-    return s.select("phase", F.aggregate("fits", F.when(F.col("n") >= 1074, F.lit(0.0)).otherwise(F.col("b")), lambda acc, e: acc * 0.5 + e["fit"] * 0.5).alias("b"))
+    f = f.withColumn("_o", -F.col("finished").cast("double"))
+    f = sequence.row_number(f, ["phase"], ["_o"], "back", 4096.0)
+    weight = F.pow(F.lit(0.5), F.col("back"))
+    return f.groupBy("phase").agg((F.first("b") * F.pow(F.lit(0.5), F.count(F.lit(1))) + F.sum(F.col("fit") * weight)).alias("b"))
 
 
 def eta(state: DataFrame, spent: DataFrame, model: DataFrame, steps: int, frames: int = 118) -> DataFrame:

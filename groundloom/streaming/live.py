@@ -24,11 +24,35 @@ STATE = StructType([StructField(n, t) for n, t in (("stage", StringType()), ("ph
 OUTPUT = StructType([StructField("job_id", LongType()), *STATE.fields, StructField("spent", StringType())])  # spent: JSON, phase -> seconds
 
 
+class Alarm:
+    """One timer a job, a day of event time after its last line."""
+
+    def __init__(self, handle: StatefulProcessorHandle):
+        self.handle = handle
+        self.seen = handle.getValueState("seen", StructType([StructField("ms", LongType())]))
+
+    def set(self, us: int) -> None:
+        ms = max(int(us) // 1000, self.seen.get()[0] if self.seen.exists() else 0)
+        self.seen.update((ms,))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(ms + IDLE_MS)
+
+    def idle(self, now_ms: int) -> bool:
+        """Whether the job has been silent for the whole time; its own state goes then."""
+        ms = self.seen.get()[0] if self.seen.exists() else 0
+        if ms + IDLE_MS > now_ms:
+            self.handle.registerTimer(ms + IDLE_MS)
+            return False
+        self.seen.clear()
+        return True
+
+
 class JobTracker(StatefulProcessor):
     """Latest stage, counter and frames per job, and the seconds spent in each phase."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+        self.alarm = Alarm(handle)
         self.now = handle.getValueState("now", STATE)
         self.spent = handle.getMapState("spent", StructType([StructField("phase", StringType())]), StructType([StructField("seconds", DoubleType())]))
 
@@ -56,12 +80,13 @@ class JobTracker(StatefulProcessor):
             s["warnings"] += int(r.kind == "warning")
         self.now.update(tuple(s[n] for n in STATE.names))
         spent = json.dumps({k[0]: v[0] for k, v in self.spent.iterator()})
-        self.handle.registerTimer(timerValues.getCurrentWatermarkInMs() + IDLE_MS)
+        self.alarm.set(lines["us"].max())
         yield pd.DataFrame([[key[0], *[s[n] for n in STATE.names], spent]], columns=OUTPUT.names)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.now.clear()
-        self.spent.clear()
+        if self.alarm.idle(timerValues.getCurrentWatermarkInMs()):
+            self.now.clear()
+            self.spent.clear()
         return iter([])
 
     def close(self) -> None:
@@ -72,12 +97,14 @@ class Throttle(StatefulProcessor):
     """Progress lines that differ from the last one of the job and come a second after it, or finish it."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.alarm = Alarm(handle)
         self.last = handle.getValueState("last", StructType([StructField("key", StringType()), StructField("us", LongType()), StructField("line_no", LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         k0, u0, n0 = self.last.get() if self.last.exists() else (None, None, -1)
         out = []
-        for r in pd.concat(list(rows)).sort_values("line_no").itertuples():
+        lines = pd.concat(list(rows)).sort_values("line_no")
+        for r in lines.itertuples():
             if r.line_no <= n0:
                 continue
             text = r.line.split("progress ", 1)[1]
@@ -85,8 +112,14 @@ class Throttle(StatefulProcessor):
                 out.append([key[0], int(r.line_no), text])
             k0, u0, n0 = text, int(r.us), int(r.line_no)
         self.last.update((k0, u0, n0))
+        self.alarm.set(lines["us"].max())
         yield pd.DataFrame(out, columns=["job_id", "line_no", "key"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.alarm.idle(timerValues.getCurrentWatermarkInMs()):
+            self.last.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
@@ -103,7 +136,7 @@ def job_state(lines: DataFrame) -> DataFrame:
 
 def progress(lines: DataFrame) -> DataFrame:
     schema = StructType([StructField("job_id", LongType()), StructField("line_no", LongType()), StructField("key", StringType())])
-    return parsed(lines).where("kind = 'progress'").groupBy("job_id").transformWithStateInPandas(Throttle(), outputStructType=schema, outputMode="Append", timeMode="None")
+    return parsed(lines).where("kind = 'progress'").groupBy("job_id").transformWithStateInPandas(Throttle(), outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 
 def throughput(lines: DataFrame) -> DataFrame:

@@ -23,6 +23,6 @@ def test_matches_sql(spark, con, name):
     assert differences(got, want) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES) - {"camera_moves", "site_frame"}))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_runs(spark, name):
     assert catalog.QUERIES[name](spark, FOLDER).count() > 0

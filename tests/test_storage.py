@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from groundloom.sources import ply, scans, sinks
+from groundloom.streaming import live
 
 
 def test_ply_round_trip_and_retry_safe_listing(spark, tmp_path):
@@ -36,6 +37,49 @@ def test_ascii_ply_splits_at_lines(spark, tmp_path):
         ply.read_table(spark, g).count()
 
 
+@pytest.mark.parametrize("split", [1, 1000])
+def test_ascii_faces_are_no_points(spark, tmp_path, split):
+    body = b"1 2 3 4\n\n5 6 7 8\n9 10 11 12\n3 0 1 2\n3 2 1 0\n"
+    head = ["format ascii 1.0", "element vertex 3", *[f"property float {c}" for c in "xyzq"], "element face 2", "property list uchar int v"]
+    d = ply.read_table(spark, write(tmp_path / "f.ply", head, body), rowsPerSplit=split)
+    assert sorted(r.x for r in d.collect()) == [1, 5, 9]
+    short = write(tmp_path / "g.ply", ["format ascii 1.0", "element vertex 4", "property float x"], b"1\n2\n3\n")
+    with pytest.raises(Exception, match="3 vertices of 4"):
+        ply.read_table(spark, short, rowsPerSplit=split).count()
+
+
+def test_ply_keeps_large_integers_or_refuses(spark, tmp_path):
+    df = spark.createDataFrame([(0, 1, 2**40 + 7, 300)], "scene_id int, row long, big long, small smallint")
+    ply.write_table(df, str(tmp_path / "a"), ["big", "small"])
+    back = ply.read_table(spark, str(tmp_path / "a"), "big bigint, small smallint").first()
+    assert (back.big, back.small) == (2**40 + 7, 300)
+    with pytest.raises(Exception, match="2.53"):
+        ply.write_table(df.withColumn("big", F.lit(2**60 + 1)), str(tmp_path / "b"), ["big"])
+    with pytest.raises(Exception, match="no nulls"):
+        ply.write_table(df.withColumn("big", F.lit(None).cast("long")), str(tmp_path / "c"), ["big"])
+
+
+def test_job_state_over_many_batches(spark, tmp_path):
+    """State adds up over micro-batches, an active job outlives the first timer, and a silent one goes."""
+    lines = [(1, k, f"2026-01-01 10:{k:02d}:00", "    WARNING: only a few frames placed") for k in range(4)]
+    lines += [(1, 4, "2026-01-02 09:00:00", "    WARNING: again"), (2, 0, "2026-01-02 09:30:00", "    WARNING: other"), (1, 5, "2026-01-02 20:00:00", "    WARNING: still here"),
+              (2, 1, "2026-01-05 09:00:00", "    WARNING: late"), (2, 2, "2026-01-05 10:00:00", "    WARNING: late"), (1, 6, "2026-01-05 11:00:00", "    WARNING: back")]
+    schema = "job_id int, line_no bigint, ts timestamp, line string"
+    for n, row in enumerate(lines):
+        df = spark.createDataFrame([row], "job_id int, line_no bigint, ts string, line string").withColumn("ts", F.col("ts").cast("timestamp"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "log" / f"b={n:02d}"))
+    seen = []
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "log"))
+    q = live.job_state(stream).writeStream.outputMode("update").foreachBatch(lambda b, _: seen.extend(b.select("job_id", "line_no", "warnings").collect())).option("checkpointLocation", str(tmp_path / "ck")).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = {(r.job_id, r.line_no): r.warnings for r in seen}
+    assert [got[1, k] for k in range(6)] == [1, 2, 3, 4, 5, 6]
+    assert got[2, 0] == 1 and got[1, 6] == 1  # three days of silence: begun anew
+
+
 @pytest.mark.parametrize("head,body,why", [
     (["format binary_big_endian 1.0", "element vertex 1", "property float x"], b"\0" * 4, "not supported"),
     (["format binary_little_endian 1.0", "element vertex 1", "property list uchar int v"], b"\0" * 4, "list"),
