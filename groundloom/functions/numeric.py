@@ -1,7 +1,7 @@
 """Deterministic arithmetic.
 
 Floating sums depend on the order rows arrive in. Sums here run over whole micro-units held in
-a BIGINT, so a retry, another partition count or another engine gives the same bits.
+two BIGINTs, so a retry, another partition count or another engine gives the same bits.
 """
 
 from __future__ import annotations
@@ -16,16 +16,19 @@ def col(c: Column | str) -> Column:
 
 
 def micro(c: Column | str) -> Column:
-    """A double as whole micro-units (BIGINT), halves upward."""
-    return F.floor(col(c) * F.lit(MICRO) + F.lit(0.5)).cast("bigint")
+    """A double as whole micro-units (BIGINT), halves upward; NULL for NaN and infinities."""
+    return F.floor(nan_to_null(c) * F.lit(MICRO) + F.lit(0.5)).cast("bigint")
 
 
 def exact_sum(c: Column | str) -> Column:
-    return F.sum(micro(c)).cast("double") / F.lit(MICRO)
+    """Sum over whole micro-units. High and low parts are summed apart, so no group is too large for BIGINT, and joined with one rounding."""
+    m = micro(c)
+    high, low = F.sum(F.shiftright(m, 20)), F.sum(m.bitwiseAND(F.lit((1 << 20) - 1)))
+    return (high.cast("double") * F.lit(float(1 << 20)) + low.cast("double")) / F.lit(MICRO)
 
 
 def exact_mean(c: Column | str) -> Column:
-    return F.sum(micro(c)).cast("double") / F.lit(MICRO) / F.count(col(c))
+    return exact_sum(c) / F.count(nan_to_null(c))
 
 
 def rounded(c: Column | str, digits: int = 6) -> Column:

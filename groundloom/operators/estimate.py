@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from groundloom.functions import geometry as g
-from groundloom.functions.numeric import micro
+from groundloom.functions.numeric import exact_sum
 from groundloom.operators import images, sequence, visibility
 from groundloom.operators.order_stats import quantiles
 
@@ -15,7 +15,7 @@ AX = ("x", "y", "z")
 
 
 def _mean(c):
-    return F.sum(micro(c)).cast("double") / 1e6 / F.count(F.lit(1))
+    return exact_sum(c) / F.count(F.lit(1))
 
 
 def similarity(pairs: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ def dominant_plane(points: DataFrame, want: int = 20000, trials: int = 600, tole
     group); the share is then counted over every point. Draws are hashes, so reruns agree.
     """
     n = points.groupBy("scene_id").agg(F.count(F.lit(1)).alias("_n"), *[(F.max(a) - F.min(a)).alias("_e" + a) for a in AX])
-    k = sequence.row_number(points.select("scene_id", "point_id", *AX).withColumn("_o", F.col("point_id")), ["scene_id"], ["_o"], "_k", 2.0**50)
+    k = sequence.row_number(points.select("scene_id", "point_id", *AX).withColumn("_o", F.col("point_id")), ["scene_id"], ["_o"], "_k", None)
     s = k.join(n, "scene_id").where((F.col("_k") - 1) % F.greatest(F.lit(1).cast("bigint"), F.floor(F.col("_n") / want).cast("bigint")) == 0)
     s = s.select("scene_id", "point_id", *AX, (F.greatest("_ex", "_ey", "_ez") * tolerance).alias("tol"))
 

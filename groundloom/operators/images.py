@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from groundloom.functions.numeric import exact_mean, micro
+from groundloom.functions.numeric import exact_sum, exact_mean
 from groundloom.operators.order_stats import quantiles, select_ranks
 
 PIX = ["scene_id", "u", "v"]
@@ -132,7 +132,7 @@ def texel_blend(looks: DataFrame, key: list[str], channels: list[str]) -> DataFr
     """Colour per texel: score^2-weighted mean of the frames that see it, else its best frame's colour, else grey."""
     w = F.when(F.col("seen"), F.col("score") * F.col("score")).otherwise(0.0)
     g = looks.withColumn("_w", w).groupBy(*key).agg(
-        (F.sum(micro("_w")).cast("double") / 1e6).alias("_s"), *[(F.sum(micro(F.col("_w") * F.col(c))).cast("double") / 1e6).alias("_" + c) for c in channels],
+        (exact_sum("_w")).alias("_s"), *[(exact_sum(F.col("_w") * F.col(c))).alias("_" + c) for c in channels],
         F.max_by(F.struct(*channels), F.when(F.col("inside"), F.struct("score", -F.col("frame")))).alias("_best"))
     pick = lambda c: F.when(F.col("_s") > 0, F.col("_" + c) / F.col("_s")).otherwise(F.coalesce(F.col("_best." + c).cast("double"), F.lit(128.0)))
     how = F.when(F.col("_s") > 0, "direct").when(F.col("_best").isNotNull(), "fallback").otherwise("grey")

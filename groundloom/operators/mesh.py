@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from groundloom.functions.numeric import micro
+from groundloom.functions.numeric import exact_sum
 from groundloom.functions.constants import CELL_STRIDE as S
 
 
@@ -66,7 +66,7 @@ def vertex_normals(corners: DataFrame, faces: DataFrame) -> DataFrame:
     """Area-weighted vertex normals."""
     n = with_normal(corners).select("scene_id", "fid", "fnx", "fny", "fnz")
     at = faces.join(n, ["scene_id", "fid"]).select("scene_id", F.explode(F.array("a", "b", "c")).alias("vid"), "fnx", "fny", "fnz")
-    s = at.groupBy("scene_id", "vid").agg(*[(F.sum(micro(c)).cast("double") / 1e6).alias(c) for c in ("fnx", "fny", "fnz")])
+    s = at.groupBy("scene_id", "vid").agg(*[(exact_sum(c)).alias(c) for c in ("fnx", "fny", "fnz")])
     length = F.sqrt(F.col("fnx") * F.col("fnx") + F.col("fny") * F.col("fny") + F.col("fnz") * F.col("fnz")) + F.lit(1e-20)
     return s.select("scene_id", "vid", *[(F.col(c) / length).alias(o) for c, o in (("fnx", "nx"), ("fny", "ny"), ("fnz", "nz"))])
 
@@ -120,7 +120,7 @@ def signed_volume() -> Column:
     """Aggregate over face corners: the volume enclosed."""
     a = tuple(F.col(ax + "a") for ax in ("x", "y", "z"))
     c = cross(tuple(F.col(ax + "b") for ax in ("x", "y", "z")), tuple(F.col(ax + "c") for ax in ("x", "y", "z")))
-    return F.sum(micro(a[0] * c[0] + a[1] * c[1] + a[2] * c[2])).cast("double") / 1e6 / 6
+    return exact_sum(a[0] * c[0] + a[1] * c[1] + a[2] * c[2]) / 6
 
 
 def sample_surface(faces: DataFrame, per_area: float, seed: int = 7) -> DataFrame:
@@ -162,5 +162,5 @@ def ortho_samples(corners: DataFrame, px: float) -> DataFrame:
 def surface_grid(samples: DataFrame, sub: int, cover: float = 0.5) -> DataFrame:
     """Mean of sub x sub samples per cell; a cell needs ``cover`` of them."""
     g = samples.groupBy("scene_id", F.floor(F.col("iv") / sub).alias("i"), F.floor(F.col("iu") / sub).alias("j")).agg(
-        (F.sum(micro("depth")).cast("double") / 1e6 / F.count(F.lit(1))).alias("z"), F.count(F.lit(1)).alias("n"))
+        (exact_sum("depth") / F.count(F.lit(1))).alias("z"), F.count(F.lit(1)).alias("n"))
     return g.where(F.col("n") >= cover * sub * sub)

@@ -10,9 +10,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from groundloom.session import spread_by
+from groundloom.session import cut_lineage, spread_by
 
 SALTS = 16
+LIST = 512
 
 
 def segment_distance(at: list[Column], a: list[Column], b: list[Column]) -> tuple[Column, Column]:
@@ -47,7 +48,7 @@ def candidates(targets: DataFrame, box: DataFrame, dims: list[str], tie: str, de
         # for any place in the cell a target is within dist +- diagonal/2; the slack covers rounding
         live = live.withColumn("_d", dist).withColumn("_slack", diagonal * 1.0000001 + 1e-9)
         # any target's distance is a valid bound, so each salted subgroup uses its own minimum
-        salt = F.pmod(F.xxhash64(F.col(tie)), F.lit(max(1, SALTS >> (len(dims) * (level - first)))))
+        salt = F.pmod(F.xxhash64(F.col(tie)), F.lit(SALTS if level == first else max(2, SALTS >> (len(dims) * (level - first)))))
         w = Window.partitionBy("scene_id", *["c_" + d for d in dims], salt)
         live = live.withColumn("_best", F.min("_d").over(w)).where(F.col("_d") <= F.col("_best") + F.col("_slack"))
     return live.drop("_d", "_slack", "_best", *["lo_" + d for d in dims], *["hi_" + d for d in dims])
@@ -69,15 +70,29 @@ def bounding_box(points: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 
 def nearest(points: DataFrame, targets: DataFrame, columns: dict[str, str], point_key: list[str], tie: str, carry: list[str], depth: int = 5) -> DataFrame:
-    """Nearest target per point (first by ``tie`` when equal): keys, ``distance``, ``t`` and the carried target columns."""
+    """Nearest target per point (first by ``tie`` when equal): keys, ``distance``, ``t`` and the carried target columns.
+
+    A cell's candidates travel as lists of at most about ``LIST``, so a point meets them in its own row. Only where some cell
+    holds more are there several lists, whose answers are then compared by point.
+    """
     dims = list(columns)
+    cell = ["scene_id", *["c_" + d for d in dims]]
     box = bounding_box(points, columns)
-    cand = candidates(targets, box, dims, tie, depth)
-    at = cells_of(points, box, columns, depth)
-    both = at.join(cand, ["scene_id", *["c_" + d for d in dims]])
-    dist, t = segment_distance([F.col(c) for c in columns.values()], [F.col("a_" + d) for d in dims], [F.col("b_" + d) for d in dims])
-    best = F.min_by(F.struct(dist.alias("distance"), t.alias("t"), *carry), F.struct(dist.alias("d"), F.col(tie).alias("k")))
-    return both.groupBy("scene_id", *point_key).agg(best.alias("_n")).select("scene_id", *point_key, "_n.*")
+    cand = cut_lineage(candidates(targets, box, dims, tie, depth))
+    most = cand.groupBy(*cell).count().agg(F.max("count")).first()[0] or 0
+    lists = -(-most // LIST) or 1
+    item = F.struct(*dict.fromkeys([tie, *[p + d for d in dims for p in ("a_", "b_")], *carry]))
+    grouped = cand.groupBy(*cell, F.pmod(F.xxhash64(F.col(tie)), F.lit(lists)).alias("_list")).agg(F.collect_list(item).alias("_of")).drop("_list")
+    both = cells_of(points, box, columns, depth).join(grouped, cell)
+
+    def answer(c: Column) -> Column:
+        dist, t = segment_distance([F.col(v) for v in columns.values()], [c["a_" + d] for d in dims], [c["b_" + d] for d in dims])
+        return F.struct(dist.alias("distance"), c[tie].alias("_tie"), t.alias("t"), *[c[n].alias(n) for n in carry])
+
+    both = both.select("scene_id", *point_key, F.array_min(F.transform("_of", answer)).alias("_n"))
+    if lists > 1:
+        both = both.groupBy("scene_id", *point_key).agg(F.min("_n").alias("_n"))
+    return both.select("scene_id", *point_key, "_n.*").drop("_tie")
 
 
 def within_radius(points: DataFrame, centres: DataFrame, radius: Column) -> DataFrame:

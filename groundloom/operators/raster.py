@@ -10,7 +10,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from groundloom.functions.numeric import exact_mean, micro
+from groundloom.functions.numeric import exact_mean, exact_sum, finite, nan_to_null
 
 KEY = ["scene_id", "i", "j"]
 FOUR = [(-1, 0), (1, 0), (0, -1), (0, 1)]
@@ -21,10 +21,8 @@ NICE = [0.001, 0.002, 0.005, 0.01, 0.02, 0.025, 0.05, 0.1, 0.2, 0.25, 0.5, 1.0,
 
 
 def extents(points: DataFrame) -> DataFrame:
-    return points.groupBy("scene_id").agg(
-        F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"),
-        F.min("z").alias("z0"), F.max("z").alias("z1"), F.count(F.lit(1)).alias("points"),
-    )
+    ends = [f(nan_to_null(a)).alias(a + n) for a in "xyz" for f, n in ((F.min, "0"), (F.max, "1"))]
+    return points.groupBy("scene_id").agg(*ends, F.count(F.lit(1)).alias("points"))
 
 
 def raster_meta(points: DataFrame, cell: float) -> DataFrame:
@@ -35,8 +33,8 @@ def raster_meta(points: DataFrame, cell: float) -> DataFrame:
 
 
 def rasterise(points: DataFrame, cell: float, min_points: int = 2) -> DataFrame:
-    """Mean height per occupied cell; NULL (thin) under ``min_points``. Columns scene_id, i, j, z, n."""
-    corner = points.groupBy("scene_id").agg(F.min("x").alias("x0"), F.max("y").alias("y1"))
+    """Mean height per occupied cell; NULL (thin) under ``min_points`` measured heights (NaN is none). Columns scene_id, i, j, z, n."""
+    corner = points.groupBy("scene_id").agg(F.min(nan_to_null("x")).alias("x0"), F.max(nan_to_null("y")).alias("y1"))
     return _mean_cells(points.join(corner, "scene_id"), cell, min_points)
 
 
@@ -44,7 +42,8 @@ def _mean_cells(located: DataFrame, cell: float | str, min_points: int) -> DataF
     c = F.col(cell) if isinstance(cell, str) else F.lit(cell)
     i = F.floor((F.col("y1") - F.col("y")) / c).cast("bigint").alias("i")
     j = F.floor((F.col("x") - F.col("x0")) / c).cast("bigint").alias("j")
-    grouped = located.groupBy("scene_id", i, j).agg(exact_mean("z").alias("_z"), F.count(F.lit(1)).alias("n"))
+    located = located.where(finite("x") & finite("y"))  # floor of NaN would be cell 0
+    grouped = located.groupBy("scene_id", i, j).agg(exact_mean("z").alias("_z"), F.count(nan_to_null("z")).alias("n"))
     return grouped.select(*KEY, F.when(F.col("n") >= max(1, min_points), F.col("_z")).alias("z"), "n")
 
 
@@ -81,7 +80,7 @@ def gather(cells: DataFrame, offsets: list[tuple[int, int]], aggs: dict[str, Col
 
 
 def neighbour_mean() -> Column:
-    return F.sum(micro("nb")).cast("double") / F.lit(1e6) / F.count("nb")
+    return exact_sum("nb") / F.count("nb")
 
 
 def fill_holes(grid: DataFrame, meta: DataFrame, passes: int = 4) -> DataFrame:

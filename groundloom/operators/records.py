@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from groundloom.functions.numeric import finite, micro
+from groundloom.functions.numeric import exact_sum, finite
 
 # suffixes other programs leave beside the files they open: fixed values
 SIDE_FILES = (".aux.xml", ".blend1", ".blend2", ".ovr", ".~lock", "Thumbs.db", "desktop.ini", ".DS_Store")
@@ -91,7 +91,7 @@ def ring_area(points: DataFrame, ring: list[str], order: str) -> DataFrame:
     w = Window.partitionBy(*ring).orderBy(order)
     nxt = {a: F.coalesce(F.lead(a).over(w), F.first(a).over(w)) for a in "xyz"}
     p = points.withColumns({a + "2": c for a, c in nxt.items()})
-    term = lambda a, b: F.sum(micro((F.col(a) - F.col(a + "2")) * (F.col(b) + F.col(b + "2")))).cast("double") / 1e6
+    term = lambda a, b: exact_sum((F.col(a) - F.col(a + "2")) * (F.col(b) + F.col(b + "2")))
     s = p.groupBy(*ring).agg(F.count(F.lit(1)).alias("n"), term("y", "z").alias("nx"), term("z", "x").alias("ny"), term("x", "y").alias("nz"))
     return s.select(*ring, F.when(F.col("n") < 3, 0.0).otherwise(F.sqrt(F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny") + F.col("nz") * F.col("nz")) / 2).alias("area"))
 

@@ -12,12 +12,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 WIDTH = 4096
 
 
-def with_chunk(df: DataFrame, order: str, width: float = WIDTH) -> DataFrame:
+def with_chunk(df: DataFrame, order: str, width: float | None = WIDTH) -> DataFrame:
+    """``width`` is a chunk's span of the order column. None takes the span that about ``WIDTH`` rows fill, found in one pass over
+    the rows: ids from 0 on, hashes and times in microseconds are all split alike."""
+    if width is None:
+        lo, hi, n = df.agg(F.min(order).cast("double"), F.max(order).cast("double"), F.count(order)).first()
+        width = max((hi - lo) / max(1, n) * WIDTH, 1e-9) if n else 1.0
     return df.withColumn("_chunk", F.floor(F.col(order) / F.lit(width)).cast("bigint"))
 
 
 def running_sum(
-    df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, width: float = WIDTH, inclusive: bool = True
+    df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, width: float | None = WIDTH, inclusive: bool = True
 ) -> DataFrame:
     """Sum of ``value`` over rows up to this one (or strictly before it)."""
     cut = with_chunk(df.withColumn("_value", value), order[0], width)
@@ -33,13 +38,13 @@ def running_sum(
     )
 
 
-def row_number(df: DataFrame, keys: list[str], order: list[str], out: str, width: float = WIDTH) -> DataFrame:
+def row_number(df: DataFrame, keys: list[str], order: list[str], out: str, width: float | None = WIDTH) -> DataFrame:
     """1-based position of each row within its key."""
     return running_sum(df, keys, order, F.lit(1).cast("bigint"), out, width)
 
 
 def neighbour(
-    df: DataFrame, keys: list[str], order: list[str], columns: dict[str, Column], forward: bool = False, width: float = WIDTH
+    df: DataFrame, keys: list[str], order: list[str], columns: dict[str, Column], forward: bool = False, width: float | None = WIDTH
 ) -> DataFrame:
     """Add columns read from the previous (or following) row of the key."""
     packed = F.struct(*[c.alias(n) for n, c in columns.items()])
@@ -61,7 +66,7 @@ def neighbour(
 
 
 def last_known(
-    df: DataFrame, keys: list[str], order: list[str], columns: dict[str, Column], forward: bool = False, width: float = WIDTH
+    df: DataFrame, keys: list[str], order: list[str], columns: dict[str, Column], forward: bool = False, width: float | None = WIDTH
 ) -> DataFrame:
     """Add, per output name, the nearest non-null value at or before (at or after) this row."""
     cut = with_chunk(df, order[0], width)

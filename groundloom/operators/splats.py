@@ -63,7 +63,7 @@ def normalise_section(spec: dict | None) -> dict:
 
 def solid_sample(splats: DataFrame, want: int) -> DataFrame:
     """Opaque splats (sigmoid >= 0.5) among every step-th row of the scene, step = max(1, n // want)."""
-    k = sequence.row_number(splats.withColumn("_o", F.col("splat_id")), ["scene_id"], ["_o"], "_k", 2.0**50)
+    k = sequence.row_number(splats.withColumn("_o", F.col("splat_id")), ["scene_id"], ["_o"], "_k", None)
     n = splats.groupBy("scene_id").agg(F.count(F.lit(1)).alias("_n"))
     step = F.greatest(F.lit(1).cast("bigint"), F.floor(F.col("_n") / want).cast("bigint"))
     k = k.join(n, "scene_id").where(((F.col("_k") - 1) % step == 0) & (F.col("opacity_logit") >= 0))

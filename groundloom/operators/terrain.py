@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from groundloom.functions.numeric import exact_sum, finite, micro, rounded
+from groundloom.functions.numeric import exact_sum, finite, rounded
 from groundloom.operators import raster
 from groundloom.operators.order_stats import quantiles
 from groundloom.session import cut_lineage
@@ -118,7 +118,7 @@ def block_roughness(
     res = F.when(F.col("is_ground"), F.col("z") - F.col("ground"))
     up = F.when(F.col("z") - F.col("ground") > ground_cells * cell, 1).otherwise(0)
     g = at.groupBy("scene_id", "bi", "bj").agg(
-        F.count(res).alias("n_ground"), exact_sum(res).alias("s1"), (F.sum(micro(res * res)).cast("double") / 1e6).alias("s2"),
+        F.count(res).alias("n_ground"), exact_sum(res).alias("s1"), (exact_sum(res * res)).alias("s2"),
         F.count(F.lit(1)).alias("n_points"), F.sum(up).alias("n_up"),
     )
     n = F.greatest(F.col("n_ground"), F.lit(1))

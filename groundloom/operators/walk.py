@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from groundloom.functions.numeric import exact_mean, micro
+from groundloom.functions.numeric import exact_sum, exact_mean, micro
 from groundloom.operators import nearest, sequence
 from groundloom.operators.order_stats import quantiles
 
@@ -38,7 +38,7 @@ def cumulative_length(walk: DataFrame, plan: bool = False) -> DataFrame:
 def length_and_extent(walk: DataFrame) -> DataFrame:
     s = cumulative_length(walk)
     e = s.groupBy("scene_id").agg(
-        (F.sum(micro("step")).cast("double") / 1e6).alias("length"), F.count(F.lit(1)).alias("frames"),
+        (exact_sum("step")).alias("length"), F.count(F.lit(1)).alias("frames"),
         *[(F.max(c) - F.min(c)).alias("e" + c[-1]) for c in ("px", "py", "pz")],
     )
     return e.select("scene_id", "frames", "length", F.sqrt(F.col("ex") * F.col("ex") + F.col("ey") * F.col("ey") + F.col("ez") * F.col("ez")).alias("extent"))
@@ -85,7 +85,7 @@ def profile(along: DataFrame, band: float) -> DataFrame:
 def grade(along: DataFrame) -> DataFrame:
     """Least-squares fall along the walk: sums of micro-units give slope and intercept."""
     s = along.groupBy("scene_id").agg(
-        F.count(F.lit(1)).alias("n"), *[(F.sum(micro(e)).cast("double") / 1e6).alias(a) for a, e in (
+        F.count(F.lit(1)).alias("n"), *[(exact_sum(e)).alias(a) for a, e in (
             ("sx", F.col("along")), ("sy", F.col("z")), ("sxx", F.col("along") * F.col("along")), ("sxy", F.col("along") * F.col("z")))],
         (F.max("along") - F.min("along")).alias("run"))
     s = s.where("n > 2 AND run > 0")
@@ -96,7 +96,7 @@ def grade(along: DataFrame) -> DataFrame:
 def held_height(points: DataFrame, walk: DataFrame, share: float = 0.08, least: int = 30, frames: int = 3) -> DataFrame:
     """How high above the ground the camera was held: per frame the height over the low tenth of the
     points near it, then the median over frames; NULL when under ``frames`` frames have ground below."""
-    length = cumulative_length(walk, plan=True).groupBy("scene_id").agg((F.sum(micro("step")).cast("double") / 1e6).alias("walk"))
+    length = cumulative_length(walk, plan=True).groupBy("scene_id").agg((exact_sum("step")).alias("walk"))
     centres = walk.join(length, "scene_id").select("scene_id", "frame", F.col("px").alias("cx"), F.col("py").alias("cy"), "walk")
     pairs = nearest.within_radius(points.select("scene_id", "x", "y", "z"), centres, F.greatest(F.col("walk") * share, F.lit(1e-6)))
     low = quantiles(pairs, ["scene_id", "frame"], "z", {"low": 0.1}, count="n").where(F.col("n") >= least)

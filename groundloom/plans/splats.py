@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from groundloom.functions import geometry as g, harmonics
-from groundloom.functions.numeric import finite, micro, rounded, sigmoid
+from groundloom.functions.numeric import exact_sum, finite, rounded, sigmoid
 from groundloom.operators import splats, terrain
 from groundloom.plans.catalog import query
 from groundloom.plans.cameras import out
@@ -181,7 +181,7 @@ def voxel_anti(t):
 @query("outer_product_3x3", f"""SELECT scene_id, {', '.join(r6(f'CAST(sum(CAST(floor(s{a}*s{b}*1e6+5e-1) AS BIGINT)) AS DOUBLE)/1e6/count(*)') + f' AS m{a}{b}' for a in 'xyz' for b in 'xyz' if a <= b)} FROM cameras GROUP BY 1""", "cameras")
 def outer_product_3x3(t):
     """Mean outer product of the cameras' sideways axes."""
-    e = {f"m{a}{b}": R6(F.sum(micro(F.col("s" + a) * F.col("s" + b))).cast("double") / 1e6 / F.count(F.lit(1))) for a in "xyz" for b in "xyz" if a <= b}
+    e = {f"m{a}{b}": R6(exact_sum(F.col("s" + a) * F.col("s" + b)) / F.count(F.lit(1))) for a in "xyz" for b in "xyz" if a <= b}
     return t.cameras.groupBy("scene_id").agg(*[c.alias(n) for n, c in e.items()])
 
 

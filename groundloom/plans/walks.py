@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from groundloom.functions.numeric import micro, rounded
+from groundloom.functions.numeric import exact_sum, rounded
 from groundloom.operators import nearest, raster, sequence, walk
 from groundloom.operators.order_stats import quantiles
 from groundloom.plans.catalog import query
@@ -126,7 +126,7 @@ def capture_summary(t):
 @query("camera_centroid", f"""SELECT scene_id, {', '.join(r9(f'CAST(sum(CAST(floor({c}*1e6+5e-1) AS BIGINT)) AS DOUBLE)/1e6/count(*)') + f' AS {n}' for n, c in (('cx', 'px'), ('cy', '-py'), ('cz', '-pz')))} FROM walk GROUP BY 1""", "walk")
 def camera_centroid(t):
     """Mean camera position in the viewer's frame (y and z flipped)."""
-    m = lambda c: R9(F.sum(micro(F.expr(c))).cast("double") / 1e6 / F.count(F.lit(1)))
+    m = lambda c: R9(exact_sum(F.expr(c)) / F.count(F.lit(1)))
     return t.walk.groupBy("scene_id").agg(m("px").alias("cx"), m("-py").alias("cy"), m("-pz").alias("cz"))
 
 

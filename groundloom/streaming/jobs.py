@@ -117,7 +117,7 @@ def learn(finished: DataFrame, model: DataFrame) -> DataFrame:
     known before 2^-n. Places come from chunked numbering, so a phase of very many jobs is no single task."""
     f = finished.join(model, "phase").where((F.col("units") > 0) & (F.col("secs") > F.col("a"))).withColumn("fit", (F.col("secs") - F.col("a")) / F.col("units"))
     f = f.withColumn("_o", -F.col("finished").cast("double"))
-    f = sequence.row_number(f, ["phase"], ["_o"], "back", 4096.0)
+    f = sequence.row_number(f, ["phase"], ["_o"], "back", None)
     weight = F.pow(F.lit(0.5), F.col("back"))
     return f.groupBy("phase").agg((F.first("b") * F.pow(F.lit(0.5), F.count(F.lit(1))) + F.sum(F.col("fit") * weight)).alias("b"))
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from groundloom.functions import harmonics, sun, text
+from groundloom.functions.numeric import exact_mean, exact_sum
 from groundloom.operators import chains, cloth, estimate, mesh, nearest, order_stats, raster, records, repair, sequence, splats, tiles, walk
 
 
@@ -245,3 +246,32 @@ def test_outline_areas_add_up(spark):
     top = thin.select("scene_id", sw.alias("p"), se.alias("q"), ne.alias("r"), nw.alias("s"))
     rings = chains.outlines(mesh.border_edges(mesh.directed_edges(top, ["p", "q", "r", "s"])), mesh.S, share=0.0)
     assert rings.agg(F.sum("area")).first()[0] == thin.count()
+
+
+def test_nan_is_no_height_and_sums_do_not_overflow(spark):
+    p = spark.createDataFrame([(0, 0.0, 0.0, float("nan")), (0, 0.1, 0.1, 4.0), (0, 0.2, 0.2, 6.0), (0, 3.0, 3.0, float("nan")), (0, float("nan"), 1.0, 5.0)], "scene_id int, x double, y double, z double")
+    got = {(r.i, r.j): (r.z, r.n) for r in raster.rasterise(p, 0.5, 2).collect()}
+    assert got[(5, 0)] == (5.0, 2) and got[(0, 6)] == (None, 0) and sum(n for _, n in got.values()) == 2
+    big = spark.createDataFrame([(6e12,), (6e12,), (-1.5,), (float("nan"),)], "v double")
+    assert big.agg(exact_sum("v"), exact_mean("v")).first() == (12e12 - 1.5, (12e12 - 1.5) / 3)
+    assert spark.createDataFrame([(-0.25,), (0.125,)], "v double").agg(exact_sum("v")).first()[0] == -0.125
+
+
+@pytest.mark.parametrize("scale", [1, 1 << 45])
+def test_row_numbers_with_chunks_from_the_data(spark, scale):
+    rows = [(k % 2, k * scale) for k in range(9000)]
+    df = spark.createDataFrame(rows, "k int, o long").repartition(5)
+    got = sequence.row_number(df, ["k"], ["o"], "n", None).collect()
+    assert all(r.n == r.o // scale // 2 + 1 for r in got) and len(got) == 9000
+    assert sequence.with_chunk(df, "o", None).select("_chunk").distinct().count() >= 2
+
+
+def test_nearest_with_several_lists(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "LIST", 3)
+    r = rng()
+    t = r.uniform(0, 10, (60, 2))
+    p = r.uniform(0, 10, (80, 2))
+    targets = spark.createDataFrame([(0, k, float(a), float(b), float(a), float(b)) for k, (a, b) in enumerate(t)], "scene_id int, k int, a_x double, a_y double, b_x double, b_y double")
+    points = spark.createDataFrame([(0, k, float(a), float(b)) for k, (a, b) in enumerate(p)], "scene_id int, id int, x double, y double")
+    got = {x.id: x.k for x in nearest.nearest(points, targets, {"x": "x", "y": "y"}, ["id"], "k", ["k"], 3).collect()}
+    assert got == {k: int(((t - v) ** 2).sum(1).argmin()) for k, v in enumerate(p)}
