@@ -113,12 +113,14 @@ def spans(text: str) -> list[tuple[str, int, int, float, bool]]:
             more.append(("card13", m.start(), m.end(), 0.4))
     more += [("ssn", m.start(), m.end(), 0.4) for m in _ssn.finditer(text)]
     more += [("local_phone", m.start(), m.end(), 0.4) for m in _here.finditer(text)]
-    taken = [(a, b) for _, a, b in fixed]
+    taken = bytearray(len(text))
+    for _, a, b in fixed:
+        taken[a:b] = b"\1" * (b - a)
     for k, a, b, s in sorted(more, key=lambda x: (x[1], MORE.index(x[0]))):
         s = min(1.0, s + context(k, text, a, b))
-        if s >= ACCEPTED and not any(a < y and x < b for x, y in taken):
+        if s >= ACCEPTED and not any(taken[a:b]):
             out.append((k, a, b, s, False))
-            taken.append((a, b))
+            taken[a:b] = b"\1" * (b - a)
     return sorted(out, key=lambda x: (x[1], (KINDS + MORE).index(x[0])))
 
 

@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from groundloom.llm.common import body
 from groundloom.session import cut_lineage
 
-HAS_RUN = r"(?=[A-Za-z0-9_/+.@-]*[0-9])[A-Za-z0-9_/+.@-]{10,}"
+#: Only tried at the start of a run, so that long runs cost no more than their length.
+HAS_RUN = r"(?<![A-Za-z0-9_/+.@-])(?=[A-Za-z_/+.@-]*+[0-9])[A-Za-z0-9_/+.@-]{10,}+"
 SPEAKS_FOR = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api|key|auth|credential|private|bearer)"
 SPEAKS_AGAINST = r"(?i)(sha\d*|md5|commit|checksum|digest|uuid|version|example|sample|dummy|card|phone|mail|http|www|order|isbn)"
 PATHLIKE = r"(^|[A-Za-z0-9])[/.][A-Za-z]|@"

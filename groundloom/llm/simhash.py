@@ -255,8 +255,8 @@ def near_texts(docs: DataFrame, size: int = 5, block: int = BLOCK) -> DataFrame:
     holds more than ``block`` members. Nulls, empty texts, repeated rows and other columns as in ``near_duplicates``.
     """
     rows = shared_table(sketches(docs, size), "sketches")
-    first = rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("keys").alias("keys"))
-    keys = first.select("fp", F.posexplode("keys").alias("t", "key"))
+    first = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    keys = rows.select("fp", "keys").distinct().select("fp", F.posexplode("keys").alias("t", "key"))
     found = shared_table(sized(keys), "bands")
     half = block // 2
     parts = F.ceil(F.col("n") / half).cast("int")
@@ -265,7 +265,7 @@ def near_texts(docs: DataFrame, size: int = 5, block: int = BLOCK) -> DataFrame:
     pairs = F.explode(F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct(F.least(mine, k).alias("p"), F.greatest(mine, k).alias("q"))))
     large = found.where(F.col("n") > half).select("t", "key", "fp", pairs.alias("x")).groupBy("t", "key", "x").agg(F.collect_list("fp").alias("members"))
     links = compare_blocks(small.select("members").union(large.select("members")), WIDE_RADIUS)
-    return rows.select("doc_id", "row_key", "fp").join(_labels(first.select("fp", "first"), links), "fp").select("doc_id", "row_key", "fp", "group", "component_id")
+    return rows.select("doc_id", "row_key", "fp").join(_labels(first, links), "fp").select("doc_id", "row_key", "fp", "group", "component_id")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
