@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# fixed values of the public Gaussian-splat convention
+# fixed values and formulas: real spherical harmonics in the published form of the 3D Gaussian splatting paper (Kerbl et al., 2023)
 C0 = 0.28209479177387814
 C1 = 0.4886025119029199
 C2 = (1.0925484305920792, -1.0925484305920792, 0.31539156525252005, -1.0925484305920792, 0.5462742152960396)
@@ -14,10 +14,10 @@ C3 = (-0.5900435899266435, 2.890611442640554, -0.4570457994644658, 0.37317633259
 def basis(x: Column, y: Column, z: Column, degree: int = 3) -> list[Column]:
     xx, yy, zz = x * x, y * y, z * z
     bands = [
-        [y * -C1, z * C1, x * -C1],
-        [x * y * C2[0], y * z * C2[1], (zz * 2 - xx - yy) * C2[2], x * z * C2[3], (xx - yy) * C2[4]],
-        [y * (xx * 3 - yy) * C3[0], x * y * z * C3[1], y * (zz * 4 - xx - yy) * C3[2], z * (zz * 2 - xx * 3 - yy * 3) * C3[3],
-         x * (zz * 4 - xx - yy) * C3[4], z * (xx - yy) * C3[5], x * (xx - yy * 3) * C3[6]],
+        [-C1 * y, C1 * z, -C1 * x],
+        [C2[0] * x * y, C2[1] * y * z, C2[2] * (2 * zz - xx - yy), C2[3] * x * z, C2[4] * (xx - yy)],
+        [C3[0] * y * (3 * xx - yy), C3[1] * x * y * z, C3[2] * y * (4 * zz - xx - yy), C3[3] * z * (2 * zz - 3 * xx - 3 * yy),
+         C3[4] * x * (4 * zz - xx - yy), C3[5] * z * (xx - yy), C3[6] * x * (xx - 3 * yy)],
     ]
     return [b for band in bands[:degree] for b in band]
 

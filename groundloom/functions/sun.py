@@ -23,20 +23,21 @@ def with_sun(df: DataFrame, utc_ms: Column, lat: Column, lon: Column) -> DataFra
     d = df.withColumns({"_ms": utc_ms.cast("double"), "_lat": lat, "_lon": lon})
     d = d.withColumn("_T", (c("_ms") / 86400000 + 2440587.5 - 2451545) / 36525)
     T = c("_T")
+    # fixed formulas: the NOAA solar calculator's, after Meeus, Astronomical Algorithms
     d = d.withColumns({
-        "_L0": modulo(280.46646 + T * (36000.76983 + T * 0.0003032), 360.0),
-        "_M": 357.52911 + T * (35999.05029 - T * 0.0001537),
-        "_e": 0.016708634 - T * (0.000042037 + T * 0.0000001267),
-        "_om": 125.04 - T * 1934.136,
-        "_ep0": 23 + (26 + (21.448 - T * (46.815 + T * (0.00059 - T * 0.001813))) / 60) / 60,
+        "_L0": modulo(280.46646 + T * (36000.76983 + 0.0003032 * T), 360.0),
+        "_M": 357.52911 + T * (35999.05029 - 0.0001537 * T),
+        "_e": 0.016708634 - T * (0.000042037 + 0.0000001267 * T),
+        "_omega": 125.04 - 1934.136 * T,
+        "_ep0": 23 + (26 + (21.448 - T * (46.815 + T * (0.00059 - 0.001813 * T))) / 60) / 60,
     })
-    L0, M, e, om = c("_L0"), c("_M"), c("_e"), c("_om")
-    centre = sin(M) * (1.914602 - T * (0.004817 + T * 0.000014)) + sin(M * 2) * (0.019993 - T * 0.000101) + sin(M * 3) * 0.000289
-    d = d.withColumns({"_lam": L0 + centre - 0.00569 - sin(om) * 0.00478, "_eps": c("_ep0") + cos(om) * 0.00256})
+    L0, M, e, omega = c("_L0"), c("_M"), c("_e"), c("_omega")
+    centre = sin(M) * (1.914602 - T * (0.004817 + 0.000014 * T)) + sin(2 * M) * (0.019993 - 0.000101 * T) + sin(3 * M) * 0.000289
+    d = d.withColumns({"_lam": L0 + centre - 0.00569 - 0.00478 * sin(omega), "_eps": c("_ep0") + 0.00256 * cos(omega)})
     y = F.tan(rad(c("_eps")) / 2) * F.tan(rad(c("_eps")) / 2)
     d = d.withColumns({"_decl": F.asin(sin(c("_eps")) * sin(c("_lam"))), "_y": y})
     y = c("_y")
-    eq = F.degrees(y * sin(L0 * 2) - e * sin(M) * 2 + e * y * sin(M) * cos(L0 * 2) * 4 - y * y * sin(L0 * 4) * 0.5 - e * e * sin(M * 2) * 1.25) * 4
+    eq = 4 * F.degrees(y * sin(2 * L0) - 2 * e * sin(M) + 4 * e * y * sin(M) * cos(2 * L0) - 0.5 * y * y * sin(4 * L0) - 1.25 * e * e * sin(2 * M))
     d = d.withColumn("_eq", eq)
     solar = modulo(modulo(c("_ms") / 60000, 1440.0) + c("_eq") + c("_lon") * 4, 1440.0)
     d = d.withColumn("_ha", solar / 4 - 180)
@@ -48,7 +49,7 @@ def with_sun(df: DataFrame, utc_ms: Column, lat: Column, lon: Column) -> DataFra
     az = F.when(F.abs(side) < 1e-9, F.when(phi > 0, 180.0).otherwise(0.0)).when(c("_ha") > 0, modulo(a + 180, 360.0)).otherwise(modulo(540 - a, 360.0))
     d = d.withColumns({"azimuth": az, "geometric": 90 - c("_zen")})
     d = d.withColumn("elevation", c("geometric") + refraction(c("geometric")))
-    return d.drop("_ms", "_lat", "_lon", "_T", "_L0", "_M", "_e", "_om", "_ep0", "_lam", "_eps", "_decl", "_y", "_eq", "_ha", "_cz", "_zen")
+    return d.drop("_ms", "_lat", "_lon", "_T", "_L0", "_M", "_e", "_omega", "_ep0", "_lam", "_eps", "_decl", "_y", "_eq", "_ha", "_cz", "_zen")
 
 
 def day_table(days: DataFrame, minutes: int) -> DataFrame:

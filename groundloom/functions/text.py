@@ -55,12 +55,6 @@ def format_offset(minutes: Column) -> Column:
     return F.concat(F.when(minutes < 0, "-").otherwise("+"), two(F.floor(a / 60)), F.lit(":"), two(a % 60))
 
 
-def parse_offset(s: Column) -> Column:
-    p = r"^(?i:UTC)?\s*([+-])(\d{1,2})(?::?(\d\d))?$"
-    m = F.regexp_extract(F.trim(s), p, 2).try_cast("int") * 60 + F.coalesce(F.regexp_extract(F.trim(s), p, 3).try_cast("int"), F.lit(0))
-    return F.when(F.regexp_extract(F.trim(s), p, 1) == "-", -m).otherwise(m)
-
-
 def clean_empty(tags: Column) -> Column:
     """A tag map without NULL, empty text, empty object and empty list values."""
     return F.map_filter(tags, lambda k, v: v.isNotNull() & ~v.isin("", "{}", "[]"))

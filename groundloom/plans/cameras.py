@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from groundloom.functions import geometry as g, sun
+from groundloom.functions.constants import WINDS
 from groundloom.functions.numeric import modulo, rounded
 from groundloom.operators import mesh, sequence, visibility
 from groundloom.plans.catalog import query
@@ -197,10 +198,6 @@ def sunrise_sunset(t):
     return r.select("day_ms", "lat", F.col("rise").cast("double").alias("rise"), F.col("sunset").cast("double").alias("sunset"))
 
 
-WINDS = ("north north-northeast northeast east-northeast east east-southeast southeast south-southeast south south-southwest southwest west-southwest west "
-         "west-northwest northwest north-northwest").split()
-
-
 @query("compass_bearing", f"""WITH b AS (SELECT scene_id, frame, px, py, fx, fy, degrees(atan2(fx,fy))-360*floor(degrees(atan2(fx,fy))/360) AS bearing, sqrt(fx*fx+fy*fy) AS h FROM cameras)
  SELECT scene_id, frame, {r6('bearing')} AS bearing, (['{"','".join(WINDS)}'])[CAST(floor(bearing/225e-1+5e-1) AS BIGINT)%16+1] AS wind,
  {r6('cos(radians(3e1))*sin(radians(bearing))')} AS sun_x, {r6('cos(radians(3e1))*cos(radians(bearing))')} AS sun_y, {r6('sin(radians(3e1))')} AS sun_z,

@@ -12,10 +12,10 @@ from groundloom.plans.tables import view
 from groundloom.plans.terrain import r6
 
 R6 = rounded
-SIDE = [".aux.xml", ".blend1", ".blend2", ".ovr", ".~lock", "Thumbs.db", "desktop.ini", ".DS_Store"]
 
 
-@query("file_manifest", f"SELECT path, bytes, sha256 FROM files WHERE NOT ({' OR '.join(f'''ends_with(path, '{s}')''' for s in SIDE)})", "files")
+
+@query("file_manifest", f"SELECT path, bytes, sha256 FROM files WHERE NOT ({' OR '.join(f'''ends_with(path, '{s}')''' for s in records.SIDE_FILES)})", "files")
 def file_manifest(t):
     return records.without_side_files(t.files).select("path", "bytes", "sha256")
 
