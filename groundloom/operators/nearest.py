@@ -8,11 +8,14 @@ taken inside salted subgroups, so a scene with very many targets never meets in
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from groundloom.session import cut_lineage, spread_by
 
-SALTS = 16
+#: Targets of a scene for each salted subgroup of its first, coarse cells.
+SALTED = 2048
 LIST = 512
 
 
@@ -27,13 +30,19 @@ def segment_distance(at: list[Column], a: list[Column], b: list[Column]) -> tupl
     return F.sqrt(sum((o * o for o in off[1:]), off[0] * off[0])), t
 
 
-def candidates(targets: DataFrame, box: DataFrame, dims: list[str], tie: str, depth: int = 5) -> DataFrame:
+def largest_scene(targets: DataFrame) -> int:
+    return targets.groupBy("scene_id").count().agg(F.max("count")).first()[0] or 0
+
+
+def candidates(targets: DataFrame, box: DataFrame, dims: list[str], tie: str, depth: int = 5, largest: int | None = None) -> DataFrame:
     """Targets worth comparing per grid cell.
 
     ``targets`` has scene_id, ``tie`` (unique within a scene) and ``a_<dim>``, ``b_<dim>`` end points; ``box`` has
     scene_id, ``lo_<dim>``, ``hi_<dim>`` covering every point that will be looked up. Adds the
-    cell columns ``c_<dim>`` at resolution 2^depth per axis.
+    cell columns ``c_<dim>`` at resolution 2^depth per axis. Subgroups are as many as the ``largest`` scene's targets
+    call for, so that none holds more than a fixed number of rows, even when all targets lie in one cell.
     """
+    salts = -(-(largest_scene(targets) if largest is None else largest) // SALTED) or 1
     live = spread_by(targets.join(box, "scene_id"), "scene_id", tie)
     first = min(6 // len(dims), depth)  # start from about 64 cells
     for level in range(first, depth + 1):
@@ -48,7 +57,7 @@ def candidates(targets: DataFrame, box: DataFrame, dims: list[str], tie: str, de
         # for any place in the cell a target is within dist +- diagonal/2; the slack covers rounding
         live = live.withColumn("_d", dist).withColumn("_slack", diagonal * 1.0000001 + 1e-9)
         # any target's distance is a valid bound, so each salted subgroup uses its own minimum
-        salt = F.pmod(F.xxhash64(F.col(tie)), F.lit(SALTS if level == first else max(2, SALTS >> (len(dims) * (level - first)))))
+        salt = F.pmod(F.xxhash64(F.col(tie)), F.lit(max(1, salts >> (len(dims) * (level - first)))))
         w = Window.partitionBy("scene_id", *["c_" + d for d in dims], salt)
         live = live.withColumn("_best", F.min("_d").over(w)).where(F.col("_d") <= F.col("_best") + F.col("_slack"))
     return live.drop("_d", "_slack", "_best", *["lo_" + d for d in dims], *["hi_" + d for d in dims])
@@ -69,16 +78,20 @@ def bounding_box(points: DataFrame, columns: dict[str, str]) -> DataFrame:
     return points.groupBy("scene_id").agg(*aggs)
 
 
-def nearest(points: DataFrame, targets: DataFrame, columns: dict[str, str], point_key: list[str], tie: str, carry: list[str], depth: int = 5) -> DataFrame:
+def nearest(points: DataFrame, targets: DataFrame, columns: dict[str, str], point_key: list[str], tie: str, carry: list[str], depth: int | None = None) -> DataFrame:
     """Nearest target per point (first by ``tie`` when equal): keys, ``distance``, ``t`` and the carried target columns.
 
     A cell's candidates travel as lists of at most about ``LIST``, so a point meets them in its own row. Only where some cell
-    holds more are there several lists, whose answers are then compared by point.
+    holds more are there several lists, whose answers are then compared by point. The grid has about as many cells as the
+    largest scene has targets, unless ``depth`` says otherwise.
     """
     dims = list(columns)
+    largest = largest_scene(targets)
+    if depth is None:
+        depth = min(8, max(3, math.ceil(math.log2(largest + 1) / len(dims))))
     cell = ["scene_id", *["c_" + d for d in dims]]
     box = bounding_box(points, columns)
-    cand = cut_lineage(candidates(targets, box, dims, tie, depth))
+    cand = cut_lineage(candidates(targets, box, dims, tie, depth, largest))
     most = cand.groupBy(*cell).count().agg(F.max("count")).first()[0] or 0
     lists = -(-most // LIST) or 1
     item = F.struct(*dict.fromkeys([tie, *[p + d for d in dims for p in ("a_", "b_")], *carry]))

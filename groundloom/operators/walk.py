@@ -51,7 +51,7 @@ def segments(walk: DataFrame) -> DataFrame:
     return s.select("scene_id", F.col("frame").alias("seg"), F.col("px").alias("a_x"), F.col("py").alias("a_y"), F.col("nx_").alias("b_x"), F.col("ny_").alias("b_y"), "start", "step")
 
 
-def along_walk(points: DataFrame, walk: DataFrame, depth: int = 5) -> DataFrame:
+def along_walk(points: DataFrame, walk: DataFrame, depth: int | None = None) -> DataFrame:
     """Distance, along and signed across (left +) of each point to the walk line."""
     n = nearest.nearest(points, segments(walk), {"x": "x", "y": "y"}, ["point_id", "x", "y", "z"], "seg", ["seg", "start", "step", "a_x", "a_y", "b_x", "b_y"], depth)
     side = F.signum((F.col("b_x") - F.col("a_x")) * (F.col("y") - F.col("a_y")) - (F.col("b_y") - F.col("a_y")) * (F.col("x") - F.col("a_x")))
