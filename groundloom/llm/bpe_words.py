@@ -2,9 +2,9 @@
 
 1. Each partition of documents cuts its texts into words (the vocabulary's pre-tokens) and numbers its distinct ones in order of first
    use. Two outputs of the same pass: the documents as rows of word numbers, and the words with (partition, number).
-2. The words of all partitions are grouped to the distinct-word table with their places; every distinct word is encoded once, and
-   decoded by joining its ids with the table of pieces.
-3. The ids go back to the places they came from, partition by partition, and are joined to the documents by position.
+2. The words of all partitions are grouped to the distinct-word table with their places; every distinct word is encoded once.
+3. The ids go back to the places they came from, partition by partition, and are joined to the documents by position; the ids of a
+   partition's words are joined with the table of pieces, which gives the decoded texts.
 
 The pass of step 1 runs twice, once for each output. Both outputs carry a check value of the partition's words, so a partition that came
 out differently stops the job instead of giving wrong ids. Documents from anything but stored files are written to the shared folder first.
@@ -13,11 +13,12 @@ out differently stops the job instead of giving wrong ids. Documents from anythi
 from __future__ import annotations
 
 import json
-import zlib
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from groundloom.llm.common import body, slices
@@ -25,17 +26,22 @@ from groundloom.llm.ragged import word_ends
 from groundloom.llm.words import chunks, odd, pretokens
 
 
-def piece_table(spark: SparkSession, path: str) -> DataFrame:
-    """id and piece for the whole vocabulary, added tokens included. Its size is the vocabulary's, whatever the input."""
+def pieces_of(path: str) -> dict[int, str]:
     with open(path, encoding="utf-8") as f:
         file = json.load(f)
-    pieces = dict(file["model"]["vocab"]) | {t["content"]: t["id"] for t in file["added_tokens"]}
-    return spark.createDataFrame([(i, p) for p, i in pieces.items()], "id int, piece string")
+    return {i: p for p, i in file["model"]["vocab"].items()} | {t["id"]: t["content"] for t in file["added_tokens"]}
+
+
+def piece_table(spark: SparkSession, path: str) -> DataFrame:
+    """id and piece for the whole vocabulary, added tokens included. Its size is the vocabulary's, whatever the input."""
+    return spark.createDataFrame(list(pieces_of(path).items()), "id int, piece string")
 
 
 #: The second pass is checked on every so many words.
 CHECKED = 64
 MASK = (1 << 62) - 1
+#: How ids travel: two bytes hold every vocabulary of up to 65,536 ids.
+WIDE = np.dtype("<u2")
 
 
 class Numbered:
@@ -50,31 +56,36 @@ class Numbered:
     def mark(self) -> int:
         """Check value of every 64th of the words so far, with its number."""
         for k in range(self.marked, len(self.words), CHECKED):
-            self.crc = self.crc + zlib.crc32(self.order[k].encode()) * (k + 1) & MASK
+            self.crc = self.crc + crc32(self.order[k].encode()) * (k + 1) & MASK
             self.marked = k + CHECKED
         return self.crc
 
+    def learn(self, cut: list[str]) -> None:
+        """Number the words of chunks not seen yet, in the order of the text."""
+        for c in dict.fromkeys(cut):
+            if c not in self.seen:
+                numbers = []
+                # an odd chunk is a word of its own: the library normalises and cuts it when it is encoded
+                for w in [c] if odd(c) else pretokens(c):
+                    if (k := self.words.get(w)) is None:
+                        k = self.words[w] = len(self.words)
+                        self.order.append(w)
+                    numbers.append(k)
+                self.seen[c] = np.array(numbers, dtype="<u4").tobytes()
+
     def text(self, text: str) -> bytes:
         cut = chunks(text)
-        for c in set(cut).difference(self.seen):
-            # an odd chunk is a word of its own: the library normalises and cuts it when it is encoded
-            numbers = []
-            for w in [c] if odd(c) else pretokens(c):
-                if (k := self.words.get(w)) is None:
-                    k = self.words[w] = len(self.words)
-                    self.order.append(w)
-                numbers.append(k)
-            self.seen[c] = np.array(numbers, dtype="<u4").tobytes()
+        self.learn(cut)
         return b"".join(map(self.seen.__getitem__, cut))
 
 
 def squeezed(numbers: bytes) -> bytes:
-    """32-bit numbers, byte planes apart, deflated lightly: frequent words have small numbers."""
-    return zlib.compress(np.frombuffer(numbers, dtype=np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    """32-bit numbers, byte planes apart, compressed lightly: frequent words have small numbers."""
+    return zstandard.compress(np.frombuffer(numbers, dtype=np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
 def spread_out(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+    return np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -83,7 +94,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     Null and empty texts have no ids and decode to the empty string. Rows with the same or a null doc_id are encoded each; other columns
     are ignored; an empty table gives an empty one. Special tokens inside a text become their ids, as in the library.
     """
-    spark = docs.sparkSession
+    if word_ends(path).width > 1 << 16:
+        raise ValueError("the vocabulary needs wider ids: raise WIDE")
     rows = docs.select(docs["doc_id"].cast("string").alias("doc_id"), F.spark_partition_id().cast("long").alias("part"), body(docs).alias("text"))
 
     def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,52 +114,53 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             part = int(x["part"].iloc[0]) if len(x) else part
             for a, b in slices(texts):
                 for t in texts[a:b]:
-                    own.text(t)
+                    own.learn(chunks(t))
             new = own.order[told:]
             if new:
                 yield pd.DataFrame({"part": part, "number": np.arange(told, told + len(new), dtype=np.int64), "word": new})
             told += len(new)
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("binary")
     def ids_of(batch: pd.Series) -> pd.Series:
         model = word_ends(path)
         plain = [w for w in batch if not odd(w)]
         ids, counts = model.encode(plain) if plain else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
-        ends = np.cumsum(counts)
-        made = dict(zip(plain, (ids[e - n : e].tolist() for e, n in zip(ends.tolist(), counts.tolist())), strict=True))
-        return pd.Series([made[w] if w in made else model.library.encode(w, add_special_tokens=False).ids for w in batch])
-
-    places = rows.mapInPandas(words, "part long, number long, word string").groupBy("word").agg(F.collect_list(F.struct("part", "number")).alias("places"))
-    distinct = places.withColumn("ids", ids_of("word"))
-    pieces = F.broadcast(piece_table(spark, path))
-    spelled = distinct.select("word", "places", F.posexplode_outer("ids").alias("k", "id")).join(pieces, "id", "left")
-    table = spelled.groupBy("word").agg(F.first("places").alias("places"), F.sort_array(F.collect_list(F.struct("k", "id", "piece"))).alias("x"))
-    table = table.select("word", "places", F.filter("x.id", lambda i: i.isNotNull()).alias("ids"), F.array_join("x.piece", " ").alias("decoded"))
-    mark = F.when(F.col("p.number") % CHECKED == 0, F.crc32(F.col("word").cast("binary")))
-    back = table.select("word", "ids", "decoded", F.explode("places").alias("p")).select("p.part", "p.number", mark.alias("mark"), "ids", "decoded")
-    return _joined(rows.mapInPandas(numbered, "part long, doc_id string, numbers binary, known long, mark long"), back, docs)
-
-
-def _joined(numbers: DataFrame, back: DataFrame, docs: DataFrame) -> DataFrame:
+        data, ends = ids.astype(WIDE).tobytes(), (np.cumsum(counts) * WIDE.itemsize).tolist()
+        made = dict(zip(plain, (data[a:b] for a, b in zip([0, *ends], ends)), strict=True))
+        return pd.Series([made[w] if w in made else np.array(model.library.encode(w, add_special_tokens=False).ids, dtype=WIDE).tobytes() for w in batch])
+
+    place = (F.shiftleft("part", 32) + F.col("number")).alias("place")
+    table = rows.mapInPandas(words, "part long, number long, word string").select("word", place).groupBy("word").agg(F.collect_list("place").alias("places"))
+    table = table.select("places", ids_of("word").alias("ids"), F.crc32(F.col("word").cast("binary")).alias("crc"))
+    back = table.select("ids", "crc", F.explode("places").alias("place"))
+    number = F.col("place").bitwiseAND(F.lit((1 << 32) - 1))
+    back = back.select(F.shiftright("place", 32).alias("part"), number.cast("int").alias("number"), F.when(number % CHECKED == 0, F.col("crc")).alias("mark"), "ids")
+    return _joined(rows.mapInPandas(numbered, "part long, doc_id string, numbers binary, known long, mark long"), back, docs, path)
+
+
+def _joined(numbers: DataFrame, back: DataFrame, docs: DataFrame, path: str) -> DataFrame:
     def join(d: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
         if not len(d):
             return pd.DataFrame({"doc_id": [], "ids": [], "decoded": []}, dtype=object)
         w = w.sort_values("number")
         last = d.loc[d["known"].idxmax()]
         told = w[w["mark"].notna()]
-        mark = (told["mark"].astype("uint64") * (told["number"].astype("uint64") + 1)).sum()
+        mark = (told["mark"].astype("uint64") * (told["number"].astype("uint64") + np.uint64(1))).sum()
         if last["known"] != len(w) or last["mark"] != int(mark) & MASK:
             raise RuntimeError("a partition came out differently in its second pass: write the documents to a table first")
-        n = np.fromiter(map(len, w["ids"]), dtype=np.int64, count=len(w))
-        flat = np.concatenate([*w["ids"], np.zeros(0, dtype=np.int32)]).astype(np.int32)
-        starts = np.cumsum(n) - n
-        spelled = w["decoded"].to_numpy(dtype=object)
+        n = np.fromiter(map(len, w["ids"]), dtype=np.int64, count=len(w)) // WIDE.itemsize
+        flat = np.frombuffer(b"".join(w["ids"]), dtype=WIDE).astype(np.int32)
+        ends = np.cumsum(n)
+        starts = ends - n
+        piece = list(map(pieces_of(path).__getitem__, flat.tolist()))
+        spelled = np.array([" ".join(piece[a:b]) for a, b in zip(starts.tolist(), ends.tolist())], dtype=object)
         ids, texts = [], []
         for x in d["numbers"]:
             k = spread_out(x)
+            k = k[n[k] > 0]
             size = n[k]
-            ends = np.cumsum(size)
-            ids.append(flat[np.repeat(starts[k] - (ends - size), size) + np.arange(ends[-1] if len(k) else 0)])
+            till = np.cumsum(size)
+            ids.append(flat[np.repeat(starts[k] - (till - size), size) + np.arange(till[-1] if len(k) else 0)])
             texts.append(" ".join(spelled[k]))
         return pd.DataFrame({"doc_id": d["doc_id"].to_numpy(dtype=object), "ids": ids, "decoded": texts}, dtype=object)
 
