@@ -106,6 +106,23 @@ def held_height(points: DataFrame, walk: DataFrame, share: float = 0.08, least:
         "scene_id", F.coalesce("frames", F.lit(0)).alias("frames"), F.when(F.col("frames") >= frames, F.col("held")).alias("held"))
 
 
+def held_fallback(points: DataFrame, walk: DataFrame, nearest_points: int = 3000, share: float = 0.05, least: int = 50, salts: int = 16) -> DataFrame:
+    """Held height where the walk passes over no scanned ground: the ``share`` quantile of those of the ``nearest_points`` points
+    around the first camera (in plan, ties by point_id) that lie below it; 0 where fewer than ``least`` do.
+
+    Ranks are taken in salted subgroups first, so the ranking that decides holds at most ``salts`` times ``nearest_points`` rows.
+    """
+    first = walk.groupBy("scene_id").agg(F.min_by(F.struct("px", "py", "pz"), "frame").alias("_c"))
+    d = points.select("scene_id", "point_id", "x", "y", "z").join(first, "scene_id")
+    dx, dy = F.col("x") - F.col("_c.px"), F.col("y") - F.col("_c.py")
+    d = d.select("scene_id", "point_id", (dx * dx + dy * dy).alias("_d"), (F.col("z") - F.col("_c.pz")).alias("_z"))
+    for keys in (["scene_id", F.pmod(F.xxhash64("point_id"), F.lit(salts))], ["scene_id"]):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("_d", "point_id"))
+        d = d.withColumn("_k", place).where(F.col("_k") <= nearest_points).drop("_k")
+    below = d.groupBy("scene_id").agg(F.count(F.when(F.col("_z") < 0, 1)).alias("points"), F.percentile(F.when(F.col("_z") < 0, F.col("_z")), F.lit(share)).alias("_q"))
+    return below.select("scene_id", "points", F.when(F.col("points") >= least, -F.col("_q")).otherwise(0.0).alias("held"))
+
+
 def smoothing_kernel(sigma: float) -> list[tuple[int, float]]:
     r = int(math.ceil(3 * sigma))
     w = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-r, r + 1)]

@@ -79,6 +79,14 @@ def radius_ground(t):
     return walk.held_height(t.points, t.walk).select("scene_id", "frames", R6("held").alias("held"))
 
 
+@query("held_fallback", f"""WITH f AS (SELECT scene_id, arg_min({{'x':px,'y':py,'z':pz}}, frame) AS c FROM walk GROUP BY 1),
+ d AS (SELECT p.scene_id, p.z-f.c.z AS dz, row_number() OVER (PARTITION BY p.scene_id ORDER BY (p.x-f.c.x)*(p.x-f.c.x)+(p.y-f.c.y)*(p.y-f.c.y), p.point_id) AS k FROM points p JOIN f ON f.scene_id=p.scene_id)
+ SELECT scene_id, count(*) FILTER (WHERE dz<0) AS points, CASE WHEN count(*) FILTER (WHERE dz<0) >= 50 THEN {r6('-(quantile_cont(dz, 5e-2) FILTER (WHERE dz<0))')} ELSE 0e0 END AS held FROM d WHERE k<=3000 GROUP BY 1""", "walk points")
+def held_fallback(t):
+    """How high the first camera was held, from the points around it."""
+    return walk.held_fallback(t.points, t.walk).select("scene_id", "points", R6("held").alias("held"))
+
+
 @query("nearest_camera", f"""WITH l AS (SELECT scene_id, CAST(sum(CAST(floor(step*1e6+5e-1) AS BIGINT)) AS DOUBLE)/1e6 AS len FROM steps GROUP BY 1),
  q AS (SELECT scene_id, frame, px, py, pz + 5e-1 AS qz FROM frames), n AS (SELECT q.scene_id, q.frame, arg_min(c.frame, row(d, c.frame)) AS nearest, min(d) AS d FROM q JOIN LATERAL (
  SELECT frame, sqrt((q.px-c.px)*(q.px-c.px)+(q.py-c.py)*(q.py-c.py)+(q.qz-c.pz)*(q.qz-c.pz)) AS d FROM walk c WHERE c.scene_id=q.scene_id) c ON true GROUP BY 1,2)
