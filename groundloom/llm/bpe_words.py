@@ -14,10 +14,12 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -26,6 +28,7 @@ from groundloom.llm.ragged import word_ends
 from groundloom.llm.words import chunks, odd, pretokens
 
 
+@lru_cache(maxsize=2)
 def pieces_of(path: str) -> dict[int, str]:
     with open(path, encoding="utf-8") as f:
         file = json.load(f)
@@ -138,33 +141,48 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     return _joined(rows.mapInPandas(numbered, "part long, doc_id string, numbers binary, known long, mark long"), back, docs, path)
 
 
+OUT = "doc_id string, ids array<int>, decoded string"
+#: Documents of one Arrow batch of the result.
+BATCH = 256
+
+
 def _joined(numbers: DataFrame, back: DataFrame, docs: DataFrame, path: str) -> DataFrame:
-    def join(d: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
-        if not len(d):
-            return pd.DataFrame({"doc_id": [], "ids": [], "decoded": []}, dtype=object)
-        w = w.sort_values("number")
-        last = d.loc[d["known"].idxmax()]
-        told = w[w["mark"].notna()]
-        mark = (told["mark"].astype("uint64") * (told["number"].astype("uint64") + np.uint64(1))).sum()
-        if last["known"] != len(w) or last["mark"] != int(mark) & MASK:
+    def join(d: pa.Table, w: pa.Table) -> pa.Table:
+        lists = pa.list_(pa.int32())
+        schema = pa.schema([("doc_id", pa.string()), ("ids", lists), ("decoded", pa.string())])
+        if not d.num_rows:
+            return schema.empty_table()
+        w = w.take(np.argsort(w["number"].to_numpy(), kind="stable"))
+        known, marks = d["known"].to_numpy(), d["mark"].to_numpy()
+        told = w.filter(w["mark"].is_valid())
+        mark = (told["mark"].to_numpy().astype(np.uint64) * (told["number"].to_numpy().astype(np.uint64) + np.uint64(1))).sum()
+        if known.max() != w.num_rows or marks[known.argmax()] != int(mark) & MASK:
             raise RuntimeError("a partition came out differently in its second pass: write the documents to a table first")
-        n = np.fromiter(map(len, w["ids"]), dtype=np.int64, count=len(w)) // WIDE.itemsize
-        flat = np.frombuffer(b"".join(w["ids"]), dtype=WIDE).astype(np.int32)
+        words_ids = w["ids"].to_pylist()
+        n = np.fromiter(map(len, words_ids), dtype=np.int64, count=len(words_ids)) // WIDE.itemsize
+        flat = np.frombuffer(b"".join(words_ids), dtype=WIDE).astype(np.int32)
+        del w, told, words_ids
         ends = np.cumsum(n)
         starts = ends - n
         piece = list(map(pieces_of(path).__getitem__, flat.tolist()))
-        spelled = np.array([" ".join(piece[a:b]) for a, b in zip(starts.tolist(), ends.tolist())], dtype=object)
-        ids, texts = [], []
-        for x in d["numbers"]:
-            k = spread_out(x)
-            k = k[n[k] > 0]
-            size = n[k]
-            till = np.cumsum(size)
-            ids.append(flat[np.repeat(starts[k] - (till - size), size) + np.arange(till[-1] if len(k) else 0)])
-            texts.append(" ".join(spelled[k]))
-        return pd.DataFrame({"doc_id": d["doc_id"].to_numpy(dtype=object), "ids": ids, "decoded": texts}, dtype=object)
-
-    done = numbers.groupBy("part").cogroup(back.groupBy("part")).applyInPandas(join, "doc_id string, ids array<int>, decoded string")
+        spelled = [" ".join(piece[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
+        del piece
+        out = []
+        for batch in d.select(["doc_id", "numbers"]).to_batches(max_chunksize=BATCH):
+            ids, texts, sizes = [], [], [0]
+            for x in batch.column("numbers").to_pylist():
+                k = spread_out(x)
+                k = k[n[k] > 0]
+                size = n[k]
+                till = np.cumsum(size)
+                ids.append(flat[np.repeat(starts[k] - (till - size), size) + np.arange(till[-1] if len(k) else 0)])
+                texts.append(" ".join(map(spelled.__getitem__, k.tolist())))
+                sizes.append(len(ids[-1]))
+            columns = [batch.column("doc_id"), pa.ListArray.from_arrays(np.cumsum(sizes).astype(np.int32), np.concatenate(ids)), pa.array(texts, pa.string())]
+            out.append(pa.RecordBatch.from_arrays(columns, schema=schema))
+        return pa.Table.from_batches(out, schema)
+
+    done = numbers.groupBy("part").cogroup(back.groupBy("part")).applyInArrow(join, OUT)
     return done.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
