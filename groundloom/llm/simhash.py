@@ -7,7 +7,8 @@ abandoned. A block returns a spanning star of each group that it finds, not the
 
 ``near_fingerprints`` finds every pair within two bits: four blocks of 16 bits, of which such pairs agree in at least two, give six keys.
 ``near_texts`` finds texts of similarity 0.8 or more on five-word shingles: there the distance of a 64-bit fingerprint is up to
-14 bits, too far for agreeing blocks, so keys are bands of minima over shingle hashes and the compared fingerprint has 256 bits.
+14 bits, too far for agreeing blocks, so keys are bands of minima over shingle hashes and the compared fingerprint has 256 bits. What
+is near there is a candidate only: its Jaccard similarity is computed from the texts before it counts as a link.
 """
 
 from __future__ import annotations
@@ -204,12 +205,15 @@ def near_duplicates(docs: DataFrame, size: int = 3, block: int = BLOCK) -> DataF
 
 BANDS, ROWS = 16, 5
 WIDE = 32
-#: Bits of 256 in which texts of Jaccard similarity 0.8 differ: 39 expected, 6 standard deviation. Unrelated texts: 128.
-WIDE_RADIUS = 52
+#: Bits of 256 in which texts of Jaccard similarity 0.8 differ: 39 expected (48 for four and five shingles), 6 standard deviation.
+#: Unrelated texts: 128, 8. What lies within is a candidate, not a copy.
+WIDE_RADIUS = 80
+#: Words of the texts whose similarities one task computes at once, about.
+BLOCK_WORDS = 4_000_000
 
 
 def sketches(docs: DataFrame, size: int = 5) -> DataFrame:
-    """doc_id, row_key (hash of id and text), fp (32 bytes) and keys (a key for each band of minima) of the texts' shingles; no keys without a word."""
+    """doc_id, row_key (hash of id and text), fp (32 bytes), keys (a key for each band of minima) and n (their number) of the texts' distinct shingles; no keys without a word."""
     draw = np.random.default_rng(20)
     factor = draw.integers(1, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     shift = draw.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64)
@@ -219,26 +223,29 @@ def sketches(docs: DataFrame, size: int = 5) -> DataFrame:
 
         low, high = partial(xxhash.xxh3_128_digest, seed=42), partial(xxhash.xxh3_128_digest, seed=43)
 
-        def sketch(text: str) -> tuple[bytes, list[int]]:
-            parts = shingles(text, size)
+        def sketch(text: str) -> tuple[bytes, list[int], int]:
+            parts = list(set(shingles(text, size)))
             if not parts:
-                return bytes(WIDE), []
+                return bytes(WIDE), [], 0
             a, b = b"".join(map(low, parts)), b"".join(map(high, parts))
-            h = np.unique(np.frombuffer(a, dtype="<u8")[::2])
+            h = np.frombuffer(a, dtype="<u8")[::2]
             least = np.full((BANDS * ROWS, 1), ~np.uint64(0))
             for k in range(0, len(h), STEP):
                 mixed = h[k : k + STEP] * factor + shift
                 mixed ^= mixed >> np.uint64(29)
                 least = np.minimum(least, (mixed * np.uint64(0xBF58476D1CE4E5B9)).min(axis=1, keepdims=True))
             keys = [xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) for x in least.reshape(BANDS, ROWS)]
-            return majority(a, 16) + majority(b, 16), keys
+            if len(parts) % 2 == 0:  # an odd number votes, so that unrelated short texts differ in half of the bits too
+                k = 16 * int(h.argmax())
+                a, b = a[:k] + a[k + 16 :], b[:k] + b[k + 16 :]
+            return majority(a, 16) + majority(b, 16), keys, len(parts)
 
         for x in batches:
             out = [sketch(t) for t in x["text"]]
-            yield pd.DataFrame({"doc_id": x["doc_id"], "row_key": x["row_key"], "fp": [f for f, _ in out], "keys": [k for _, k in out]})
+            yield pd.DataFrame({"doc_id": x["doc_id"], "row_key": x["row_key"], "fp": [f for f, _, _ in out], "keys": [k for _, k, _ in out], "n": [n for _, _, n in out]})
 
     rows = docs.select(docs["doc_id"].cast("string").alias("doc_id"), row_key(docs).alias("row_key"), body(docs).alias("text"))
-    done = rows.mapInPandas(run, "doc_id string, row_key long, fp binary, keys array<long>")
+    done = rows.mapInPandas(run, "doc_id string, row_key long, fp binary, keys array<long>, n long")
     return done.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
@@ -247,30 +254,100 @@ def row_key(docs: DataFrame) -> Column:
     return F.xxhash64(docs["doc_id"], docs["text"])
 
 
-def near_texts(docs: DataFrame, size: int = 5, block: int = BLOCK) -> DataFrame:
-    """doc_id, row_key, fp, group and component_id for every row of ``docs``, linked at a similarity of about 0.8 or more on ``size``-word shingles.
+def meetings(parts: Column) -> Column:
+    """(p, q), p <= q: the rows in which a fingerprint, dealt into one of ``parts``, meets all others."""
+    mine = F.pmod(F.xxhash64("fp"), parts).cast("int")
+    return F.explode(F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct(F.least(mine, k).alias("p"), F.greatest(mine, k).alias("q"))))
 
-    Texts of Jaccard similarity 0.8 share a band with probability 0.998 and lie within the radius with 0.99. A bucket of more than
-    ``block`` members is dealt in parts of ``block / 2``, and every two parts meet in a row of their own, so no link is lost and no task
-    holds more than ``block`` members. Nulls, empty texts, repeated rows and other columns as in ``near_duplicates``.
-    """
-    rows = shared_table(sketches(docs, size), "sketches")
-    first = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
+
+def candidate_links(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that join all fingerprints of ``rows`` (fp, keys) that share a band and lie within the radius."""
     keys = rows.select("fp", "keys").distinct().select("fp", F.posexplode("keys").alias("t", "key"))
     found = shared_table(sized(keys), "bands")
     half = block // 2
-    parts = F.ceil(F.col("n") / half).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), parts).cast("int")
     small = found.where(F.col("n") <= half).groupBy("t", "key").agg(F.collect_list("fp").alias("members"))
-    pairs = F.explode(F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct(F.least(mine, k).alias("p"), F.greatest(mine, k).alias("q"))))
-    large = found.where(F.col("n") > half).select("t", "key", "fp", pairs.alias("x")).groupBy("t", "key", "x").agg(F.collect_list("fp").alias("members"))
-    links = compare_blocks(small.select("members").union(large.select("members")), WIDE_RADIUS)
+    large = found.where(F.col("n") > half).select("t", "key", "fp", meetings(F.ceil(F.col("n") / half).cast("int")).alias("x"))
+    large = large.groupBy("t", "key", "x").agg(F.collect_list("fp").alias("members"))
+    return compare_blocks(small.select("members").union(large.select("members")), WIDE_RADIUS)
+
+
+def similar(members: list[bytes], sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Places of pairs that join all ``members`` whose sets (sorted, distinct) have a Jaccard similarity of ``least``; what is joined already is not computed."""
+    n = len(members)
+    i, j = np.triu_indices(n, 1) if n <= 64 else near_in_block(members, WIDE_RADIUS)
+    sizes = np.array([len(s) for s in sets])
+    can = np.minimum(sizes[i], sizes[j]) >= least * np.maximum(sizes[i], sizes[j]) - 1e-6
+    i, j = i[can], j[can]
+    order = np.argsort(i, kind="stable")
+    i, j = i[order], j[order]
+    label, out = np.arange(n), []
+    at = np.searchsorted(i, np.arange(n + 1))
+    for a in range(n):
+        for b in j[at[a] : at[a + 1]]:
+            if label[a] != label[b]:
+                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                if both / (sizes[a] + sizes[b] - both) >= least:
+                    label[label == label[b]] = label[a]
+                    out.append((a, int(b)))
+    return out
+
+
+def verified_links(docs: DataFrame, first: DataFrame, candidates: DataFrame, size: int, block: int, least: float) -> DataFrame:
+    """Links (a, b) that join the texts of Jaccard similarity ``least`` among those that ``candidates`` join, by however long a chain.
+
+    ``first`` (fp, row_key, n) names a row for each fingerprint. The texts of a group of candidates meet in one row of work; a larger
+    group is dealt in parts, and every two parts meet, so every pair of a group is looked at.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        digest = partial(xxhash.xxh3_64_digest, seed=42)
+        now, members, sets = None, [], []
+
+        def links() -> pd.DataFrame:
+            return pd.DataFrame([(members[a], members[b]) for a, b in similar(members, sets, least)], columns=["a", "b"])
+
+        for x in batches:
+            for root, p, q, fp, text in zip(x["root"], x["p"], x["q"], x["fp"], x["text"], strict=True):
+                if now != (root, p, q):
+                    if len(members) > 1:
+                        yield links()
+                    now, members, sets = (root, p, q), [], []
+                members.append(fp)
+                sets.append(np.unique(np.frombuffer(b"".join(map(digest, set(shingles(text, size)))), dtype="<u8")))
+        if len(members) > 1:
+            yield links()
+
+    groups = components(candidates).select(F.col("node").alias("fp"), "root").join(first, "fp")
+    groups = shared_table(groups.select("fp", "root", "row_key", "n"), "candidates")
+    total = groups.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("words"))
+    share = F.greatest(F.col("members") / (0.4 * block), F.col("words") / (0.4 * BLOCK_WORDS))
+    parts = F.when((F.col("members") <= block) & (F.col("words") <= BLOCK_WORDS), 1).otherwise(F.ceil(share)).cast("int")
+    dealt = groups.join(total.select("root", parts.alias("parts")), "root")
+    texts = docs.select(row_key(docs).alias("row_key"), body(docs).alias("text"))
+    named = texts.join(dealt, "row_key").dropDuplicates(["row_key"]).select("root", meetings(F.col("parts")).alias("x"), "fp", "text")
+    named = named.select("root", "x.p", "x.q", "fp", "text").repartition("root", "p", "q").sortWithinPartitions("root", "p", "q")
+    return named.mapInPandas(run, "a binary, b binary")
+
+
+def near_texts(docs: DataFrame, size: int = 5, block: int = BLOCK, least: float = 0.78) -> DataFrame:
+    """doc_id, row_key, fp, group and component_id for every row of ``docs``, linked at a Jaccard similarity of ``least`` or more on ``size``-word shingles.
+
+    Texts of similarity 0.8 share a band with probability 0.998 and lie within the radius; those are candidates, of which a pair is a
+    link only where its similarity, computed from the texts, is ``least``. A bucket or group of more than ``block`` members is dealt in
+    parts, and every two parts meet in a row of their own, so no link is lost. Nulls, empty texts, repeated rows and other columns as
+    in ``near_duplicates``.
+    """
+    rows = shared_table(sketches(docs, size), "sketches")
+    first = rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(F.struct("row_key", "n")).alias("x")).select("fp", "first", "x.row_key", "x.n")
+    links = verified_links(docs, first, candidate_links(rows, block), size, block, least)
     return rows.select("doc_id", "row_key", "fp").join(_labels(first, links), "fp").select("doc_id", "row_key", "fp", "group", "component_id")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, least: float = 0.78) -> DataFrame:
     """One row of ``docs`` for each group of near copies, the one of smallest doc_id (ties: of smallest row_key), all columns as they are."""
-    found = near_texts(docs)
+    found = near_texts(docs, least=least)
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("group").agg(F.min("row_key").alias("_key"))
     keyed = docs.withColumn("_key", row_key(docs))
     return keyed.join(first.select("_key"), "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")

@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from groundloom.llm import bpe_words, components, langid, licenses, packing, pii, piece_counts, pivots, quality, queries, ragged, secrets, simhash, words
 from groundloom.plans.verify import differences, duck
 
@@ -491,6 +492,37 @@ def test_near_texts(spark, block):
     assert left == [i for i in range(len(texts)) if i % 6 == 0]
 
 
+@pytest.mark.parametrize("block", [2048, 6])
+def test_near_texts_are_verified(spark, block):
+    """Links at 0.8 exactly where a chain of brute-force similarities is; also where phrases are repeated."""
+    r = np.random.default_rng(14)
+    word = lambda: f"w{r.integers(100_000)}"
+    texts = []
+    for changes in (1, 2, 2, 3, 4, 5, 6, 9) * 5:  # similarities from 0.95 down to 0.63
+        base = [word() for _ in range(200)]
+        texts.append(base)
+        for k in r.choice(np.arange(3, 197, 8), changes, replace=False):
+            base = [*base[:k], word(), *base[k + 1 :]]
+        texts.append(base)
+    for _ in range(10):  # the copy repeats a phrase: the same shingles all but
+        base = [word() for _ in range(300)]
+        texts += [base, base + base[40:52] * 40]
+    texts = [" ".join(t) for t in texts]
+    sets = [set(simhash.shingles(t, 5)) for t in texts]
+    near = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2])]
+    assert any(0.6 <= x < 0.65 for x in near) and any(0.75 <= x < 0.8 for x in near) and any(0.8 <= x < 0.85 for x in near)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in simhash.near_texts(docs, block=block, least=0.8).collect()}
+    assert got == {k: k - (k % 2 and near[k // 2] >= 0.8) for k in range(len(texts))}
+
+
+def test_pipeline_drops_only_copies(spark):
+    """A chain of texts each 0.7 to the next stays whole."""
+    words = [f"w{k}" for k in range(2000)]
+    docs = spark.createDataFrame([(k, " ".join(words[40 * k : 40 * k + 230])) for k in range(8)], "doc_id long, text string")
+    assert corpus_pipeline.near_duplicates(spark, docs, "").count() == 8
+
+
 def test_deduplicated_odd(spark, odd, empty):
     got = sorted((as_key(r.doc_id), r.text or "") for r in simhash.deduplicated(odd).collect())
     assert got == sorted((as_key(i), t or "") for i, t in {(i, t) for i, t, *_ in ODD} - {(3, ""), (4, " \t\n ")})
