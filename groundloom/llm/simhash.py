@@ -118,14 +118,19 @@ def stars(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
-def compare_blocks(blocks: DataFrame, radius: int) -> DataFrame:
+def compare_blocks(blocks: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
     """Links (a, b: fingerprints) that join what is near in each row of ``blocks`` (members: array of fingerprints).
 
-    Short rows are compared together, up to ``BLOCK`` members at once: a near pair from two rows is a true link too.
+    Short rows are compared together, up to ``block`` members at once: a near pair from two rows is a true link too. A longer row is
+    compared in parts of half a block, every two of them at once.
     """
+    half = max(1, block // 2)
 
     def links(members: list[bytes]) -> list[tuple[bytes, bytes]]:
         members = sorted(set(members))
+        if len(members) > 2 * half:
+            cut = [members[k : k + half] for k in range(0, len(members), half)]
+            return [x for p, q in combinations(cut, 2) for x in links(p + q)]
         root = stars(len(members), *near_in_block(members, radius))
         return [(members[k], members[r]) for k, r in enumerate(root.tolist()) if k != r]
 
@@ -134,7 +139,7 @@ def compare_blocks(blocks: DataFrame, radius: int) -> DataFrame:
         for x in batches:
             out: list[tuple[bytes, bytes]] = []
             for row in x["members"]:
-                if len(waiting) + len(row) > BLOCK:
+                if waiting and len(waiting) + len(row) > block:
                     out += links(waiting)
                     waiting = []
                 waiting += list(row)
@@ -168,7 +173,7 @@ def near_fingerprints(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     keys = shared_table(sized(fps.select("fp", _block_keys().alias("k")).select("k.t", "k.key", "fp")), "buckets")
     rows = keys.where(F.col("n") <= block).groupBy("t", "key").agg(F.collect_list("fp").alias("members"))
-    links = compare_blocks(rows, 2)
+    links = compare_blocks(rows, 2, block)
     large = keys.where(F.col("n") > block).select("fp").distinct()
 
     def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -261,14 +266,17 @@ def meetings(parts: Column) -> Column:
 
 
 def candidate_links(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) that join all fingerprints of ``rows`` (fp, keys) that share a band and lie within the radius."""
+    """Links (a, b) that join all fingerprints of ``rows`` (fp, keys) that share a band and lie within the radius.
+
+    Parts of a large bucket are filled to 0.8 of half a block on average, as a hash deals unevenly.
+    """
     keys = rows.select("fp", "keys").distinct().select("fp", F.posexplode("keys").alias("t", "key"))
     found = shared_table(sized(keys), "bands")
     half = block // 2
     small = found.where(F.col("n") <= half).groupBy("t", "key").agg(F.collect_list("fp").alias("members"))
-    large = found.where(F.col("n") > half).select("t", "key", "fp", meetings(F.ceil(F.col("n") / half).cast("int")).alias("x"))
+    large = found.where(F.col("n") > half).select("t", "key", "fp", meetings(F.ceil(F.col("n") / (0.8 * half)).cast("int")).alias("x"))
     large = large.groupBy("t", "key", "x").agg(F.collect_list("fp").alias("members"))
-    return compare_blocks(small.select("members").union(large.select("members")), WIDE_RADIUS)
+    return compare_blocks(small.select("members").union(large.select("members")), WIDE_RADIUS, block)
 
 
 def similar(members: list[bytes], sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:

@@ -492,6 +492,21 @@ def test_near_texts(spark, block):
     assert left == [i for i in range(len(texts)) if i % 6 == 0]
 
 
+@pytest.mark.parametrize("block", [2048, 64])
+def test_large_buckets(spark, block):
+    """A bucket of more than a block's fingerprints, as the first row of its task too: compared whole, at most a block at once."""
+    r = np.random.default_rng(15)
+    centre = r.integers(0, 256, 32, dtype=np.uint8)
+    far = [np.packbits(np.unpackbits(centre) ^ (r.random(256) < 0.5)).tobytes() for _ in range(2600 if block > 64 else 160)]
+    pairs = [bytes([x[0] ^ 1, *x[1:]]) for x in far[:40]]
+    fps = far + pairs
+    rows = spark.createDataFrame([(bytearray(x), [7]) for x in fps], "fp binary, keys array<long>")
+    links = {frozenset((bytes(x.a), bytes(x.b))) for x in simhash.candidate_links(rows, block).collect()}
+    assert {frozenset((a, b)) for a, b in zip(far, pairs)} <= links and len(links) < 60
+    whole = spark.createDataFrame([([bytearray(x) for x in fps],)], "members array<binary>")
+    assert {frozenset((bytes(x.a), bytes(x.b))) for x in simhash.compare_blocks(whole, 52, block).collect()} == {frozenset((a, b)) for a, b in zip(far, pairs)}
+
+
 @pytest.mark.parametrize("block", [2048, 6])
 def test_near_texts_are_verified(spark, block):
     """Links at 0.8 exactly where a chain of brute-force similarities is; also where phrases are repeated."""
