@@ -67,8 +67,8 @@ def statistics(docs: DataFrame) -> DataFrame:
     care; other columns, also of clashing names, stay inside ``row``; an empty table gives an empty one. Work per text is
     proportional to n log n at most.
     """
-    d = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.trim(body(docs), F.lit(BLANKS)).alias("t"))
-    d = d.select("row", "t", F.when(F.col("t") == "", F.array().cast("array<string>")).otherwise(F.split("t", r"[\x20\x09-\x0D]+")).alias("w"))
+    d = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.trim(body(docs), F.lit(BLANKS)).alias("t"), body(docs).alias("whole"))
+    d = d.select("row", "t", "whole", F.when(F.col("t") == "", F.array().cast("array<string>")).otherwise(F.split("t", r"[\x20\x09-\x0D]+")).alias("w"))
     d = d.select(
         "row",
         "t",
@@ -76,7 +76,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.size(F.array_distinct("w")).alias("n_distinct"),
         F.transform("w", lambda x: F.xxhash64(x)).alias("h"),
-        F.filter(F.split("t", "\n"), lambda x: F.ltrim(x, F.lit(BLANKS)) != "").alias("lines"),
+        F.filter(F.split("whole", "\n"), lambda x: F.ltrim(x, F.lit(BLANKS)) != "").alias("lines"),
     )
     first = F.slice("h", F.lit(1), F.greatest(F.size("h") - F.lit(WINDOW - 1), F.lit(0)))
     d = d.select(

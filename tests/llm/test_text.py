@@ -194,6 +194,14 @@ def test_op1_statistics(spark, odd, empty):
     assert quality.statistics(empty).count() == 0
 
 
+def test_op1_lines_are_of_the_whole_text(spark):
+    texts = ["a\r\nb\r\na\r\n", "foo \nbar\nfoo ", " foo\nfoo", "\n foo\n\t foo\n foo\n", "x\r\nx\r\nx", "\x0bfoo\nfoo\n\x0bfoo", "foo\n \n \nfoo "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.row.doc_id, *[r[c] for c in STATS]) for r in quality.statistics(docs).collect())
+    assert got == [(k, *brute_statistics(t)) for k, t in enumerate(texts)]
+    assert [r[4] for r in got][:3] == [1, 1, 0]
+
+
 def test_op1_query(spark):
     got = {r.doc_id: r for r in queries.QUERIES["op1_quality_rules"](spark, FOLDER).collect()}
     for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect():
