@@ -26,10 +26,18 @@ _domain = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _ip = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _card = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _phone = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_iban = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_iban_start = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9])")
+_iban_rest = re.compile(r"(?: ?[A-Z0-9]){11,30}")
+_iban_end = re.compile(r"(?![A-Za-z0-9])")
 _ssn = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _here = re.compile(r"(?<![0-9+(])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9-])")
 
+#: Characters of an account number by country, as the registry lists them.
+IBAN_LENGTH = {c: n for n, cs in {
+    15: "NO", 16: "BE", 18: "DK FK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}.items() for c in cs.split()}
 #: Words that speak for a kind, fixed values.
 CONTEXT = {
     "email": ("mail", "contact", "write", "address"),
@@ -54,11 +62,29 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def mod97(iban: str) -> bool:
-    rest = 0
-    for c in iban[4:] + iban[:4]:
-        rest = (rest * (10 if c.isdigit() else 100) + int(c, 36)) % 97
-    return rest == 1
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """From left to right, the account number of each start: mod 97 holds at a word's end, at best at the country's length, else as late as possible.
+
+    The search goes on behind an accepted number, and right behind a rejected start; a start looks at 30 further characters and blanks at most.
+    """
+    at = 0
+    while m := _iban_start.search(text, at):
+        at = m.start() + 1
+        head = int("".join(str(int(c, 36)) for c in m.group()))
+        length, value, best = 4, 0, 0
+        rest = _iban_rest.match(text, m.end())
+        for k in range(m.end(), rest.end() if rest else m.end()):
+            if (c := text[k]) == " ":
+                continue
+            length += 1
+            value = (value * (10 if c.isdigit() else 100) + int(c, 36)) % 97
+            if length >= 15 and (value * 1_000_000 + head) % 97 == 1 and _iban_end.match(text, k + 1):
+                best = k + 1
+                if IBAN_LENGTH.get(m.group()[:2]) == length:
+                    break
+        if best:
+            yield m.start(), best
+            at = best
 
 
 def _digits(s: str) -> str:
@@ -104,10 +130,7 @@ def spans(text: str) -> list[tuple[str, int, int, float, bool]]:
     if not _digit(text):
         return out
     more: list[tuple[str, int, int, float]] = []
-    for m in _iban.finditer(text):
-        s = m.group().replace(" ", "")
-        if 15 <= len(s) <= 34 and mod97(s):
-            more.append(("iban", m.start(), m.end(), 0.8))
+    more += [("iban", a, b, 0.8) for a, b in ibans(text)]
     for m in _card.finditer(text):
         if 13 <= m.end() - m.start() <= 26 and len(d := _digits(m.group())) == 13 and luhn(d):
             more.append(("card13", m.start(), m.end(), 0.4))

@@ -370,6 +370,16 @@ def test_op7_more_kinds():
     assert kinds("visa card 4222222222222") == ["card13"] and kinds("it 4222222222222") == []
 
 
+def test_op7_ibans_among_capitals():
+    """Account numbers stay found where capitals, digits or another account number follow or precede."""
+    de, gb, no = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"
+    cases = [("IBAN {} 2024", de), ("IBAN {} I paid", de), ("IBAN {} BIC DEUTDEFF", gb), ("IBAN AB12 {} X", de), ("IBAN {} 1 2 3 4", no)]
+    for text, number in cases:
+        assert pii.redacted(text.format(number)) == text.format("[IBAN]")
+    assert pii.redacted(f"ACCOUNTS {de} {gb} {no.replace(' ', '')} END, IBAN") == "ACCOUNTS [IBAN] [IBAN] [IBAN] END, IBAN"
+    assert list(pii.ibans("IBAN " + "DE89 3704 0044 0532 0130 01 2024")) == []
+
+
 def test_op7(spark, odd, empty):
     got = sorted((as_key(r.doc_id), [tuple(s) for s in r.spans]) for r in pii.find(odd).collect())
     assert got == sorted((as_key(i), pii.spans(t or "")) for i, t, *_ in ODD)
