@@ -1,6 +1,6 @@
 """Licence scan: a trained paragraph classifier, its verdicts confirmed against templates.
 
-Paragraphs (lines) become sets of word pairs, of which those that occur in licence templates are features. Sparse multinomial logistic
+Paragraphs (lines, and runs of lines over which a notice is wrapped) become sets of word pairs, of which those that occur in licence templates are features. Sparse multinomial logistic
 regression (one class for each family and one for unknown) is fitted on variants of the templates and on a bounded sample of corpus
 paragraphs; the probability that a family needs is calibrated on paragraphs held out of the fit, so that unknown ones stay unknown. A
 predicted family is confirmed where the paragraph holds enough of one of its templates.
@@ -35,6 +35,7 @@ UNKNOWN = "unknown"
 TRAINING_PARAGRAPHS = 20_000
 CONFIRMED = 0.6
 _words = re.compile(r"[^\W_]+(?:\.[0-9]+)*").findall
+_mark = re.compile(r"\s*(?:rem|dnl)\s", re.IGNORECASE).match  # comment marks that are words
 
 
 def pairs(paragraph: str) -> set[tuple[str, str]]:
@@ -42,6 +43,11 @@ def pairs(paragraph: str) -> set[tuple[str, str]]:
     return set(zip(["", *w], [*w, ""])) - {("", "")}
 
 
+def line_words(line: str) -> list[str]:
+    """The words of a line in lower case, without a comment mark before them."""
+    return _words((line[m.end() :] if (m := _mark(line)) else line).lower())
+
+
 @dataclass
 class Model:
     families: list[str]
@@ -62,6 +68,84 @@ class Model:
         return self.families[k], float(p[k]), max(len(found & t) / len(t) for t in self.templates[k])
 
 
+def _run(model: Model, lines: list[list[str]], single: list[float]) -> tuple[int, int, str, float, float] | None:
+    """(first, last, family, probability, template_share) of a notice confirmed over two or more of ``lines`` (their words).
+
+    Of each template that the lines together hold, the shortest run that holds as much of it is judged; it has to hold more of its
+    family's than any of its lines that is confirmed by itself (``single``: their shares, else 0).
+    """
+    words = ["", *[w for x in lines for w in x], ""]
+    known = model.vocabulary.keys() & set(zip(words, words[1:]))
+    held = sorted(((len(known & t) / len(t), k, n) for k, ts in enumerate(model.templates) for n, t in enumerate(ts)), reverse=True) if len(known) > 2 else []
+    at = [k for k, x in enumerate(lines) for _ in x]
+    at = [at[0], *at, at[-1]]  # the line of each word
+    for share, k, n in held:
+        if share < CONFIRMED:
+            return None
+        places = [(at[i], at[i + 1], p) for i, p in enumerate(zip(words, words[1:])) if p in model.templates[k][n]]
+        need, have, best, i = len({p for _, _, p in places}), {}, (len(lines), 0), 0
+        for _, last, p in places:
+            have[p] = have.get(p, 0) + 1
+            while len(have) == need:
+                first, _, q = places[i]
+                best = min(best, (last - first, first))
+                have[q] -= 1
+                if not have[q]:
+                    del have[q]
+                i += 1
+        first, last = best[1], best[1] + best[0]
+        inside = ["", *[w for x in lines[first : last + 1] for w in x], ""]
+        family, p, share = model.predict(set(zip(inside, inside[1:])))
+        if first < last and family != UNKNOWN and share >= CONFIRMED and share > max(single[first : last + 1]):
+            return first, last, family, p, share
+    return None
+
+
+def wrapped(model: Model, lines: list[list[str]], single: list[float]) -> list[tuple[int, int, str, float, float]]:
+    """All notices of ``_run`` without overlap, also those between lines that are confirmed by themselves."""
+    out, todo = [], [(0, len(lines))]
+    while todo:
+        a, b = todo.pop()
+        if b - a < 2:
+            continue
+        if x := _run(model, lines[a:b], single[a:b]):
+            out.append((a + x[0], a + x[1], *x[2:]))
+            todo += [(a, a + x[0]), (a + x[1] + 1, b)]
+        elif any(single[a:b]):
+            ends = [a - 1, *[k for k in range(a, b) if single[k]], b]
+            todo += [(p + 1, q) for p, q in zip(ends, ends[1:])]
+    return out
+
+
+def notices(model: Model, text: str) -> list[tuple[int, str, float, float, bool]]:
+    """(line number from 0, family, probability, template_share, confirmed): lines by themselves, and what is wrapped over lines between blank ones, in their stead."""
+    single: dict[int, tuple] = {}
+    out: list[tuple] = []
+    block: list[tuple[int, list[str]]] = []
+
+    def close() -> None:
+        alone = [single[k][3] if k in single and single[k][4] else 0.0 for k, _ in block]
+        for first, last, *x in wrapped(model, [w for _, w in block], alone):
+            for k, _ in block[first : last + 1]:
+                single.pop(k, None)
+            out.append((block[first][0], *x, True))
+        block.clear()
+
+    for k, line in enumerate(text.split("\n")):
+        words = line_words(line)
+        found = set(zip(["", *words], [*words, ""])) if words else set()
+        if model.vocabulary.keys() & found:
+            family, p, share = model.predict(found)
+            if family != UNKNOWN:
+                single[k] = (k, family, p, share, share >= CONFIRMED)
+        if words:
+            block.append((k, words))
+        else:
+            close()
+    close()
+    return sorted([*single.values(), *out])
+
+
 def fit(rows: list[tuple[set, int]], classes: int, size: int, vocabulary: dict, rounds: int = 300, rate: float = 2.0, l1: float = 2e-4) -> np.ndarray:
     """Proximal gradient descent on dense rows of a small vocabulary; classes weigh the same in all."""
     x = np.zeros((len(rows), size + 1))
@@ -82,19 +166,23 @@ def fit(rows: list[tuple[set, int]], classes: int, size: int, vocabulary: dict,
 
 
 def train(docs: DataFrame, most: int = TRAINING_PARAGRAPHS, false_share: float = 1e-3) -> Model:
-    """Fit on template variants and on at most ``most`` paragraphs of the corpus, drawn by a hash, that hold little of any template."""
+    """Fit on template variants and on at most ``most`` paragraphs of the corpus, drawn by a hash, that, with the lines around, hold little of any template."""
     templates = [[pairs(t) for t in ts] for ts in TEMPLATES.values()]
     vocabulary = {p: k for k, p in enumerate(sorted(set().union(*[t for ts in templates for t in ts])))}
-    lines = docs.select(F.explode(F.split(body(docs), "\n")).alias("line")).where("trim(line) <> ''")
+    lines = docs.select(F.split(body(docs), "\n").alias("lines")).select("lines", F.posexplode("lines").alias("at", "line")).where("trim(line) <> ''")
     n = lines.count()
     draw = F.pmod(F.xxhash64("line", F.lit(3)), F.lit(10_000_000))
-    sample = lines.where(draw < math.ceil(1e7 * min(1.0, most / max(1, n)))).distinct().orderBy(F.xxhash64("line"), "line").limit(most)
+    sample = lines.where(draw < math.ceil(1e7 * min(1.0, most / max(1, n))))
+    # a line beside which more of a notice stands may be a part of it
+    sample = sample.select("line", F.array_join(F.slice("lines", F.greatest(F.col("at") - 3, F.lit(1)), F.lit(9)), "\n").alias("near"))
+    sample = sample.groupBy("line").agg(F.max("near").alias("near")).orderBy(F.xxhash64("line"), "line").limit(most)
 
     def shown(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             found = [pairs(t) for t in x["line"]]
             known = [sorted(vocabulary[p] for p in f if p in vocabulary) for f in found]
-            held = [max(len(f & t) / len(t) for ts in templates for t in ts) for f in found]
+            around = [set(zip(w, w[1:])) for w in ([v for line in t.split("\n") for v in line_words(line)] for t in x["near"])]
+            held = [max(len((f | g) & t) / len(t) for ts in templates for t in ts) for f, g in zip(found, around, strict=True)]
             yield pd.DataFrame({"known": known, "held": held})
 
     names = list(vocabulary)
@@ -118,7 +206,9 @@ def train(docs: DataFrame, most: int = TRAINING_PARAGRAPHS, false_share: float =
 
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, paragraph (line number from 0), family, probability, template_share and confirmed for every paragraph given a family.
+    """doc_id, paragraph (number of its first line, from 0), family, probability, template_share and confirmed for every paragraph given a family.
+
+    Each line is a paragraph; so is each run of lines, without a blank one, over which a notice is wrapped. Such a run stands for its lines.
 
     Null and empty texts have none; repeated rows are scanned each and null ids kept; other columns are ignored; an empty table gives
     no rows.
@@ -128,12 +218,7 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
         for x in batches:
             out: list[tuple] = []
             for doc, text in zip(x["doc_id"], x["text"], strict=True):
-                for k, line in enumerate(text.split("\n")):
-                    found = pairs(line)
-                    if model.vocabulary.keys() & found:
-                        family, p, share = model.predict(found)
-                        if family != UNKNOWN:
-                            out.append((doc, k, family, p, share, share >= CONFIRMED))
+                out += [(doc, *x) for x in notices(model, text)]
             yield pd.DataFrame(out, columns=["doc_id", "paragraph", "family", "probability", "template_share", "confirmed"])
 
     rows = docs.select(docs["doc_id"].cast("string").alias("doc_id"), body(docs).alias("text"))

@@ -337,6 +337,22 @@ def test_op6(spark, odd, empty):
     assert model.predict(licenses.pairs(edited))[0] == "GPL-3.0"
 
 
+def test_op6_wrapped_notices(spark):
+    """Standard headers wrapped at the usual width, with and without comment marks, alone and amid prose."""
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    mit = "Permission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated documentation files (the\n\"Software\"), to deal in the Software without restriction."
+    nc = "This work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0 International License."
+    marked = lambda t, mark: "\n".join(mark + x for x in t.split("\n"))
+    prose = "It was a long day by the river and\nnobody had asked for the boat."
+    texts = [gpl, bsd, mit, nc, marked(gpl, " * "), marked(bsd, "# "), marked(mit, "REM "), f"{prose}\n{gpl}\n{prose}", f"{gpl}\n{bsd}", f"{prose}\n\n{mit}\n\n{bsd}\n{mit}", prose]
+    want = [["GPL-3.0"], ["BSD-3-Clause"], ["MIT"], ["CC-BY-NC-4.0"], ["GPL-3.0"], ["BSD-3-Clause"], ["MIT"], ["GPL-3.0"], ["GPL-3.0", "BSD-3-Clause"], ["MIT", "BSD-3-Clause", "MIT"], []]
+    model = licenses.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    found = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).where("confirmed").collect()
+    got = [[r.family for r in sorted(found, key=lambda r: r.paragraph) if r.doc_id == k] for k in range(len(texts))]
+    assert got == want
+
+
 # ---- personal data
 
 
