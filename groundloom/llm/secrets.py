@@ -1,6 +1,6 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest, in DataFrame functions throughout.
 
-Every white-space token with a long run of key characters and a digit is proposed. Its features are length, changes between character
+Every long run of key characters with a digit is proposed, and every one without that is assigned to a secret word. Its features are length, changes between character
 classes, dictionary coverage, path marks and the words beside it. Trees are grown level by level for the whole forest: one aggregation
 counts labelled rows by tree, node, feature and bin, a table of fixed size, from which the driver takes the splits. The finished forest
 is a literal table that ``aggregate`` walks.
@@ -19,6 +19,8 @@ from groundloom.session import cut_lineage
 
 #: Only tried at the start of a run, so that long runs cost no more than their length.
 HAS_RUN = r"(?<![A-Za-z0-9_/+.@-])(?=[A-Za-z_/+.@-]*+[0-9])[A-Za-z0-9_/+.@-]{10,}+"
+RUN = r"(?<![A-Za-z0-9_/+.@-])[A-Za-z0-9_/+.@-]{10,}+"
+SECRET_NAME = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|key|auth|credentials?)[\"']?\s*[:=]+>?\s*[\"']?"
 SPEAKS_FOR = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api|key|auth|credential|private|bearer)"
 SPEAKS_AGAINST = r"(?i)(sha\d*|md5|commit|checksum|digest|uuid|version|example|sample|dummy|card|phone|mail|http|www|order|isbn)"
 PATHLIKE = r"(^|[A-Za-z0-9])[/.][A-Za-z]|@"
@@ -31,35 +33,53 @@ KNOWN_HARMLESS = r"^([0-9]+|[0-9]+(\.[0-9]+){3}|[0-9.+-]+|[^@]+@[^@]+\.[A-Za-z]+
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, word_index (place among the white-space tokens), value, before (the three tokens before it and what precedes it in its own), after.
+    """doc_id, word_index (place among the white-space tokens), run_index (place among the token's runs of ten or more key characters), value, before, after.
 
-    A token gives its first run of ten or more key characters with a digit. Null text has none.
+    All runs with a digit are proposed, and those without that follow a secret's name and a colon or equals sign. Before the first run of
+    a token stand the three tokens before it and what precedes it in its own; before a further one, the run before and what is between.
+    After the last stand the three tokens after it; after another, what is up to the next run. Null text has none.
     """
-    d = docs.select(docs["doc_id"], body(docs).alias("t")).where(F.col("t").rlike(HAS_RUN))
-    d = d.select("doc_id", F.split("t", r"\s+").alias("w"))
-    hits = F.filter(F.transform("w", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: s["x"].rlike(HAS_RUN))
+    named = SECRET_NAME + RUN.replace(r"(?<![A-Za-z0-9_/+.@-])", "")
+    d = docs.select(docs["doc_id"], body(docs).alias("t"))
+    d = d.select("doc_id", "t", F.col("t").rlike(named).alias("named")).where(F.col("named") | F.col("t").rlike(HAS_RUN))
+    d = d.select("doc_id", "named", F.split("t", r"\s+").alias("w"))
+    near = lambda s: F.concat_ws(" ", F.get("w", s["i"] - 2), F.get("w", s["i"] - 1), s["x"])
+    tokens = F.transform("w", lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    hits = F.filter(tokens, lambda s: s["x"].rlike(HAS_RUN) | (F.col("named") & s["x"].rlike(RUN) & near(s).rlike(named)))
     d = d.select("doc_id", "w", F.explode(hits).alias("h"))
-    d = d.withColumn("value", F.regexp_extract("h.x", f"({HAS_RUN}={{0,2}})", 1))
-    head = F.expr("substring_index(h.x, value, 1)")
-    before = F.concat_ws(" ", F.slice("w", F.greatest(F.col("h.i") - 2, F.lit(1)), F.least(F.col("h.i"), F.lit(3))), head)
-    after = F.concat_ws(" ", F.slice("w", F.col("h.i") + 2, F.lit(3)))
-    return d.select("doc_id", F.col("h.i").cast("long").alias("word_index"), "value", before.alias("before"), after.alias("after"))
+    d = d.select(
+        "doc_id",
+        F.col("h.i").cast("long").alias("word_index"),
+        F.regexp_extract_all("h.x", F.lit(f"({RUN}={{0,2}})"), 1).alias("v"),
+        F.split("h.x", f"{RUN}={{0,2}}").alias("between"),
+        F.slice("w", F.greatest(F.col("h.i") - 2, F.lit(1)), F.least(F.col("h.i"), F.lit(3))).alias("left"),
+        F.concat_ws(" ", F.slice("w", F.col("h.i") + 2, F.lit(3))).alias("right"),
+    )
+
+    def run(v: Column, k: Column) -> Column:
+        before = F.when(k == 0, F.concat_ws(" ", "left", F.get("between", k))).otherwise(F.concat(F.get("v", k - 1), F.get("between", k)))
+        after = F.when(k == F.size("v") - 1, F.col("right")).otherwise(F.get("between", k + 1))
+        return F.struct(k.cast("long").alias("run_index"), v.alias("value"), before.alias("before"), after.alias("after"))
+
+    proposed = F.filter(F.transform("v", run), lambda r: r["value"].rlike(HAS_RUN) | r["before"].rlike(SECRET_NAME + "$"))
+    return d.select("doc_id", "word_index", F.explode(proposed).alias("r")).select("doc_id", "word_index", "r.*")
 
 
-def dictionary(found: DataFrame, least: int = 3) -> DataFrame:
-    """Letter runs of three or more that at least ``least`` neighbourhoods of candidates hold: ordinary words of this corpus."""
-    words = found.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", "before", "after")), F.lit(r"\p{L}{3,}"), 0))).alias("piece"))
+def dictionary(docs: DataFrame, least: int = 3) -> DataFrame:
+    """Words of three or more letters, without a digit beside them, that at least ``least`` documents hold: ordinary words of this corpus."""
+    found = F.regexp_extract_all(F.lower(body(docs)), F.lit(r"(?<![\p{L}0-9_])\p{L}{3,}+(?![0-9_])"), 0)
+    words = docs.select(F.explode(F.array_distinct(found)).alias("piece"))
     return words.groupBy("piece").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("piece")
 
 
-def features(found: DataFrame) -> DataFrame:
-    """``found`` with x, the array of FEATURES."""
+def features(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """``found`` with x, the array of FEATURES; coverage by the words of all ``docs``."""
     v = F.col("value")
     n = F.length("value").cast("double")
     without = lambda p: n - F.length(F.regexp_replace("value", p, ""))
     # coverage: letters of the value's runs that are dictionary words, over its length
     runs = found.select("value").distinct().select("value", F.explode(F.regexp_extract_all(F.lower("value"), F.lit(r"\p{L}{3,}"), 0)).alias("piece"))
-    covered = runs.join(dictionary(found), "piece").groupBy("value").agg(F.sum(F.length("piece")).alias("covered")).withColumnRenamed("value", "_value")
+    covered = runs.join(dictionary(docs), "piece").groupBy("value").agg(F.sum(F.length("piece")).alias("covered")).withColumnRenamed("value", "_value")
     joined = found.join(covered, v == F.col("_value"), "left")
     one = lambda c: c.cast("double")
     x = F.array(
@@ -161,16 +181,18 @@ def _best_split(hist: dict[int, dict[int, tuple[int, int]]], steps: list[list[fl
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None, least: float = 0.5) -> DataFrame:
-    """doc_id, word_index, value, score and kept (score at least ``least``) for every proposed secret.
+    """doc_id, word_index, run_index, value, score and kept (score at least ``least``) for every proposed secret.
 
-    ``labelled`` (doc_id, word_index, y) holds judged findings; without it published formats and known harmless shapes are the labels.
+    ``labelled`` (doc_id, word_index, y, and run_index where single runs are judged) holds judged findings; without it published formats and known harmless shapes are the labels.
     Null texts have no findings; repeated rows are scanned each; null ids are kept; other columns are ignored; an empty table
     gives no findings.
     """
-    found = cut_lineage(features(candidates(docs)))
+    found = cut_lineage(features(cut_lineage(candidates(docs)), docs))
     if labelled is None:
         forest = train(found, weak_labels())
     else:
-        judged = labelled.select(F.col("doc_id").alias("_d"), F.col("word_index").alias("_w"), F.col("y").alias("_y"))
-        forest = train(found.join(judged, (F.col("doc_id") == F.col("_d")) & (F.col("word_index") == F.col("_w"))), F.col("_y"))
-    return found.withColumn("score", forest.score(F.col("x"))).select("doc_id", "word_index", "value", "score", (F.col("score") >= least).alias("kept"))
+        keys = [k for k in ("doc_id", "word_index", "run_index") if k in labelled.columns]
+        judged = labelled.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("y").alias("_y"))
+        same = [F.col(k) == F.col(f"_{k}") for k in keys]
+        forest = train(found.join(judged, same), F.col("_y"))
+    return found.withColumn("score", forest.score(F.col("x"))).select("doc_id", "word_index", "run_index", "value", "score", (F.col("score") >= least).alias("kept"))
