@@ -6,8 +6,10 @@
 3. The ids go back to the places they came from, partition by partition, and are joined to the documents by position; the ids of a
    partition's words are joined with the table of pieces, which gives the decoded texts.
 
-The pass of step 1 runs twice, once for each output. Both outputs carry a check value of the partition's words, so a partition that came
-out differently stops the job instead of giving wrong ids. Documents from anything but stored files are written to the shared folder first.
+The pass of step 1 runs twice, once for each output. Both outputs carry the number of the partition's words and a check value of every
+64th of them: most partitions that came out differently stop the job, but not all, and then ids are wrong without an error. So ``encode``
+asks for documents that come in the same order each time, as from stored files; it does not write others to the shared folder itself,
+its caller has to (``shared_table``).
 """
 
 from __future__ import annotations
