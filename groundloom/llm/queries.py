@@ -7,12 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from groundloom.llm import bpe_words, langid, licenses, packing, pii, piece_counts, pivots, quality, secrets, simhash
+from groundloom.llm import alignment, bpe_words, langid, licenses, packing, pii, piece_counts, pivots, quality, secrets, simhash
 from groundloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
+WORD_BPE, PIECE_BPE, BYTE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model", "byte_bpe_50k.json"
 
 
 def query(name: str, sql: str | None = None):
@@ -99,3 +99,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_token_counts")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return piece_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path(PIECE_BPE))
+
+
+@query("op12_token_alignment")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align(table(spark, folder, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECE_BPE))
