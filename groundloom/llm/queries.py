@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from groundloom.llm import alignment, bpe_words, langid, licenses, packing, pii, piece_counts, pivots, quality, secrets, simhash
+from groundloom.llm import alignment, bpe_words, langid, licenses, packing, phrases, pii, piece_counts, pivots, quality, secrets, simhash
 from groundloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,47 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_token_alignment")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.align(table(spark, folder, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECE_BPE))
+
+
+def _words(column: str) -> str:
+    """The words of the decontamination contract in SQL: A-Z lower-cased, letters and digits of ASCII and everything beyond it."""
+    return (
+        f"regexp_extract_all(translate(coalesce({column}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
+        r" '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    )
+
+
+@query(
+    "op13_decontamination",
+    f"""
+    WITH d AS (SELECT doc_id, {_words("text")} AS w FROM documents),
+    cut AS (SELECT item_id, w, least(len(w), 10) AS n, unnest(generate_series(1, greatest(1, len(w) - 9))) AS i
+            FROM (SELECT item_id, {_words("text")} AS w FROM benchmark) b WHERE len(w) > 0),
+    win AS (SELECT DISTINCT item_id, n, w[i:i + n - 1] AS words, array_to_string(w[i:i + n - 1], ' ') AS g FROM cut),
+    p AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS g
+          FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM win) l WHERE len(w) >= n) q),
+    occ AS (SELECT DISTINCT p.doc_id, p.i, p.n, win.item_id FROM p JOIN win ON p.n = win.n AND p.g = win.g),
+    hits AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS x FROM occ) q GROUP BY doc_id),
+    found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS ids FROM occ WHERE item_id IS NOT NULL GROUP BY doc_id),
+    spread AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS i FROM d WHERE len(w) > 0),
+    term AS (SELECT DISTINCT g, unnest(words) AS word FROM win),
+    many AS (SELECT g, count(*) AS k FROM term GROUP BY g),
+    seen AS (SELECT w.doc_id, term.g, w.word, w.i FROM spread w JOIN term ON w.word = term.word),
+    whole AS (SELECT s.doc_id, s.g, any_value(m.k) AS k FROM seen s JOIN many m ON m.g = s.g GROUP BY s.doc_id, s.g HAVING count(DISTINCT s.word) = any_value(m.k)),
+    spot AS (SELECT s.doc_id, s.g, s.word, s.i, whole.k FROM seen s JOIN whole ON whole.doc_id = s.doc_id AND whole.g = s.g),
+    near AS (SELECT DISTINCT doc_id, g FROM (SELECT a.doc_id, a.g, a.i FROM spot a JOIN spot b ON b.doc_id = a.doc_id AND b.g = a.g AND b.i BETWEEN a.i AND a.i + 19
+             GROUP BY a.doc_id, a.g, a.i, a.word, a.k HAVING count(DISTINCT b.word) = a.k) q),
+    close_by AS (SELECT near.doc_id, count(DISTINCT win.item_id) AS n_near FROM near JOIN win ON win.g = near.g GROUP BY near.doc_id)
+    SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(f.n_items, 0) AS BIGINT) AS n_items,
+     sha256(coalesce(f.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated, CAST(coalesce(c.n_near, 0) AS BIGINT) AS n_near
+    FROM d LEFT JOIN hits h ON h.doc_id = d.doc_id LEFT JOIN found f ON f.doc_id = d.doc_id LEFT JOIN close_by c ON c.doc_id = d.doc_id
+    """,
+)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = phrases.matches(phrases.index(docs), table(spark, folder, "benchmark"))
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["till"] - s["start"]))
+    return found.select(
+        F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"), F.size("near_items").cast("long").alias("n_near"),
+    )
