@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from groundloom.llm import alignment, bpe_words, langid, licenses, packing, phrases, pii, piece_counts, pivots, quality, secrets, simhash
+from groundloom.llm import alignment, bpe_words, langid, licenses, packing, phrases, pii, piece_counts, pivots, quality, secrets, simhash, trie
 from groundloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,6 +101,39 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return piece_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path(PIECE_BPE))
 
 
+_CRC32 = (
+    "xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),"
+    " lambda crc, x: list_reduce(list_prepend(xor(crc, x), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda s, i: xor(s >> 1, 3988292384 * (s & 1)))))"
+)
+
+
+@query(
+    "op11_prefix_trie",
+    f"""
+    WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k
+               FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL) q),
+    c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {_CRC32} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t) q),
+    r AS (SELECT c.conv_id, t.k, t.role, t.text FROM c JOIN t ON t.conv_id = c.base AND t.k <= c.h UNION ALL
+          SELECT c.conv_id, t.k, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.k > c.h),
+    whole AS (SELECT c.conv_id, coalesce(list((r.role, r.text) ORDER BY r.k) FILTER (WHERE r.k IS NOT NULL), []) AS turns FROM c LEFT JOIN r ON r.conv_id = c.conv_id GROUP BY c.conv_id),
+    p AS (SELECT conv_id, len(turns) AS n, d, md5(CAST(turns[1:d] AS VARCHAR)) AS node, CASE WHEN d > 0 THEN md5(CAST(turns[1:d - 1] AS VARCHAR)) END AS up,
+          CASE WHEN d > 0 THEN len(regexp_extract_all(struct_extract_at(turns[d], 2), '[^\x20\x09-\x0D]+')) ELSE 0 END AS words
+          FROM (SELECT conv_id, turns, unnest(generate_series(0, len(turns))) AS d FROM whole) q),
+    node AS (SELECT d, node, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS saved,
+             sha256(array_to_string(coalesce(list_sort(list(conv_id) FILTER (WHERE d = n)), []), ',')) AS ends FROM p GROUP BY d, node),
+    kids AS (SELECT d - 1 AS d, up AS node, count(*) AS n FROM node WHERE d > 0 GROUP BY 1, 2),
+    line AS (SELECT DISTINCT p.d, p.node, q.d AS low_d, q.node AS low FROM p JOIN p q ON q.conv_id = p.conv_id AND q.d >= p.d),
+    below AS (SELECT line.d, line.node, count(*) FILTER (WHERE k.n IS NULL) AS n_leaves, sum(m.saved) AS saved
+              FROM line JOIN node m ON m.d = line.low_d AND m.node = line.low LEFT JOIN kids k ON k.d = m.d AND k.node = m.node GROUP BY 1, 2)
+    SELECT m.conv_id, CAST(m.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, CAST(m.n_convs AS BIGINT) AS n_convs, CAST(coalesce(k.n, 0) AS BIGINT) AS n_children,
+     CAST(b.n_leaves AS BIGINT) AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, m.ends AS ends_sha256
+    FROM node m JOIN below b ON b.d = m.d AND b.node = m.node LEFT JOIN kids k ON k.d = m.d AND k.node = m.node LEFT JOIN node u ON u.d = m.d - 1 AND u.node = m.up
+    """,
+)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, folder, "conversations"))
+
+
 @query("op12_token_alignment")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.align(table(spark, folder, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECE_BPE))
