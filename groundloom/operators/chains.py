@@ -63,10 +63,20 @@ def contour_lines(segments: DataFrame, major: int = 5) -> DataFrame:
 def outlines(rim: DataFrame, stride: int, share: float = 0.002) -> DataFrame:
     """Rings of a mesh's border edges with their signed plan area in cells (holes negative); rings under ``share``
     of their scene's patch are left out. Corner ids are i*stride + j."""
-    p = order(rim, ["scene_id"], "a", "b")
+    return _areas(order(rim, ["scene_id"], "a", "b"), rim, stride, share)
+
+
+def _areas(p: DataFrame, rim: DataFrame, stride: int, share: float) -> DataFrame:
     x, y = F.col("node") % stride, -F.floor(F.col("node") / stride)
     ring = p.join(rim.select("scene_id", F.col("a").alias("node"), "b"), ["scene_id", "node"])
     x2, y2 = F.col("b") % stride, -F.floor(F.col("b") / stride)
     area = ring.groupBy("scene_id", "line").agg((F.sum(x * y2 - x2 * y).cast("double") / 2).alias("area"), F.count(F.lit(1)).alias("corners"))
     whole = area.groupBy("scene_id").agg(F.sum("area").alias("patch"))
     return area.join(whole, "scene_id").where(F.abs(F.col("area")) >= F.col("patch") * share).select("scene_id", "line", "area", "corners", F.when(F.col("area") > 0, "outline").otherwise("hole").alias("kind"))
+
+
+def outline_vertices(rim: DataFrame, stride: int, share: float = 0.002) -> DataFrame:
+    """The corners of the rings that ``outlines`` keeps: line, kind, pos, and x, y in cells (north up)."""
+    p = cut_lineage(order(rim, ["scene_id"], "a", "b"))
+    at = p.select("scene_id", "line", "pos", (F.col("node") % stride).cast("double").alias("x"), (-F.floor(F.col("node") / stride)).cast("double").alias("y"))
+    return at.join(_areas(p, rim, stride, share).select("scene_id", "line", "kind"), ["scene_id", "line"])

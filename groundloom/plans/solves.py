@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from groundloom.functions.constants import CELL_STRIDE
 from groundloom.functions.numeric import rounded
-from groundloom.operators import chains, estimate, mesh, repair, terrain, walk
+from groundloom.operators import chains, estimate, mesh, repair, simplify, terrain, walk
 from groundloom.plans.cameras import out
 from groundloom.plans.catalog import query
 from groundloom.plans.tables import CELL
@@ -27,14 +27,42 @@ def contour_lines(t):
     return c.select("scene_id", "k", "node", "closed", F.when(~F.col("closed"), F.col("pos").cast("double")).alias("pos"), "major")
 
 
-@query("outline")
-def outline(t):
-    """Outer rings and holes of the thinned quad footprint, with their areas in cells."""
+def thinned_rim(t):
+    """Border edges of the quad footprint without corner pinches."""
     q = repair.unpinch(t.quads)
     sw, se, ne, nw = mesh.quad_corner_ids()
     top = q.select("scene_id", sw.alias("p"), se.alias("q"), ne.alias("r"), nw.alias("s"))
-    rim = cut_lineage(mesh.border_edges(mesh.directed_edges(top, ["p", "q", "r", "s"])))
-    return chains.outlines(rim, CELL_STRIDE)
+    return cut_lineage(mesh.border_edges(mesh.directed_edges(top, ["p", "q", "r", "s"])))
+
+
+@query("outline")
+def outline(t):
+    """Outer rings and holes of the thinned quad footprint, with their areas in cells."""
+    return chains.outlines(thinned_rim(t), CELL_STRIDE)
+
+
+@query("ring_simplify", f"""WITH RECURSIVE v AS MATERIALIZED (SELECT scene_id, row_number() OVER (PARTITION BY scene_id ORDER BY frame)-1 AS pos, px AS x, py+value/1e3 AS y FROM walk),
+ e AS MATERIALIZED (SELECT scene_id, max(pos) AS n, any_value(x) FILTER (pos=0) AS x0, any_value(y) FILTER (pos=0) AS y0 FROM v GROUP BY 1),
+ f AS MATERIALIZED (SELECT v.scene_id, arg_max(pos, row(sqrt((x-x0)*(x-x0)+(y-y0)*(y-y0)), -pos)) AS m FROM v JOIN e ON e.scene_id=v.scene_id GROUP BY 1),
+ w AS MATERIALIZED (SELECT * FROM v UNION ALL SELECT scene_id, n+1, x0, y0 FROM e),
+ s AS (SELECT scene_id, CAST(0 AS BIGINT) AS a, m AS b FROM f UNION ALL SELECT f.scene_id, m, n+1 FROM f JOIN e ON e.scene_id=f.scene_id UNION ALL
+  SELECT scene_id, unnest([a,m]), unnest([m,b]) FROM (SELECT s.scene_id, s.a, s.b, arg_max(v.pos, row(d, -v.pos)) AS m, max(d) AS d FROM (SELECT s.scene_id, s.a, s.b, v.pos,
+   CASE WHEN (q.x-p.x)*(q.x-p.x)+(q.y-p.y)*(q.y-p.y) > 0 THEN abs((q.x-p.x)*(v.y-p.y)-(q.y-p.y)*(v.x-p.x))/sqrt((q.x-p.x)*(q.x-p.x)+(q.y-p.y)*(q.y-p.y)) ELSE sqrt((v.x-p.x)*(v.x-p.x)+(v.y-p.y)*(v.y-p.y)) END AS d
+   FROM s JOIN w p ON p.scene_id=s.scene_id AND p.pos=s.a JOIN w q ON q.scene_id=s.scene_id AND q.pos=s.b JOIN v ON v.scene_id=s.scene_id AND v.pos>s.a AND v.pos<s.b) v JOIN s ON s.scene_id=v.scene_id AND s.a=v.a AND s.b=v.b GROUP BY 1,2,3) r WHERE d > 2e-1)
+ SELECT DISTINCT v.scene_id, v.pos, {r6('v.x')} AS x, {r6('v.y')} AS y FROM s JOIN v ON v.scene_id=s.scene_id AND v.pos=s.a""", "walk")
+def ring_simplify(t):
+    """Each scene's walk, moved by its values and closed to a ring, within 0.2 units."""
+    v = walk.dense_index(t.walk).select("scene_id", (F.col("k") - 1).alias("pos"), F.col("px").alias("x"), F.expr("py + value / 1e3").alias("y"), F.lit(True).alias("closed"))
+    s = simplify.simplify(v, ["scene_id"], 0.2, 64)
+    return s.select("scene_id", "pos", R6("x").alias("x"), R6("y").alias("y"))
+
+
+@query("outline_rings")
+def outline_rings(t):
+    """Corners of the outlines and holes that stay within one cell, in order."""
+    rings = chains.outline_vertices(thinned_rim(t), CELL_STRIDE)
+    s = simplify.simplify(rings.withColumn("closed", F.lit(True)), ["scene_id", "line", "kind"], 1.0)
+    return s.select("scene_id", "line", "kind", "pos", "x", "y")
 
 
 ORTHO = """e AS (SELECT scene_id, min(least(xa,xb,xc)) AS x0, max(greatest(ya,yb,yc)) AS y1 FROM corners GROUP BY 1),

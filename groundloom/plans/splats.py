@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from groundloom.functions import geometry as g, harmonics
 from groundloom.functions.numeric import exact_sum, finite, rounded, sigmoid
-from groundloom.operators import splats, terrain
+from groundloom.operators import picking, splats, terrain
 from groundloom.plans.catalog import query
 from groundloom.plans.cameras import out
 from groundloom.plans.tables import view
@@ -189,3 +189,21 @@ def outer_product_3x3(t):
 def photo_aspect(t):
     p = t.points.where("z > 1e-6")
     return p.groupBy("scene_id").agg(R6(F.max(F.expr("abs((x-1e1)/z)")) / F.max(F.expr("abs((y-6e0)/z)"))).alias("aspect"))
+
+
+def _ellipsoid_sql() -> str:
+    """Distance of every ray of a scene to every splat of it, as terms a, b, c of the quadratic."""
+    k = lambda v, j: "(" + "+".join(f"{v}{a}*m{r}{j}" for r, a in enumerate("xyz")) + ")"
+    total = lambda u, v: "+".join(f"{k(u, j)}*{k(v, j)}/s{j}" for j in range(3))
+    return f"{total('d', 'd')} AS qa, {total('p', 'd')} AS qb, {total('p', 'p')}-9e0 AS qc"
+
+
+@query("pick_ray", f"""WITH o AS (SELECT m.* FROM splatm m JOIN points p ON p.scene_id=m.scene_id AND p.point_id=m.splat_id WHERE p.opacity_logit >= 0),
+ t AS (SELECT c.scene_id, c.frame, o.splat_id, c.px-o.x AS px, c.py-o.y AS py, c.pz-o.z AS pz, c.fx AS dx, c.fy AS dy, c.fz AS dz, {', '.join(f'm{r}{c}' for r in range(3) for c in range(3))}, s0, s1, s2 FROM cameras c JOIN o ON o.scene_id=c.scene_id),
+ q AS (SELECT scene_id, frame, splat_id, {_ellipsoid_sql()} FROM t), h AS (SELECT scene_id, frame, splat_id, CASE WHEN (-qb-sqrt(qb*qb-qa*qc))/qa >= 0 THEN (-qb-sqrt(qb*qb-qa*qc))/qa ELSE (-qb+sqrt(qb*qb-qa*qc))/qa END AS d FROM q WHERE qb*qb-qa*qc >= 0 AND (-qb+sqrt(qb*qb-qa*qc))/qa >= 0)
+ SELECT scene_id, frame AS ray_id, arg_min(splat_id, row(d, splat_id)) AS splat_id, {r6('min(d)')} AS distance FROM h GROUP BY 1,2""", "splatm points cameras")
+def pick_ray(t):
+    """The first opaque splat (three sigmas) along every placed camera's line of sight."""
+    rays = t.cameras.select("scene_id", F.col("frame").alias("ray_id"), *[F.col("p" + a).alias("o" + a) for a in "xyz"], *[F.col("f" + a).alias("d" + a) for a in "xyz"])
+    hits = picking.ray_hits(g.with_rotation(t.splats, ("rw", "rx", "ry", "rz")), rays)
+    return hits.select("scene_id", "ray_id", "splat_id", R6("distance").alias("distance"))
