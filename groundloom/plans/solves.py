@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from groundloom.functions.constants import CELL_STRIDE
 from groundloom.functions.numeric import rounded
-from groundloom.operators import chains, estimate, mesh, repair, simplify, terrain, walk
+from groundloom.operators import chains, drawings as draw, estimate, mesh, repair, simplify, terrain, walk
 from groundloom.plans.cameras import out
 from groundloom.plans.catalog import query
 from groundloom.plans.tables import CELL
@@ -139,3 +139,30 @@ def camera_moves(t):
     s = s.select("scene_id", "ox", "oy", "oz", F.lit(0.0).alias("ex"), F.lit(-1.0).alias("ey"), "dist", F.lit(1.6).alias("eye"))
     m = estimate.camera_moves(p, t.cameras.drop("name"), s)
     return m.select("scene_id", "move", "size", R6("least").alias("least"), R6("yard").alias("yardstick"))
+
+
+def _drawing_sql(px: str) -> str:
+    """All five views of the coloured mesh: every face meets the pixels of its box."""
+    at = lambda axis, k: ("-" if axis[0] == "-" else "") + axis[-1] + k
+    views = " UNION ALL ".join(
+        f"SELECT scene_id, fid, '{name}' AS view, " + ", ".join(f"{at(axis, k)} AS {p}{k}" for p, axis in zip("uvd", axes) for k in "abc") + ", " + ", ".join(f"{c}{k}" for c in "rgb" for k in "abc") + " FROM k"
+        for name, axes in draw.VIEWS.items()
+    )
+    box = lambda p: f"unnest(generate_series(CAST(ceil(least({p}a,{p}b,{p}c)-5e-1) AS BIGINT), CAST(floor(greatest({p}a,{p}b,{p}c)-5e-1) AS BIGINT))) AS i{p}"
+    mix = lambda c: f"{c}a+l1*({c}b-{c}a)+l2*({c}c-{c}a)"
+    shades = ", ".join(f"CAST(floor({mix(c)}+5e-1) AS INT) AS {c}" for c in "rgb")
+    return f"""WITH k AS (SELECT *, {', '.join(f'CAST({v} % {m} AS DOUBLE) AS {c}{v}' for c, m in zip('rgb', (251, 241, 239)) for v in 'abc')} FROM corners),
+ w AS ({views}), e AS (SELECT scene_id, view, min(least(ua,ub,uc)) AS u0, max(greatest(va,vb,vc)) AS v1 FROM w GROUP BY 1,2),
+ c AS (SELECT w.* REPLACE ((ua-u0)/{px} AS ua, (ub-u0)/{px} AS ub, (uc-u0)/{px} AS uc, (v1-va)/{px} AS va, (v1-vb)/{px} AS vb, (v1-vc)/{px} AS vc) FROM w JOIN e ON e.scene_id=w.scene_id AND e.view=w.view),
+ b AS (SELECT *, {box('u')} FROM c), d AS (SELECT *, {box('v')} FROM b),
+ l AS (SELECT *, ((iu+5e-1-ua)*(vc-va)-(uc-ua)*(iv+5e-1-va))/den AS l1, ((ub-ua)*(iv+5e-1-va)-(iu+5e-1-ua)*(vb-va))/den AS l2 FROM (SELECT *, (ub-ua)*(vc-va)-(uc-ua)*(vb-va) AS den FROM d) z WHERE den<>0),
+ s AS (SELECT scene_id, view, iu, iv, fid, {mix('d')} AS depth, {shades} FROM l WHERE l1>=-1e-9 AND l2>=-1e-9 AND l1+l2<=1+1e-9)
+ SELECT scene_id, view, iu, iv, {r6('max(depth)')} AS depth, arg_max(r, row(depth,-fid)) AS r, arg_max(g, row(depth,-fid)) AS g, arg_max(b, row(depth,-fid)) AS b, count(*) AS layers FROM s GROUP BY 1,2,3,4"""
+
+
+@query("drawings", _drawing_sql("25e-2"), "corners")
+def drawings(t):
+    """Plan and four elevations of the gridded mesh at half a cell, with colours from the vertex ids."""
+    shade = [(F.col(v) % m).cast("double").alias(c + v) for c, m in zip("rgb", (251, 241, 239)) for v in "abc"]
+    corners = mesh.face_corners(t.faces, t.vertices).join(t.faces.select("scene_id", "fid", *shade), ["scene_id", "fid"])
+    return draw.drawings(corners, 0.25).withColumn("depth", R6("depth"))
