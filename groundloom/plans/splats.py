@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from groundloom.functions import geometry as g, harmonics
 from groundloom.functions.numeric import exact_sum, finite, rounded, sigmoid
-from groundloom.operators import picking, splats, terrain
+from groundloom.operators import picking, splats, terrain, transform
 from groundloom.plans.catalog import query
 from groundloom.plans.cameras import out
 from groundloom.plans.tables import view
@@ -72,15 +72,6 @@ def cloud_profile(t):
     return p.withColumn("degree", F.lit(degree)).withColumn("layout", F.lit("gaussian" if gaussian else "plain"))
 
 
-@query("affine_to_site", f"""WITH m AS (SELECT *, 3125e-4*(1+scene_id/1e1) AS s FROM plain) SELECT scene_id, splat_id, {r6('s*(8e-1*x-6e-1*y)+15e-1')} AS x, {r6('s*(6e-1*x+8e-1*y)-2e0')} AS y, {r6('s*z+25e-2')} AS z,
- {r6('ls0+ln(s)')} AS ls0, {r6('8e-1*6e-1')} AS nx FROM m""", "plain")
-def affine_to_site(t):
-    """Each scene's own 4x4 frame applied to positions, log-scales and a normal."""
-    frames = t.points.select("scene_id").distinct().selectExpr("scene_id", "3125e-4 * (1 + scene_id / 1e1) AS s")
-    p = plain(t).join(frames, "scene_id")
-    return out(p, ["scene_id", "splat_id"], x="s*(8e-1*x-6e-1*y)+15e-1", y="s*(6e-1*x+8e-1*y)-2e0", z="s*z+25e-2", ls0="ls0 + ln(s)", nx="8e-1*6e-1 + 0e0*s")
-
-
 @query("axis_flip", "SELECT scene_id, splat_id, x AS vx, -y AS vy, -z AS vz, x AS gx, z AS gy, -y AS gz FROM plain", "plain")
 def axis_flip(t):
     """Viewer frame (x, -y, -z) and glTF frame (x, z, -y)."""
@@ -116,18 +107,6 @@ def sh_colour(t):
     return out(s, ["scene_id", "splat_id"], red="red", green="green", blue="blue")
 
 
-@query("sh_rotate")
-def sh_rotate(t):
-    """Coefficients turned with the scene by 40 degrees about z; band energies are kept."""
-    import math
-
-    c, s = math.cos(math.radians(40)), math.sin(math.radians(40))
-    d = harmonics.rotation_matrix([[c, -s, 0.0], [s, c, 0.0], [0.0, 0.0, 1.0]])
-    r = t.splats.withColumn("turned", harmonics.rotate(F.col("f_rest"), d))
-    energy = lambda c: F.aggregate(F.transform(F.slice(c, 1, 15), lambda v: v * v), F.lit(0.0), lambda a, b: a + b)
-    return out(r, ["scene_id", "splat_id"], before=energy(F.col("f_rest")), after=energy(F.col("turned")), first=F.element_at("turned", 1))
-
-
 view("splatm", ("splats",), """SELECT *, 1-2*(qy*qy+qz*qz) AS m00, 2*(qx*qy-qw*qz) AS m01, 2*(qx*qz+qw*qy) AS m02, 2*(qx*qy+qw*qz) AS m10, 1-2*(qx*qx+qz*qz) AS m11, 2*(qy*qz-qw*qx) AS m12,
  2*(qx*qz-qw*qy) AS m20, 2*(qy*qz+qw*qx) AS m21, 1-2*(qx*qx+qy*qy) AS m22, exp(2*ls0) AS s0, exp(2*ls1) AS s1, exp(2*ls2) AS s2 FROM (SELECT *, rw/n AS qw, rx/n AS qx, ry/n AS qy, rz/n AS qz FROM (
  SELECT scene_id, splat_id, x, y, z, ls0, ls1, ls2, rw, rx, ry, rz, sqrt(rw*rw+rx*rx+ry*ry+rz*rz) AS n FROM splats) q) p""")
@@ -207,3 +186,55 @@ def pick_ray(t):
     rays = t.cameras.select("scene_id", F.col("frame").alias("ray_id"), *[F.col("p" + a).alias("o" + a) for a in "xyz"], *[F.col("f" + a).alias("d" + a) for a in "xyz"])
     hits = picking.ray_hits(g.with_rotation(t.splats, ("rw", "rx", "ry", "rz")), rays)
     return hits.select("scene_id", "ray_id", "splat_id", R6("distance").alias("distance"))
+
+
+# each scene has its own frame: a turn about its own axis, a scale and a shift
+view("siteframes", ("points",), """SELECT *, s*(1-2*(c*c+d*d)) AS a00, s*2*(b*c-w*d) AS a01, s*2*(b*d+w*c) AS a02, s*2*(b*c+w*d) AS a10, s*(1-2*(b*b+d*d)) AS a11, s*2*(c*d-w*b) AS a12,
+ s*2*(b*d-w*c) AS a20, s*2*(c*d+w*b) AS a21, s*(1-2*(b*b+c*c)) AS a22, 15e-1 AS t0, -2e0 AS t1, 25e-2+scene_id/1e1 AS t2 FROM (SELECT scene_id, s, qw/n AS w, qx/n AS b, qy/n AS c, qz/n AS d FROM (
+ SELECT *, sqrt(qw*qw+qx*qx+qy*qy+qz*qz) AS n FROM (SELECT DISTINCT scene_id, 3125e-4*(1+scene_id/1e1) AS s, 1e0 AS qw, CAST(scene_id % 5 AS DOUBLE)/4e0-3e-1 AS qx, CAST(scene_id % 7 AS DOUBLE)/5e0-6e-1 AS qy, CAST(scene_id % 11 AS DOUBLE)/6e0 AS qz FROM points) q3) q2) q1""")
+
+
+def site_frames(t):
+    f = t.points.select("scene_id").distinct().selectExpr(
+        "scene_id", "3125e-4 * (1 + scene_id / 1e1) AS s", "1e0 AS qw", "CAST(scene_id % 5 AS DOUBLE)/4e0-3e-1 AS qx", "CAST(scene_id % 7 AS DOUBLE)/5e0-6e-1 AS qy", "CAST(scene_id % 11 AS DOUBLE)/6e0 AS qz")
+    f = g.with_rotation(f, prefix="a")
+    return f.select("scene_id", *[(F.col("s") * F.col(e)).alias(e) for e in transform.ENTRIES], F.lit(1.5).alias("t0"), F.lit(-2.0).alias("t1"), (F.lit(0.25) + F.col("scene_id") / F.lit(10.0)).alias("t2"))
+
+
+def moved(t):
+    """Splats in site axes; each has its direction from the origin as a normal."""
+    l = F.expr("sqrt(x*x+y*y+z*z)")
+    s = t.splats.withColumn("_l", l).withColumns({"n" + a: F.col(a) / F.col("_l") for a in "xyz"}).drop("_l")
+    return transform.to_site(s, site_frames(t))
+
+
+R4 = lambda c: rounded(c, 4)
+r4 = lambda e: f"floor(({e})*1e4+5e-1)/1e4"
+
+
+@query("affine_to_site", f"""SELECT p.scene_id, splat_id, {', '.join(r4(f'a{r}0*x+a{r}1*y+a{r}2*z+t{r}') + f' AS {a}' for r, a in enumerate('xyz'))}, {', '.join(r4(f'ls{k}+ln(s)') + f' AS ls{k}' for k in range(3))},
+ {', '.join(r4(f'(a{r}0*x+a{r}1*y+a{r}2*z)/s/sqrt(x*x+y*y+z*z)') + f' AS n{a}' for r, a in enumerate('xyz'))} FROM splats p JOIN siteframes f ON f.scene_id=p.scene_id""", "splats siteframes")
+def affine_to_site(t):
+    """Positions, normals and log sizes of all splats in the frames of their scenes."""
+    m = moved(t)
+    return m.select("scene_id", "splat_id", *[R4(c).alias(c) for c in ("x", "y", "z", "ls0", "ls1", "ls2", "nx", "ny", "nz")])
+
+
+def _turned_cov(i: int, j: int) -> str:
+    """Entry of A (R S S' R') A' from the covariance before the move."""
+    k = lambda a, b: "+".join(f"m{a}{n}*m{b}{n}*s{n}" for n in range(3))
+    return "+".join(f"f.a{i}{a}*f.a{j}{b}*({k(a, b)})" for a in range(3) for b in range(3))
+
+
+@query("affine_covariance", f"SELECT p.scene_id, splat_id, {', '.join(r4(_turned_cov(i, j)) + f' AS c{i}{j}' for i in range(3) for j in range(i, 3))} FROM splatm p JOIN siteframes f ON f.scene_id=p.scene_id", "splatm siteframes")
+def affine_covariance(t):
+    """Covariances from the moved sizes and orientations: those from before, carried by the frame."""
+    m = splats.covariance(g.with_rotation(moved(t), ("rw", "rx", "ry", "rz")))
+    return m.select("scene_id", "splat_id", *[R4(f"c{i}{j}").alias(f"c{i}{j}") for i in range(3) for j in range(i, 3)])
+
+
+@query("sh_rotate", _sh_sql().replace("*1e6+5e-1)/1e6", "*1e4+5e-1)/1e4"), "basis")
+def sh_rotate(t):
+    """Colour of the moved splats seen along the turned direction: the colour from before."""
+    s = harmonics.colour(moved(t), ("nx", "ny", "nz"), ["dc0", "dc1", "dc2"], "f_rest")
+    return s.select("scene_id", "splat_id", *[R4(c).alias(c) for c in ("red", "green", "blue")])
