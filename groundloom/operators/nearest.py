@@ -3,20 +3,19 @@
 ``candidates`` narrows, level by level, which targets can be the nearest one for any place in a
 grid cell; the point table then meets only those through an equi-join. The result is exact:
 a target is dropped only when another one is nearer for every place in the cell. Bounds are
-taken inside salted subgroups, so a scene with very many targets never meets in one task.
+minima, summed up before they are shuffled, so a scene with very many targets never meets in one task.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from groundloom.session import cut_lineage, spread_by
 
-#: Targets of a scene for each salted subgroup of its first, coarse cells.
-SALTED = 2048
-LIST = 512
+#: Points of a cell that make up for narrowing its candidates once more.
+PER_CELL = 16
 
 
 def segment_distance(at: list[Column], a: list[Column], b: list[Column]) -> tuple[Column, Column]:
@@ -30,21 +29,16 @@ def segment_distance(at: list[Column], a: list[Column], b: list[Column]) -> tupl
     return F.sqrt(sum((o * o for o in off[1:]), off[0] * off[0])), t
 
 
-def largest_scene(targets: DataFrame) -> int:
-    return targets.groupBy("scene_id").count().agg(F.max("count")).first()[0] or 0
-
-
-def candidates(targets: DataFrame, box: DataFrame, dims: list[str], tie: str, depth: int = 5, largest: int | None = None) -> DataFrame:
+def candidates(targets: DataFrame, box: DataFrame, dims: list[str], tie: str, depth: int = 5) -> DataFrame:
     """Targets worth comparing per grid cell.
 
     ``targets`` has scene_id, ``tie`` (unique within a scene) and ``a_<dim>``, ``b_<dim>`` end points; ``box`` has
     scene_id, ``lo_<dim>``, ``hi_<dim>`` covering every point that will be looked up. Adds the
-    cell columns ``c_<dim>`` at resolution 2^depth per axis. Subgroups are as many as the ``largest`` scene's targets
-    call for, so that none holds more than a fixed number of rows, even when all targets lie in one cell.
+    cell columns ``c_<dim>`` at resolution 2^depth per axis.
     """
-    salts = -(-(largest_scene(targets) if largest is None else largest) // SALTED) or 1
     live = spread_by(targets.join(box, "scene_id"), "scene_id", tie)
     first = min(6 // len(dims), depth)  # start from about 64 cells
+    cell = ["scene_id", *["c_" + d for d in dims]]
     for level in range(first, depth + 1):
         parts = 2**level
         for d in dims:
@@ -54,13 +48,11 @@ def candidates(targets: DataFrame, box: DataFrame, dims: list[str], tie: str, de
         centre = [F.col("lo_" + d) + (F.col("c_" + d) + 0.5) * size[d] for d in dims]
         dist, _ = segment_distance(centre, [F.col("a_" + d) for d in dims], [F.col("b_" + d) for d in dims])
         diagonal = F.sqrt(sum((size[d] * size[d] for d in dims[1:]), size[dims[0]] * size[dims[0]]))
+        live = live.withColumn("_d", dist)
         # for any place in the cell a target is within dist +- diagonal/2; the slack covers rounding
-        live = live.withColumn("_d", dist).withColumn("_slack", diagonal * 1.0000001 + 1e-9)
-        # any target's distance is a valid bound, so each salted subgroup uses its own minimum
-        salt = F.pmod(F.xxhash64(F.col(tie)), F.lit(max(1, salts >> (len(dims) * (level - first)))))
-        w = Window.partitionBy("scene_id", *["c_" + d for d in dims], salt)
-        live = live.withColumn("_best", F.min("_d").over(w)).where(F.col("_d") <= F.col("_best") + F.col("_slack"))
-    return live.drop("_d", "_slack", "_best", *["lo_" + d for d in dims], *["hi_" + d for d in dims])
+        best = live.groupBy(*cell).agg((F.min("_d") + F.first(diagonal) * 1.0000001 + 1e-9).alias("_most"))
+        live = cut_lineage(live.join(best, cell).where("_d <= _most").drop("_d", "_most"))
+    return live.drop(*["lo_" + d for d in dims], *["hi_" + d for d in dims])
 
 
 def cells_of(points: DataFrame, box: DataFrame, columns: dict[str, str], depth: int = 5) -> DataFrame:
@@ -75,37 +67,34 @@ def cells_of(points: DataFrame, box: DataFrame, columns: dict[str, str], depth:
 
 def bounding_box(points: DataFrame, columns: dict[str, str]) -> DataFrame:
     aggs = [f(c).alias(p + d) for d, c in columns.items() for f, p in ((F.min, "lo_"), (F.max, "hi_"))]
-    return points.groupBy("scene_id").agg(*aggs)
+    return points.groupBy("scene_id").agg(F.count(F.lit(1)).alias("_n"), *aggs)
 
 
 def nearest(points: DataFrame, targets: DataFrame, columns: dict[str, str], point_key: list[str], tie: str, carry: list[str], depth: int | None = None) -> DataFrame:
     """Nearest target per point (first by ``tie`` when equal): keys, ``distance``, ``t`` and the carried target columns.
 
-    A cell's candidates travel as lists of at most about ``LIST``, so a point meets them in its own row. Only where some cell
-    holds more are there several lists, whose answers are then compared by point. The grid has about as many cells as the
-    largest scene has targets, unless ``depth`` says otherwise.
+    Points meet the candidates of their cell row by row in one compiled stage and are reduced by minima of plain numbers: first the
+    distance, then the smallest ``tie`` at that distance; what is carried is fetched for the winners only. The grid is about as fine as the
+    points of the largest scene, or its targets, pay for, unless ``depth`` says otherwise.
     """
     dims = list(columns)
-    largest = largest_scene(targets)
+    box = cut_lineage(bounding_box(points, columns).join(targets.groupBy("scene_id").agg(F.count(F.lit(1)).alias("_m")), "scene_id"))
     if depth is None:
-        depth = min(8, max(3, math.ceil(math.log2(largest + 1) / len(dims))))
+        n, m = box.agg(F.max("_n"), F.max("_m")).first()
+        cells = min((n or 0) / PER_CELL, m or 0)
+        depth = min(12, max(3, math.ceil(math.log2(cells + 1) / len(dims))))
+    box = box.drop("_n", "_m")
     cell = ["scene_id", *["c_" + d for d in dims]]
-    box = bounding_box(points, columns)
-    cand = cut_lineage(candidates(targets, box, dims, tie, depth, largest))
-    most = cand.groupBy(*cell).count().agg(F.max("count")).first()[0] or 0
-    lists = -(-most // LIST) or 1
-    item = F.struct(*dict.fromkeys([tie, *[p + d for d in dims for p in ("a_", "b_")], *carry]))
-    grouped = cand.groupBy(*cell, F.pmod(F.xxhash64(F.col(tie)), F.lit(lists)).alias("_list")).agg(F.collect_list(item).alias("_of")).drop("_list")
-    both = cells_of(points, box, columns, depth).join(grouped, cell)
-
-    def answer(c: Column) -> Column:
-        dist, t = segment_distance([F.col(v) for v in columns.values()], [c["a_" + d] for d in dims], [c["b_" + d] for d in dims])
-        return F.struct(dist.alias("distance"), c[tie].alias("_tie"), t.alias("t"), *[c[n].alias(n) for n in carry])
-
-    both = both.select("scene_id", *point_key, F.array_min(F.transform("_of", answer)).alias("_n"))
-    if lists > 1:
-        both = both.groupBy("scene_id", *point_key).agg(F.min("_n").alias("_n"))
-    return both.select("scene_id", *point_key, "_n.*").drop("_tie")
+    ends = [p + d for d in dims for p in ("a_", "b_")]
+    cand = candidates(targets.select("scene_id", tie, *ends), box, dims, tie, depth).withColumnRenamed(tie, "_tie")
+    at = cells_of(points.select("scene_id", *point_key, *dict.fromkeys(columns.values())), box, columns, depth)
+    dist, t = segment_distance([F.col(v) for v in columns.values()], [F.col("a_" + d) for d in dims], [F.col("b_" + d) for d in dims])
+    own = ["scene_id", *point_key]
+    places = list(dict.fromkeys(columns.values()))
+    low = cut_lineage(at.join(cand, cell).groupBy(*own, *places, *cell[1:]).agg(F.min(dist).alias("distance")))
+    won = low.join(cand, cell).where(dist <= F.col("distance")).groupBy(*own, *places, "distance").agg(F.min("_tie").alias("_tie"))
+    carried = targets.select("scene_id", F.col(tie).alias("_tie"), *ends, *[F.col(c).alias("_c_" + c) for c in carry])
+    return won.join(carried, ["scene_id", "_tie"]).select(*own, "distance", t.alias("t"), *[F.col("_c_" + c).alias(c) for c in carry])
 
 
 def within_radius(points: DataFrame, centres: DataFrame, radius: Column) -> DataFrame:

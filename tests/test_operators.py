@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from groundloom.functions import harmonics, sun, text
 from groundloom.functions.numeric import exact_mean, exact_sum
-from groundloom.operators import chains, cloth, estimate, mesh, nearest, order_stats, raster, records, repair, sequence, splats, tiles, walk
+from groundloom.operators import chains, cloth, estimate, mesh, nearest, order_stats, planes, raster, records, repair, sequence, splats, tiles, walk
 
 
 def rng():
@@ -220,7 +220,7 @@ def test_dominant_plane_finds_the_ground(spark):
     xy = r.uniform(0, 10, (900, 2))
     z = np.where(np.arange(900) < 700, 0.1 * xy[:, 0], r.uniform(0, 4, 900))
     df = spark.createDataFrame(pd.DataFrame({"scene_id": np.int32(0), "point_id": np.arange(900), "x": xy[:, 0], "y": xy[:, 1], "z": z}))
-    p = estimate.dominant_plane(df).first()
+    p = planes.dominant_plane(df).first()
     assert p["nz"] > 0.99 and p["share"] > 0.75
 
 
