@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from groundloom.session import cut_lineage, spread_by
 
 #: Points of a cell that make up for narrowing its candidates once more.
-PER_CELL = 16
+PER_CELL = 64
 
 
 def segment_distance(at: list[Column], a: list[Column], b: list[Column]) -> tuple[Column, Column]:
@@ -87,11 +87,11 @@ def nearest(points: DataFrame, targets: DataFrame, columns: dict[str, str], poin
     cell = ["scene_id", *["c_" + d for d in dims]]
     ends = [p + d for d in dims for p in ("a_", "b_")]
     cand = candidates(targets.select("scene_id", tie, *ends), box, dims, tie, depth).withColumnRenamed(tie, "_tie")
-    at = cells_of(points.select("scene_id", *point_key, *dict.fromkeys(columns.values())), box, columns, depth)
+    at = cells_of(points.select(*dict.fromkeys(["scene_id", *point_key, *columns.values()])), box, columns, depth)
     dist, t = segment_distance([F.col(v) for v in columns.values()], [F.col("a_" + d) for d in dims], [F.col("b_" + d) for d in dims])
     own = ["scene_id", *point_key]
-    places = list(dict.fromkeys(columns.values()))
-    low = cut_lineage(at.join(cand, cell).groupBy(*own, *places, *cell[1:]).agg(F.min(dist).alias("distance")))
+    places = [c for c in dict.fromkeys(columns.values()) if c not in own]
+    low = at.join(cand, cell).groupBy(*own, *places, *cell[1:]).agg(F.min(dist).alias("distance"))
     won = low.join(cand, cell).where(dist <= F.col("distance")).groupBy(*own, *places, "distance").agg(F.min("_tie").alias("_tie"))
     carried = targets.select("scene_id", F.col(tie).alias("_tie"), *ends, *[F.col(c).alias("_c_" + c) for c in carry])
     return won.join(carried, ["scene_id", "_tie"]).select(*own, "distance", t.alias("t"), *[F.col("_c_" + c).alias(c) for c in carry])

@@ -266,12 +266,13 @@ def test_row_numbers_with_chunks_from_the_data(spark, scale):
     assert sequence.with_chunk(df, "o", None).select("_chunk").distinct().count() >= 2
 
 
-def test_nearest_with_several_lists(spark, monkeypatch):
-    monkeypatch.setattr(nearest, "LIST", 3)
+@pytest.mark.parametrize("depth", [None, 3, 6])
+def test_nearest_by_cells(spark, depth):
     r = rng()
     t = r.uniform(0, 10, (60, 2))
+    t[30:40] = t[:10]  # equal targets: the smaller k
     p = r.uniform(0, 10, (80, 2))
     targets = spark.createDataFrame([(0, k, float(a), float(b), float(a), float(b)) for k, (a, b) in enumerate(t)], "scene_id int, k int, a_x double, a_y double, b_x double, b_y double")
     points = spark.createDataFrame([(0, k, float(a), float(b)) for k, (a, b) in enumerate(p)], "scene_id int, id int, x double, y double")
-    got = {x.id: x.k for x in nearest.nearest(points, targets, {"x": "x", "y": "y"}, ["id"], "k", ["k"], 3).collect()}
+    got = {x.id: x.k for x in nearest.nearest(points, targets, {"x": "x", "y": "y"}, ["id"], "k", ["k"], depth).collect()}
     assert got == {k: int(((t - v) ** 2).sum(1).argmin()) for k, v in enumerate(p)}
