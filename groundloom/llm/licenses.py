@@ -1,35 +1,51 @@
 """Licence scan: a trained paragraph classifier, its verdicts confirmed against templates.
 
-Paragraphs (lines, and runs of lines over which a notice is wrapped) become sets of word pairs, of which those that occur in licence templates are features. Sparse multinomial logistic
-regression (one class for each family and one for unknown) is fitted on variants of the templates and on a bounded sample of corpus
-paragraphs; the probability that a family needs is calibrated on paragraphs held out of the fit, so that unknown ones stay unknown. A
-predicted family is confirmed where the paragraph holds enough of one of its templates.
+Paragraphs (lines, and runs of lines over which a notice is wrapped) become sets of word pairs, of which those that occur in licence
+templates are features. Sparse multinomial logistic regression (one class for each family and one for unknown) is fitted on variants of
+the templates and on a bounded sample of corpus paragraphs; the probability that a family needs is calibrated on paragraphs held out of
+the fit, so that unknown ones stay unknown. A predicted family is confirmed where the paragraph holds enough of one of its templates and
+all pairs of names and versions that the template tells its licence by; where it holds the one without the other, it is unknown.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from groundloom.llm.common import body
+from groundloom.llm.common import body, slices
 
-#: Licence notices by family, fixed values.
+#: Licence notices by family, fixed values. BSD-3-Clause stands for BSD-2-Clause too: both begin with the sentence given here.
 TEMPLATES = {
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "Licensed under the Apache License, Version 2.0."),
     "MIT": ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.", "Released under the MIT License.", "Licensed under the MIT License."),
     "GPL-3.0": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, either version 3 of the License, or any later version.", "This work is licensed under the GNU General Public License, version 3."),
+    "GPL-2.0": ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License; either version 2 of the License, or any later version.", "This work is licensed under the GNU General Public License, version 2."),
+    "AGPL-3.0": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License, either version 3 of the License, or any later version.", "This work is licensed under the GNU Affero General Public License, version 3."),
+    "LGPL-3.0": ("This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License, either version 3 of the License, or any later version.", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    "LGPL-2.1": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License; either version 2.1 of the License, or any later version.", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
     "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Use of this source code is governed by a BSD-style license."),
+    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "Released under the ISC License."),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",),
+    "MPL-1.1": ("The contents of this file are subject to the Mozilla Public License Version 1.1 (the License); you may not use this file except in compliance with the License.",),
+    "EPL-2.0": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.", "Licensed under the Eclipse Public License, version 2.0."),
     "CC-BY-4.0": ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0."),
+    "CC-BY-SA-4.0": ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0."),
+    "CC-BY-ND-4.0": ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "Licensed under CC BY-ND 4.0."),
     "CC-BY-NC-4.0": ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC 4.0."),
     "CC0-1.0": ("To the extent possible under law, the author has waived all copyright and related rights to this work.", "Released under CC0 1.0."),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
+#: Words that licences are told apart by, fixed values; versions are told by their digits.
+NAMES = {"apache", "mit", "gnu", "general", "affero", "lesser", "public", "bsd", "isc", "mozilla", "eclipse", "creative", "commons", "attribution", "sharealike", "noderivatives", "noncommercial",
+         "cc", "cc0", "by", "sa", "nd", "nc", "license", "version", "unencumbered", "style"}
 UNKNOWN = "unknown"
 #: Corpus paragraphs in the fit at most.
 TRAINING_PARAGRAPHS = 20_000
@@ -43,6 +59,12 @@ def pairs(paragraph: str) -> set[tuple[str, str]]:
     return set(zip(["", *w], [*w, ""])) - {("", "")}
 
 
+def told_by(template: set) -> set:
+    """The pairs of a template of which both words name a licence or its version."""
+    says = lambda w: w in NAMES or w[:1].isdigit()
+    return {p for p in template if says(p[0]) and says(p[1])}
+
+
 def line_words(line: str) -> list[str]:
     """The words of a line in lower case, without a comment mark before them."""
     return _words((line[m.end() :] if (m := _mark(line)) else line).lower())
@@ -55,6 +77,7 @@ class Model:
     weights: np.ndarray  # [features + 1, classes], the last row is the bias; unknown is the last class
     least: float
     templates: list[list[set]]
+    required: list[list[set]]
 
     def predict(self, found: set) -> tuple[str, float, float]:
         """Family or unknown, its probability, and the best share of one of the family's templates that the paragraph holds."""
@@ -65,7 +88,11 @@ class Model:
         k = int(p[:-1].argmax())
         if p[k] < self.least:
             return UNKNOWN, float(1 - p[k]), 0.0
-        return self.families[k], float(p[k]), max(len(found & t) / len(t) for t in self.templates[k])
+        held = [(len(found & t) / len(t), own <= found) for t, own in zip(self.templates[k], self.required[k], strict=True)]
+        share = max((share for share, told in held if told), default=0.0)
+        if share < CONFIRMED <= max(held)[0]:  # all but the name or version: another licence
+            return UNKNOWN, float(1 - p[k]), 0.0
+        return self.families[k], float(p[k]), share
 
 
 def _run(model: Model, lines: list[list[str]], single: list[float]) -> tuple[int, int, str, float, float] | None:
@@ -147,14 +174,16 @@ def notices(model: Model, text: str) -> list[tuple[int, str, float, float, bool]
 
 
 def fit(rows: list[tuple[set, int]], classes: int, size: int, vocabulary: dict, rounds: int = 300, rate: float = 2.0, l1: float = 2e-4) -> np.ndarray:
-    """Proximal gradient descent on dense rows of a small vocabulary; classes weigh the same in all."""
-    x = np.zeros((len(rows), size + 1))
-    y = np.zeros((len(rows), classes))
-    for i, (found, k) in enumerate(rows):
-        x[i, [j for p in found if (j := vocabulary.get(p)) is not None]] = 1
+    """Proximal gradient descent; rows of the same features and class are one row with a weight; classes weigh the same in all."""
+    seen = Counter((tuple(sorted(j for p in found if (j := vocabulary.get(p)) is not None)), k) for found, k in rows)
+    x = np.zeros((len(seen), size + 1))
+    y = np.zeros((len(seen), classes))
+    for i, (known, k) in enumerate(seen):
+        x[i, list(known)] = 1
         y[i, k] = 1
     x[:, -1] = 1
-    share = (y / np.maximum(y.sum(axis=0), 1)).sum(axis=1) / classes
+    many = np.array(list(seen.values()), dtype=float)
+    share = many * (y / np.maximum((y * many[:, None]).sum(axis=0), 1)).sum(axis=1) / classes
     w = np.zeros((size + 1, classes))
     for _ in range(rounds):
         z = x @ w
@@ -165,28 +194,39 @@ def fit(rows: list[tuple[set, int]], classes: int, size: int, vocabulary: dict,
     return w
 
 
+#: Characters of each line around a drawn one that are looked at.
+AROUND_CHARS = 600
+
+
 def train(docs: DataFrame, most: int = TRAINING_PARAGRAPHS, false_share: float = 1e-3) -> Model:
-    """Fit on template variants and on at most ``most`` paragraphs of the corpus, drawn by a hash, that, with the lines around, hold little of any template."""
+    """Fit on template variants and on at most ``most`` distinct paragraphs of the corpus that, with the lines around, hold little of any template.
+
+    Lines are drawn by a hash of their text, so copies are drawn together and count once. Only features of the drawn lines travel.
+    """
     templates = [[pairs(t) for t in ts] for ts in TEMPLATES.values()]
     vocabulary = {p: k for k, p in enumerate(sorted(set().union(*[t for ts in templates for t in ts])))}
-    lines = docs.select(F.split(body(docs), "\n").alias("lines")).select("lines", F.posexplode("lines").alias("at", "line")).where("trim(line) <> ''")
-    n = lines.count()
-    draw = F.pmod(F.xxhash64("line", F.lit(3)), F.lit(10_000_000))
-    sample = lines.where(draw < math.ceil(1e7 * min(1.0, most / max(1, n))))
+    lines = docs.select(F.split(body(docs), "\n").alias("lines"))
+    n = lines.agg(F.sum(F.size(F.filter("lines", lambda x: F.trim(x) != "")))).first()[0] or 0
+    drawn = math.ceil(1e7 * min(1.0, most / max(1, n)))
+    wanted = lambda x: (F.trim(x) != "") & (F.pmod(F.xxhash64(x, F.lit(3)), F.lit(10_000_000)) < drawn)
     # a line beside which more of a notice stands may be a part of it
-    sample = sample.select("line", F.array_join(F.slice("lines", F.greatest(F.col("at") - 3, F.lit(1)), F.lit(9)), "\n").alias("near"))
-    sample = sample.groupBy("line").agg(F.max("near").alias("near")).orderBy(F.xxhash64("line"), "line").limit(most)
+    near = lambda i: F.array_join(F.transform(F.slice("lines", F.greatest(i - 3, F.lit(1)), F.lit(9)), lambda x: F.substring(x, 1, AROUND_CHARS)), "\n")
+    picked = F.filter(F.transform("lines", lambda x, i: F.when(wanted(x), F.struct(x.alias("line"), near(i).alias("near")))), lambda x: x.isNotNull())
+    sample = lines.select(F.explode(picked).alias("x")).select("x.line", "x.near")
 
     def shown(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            found = [pairs(t) for t in x["line"]]
-            known = [sorted(vocabulary[p] for p in f if p in vocabulary) for f in found]
-            around = [set(zip(w, w[1:])) for w in ([v for line in t.split("\n") for v in line_words(line)] for t in x["near"])]
-            held = [max(len((f | g) & t) / len(t) for ts in templates for t in ts) for f, g in zip(found, around, strict=True)]
-            yield pd.DataFrame({"known": known, "held": held})
+            out = []
+            for line, around in zip(x["line"], x["near"], strict=True):
+                found = pairs(line)
+                w = [v for t in around.split("\n") for v in line_words(t)]
+                whole = (found | set(zip(w, w[1:]))) & vocabulary.keys()
+                out.append((xxhash.xxh64_intdigest(line) >> 1, sorted(vocabulary[p] for p in found if p in vocabulary), max(len(whole & t) / len(t) for ts in templates for t in ts)))
+            yield pd.DataFrame(out, columns=["key", "known", "held"])
 
     names = list(vocabulary)
-    plain = [{names[k] for k in r["known"]} for r in sample.mapInPandas(shown, "known array<int>, held double").where("held < 0.3").collect()]
+    seen = sample.mapInPandas(shown, "key long, known array<int>, held double").groupBy("key", "known").agg(F.max("held").alias("held"))
+    plain = [{names[k] for k in r["known"]} for r in seen.where("held < 0.3").orderBy("key", "known").limit(most).collect()]
     draw_ = np.random.default_rng(11)
     rows: list[tuple[set, int]] = []
     for k, ts in enumerate(templates):
@@ -198,8 +238,8 @@ def train(docs: DataFrame, most: int = TRAINING_PARAGRAPHS, false_share: float =
     classes = len(templates) + 1
     fitted = [*rows, *[(p, classes - 1) for p in plain[:cut]], (set(), classes - 1)]
     weights = fit(fitted, classes, len(vocabulary), vocabulary)
-    model = Model(list(TEMPLATES), vocabulary, weights, 0.0, templates)
-    wrong = sorted(model.predict(p)[1] for p in plain[cut:])
+    model = Model(list(TEMPLATES), vocabulary, weights, 0.0, templates, [[told_by(t) for t in ts] for ts in templates])
+    wrong = sorted(1 - q if family == UNKNOWN else q for family, q, _ in map(model.predict, plain[cut:]))
     top = wrong[min(len(wrong) - 1, math.floor((1 - false_share) * len(wrong)))] if wrong else 0.5
     model.least = max(0.5, min(0.95, top + 1e-6))
     return model
@@ -216,10 +256,10 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            out: list[tuple] = []
-            for doc, text in zip(x["doc_id"], x["text"], strict=True):
-                out += [(doc, *x) for x in notices(model, text)]
-            yield pd.DataFrame(out, columns=["doc_id", "paragraph", "family", "probability", "template_share", "confirmed"])
+            texts = x["text"].tolist()
+            for a, b in slices(texts):
+                out = [(doc, *found) for doc, text in zip(x["doc_id"].iloc[a:b], texts[a:b], strict=True) for found in notices(model, text)]
+                yield pd.DataFrame(out, columns=["doc_id", "paragraph", "family", "probability", "template_share", "confirmed"])
 
     rows = docs.select(docs["doc_id"].cast("string").alias("doc_id"), body(docs).alias("text"))
     done = rows.mapInPandas(run, "doc_id string, paragraph long, family string, probability double, template_share double, confirmed boolean")

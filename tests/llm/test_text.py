@@ -366,6 +366,44 @@ def test_op6_wrapped_notices(spark):
     assert got == want
 
 
+def test_op6_neighbours(spark):
+    """Licences that differ in a name or a version are told apart; those without a family of their own stay unconfirmed."""
+    free = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by the Free Software Foundation, either version {} of the License, or any later version."
+    cc = "This work is licensed under a Creative Commons {} International License."
+    mpl = "The contents of this file are subject to the Mozilla Public License Version {} (the License); you may not use this file except in compliance with the License."
+    known = {
+        free.format("General", 3): "GPL-3.0", free.format("General", 2): "GPL-2.0", free.format("Affero General", 3): "AGPL-3.0", free.format("Lesser General", 3): "LGPL-3.0",
+        free.format("Lesser General", "2.1"): "LGPL-2.1", cc.format("Attribution 4.0"): "CC-BY-4.0", cc.format("Attribution-ShareAlike 4.0"): "CC-BY-SA-4.0",
+        cc.format("Attribution-NoDerivatives 4.0"): "CC-BY-ND-4.0", cc.format("Attribution-NonCommercial 4.0"): "CC-BY-NC-4.0", mpl.format("1.1"): "MPL-1.1",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.": "MPL-2.0", "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0", "Released under the ISC License.": "ISC",
+    }
+    other = [free.format("General", 1), free.format("Affero General", 1), cc.format("Attribution 2.5"), cc.format("Attribution-NonCommercial 3.0"), mpl.format("1.0"), "Licensed under the Apache License, Version 1.1.", "Licensed under CC BY 3.0."]
+    model = licenses.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    texts = [*known, *other]
+    found = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).where("confirmed").collect()
+    assert {texts[r.doc_id]: r.family for r in found} == known
+
+
+def test_op6_against_plain_scoring(spark):
+    """Every line's verdict from the weights, pair by pair."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = licenses.train(docs)
+    want = set()
+    for d in docs.collect():
+        for k, line in enumerate(d.text.split("\n")):
+            found = licenses.pairs(line)
+            z = model.weights[-1].copy()
+            for p in found & model.vocabulary.keys():
+                z += model.weights[model.vocabulary[p]]
+            q = np.exp(z) / np.exp(z).sum()
+            top = int(q[:-1].argmax())
+            shares = [len(found & t) / len(t) for t, own in zip(model.templates[top], model.required[top]) if own <= found]
+            if q[top] >= model.least and max(shares, default=0) >= licenses.CONFIRMED:
+                want.add((d.doc_id, k, model.families[top], round(float(q[top]), 9)))
+    got = {(r.doc_id, r.paragraph, r.family, round(r.probability, 9)) for r in licenses.scan(docs, model).where("confirmed").collect()}
+    assert got == want and want
+
+
 # ---- personal data
 
 
