@@ -1,6 +1,7 @@
 """Connected components of a table of links, by alternating large and small stars.
 
-Every round is two groupings and two joins on a node; a node of many links is pre-aggregated by the grouping, and its join can be split.
+Every round is two groupings and two joins on a node. A node of many links is pre-aggregated by the grouping; the minima are written before
+they are joined, so that both sides of the join are plain shuffles and Spark can split a hub's links over tasks.
 Rounds grow with the logarithm of the longest path. Each round's links go to the checkpoint folder.
 """
 
@@ -25,9 +26,9 @@ def components(links: DataFrame) -> DataFrame:
     mark = _mark(e)
     while True:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.join(low, F.col("a") == F.col("u")).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
+        low = cut_lineage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")))
+        large = cut_lineage(both.join(low, F.col("a") == F.col("u")).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        least = cut_lineage(large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m"))
         small = large.join(least, F.col("a") == F.col("u"))
         ends = F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b"))))
         e = cut_lineage(small.select(ends.alias("x")).select("x.a", "x.b").where(F.col("a") != F.col("b")).distinct())

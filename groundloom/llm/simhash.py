@@ -118,8 +118,8 @@ def stars(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
-def compare_blocks(blocks: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
-    """Links (a, b: fingerprints) that join what is near in each row of ``blocks`` (members: array of fingerprints).
+def compare_blocks(blocks: DataFrame, radius: int, block: int = BLOCK, width: int = 8) -> DataFrame:
+    """Links (a, b: fingerprints) that join what is near in the first ``width`` bytes in each row of ``blocks`` (members: array of fingerprints).
 
     Short rows are compared together, up to ``block`` members at once: a near pair from two rows is a true link too. A longer row is
     compared in parts of half a block, every two of them at once.
@@ -131,7 +131,7 @@ def compare_blocks(blocks: DataFrame, radius: int, block: int = BLOCK) -> DataFr
         if len(members) > 2 * half:
             cut = [members[k : k + half] for k in range(0, len(members), half)]
             return [x for p, q in combinations(cut, 2) for x in links(p + q)]
-        root = stars(len(members), *near_in_block(members, radius))
+        root = stars(len(members), *near_in_block([m[:width] for m in members], radius))
         return [(members[k], members[r]) for k, r in enumerate(root.tolist()) if k != r]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -218,7 +218,10 @@ BLOCK_WORDS = 4_000_000
 
 
 def sketches(docs: DataFrame, size: int = 5) -> DataFrame:
-    """doc_id, row_key (hash of id and text), fp (32 bytes), keys (a key for each band of minima) and n (their number) of the texts' distinct shingles; no keys without a word."""
+    """doc_id, row_key (hash of id and text), fp, keys (a key for each band of minima) and n (their number) of the texts' distinct shingles; no keys without a word.
+
+    ``fp`` is 32 bytes to compare and a 128-bit hash of the whole set behind them: it is equal for equal sets only.
+    """
     draw = np.random.default_rng(20)
     factor = draw.integers(1, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     shift = draw.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64)
@@ -231,8 +234,9 @@ def sketches(docs: DataFrame, size: int = 5) -> DataFrame:
         def sketch(text: str) -> tuple[bytes, list[int], int]:
             parts = list(set(shingles(text, size)))
             if not parts:
-                return bytes(WIDE), [], 0
+                return bytes(WIDE + 16), [], 0
             a, b = b"".join(map(low, parts)), b"".join(map(high, parts))
+            own = low(b"".join(sorted(a[k : k + 16] for k in range(0, len(a), 16))))
             h = np.frombuffer(a, dtype="<u8")[::2]
             least = np.full((BANDS * ROWS, 1), ~np.uint64(0))
             for k in range(0, len(h), STEP):
@@ -243,20 +247,20 @@ def sketches(docs: DataFrame, size: int = 5) -> DataFrame:
             if len(parts) % 2 == 0:  # an odd number votes, so that unrelated short texts differ in half of the bits too
                 k = 16 * int(h.argmax())
                 a, b = a[:k] + a[k + 16 :], b[:k] + b[k + 16 :]
-            return majority(a, 16) + majority(b, 16), keys, len(parts)
+            return majority(a, 16) + majority(b, 16) + own, keys, len(parts)
 
         for x in batches:
             out = [sketch(t) for t in x["text"]]
             yield pd.DataFrame({"doc_id": x["doc_id"], "row_key": x["row_key"], "fp": [f for f, _, _ in out], "keys": [k for _, k, _ in out], "n": [n for _, _, n in out]})
 
     rows = docs.select(docs["doc_id"].cast("string").alias("doc_id"), row_key(docs).alias("row_key"), body(docs).alias("text"))
-    done = rows.mapInPandas(run, "doc_id string, row_key long, fp binary, keys array<long>, n long")
+    done = rows.mapInPandas(run, "doc_id string, row_key string, fp binary, keys array<long>, n long")
     return done.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 def row_key(docs: DataFrame) -> Column:
-    """The same for repeated rows, and for them only."""
-    return F.xxhash64(docs["doc_id"], docs["text"])
+    """The same for repeated rows, and (128 bits) for them only."""
+    return F.concat(F.hex(F.xxhash64(docs["doc_id"], docs["text"])), F.lit("-"), F.hex(F.xxhash64(docs["text"], docs["doc_id"], F.lit(7))))
 
 
 def meetings(parts: Column) -> Column:
@@ -276,13 +280,13 @@ def candidate_links(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     small = found.where(F.col("n") <= half).groupBy("t", "key").agg(F.collect_list("fp").alias("members"))
     large = found.where(F.col("n") > half).select("t", "key", "fp", meetings(F.ceil(F.col("n") / (0.8 * half)).cast("int")).alias("x"))
     large = large.groupBy("t", "key", "x").agg(F.collect_list("fp").alias("members"))
-    return compare_blocks(small.select("members").union(large.select("members")), WIDE_RADIUS, block)
+    return compare_blocks(small.select("members").union(large.select("members")), WIDE_RADIUS, block, WIDE)
 
 
 def similar(members: list[bytes], sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
     """Places of pairs that join all ``members`` whose sets (sorted, distinct) have a Jaccard similarity of ``least``; what is joined already is not computed."""
     n = len(members)
-    i, j = np.triu_indices(n, 1) if n <= 64 else near_in_block(members, WIDE_RADIUS)
+    i, j = np.triu_indices(n, 1) if n <= 64 else near_in_block([m[:WIDE] for m in members], WIDE_RADIUS)
     sizes = np.array([len(s) for s in sets])
     can = np.minimum(sizes[i], sizes[j]) >= least * np.maximum(sizes[i], sizes[j]) - 1e-6
     i, j = i[can], j[can]
@@ -356,6 +360,6 @@ def near_texts(docs: DataFrame, size: int = 5, block: int = BLOCK, least: float
 def deduplicated(docs: DataFrame, least: float = 0.78) -> DataFrame:
     """One row of ``docs`` for each group of near copies, the one of smallest doc_id (ties: of smallest row_key), all columns as they are."""
     found = near_texts(docs, least=least)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("group").agg(F.min("row_key").alias("_key"))
-    keyed = docs.withColumn("_key", row_key(docs))
-    return keyed.join(first.select("_key"), "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("group").agg(F.min("row_key").alias("key")).select("key")
+    keyed = docs.select(row_key(docs).alias("key"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    return keyed.join(first, "key", "left_semi").dropDuplicates(["key"]).select("row.*")

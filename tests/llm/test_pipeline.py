@@ -59,7 +59,7 @@ def test_near_copies(stages):
                 if a < b and (a, b) not in seen:
                     seen.add((a, b))
                     j = len(docs[a] & docs[b]) / len(docs[a] | docs[b])
-                    if j >= 0.5:
+                    if j >= 0.8:
                         near[a].add(b), near[b].add(a)
                     assert j < 0.8 or not {a, b} <= kept
     for i in docs.keys() - kept:

@@ -623,6 +623,23 @@ def test_pipeline_drops_only_copies(spark):
     assert corpus_pipeline.near_duplicates(spark, docs, "").count() == 8
 
 
+def test_short_texts_of_different_words_stay(spark):
+    """Texts of 5 to 14 words that differ in the last one: shingle sets of similarity under 0.8 never are one document, whatever their fingerprints."""
+    rows, k = [], 0
+    for n in range(5, 15):
+        for t in range(12):
+            start = " ".join(f"w{n}x{t}y{j}" for j in range(n - 1))
+            rows += [(k, f"{start} agree", 1), (k + 1, f"{start} refuse", 1)]
+            k += 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key int")
+    left = simhash.deduplicated(docs, least=0.8)
+    got = {r.doc_id for r in left.collect()}
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    sets = {i: set(simhash.shingles(t, 5)) for i, t, _ in rows}
+    want = {i for i in range(0, k, 2)} | {i + 1 for i in range(0, k, 2) if jaccard(sets[i], sets[i + 1]) < 0.8}
+    assert got == want and left.columns == docs.columns
+
+
 def test_deduplicated_odd(spark, odd, empty):
     got = sorted((as_key(r.doc_id), r.text or "") for r in simhash.deduplicated(odd).collect())
     assert got == sorted((as_key(i), t or "") for i, t in {(i, t) for i, t, *_ in ODD} - {(3, ""), (4, " \t\n ")})
