@@ -1,11 +1,13 @@
 """Exact top-k inner products by pivot-table elimination.
 
-Vectors are turned into whole numbers, so scores and norms are exact. The pivot table holds every vector's distances to a few dozen
-pivots. For a query q and a candidate v, max over pivots of |d(q, p) - d(v, p)| is a lower bound of d(q, v), and
-(|q|^2 + |v|^2 - bound^2) / 2 an upper bound of the score. Within a block candidates are taken in the order of that bound until it falls
-under the k-th best score, also under the one that a bounded sample of all rows guarantees from the start.
-
-Queries and candidates meet in blocks: a task holds one block of each. Blocks return at most k rows a query, which a ranking merges.
+Vectors are turned into whole numbers, so scores and norms are exact. The pivot table holds every vector's distances to many pivots. From
+distances follow inner products with the pivots, and from those (by the pivots' Gram matrix) the part of a vector that lies in their span
+and the length of the rest. Two vectors of known parts are at least |part difference| and |difference of rests| apart, and no bound from
+these distances is larger: it beats the difference of distances to any one pivot. Turned round it is an upper bound of their score.
+
+Queries and candidates meet in blocks: a task holds one block of each. The bounds of a block come from one matrix product. Candidates are
+evaluated in the order of their bounds, for all queries of the block at once, until the next bound of each query is under its k-th best
+score; a first threshold comes from a bounded sample of all rows. Blocks return at most k rows a query, which a ranking merges.
 """
 
 from __future__ import annotations
@@ -19,12 +21,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from groundloom.llm.common import shared_table
 
-PIVOTS = 32
+PIVOTS = 48
 #: Rows of the sample from which pivots are chosen and first thresholds are taken. Any sample gives exact results.
 SAMPLE = 1024
-QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 1024
-#: Candidates evaluated at once.
-STEP = 64
+QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 8192
+#: Candidates of a query evaluated at once, and queries looked at together.
+STEP, QUERIES = 16, 256
 
 
 def whole_vectors(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -54,6 +56,54 @@ def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
     return sample[chosen]
 
 
+def spans(poles: np.ndarray) -> np.ndarray:
+    """What turns inner products with the pivots into coordinates along orthonormal directions of their span (pivots in the rows)."""
+    if not len(poles):
+        return np.zeros((0, 0))
+    values, vectors = np.linalg.eigh(poles @ poles.T)
+    use = values > 1e-9 * max(float(values.max()), 1.0)
+    return vectors[:, use] / np.sqrt(values[use])
+
+
+def coordinates(gaps: np.ndarray, norms: np.ndarray, poles: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """Parts in the pivots' span and the length of the rest (last column), from squared norms and distances to the pivots."""
+    along = ((norms[:, None] + (poles * poles).sum(axis=1) - gaps * gaps) / 2) @ turn if len(poles) else np.zeros((len(norms), 0))
+    rest = np.sqrt(np.maximum(norms - (along * along).sum(axis=1), 0))
+    return np.column_stack((along, rest))
+
+
+def search_block(names: np.ndarray, x: np.ndarray, px: np.ndarray, floor: np.ndarray, ids: np.ndarray, v: np.ndarray, pv: np.ndarray, k: int) -> tuple[list[tuple[int, int, int]], int]:
+    """(query, candidate, score) of the ``k`` best candidates of each query that are over its ``floor``, and how many pairs were evaluated.
+
+    ``ids`` are sorted; ``px`` and ``pv`` are coordinates.
+    """
+    # the score is at most the product of the parts plus that of the rests; the slack is more than the rounding of the distances
+    slack = 1e-6 * (1 + (px * px).sum(axis=1)[:, None] + (pv * pv).sum(axis=1)[None])
+    high = px @ pv.T + slack
+    high[names[:, None] == ids[None]] = -math.inf
+    best, scores = np.full((len(x), k), len(ids)), np.full((len(x), k), -math.inf)
+    evaluated, live = 0, np.arange(len(x))
+    while len(live):
+        step = min(STEP, len(ids))
+        rows = high[live]
+        take = np.argpartition(-rows, step - 1, axis=1)[:, :step]
+        bound = np.take_along_axis(rows, take, axis=1)
+        good = (bound >= floor[live, None]) & (bound > -math.inf)
+        q, c = np.nonzero(good)
+        got = np.full(take.shape, -math.inf)
+        got[q, c] = np.einsum("ij,ij->i", x[live[q]], v[take[q, c]])
+        evaluated += len(q)
+        np.put_along_axis(rows, take, -math.inf, axis=1)
+        high[live] = rows
+        both, place = np.concatenate((scores[live], got), axis=1), np.concatenate((best[live], np.where(good, take, len(ids))), axis=1)
+        order = np.lexsort((place, -both), axis=1)[:, :k]  # places stand in the order of ids
+        scores[live], best[live] = np.take_along_axis(both, order, axis=1), np.take_along_axis(place, order, axis=1)
+        floor[live] = np.maximum(floor[live], scores[live, -1])
+        live = live[rows.max(axis=1, initial=-math.inf) >= np.maximum(floor[live], -1e300)]
+    found = best < len(ids)
+    return [(int(names[i]), int(ids[best[i, j]]), int(scores[i, j])) for i, j in zip(*np.nonzero(found))], evaluated
+
+
 def top_k(vectors: DataFrame, k: int = 5, is_query: Column | None = None, pivots: int = PIVOTS, sample: int = SAMPLE, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` highest scores of each query row (all, if fewer), ties to the smaller vec_id.
 
@@ -74,14 +124,16 @@ def top_k(vectors: DataFrame, k: int = 5, is_query: Column | None = None, pivots
     some.sort(key=lambda r: r["vec_id"])
     known_ids, known = np.array([r["vec_id"] for r in some], dtype=np.int64), matrix([r["v"] for r in some], width)
     poles = choose_pivots(known, pivots)
+    turn = spans(poles)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             v = matrix(x["v"].tolist(), width)
             gap = np.sqrt(np.maximum((v * v).sum(axis=1)[:, None] + (poles * poles).sum(axis=1) - 2 * v @ poles.T, 0))
-            yield pd.DataFrame({"vec_id": x["vec_id"], "v": x["v"], "d": list(gap)})
+            yield pd.DataFrame({"vec_id": x["vec_id"], "v": [r.tobytes() for r in v], "d": [r.tobytes() for r in gap]})
 
-    pivot_table = shared_table(rows.mapInPandas(measure, "vec_id long, v array<long>, d array<double>"), "pivot-table")
+    pivot_table = shared_table(rows.mapInPandas(measure, "vec_id long, v binary, d binary"), "pivot-table")
+    numbers = lambda column: np.frombuffer(b"".join(column)).reshape(len(column), -1)
     q_blocks, c_blocks = max(1, math.ceil(n_queries / query_block)), max(1, math.ceil(n / candidate_block))
     block = lambda salt, m: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
@@ -94,33 +146,15 @@ def top_k(vectors: DataFrame, k: int = 5, is_query: Column | None = None, pivots
         out: list[tuple[int, int, int]] = []
         if len(q) and len(c):
             c = c.sort_values("vec_id", kind="stable")
-            ids, v = c["vec_id"].to_numpy(), matrix(c["v"].tolist(), width)
-            qs = matrix(q["v"].tolist(), width)
-            norms = (v * v).sum(axis=1)
-            dc, dq = np.array(c["d"].tolist()).T.copy(), np.array(q["d"].tolist())
-            first = qs @ known.T
-            for name, x, d, guess in zip(q["vec_id"].tolist(), qs, dq, first, strict=True):
-                low = np.zeros(len(ids))
-                for pole, mine in zip(dc, d):
-                    np.maximum(low, np.abs(pole - mine), out=low)
-                low = np.maximum(low - 1e-6 * (1 + low), 0)  # more than the rounding of the distances
-                high = (norms + float(x @ x) - low * low) / 2 + 1e-6 * (1 + norms)
-                other = guess[known_ids != name]
-                floor = float(np.partition(other, len(other) - k)[len(other) - k]) if len(other) >= k else -math.inf
-                order = np.argsort(-high, kind="stable")
-                best = np.zeros(0, dtype=np.int64)
-                scores = np.zeros(0)
-                for a in range(0, len(order), STEP):
-                    if high[order[a]] < floor:
-                        break
-                    take = order[a : a + STEP]
-                    take = take[ids[take] != name]
-                    best, scores = np.append(best, take), np.append(scores, v[take] @ x)
-                    keep = np.lexsort((best, -scores))[:k]  # places stand in the order of ids
-                    best, scores = best[keep], scores[keep]
-                    if len(best) == k:
-                        floor = max(floor, float(scores[-1]))
-                out += [(name, int(ids[b]), int(s)) for b, s in zip(best, scores, strict=True)]
+            ids, v, names = c["vec_id"].to_numpy(), numbers(c["v"]), q["vec_id"].to_numpy()
+            pv = coordinates(numbers(c["d"]), (v * v).sum(axis=1), poles, turn)
+            for s in range(0, len(q), QUERIES):
+                x = numbers(q["v"].iloc[s : s + QUERIES])
+                px = coordinates(numbers(q["d"].iloc[s : s + QUERIES]), (x * x).sum(axis=1), poles, turn)
+                first = x @ known.T
+                first[names[s : s + QUERIES, None] == known_ids[None]] = -math.inf
+                floor = np.sort(first, axis=1)[:, -k].copy() if len(known) >= k else np.full(len(x), -math.inf)
+                out += search_block(names[s : s + QUERIES], x, px, floor, ids, v, pv, k)[0]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     found = queries.groupBy("qb", "cb").cogroup(candidates.groupBy("qb", "cb")).applyInPandas(meet, "query_id long, vec_id long, score long")

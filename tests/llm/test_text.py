@@ -254,6 +254,27 @@ def test_op2(spark, small):
     assert pivots.top_k(docs.where("vec_id in (50, 51)")).count() == 1
 
 
+def test_op2_eliminates(spark):
+    """On the given vectors under three tenths of the pairs are evaluated, and the bounds hold for every pair."""
+    rows = pivots.whole_vectors(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")).orderBy("vec_id").collect()
+    ids, v = np.array([r.vec_id for r in rows]), pivots.matrix([r.v for r in rows], len(rows[0].v))
+    poles = pivots.choose_pivots(v[::2][:1024], pivots.PIVOTS)
+    norms = (v * v).sum(axis=1)
+    gaps = np.sqrt(np.maximum(norms[:, None] + (poles * poles).sum(axis=1) - 2 * v @ poles.T, 0))
+    at = pivots.coordinates(gaps, norms, poles, pivots.spans(poles))
+    q = np.flatnonzero(ids % 50 == 0)
+    scores, high = v[q] @ v.T, at[q] @ at.T
+    assert (high + 1e-6 * (1 + norms[q, None] + norms) >= scores).all()
+    # no pivot by itself bounds better
+    single = np.abs(gaps[q, None, :] - gaps[None, :, :]).max(axis=2)
+    assert (high <= (norms[q, None] + norms - single**2) / 2 + 1e-6 * norms).all()
+    found, evaluated = pivots.search_block(ids[q], v[q], at[q], np.full(len(q), -np.inf), ids, v, at, 5)
+    assert evaluated < 0.3 * len(q) * len(ids), evaluated / len(q) / len(ids)
+    scores[np.arange(len(q)), q] = -np.inf
+    want = {(int(ids[a]), int(ids[b])) for a, row in zip(q, scores) for b in np.lexsort((ids, -row))[:5]}
+    assert {x[:2] for x in found} == want
+
+
 def test_op2_query(spark):
     got = queries.QUERIES["op2_pivot_top_k"](spark, FOLDER).toPandas()
     assert differences(got, duck(FOLDER).execute(queries.ORACLES["op2_pivot_top_k"]).df()) is None
