@@ -50,11 +50,21 @@ def raster_sink(t):
     return c.join(t.spark.read.parquet(path + "/meta").select("scene_id", "x0", "y1", "cell"), "scene_id")
 
 
+BATCHES = 5
+
+
 def log_stream(t) -> DataFrame:
-    """The log lines as a stream of files."""
+    """The log lines as a stream of five files in order of arrival: every third line comes five minutes late, so files hold lines that belong
+    before those of the file before."""
     path = scratch(t, "log")
-    t.log_lines.withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(path)
-    return t.spark.readStream.schema("job_id int, line_no bigint, ts timestamp, line string").parquet(path)
+    lines = t.log_lines.withColumn("ts", F.col("ts").cast("timestamp"))
+    arrival = F.unix_micros("ts") + F.when(F.pmod(F.xxhash64("job_id", "line_no"), F.lit(3)) == 0, 300_000_000).otherwise(0)
+    lines = lines.withColumn("_at", arrival)
+    first, last = lines.agg(F.min("_at"), F.max("_at")).first()
+    for k in range(BATCHES):
+        own = F.floor((F.col("_at") - first) * BATCHES / (last - first + 1)) == k
+        lines.where(own).drop("_at").coalesce(1).write.mode("append").parquet(path)
+    return t.spark.readStream.schema("job_id int, line_no bigint, ts timestamp, line string").option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def drained(t, stream: DataFrame, mode: str, name: str) -> DataFrame:
@@ -75,7 +85,7 @@ def drained(t, stream: DataFrame, mode: str, name: str) -> DataFrame:
 def job_state_stream(t):
     """The stateful stream's last word per job equals the batch answer."""
     s = drained(t, live.job_state(log_stream(t)), "update", "state")
-    last = F.max_by(F.struct("stage", "done", "frames", "warnings"), "line_no")
+    last = F.max_by(F.struct("stage", "done", "frames", "warnings"), "epoch")
     return s.groupBy("job_id").agg(last.alias("s")).select("job_id", "s.stage", F.col("s.done").cast("double").alias("done"), F.col("s.frames").cast("double").alias("frames"), "s.warnings")
 
 
@@ -83,3 +93,12 @@ def job_state_stream(t):
  q AS (SELECT *, lag(key) OVER w AS k0, lag(us) OVER w AS u0 FROM p WINDOW w AS (PARTITION BY job_id ORDER BY line_no)) SELECT job_id, line_no, key FROM q WHERE k0 IS NULL OR (k0<>key AND us-u0>=1000000)""", "log_lines")
 def progress_stream(t):
     return drained(t, live.progress(log_stream(t)), "append", "progress").select("job_id", "line_no", "key")
+
+
+@query("tail_stream", f"""WITH {PARSED}, k AS (SELECT job_id::BIGINT AS job_id, 'line' AS what, line_no, line FROM parsed WHERE kind <> 'progress' UNION ALL SELECT job_id, 'warning', line_no, line FROM parsed WHERE kind = 'warning'),
+ r AS (SELECT *, row_number() OVER (PARTITION BY job_id, what ORDER BY line_no DESC) AS back FROM k) SELECT job_id, what, back, line_no, line FROM r WHERE back <= CASE what WHEN 'line' THEN 40 ELSE 3 END""", "log_lines")
+def tail_stream(t):
+    """The last forty lines and three warnings of every job after the stream's last batch."""
+    s = drained(t, live.tails(log_stream(t)), "update", "tail")
+    newest = s.groupBy("job_id").agg(F.max("batch").alias("batch"))
+    return s.join(newest, ["job_id", "batch"], "left_semi").select("job_id", "what", "back", "line_no", "line")

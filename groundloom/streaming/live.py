@@ -1,5 +1,9 @@
 """Job logs as streams: per-job state kept by a stateful processor.
 
+Lines may come in another order than they were written. They wait in a buffer until all lines before them have come, or until the
+watermark says that none of those can come any more, and are folded in line order; a line that was folded already is a replay and changes
+nothing. Lines are numbered from 1 (a log that begins with line 0 is taken as well).
+
 Ours, not part of the batch semantics: a ten-minute watermark on ts drops later lines, and state of a job silent (by event time) for
 a day is removed.
 """
@@ -48,45 +52,99 @@ class Alarm:
         return True
 
 
+#: What a waiting line keeps.
+LINE = StructType([StructField(n, t) for n, t in (("us", LongType()), ("kind", StringType()), ("stage", StringType()), ("phase", StringType()), ("done", LongType()), ("total", LongType()),
+                                                  ("frames", LongType()), ("text", StringType()))])
+
+
+def whole(v) -> int | None:
+    return None if v is None or v != v else int(v)
+
+
+class InOrder:
+    """Lines of one job by number: those to fold now, and those that still wait."""
+
+    def __init__(self, handle: StatefulProcessorHandle):
+        self.waiting = handle.getMapState("waiting", StructType([StructField("line_no", LongType())]), LINE)
+        self.last = handle.getValueState("folded", StructType([StructField("line_no", LongType())]))
+
+    def take(self, rows: pd.DataFrame, watermark_ms: int) -> tuple[list[dict], list[dict]]:
+        """Ready lines and waiting ones, both in line order, as dicts with line_no."""
+        begun = self.last.exists()
+        last = self.last.get()[0] if begun else 0
+        pool = {k[0]: dict(zip(LINE.names, v)) for k, v in self.waiting.iterator()}
+        kept = set(pool)
+        text = lambda v: v if isinstance(v, str) else None
+        for r in rows.itertuples():
+            n = int(r.line_no)
+            if n not in pool and (n > last or not begun):
+                pool[n] = dict(us=int(r.us), kind=r.kind, stage=text(r.stage), phase=text(r.phase), done=whole(r.done), total=whole(r.total), frames=whole(r.frames), text=r.line)
+        ready: list[dict] = []
+        for n in sorted(pool):
+            if n > last + 1 and pool[n]["us"] > watermark_ms * 1000:
+                break
+            ready.append({"line_no": n, **pool[n]})
+            last = n
+        done = {r["line_no"] for r in ready}
+        for n in kept & done:
+            self.waiting.removeKey((n,))
+        for n in pool.keys() - kept - done:
+            self.waiting.updateValue((n,), tuple(pool[n][c] for c in LINE.names))
+        if ready:
+            self.last.update((last,))
+        return ready, [{"line_no": n, **pool[n]} for n in sorted(pool) if n not in done]
+
+    def clear(self) -> None:
+        self.waiting.clear()
+        self.last.clear()
+
+
+NO_LINES = pd.DataFrame(columns=["line_no", "line", *LINE.names[:-1]])
+
+
 class JobTracker(StatefulProcessor):
-    """Latest stage, counter and frames per job, and the seconds spent in each phase."""
+    """Latest stage, counter and frames per job, and the seconds spent in each phase: all lines so far, in line order."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.alarm = Alarm(handle)
+        self.order = InOrder(handle)
         self.now = handle.getValueState("now", STATE)
         self.spent = handle.getMapState("spent", StructType([StructField("phase", StringType())]), StructType([StructField("seconds", DoubleType())]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        was = self.now.get() if self.now.exists() else (None, None, None, None, None, None, 0, -1)
-        s = dict(zip(STATE.names, was))
-        # a batch of one job's lines is small; it is put in line order before it is folded
-        lines = pd.concat(list(rows)).sort_values("line_no")
-        for r in lines.itertuples():
-            if r.line_no <= s["line_no"]:
-                continue  # seen before: a replayed batch changes nothing
-            s["line_no"] = int(r.line_no)
-            if r.kind == "stage":
-                s["stage"] = r.stage
-            if isinstance(r.phase, str):
+    @staticmethod
+    def fold(s: dict, spent: dict, lines: list[dict]) -> None:
+        for r in lines:
+            s["line_no"] = r["line_no"]
+            if r["kind"] == "stage":
+                s["stage"] = r["stage"]
+            if r["phase"] is not None:
                 if s["phase"] is not None:
-                    k = (s["phase"],)
-                    had = self.spent.getValue(k)[0] if self.spent.containsKey(k) else 0.0
-                    self.spent.updateValue(k, (had + (r.us - s["phase_us"]) / 1e6,))
-                s["phase"], s["phase_us"] = r.phase, int(r.us)
-            if r.kind == "progress":
-                s["done"], s["total"] = int(r.done), int(r.total)
-            if r.frames == r.frames and r.frames is not None:
-                s["frames"] = int(r.frames)
-            s["warnings"] += int(r.kind == "warning")
+                    spent[s["phase"]] = spent.get(s["phase"], 0.0) + (r["us"] - s["phase_us"]) / 1e6
+                s["phase"], s["phase_us"] = r["phase"], r["us"]
+            if r["kind"] == "progress":
+                s["done"], s["total"] = r["done"], r["total"]
+            if r["frames"] is not None:
+                s["frames"] = r["frames"]
+            s["warnings"] += r["kind"] == "warning"
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        lines = pd.concat(list(rows))
+        ready, waiting = self.order.take(lines, timerValues.getCurrentWatermarkInMs())
+        s = dict(zip(STATE.names, self.now.get() if self.now.exists() else (None, None, None, None, None, None, 0, -1)))
+        spent = {k[0]: v[0] for k, v in self.spent.iterator()}
+        self.fold(s, spent, ready)
         self.now.update(tuple(s[n] for n in STATE.names))
-        spent = json.dumps({k[0]: v[0] for k, v in self.spent.iterator()})
+        for phase, seconds in spent.items():
+            self.spent.updateValue((phase,), (seconds,))
+        self.fold(s, spent, waiting)  # shown, not kept: lines before these may still come
         self.alarm.set(lines["us"].max())
-        yield pd.DataFrame([[key[0], *[s[n] for n in STATE.names], spent]], columns=OUTPUT.names)
+        yield pd.DataFrame([[key[0], *[s[n] for n in STATE.names], json.dumps(spent)]], columns=OUTPUT.names)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.alarm.idle(timerValues.getCurrentWatermarkInMs()):
             self.now.clear()
             self.spent.clear()
+            self.order.clear()
         return iter([])
 
     def close(self) -> None:
@@ -94,30 +152,76 @@ class JobTracker(StatefulProcessor):
 
 
 class Throttle(StatefulProcessor):
-    """Progress lines that differ from the last one of the job and come a second after it, or finish it."""
+    """Progress lines that differ from the last one of the job and come a second after it, or finish it. A line is written once its
+    turn has come."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.alarm = Alarm(handle)
+        self.order = InOrder(handle)
+        self.last = handle.getValueState("last", StructType([StructField("key", StringType()), StructField("us", LongType())]))
+
+    def written(self, job: int, ready: list[dict]) -> pd.DataFrame:
+        k0, u0 = self.last.get() if self.last.exists() else (None, None)
+        out = []
+        for r in ready:
+            if r["kind"] == "progress":
+                text = r["text"].split("progress ", 1)[1]
+                if k0 is None or (text != k0 and (r["us"] - u0 >= 1_000_000 or r["done"] >= r["total"])):
+                    out.append([job, r["line_no"], text])
+                k0, u0 = text, r["us"]
+        if k0 is not None:
+            self.last.update((k0, u0))
+        return pd.DataFrame(out, columns=["job_id", "line_no", "key"])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        lines = pd.concat(list(rows))
+        ready, _ = self.order.take(lines, timerValues.getCurrentWatermarkInMs())
+        self.alarm.set(lines["us"].max())
+        yield self.written(key[0], ready)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        out = self.written(key[0], self.order.take(NO_LINES, now)[0])
+        if self.alarm.idle(now):
+            self.last.clear()
+            self.order.clear()
+        yield out
+
+    def close(self) -> None:
+        pass
+
+
+class Tail(StatefulProcessor):
+    """The last lines and the last warnings of each job by line number: lists of bounded length, whatever order lines come in."""
+
+    LINES, WARNINGS = 40, 3
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.alarm = Alarm(handle)
-        self.last = handle.getValueState("last", StructType([StructField("key", StringType()), StructField("us", LongType()), StructField("line_no", LongType())]))
+        item = StructType([StructField("line_no", LongType()), StructField("line", StringType())])
+        self.lists = {"line": (handle.getListState("lines", item), self.LINES), "warning": (handle.getListState("warnings", item), self.WARNINGS)}
+        self.batches = handle.getValueState("batches", StructType([StructField("n", LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        k0, u0, n0 = self.last.get() if self.last.exists() else (None, None, -1)
+        lines = pd.concat(list(rows))
+        n = (self.batches.get()[0] if self.batches.exists() else 0) + 1
+        self.batches.update((n,))
         out = []
-        lines = pd.concat(list(rows)).sort_values("line_no")
-        for r in lines.itertuples():
-            if r.line_no <= n0:
-                continue
-            text = r.line.split("progress ", 1)[1]
-            if k0 is None or (text != k0 and (r.us - u0 >= 1_000_000 or r.done >= r.total)):
-                out.append([key[0], int(r.line_no), text])
-            k0, u0, n0 = text, int(r.us), int(r.line_no)
-        self.last.update((k0, u0, n0))
+        for what, (ring, most) in self.lists.items():
+            own = lines if what == "line" else lines[lines["kind"] == "warning"]
+            both = {k: v for k, v in ring.get()} | {int(k): v for k, v in zip(own["line_no"], own["line"])}
+            last = sorted(both.items())[-most:]
+            if last:
+                ring.put(last)
+            out += [[key[0], n, what, back, *x] for back, x in enumerate(reversed(last), 1)]
         self.alarm.set(lines["us"].max())
-        yield pd.DataFrame(out, columns=["job_id", "line_no", "key"])
+        yield pd.DataFrame(out, columns=["job_id", "batch", "what", "back", "line_no", "line"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.alarm.idle(timerValues.getCurrentWatermarkInMs()):
-            self.last.clear()
+            self.batches.clear()
+            for ring, _ in self.lists.values():
+                ring.clear()
         return iter([])
 
     def close(self) -> None:
@@ -136,7 +240,13 @@ def job_state(lines: DataFrame) -> DataFrame:
 
 def progress(lines: DataFrame) -> DataFrame:
     schema = StructType([StructField("job_id", LongType()), StructField("line_no", LongType()), StructField("key", StringType())])
-    return parsed(lines).where("kind = 'progress'").groupBy("job_id").transformWithStateInPandas(Throttle(), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    return parsed(lines).groupBy("job_id").transformWithStateInPandas(Throttle(), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+
+
+def tails(lines: DataFrame) -> DataFrame:
+    """After each batch, the whole tails of the jobs that had lines in it: job_id, batch (of the job, from 1), what ('line' or 'warning'), back, line_no, line. Progress lines are not kept."""
+    schema = StructType([StructField(n, t) for n, t in (("job_id", LongType()), ("batch", LongType()), ("what", StringType()), ("back", LongType()), ("line_no", LongType()), ("line", StringType()))])
+    return parsed(lines).where("kind <> 'progress'").groupBy("job_id").transformWithStateInPandas(Tail(), outputStructType=schema, outputMode="Update", timeMode="EventTime")
 
 
 def throughput(lines: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Files in and out, on files made here."""
 
+import json
 import struct
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from groundloom.sources import ply, scans, sinks
-from groundloom.streaming import live
+from groundloom.streaming import jobs, live
 
 
 def test_ply_round_trip_and_retry_safe_listing(spark, tmp_path):
@@ -80,6 +81,73 @@ def test_job_state_over_many_batches(spark, tmp_path):
     assert got[2, 0] == 1 and got[1, 6] == 1  # three days of silence: begun anew
 
 
+def played(spark, tmp_path, lines, stream_of, mode):
+    """Rows that a stream writes for ``lines`` (one list a micro-batch), with the number of their batch."""
+    for n, rows in enumerate(lines):
+        df = spark.createDataFrame(rows, "job_id int, line_no bigint, ts string, line string").withColumn("ts", F.col("ts").cast("timestamp"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "log" / f"b={n:02d}"))
+    seen = []
+    stream = spark.readStream.schema("job_id int, line_no bigint, ts timestamp, line string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "log"))
+    q = stream_of(stream).writeStream.outputMode(mode).foreachBatch(lambda b, k: seen.extend((k, r) for r in b.collect())).option("checkpointLocation", str(tmp_path / "ck")).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return seen
+
+
+def shuffled_log(batches):
+    """Lines of two jobs, shuffled within some minutes of each other and dealt over micro-batches; one is there twice."""
+    r = np.random.default_rng(3)
+    rows = []
+    for job in (1, 2):
+        for k in range(1, 121):
+            line = ["[2/5] prune" if k % 40 == 7 else "[3/5] poses" if k % 40 == 21 else f"    ~ progress {k}/200 frames placed", "    WARNING: only a few frames placed", f"said {k}"][k % 3]
+            rows.append((k * 4 + r.uniform(0, 60), (job, k, f"2026-01-01 10:{k * 4 // 60:02d}:{k * 4 % 60:02d}", line)))
+    rows = [x for _, x in sorted(rows)]
+    rows.append(rows[5])
+    size = -(-len(rows) // batches)
+    return [rows[k : k + size] for k in range(0, len(rows), size)]
+
+
+def batch_of(spark, lines):
+    df = spark.createDataFrame(sorted({x for b in lines for x in b}), "job_id int, line_no bigint, ts string, line string").withColumn("ts", F.col("ts").cast("timestamp"))
+    return jobs.parse(df)
+
+
+def test_shuffled_lines_give_the_batch_answer(spark, tmp_path):
+    lines = shuffled_log(5)
+    seen = played(spark, tmp_path, lines, live.job_state, "update")
+    last = {r.job_id: r for _, r in seen}
+    p = batch_of(spark, lines)
+    for w in jobs.state(p).collect():
+        g = last[w.job_id]
+        assert (g.stage, g.phase, g.done, g.total, g.frames, g.warnings) == (w.stage, w.phase, w.done, w.total, w.frames, w.warnings)
+        want = {r.phase: r.seconds for r in jobs.phase_durations(p).where(F.col("job_id") == w.job_id).collect() if r.seconds}
+        assert json.loads(g.spent) == pytest.approx(want)
+
+
+def test_shuffled_progress_lines(spark, tmp_path):
+    lines = shuffled_log(5)
+    seen = played(spark, tmp_path, lines, live.progress, "append")
+    want = sorted((r.job_id, r.line_no, r.key) for r in jobs.throttle(batch_of(spark, lines)).collect())
+    assert sorted((r.job_id, r.line_no, r.key) for _, r in seen) == want and len(want) > 20
+
+
+def test_stream_tails(spark, tmp_path):
+    """After every micro-batch the tails are those of all lines so far, and never longer than they may be."""
+    lines = shuffled_log(4)
+    seen = played(spark, tmp_path, lines, live.tails, "update")
+    so_far = set()
+    for k, rows in enumerate(lines):
+        so_far |= set(rows)
+        for job in {x[0] for x in rows}:
+            kept = sorted((n, line) for j, n, _, line in so_far if j == job and "~ progress" not in line)
+            for what, want in (("line", kept[-40:]), ("warning", [x for x in kept if "WARNING" in x[1]][-3:])):
+                got = sorted((r.line_no, r.line) for e, r in seen if e == k and r.job_id == job and r.what == what)
+                assert got == want
+
+
 @pytest.mark.parametrize("head,body,why", [
     (["format binary_big_endian 1.0", "element vertex 1", "property float x"], b"\0" * 4, "not supported"),
     (["format binary_little_endian 1.0", "element vertex 1", "property list uchar int v"], b"\0" * 4, "list"),
