@@ -34,6 +34,18 @@ def ply_scan(t):
     return back.groupBy(scene.alias("scene_id")).agg(F.count(F.lit(1)).alias("points"), F.sum(F.floor(F.col("x").cast("double") * 1e4 + 0.5).cast("bigint")).alias("sum_x"), F.sum(F.col("r").cast("bigint")).alias("sum_r"))
 
 
+@query("ply_scan_ascii", """WITH p AS (SELECT scene_id, point_id, floor(x*1e3+5e-1)/1e3 AS x, floor(y*1e3+5e-1)/1e3 AS y, r FROM points)
+ SELECT scene_id, x, y, CAST(r AS DOUBLE) AS r, count(*) AS points FROM p GROUP BY 1,2,3,4""", "points")
+def ply_scan_ascii(t):
+    """Points written as text, read back from many stretches of each file."""
+    path = scratch(t, "ascii")
+    p = t.points.select("scene_id", "point_id", *[F.expr(f"floor({c}*1e3+5e-1)/1e3").alias(c) for c in "xy"], F.col("r").cast("int").alias("r"))
+    ply.write_table(p, path, ["x", "y", "r"], ascii="true")
+    back = ply.read_table(t.spark, path, "path string, row bigint, x double, y double, r int", rowsPerSplit=200)
+    scene = F.regexp_extract("path", r"scene-(\d+)-", 1).cast("int")
+    return back.groupBy(scene.alias("scene_id"), "x", "y", F.col("r").cast("double").alias("r")).agg(F.count(F.lit(1)).alias("points"))
+
+
 @query("camera_csv_sink", "SELECT frame, printf('%.6f', px) AS px, CASE WHEN frame % 3 <> 0 THEN printf('%.6f', pz) END AS pz, scene_id FROM walk", "walk")
 def camera_csv_sink(t):
     path = scratch(t, "csv")

@@ -1,8 +1,11 @@
 """PLY point tables as a Spark data source: ``spark.read.format("ply")`` and ``df.write.format("ply")``.
 
-The header is read once per file on the driver. A binary file's rows have a fixed size, so it is cut into
-row ranges; an ASCII file is cut into byte ranges at line ends, and its first lines, as many as the header says, are its vertices. Only the properties in the requested schema are
-decoded. A written table is a folder of complete PLY files, one or more per task and scene.
+``read_table`` takes two passes. The first one, in tasks, reads headers and counts the lines that begin in each stretch of an ASCII file;
+sums over the stretches give each its first line. The second one reads: a binary file's rows have a fixed size, so it is cut into row
+ranges; an ASCII file is cut into the counted stretches, and its first lines, as many as the header says, are its vertices. Only the
+properties in the requested schema are decoded. Without the first pass (a plain ``spark.read.format("ply")``) headers are read on the
+driver, and a stretch of an ASCII file counts the lines before it by itself. A written table is a folder of complete PLY files, one or
+more per task and scene.
 """
 
 from __future__ import annotations
@@ -114,6 +117,22 @@ class Slice(InputPartition):
     start: int  # first row (binary) or byte (ascii)
     stop: int
     last: bool = False  # of an ascii file
+    before: int | None = None  # lines before an ascii stretch, where they are counted
+
+
+#: Bytes of an ASCII row at the least, for the length of stretches.
+ROW_BYTES = 16
+SURVEY = "path string, start bigint, lines bigint, size bigint, header string"
+
+
+def line_start(fh, at: int) -> int:
+    """The first byte from ``at`` on that begins a line; the end of the file where none does."""
+    fh.seek(at - 1)
+    while block := fh.read(1 << 16):
+        if (k := block.find(b"\n")) >= 0:
+            return at + k
+        at += len(block)
+    return at - 1
 
 
 class PlyReader(DataSourceReader):
@@ -122,9 +141,11 @@ class PlyReader(DataSourceReader):
 
     def partitions(self):
         step = int(self.options.get("rowspersplit", 2_000_000))
+        if self.options.get("survey") == "true":
+            chunk = step * ROW_BYTES
+            return [Slice(path, None, a, min(size, a + chunk), a + chunk >= size) for path, size in _files(self.options["path"]) for a in range(0, max(size, 1), chunk)]
         out = []
-        for path, size in _files(self.options["path"]):
-            h = read_header(path)
+        for path, size, h, lines in self._surveyed() if "surveyed" in self.options else ((path, size, read_header(path), None) for path, size in _files(self.options["path"])):
             missing = [f.name for f in self.schema if f.name not in EXTRA and f.name not in dict(h.fields)]
             if missing:
                 raise ValueError(f"{path}: no properties {missing}")
@@ -133,13 +154,44 @@ class PlyReader(DataSourceReader):
                     raise ValueError(f"{path}: truncated, {size} bytes for {h.count} vertices")
                 out += [Slice(path, h, a, min(h.count, a + step)) for a in range(0, h.count, step)]
             else:
-                chunk = step * 4 * len(h.fields)
-                out += [Slice(path, h, a, min(size, a + chunk), a + chunk >= size) for a in range(h.size, max(size, h.size + 1), chunk)]
+                starts = sorted(lines) if lines else list(range(0, max(size, 1), step * ROW_BYTES))
+                before = 0
+                for a, b in zip(starts, [*starts[1:], size]):
+                    out.append(Slice(path, h, max(a, h.size), b, b == size, before if lines else None))
+                    before += lines[a] if lines else 0
         return out
 
+    def _surveyed(self):
+        """path, size, header and lines by stretch, from the rows of the first pass."""
+        files: dict = {}
+        for path, start, lines, size, header in json.loads(self.options["surveyed"]):
+            own = files.setdefault(path, [size, None, {}])
+            own[2][start] = lines
+            if header:
+                kind = json.loads(header)
+                own[1] = Header(kind["binary"], kind["count"], [tuple(f) for f in kind["fields"]], kind["size"], [], kind["more"])
+        return [(path, size, h, lines) for path, (size, h, lines) in sorted(files.items())]
+
+    @staticmethod
+    def _survey(fh, part: Slice):
+        h = read_header(part.path)
+        lines = 0
+        if not h.binary and part.stop > h.size:
+            begin = h.size if part.start <= h.size else line_start(fh, part.start)
+            end = line_start(fh, part.stop) if not part.last else part.stop
+            lines = PlyReader._lines(fh, begin, end) if begin < part.stop else 0
+        elif h.binary and part.start:
+            return
+        header = json.dumps({"binary": h.binary, "count": h.count, "fields": h.fields, "size": h.size, "more": h.more}) if part.start == 0 else None
+        fh.seek(0, 2)
+        yield pa.RecordBatch.from_pydict({"path": [part.path], "start": pa.array([part.start], pa.int64()), "lines": pa.array([lines], pa.int64()), "size": pa.array([fh.tell()], pa.int64()), "header": pa.array([header], pa.string())})
+
     def read(self, part: Slice):
         fs, p = _filesystem(part.path)
         with fs.open_input_file(p) as fh:
+            if part.header is None:
+                yield from self._survey(fh, part)
+                return
             blocks = self._binary(fh, part) if part.header.binary else self._ascii(fh, part)
             for rows, numbers in blocks:
                 cols = []
@@ -163,39 +215,24 @@ class PlyReader(DataSourceReader):
 
     @staticmethod
     def _ascii(fh, part: Slice):
-        """Vertex lines that begin inside the byte range; ``row`` is the line's byte offset. A file's vertices are as many as
+        """Vertex lines that begin inside the byte range; ``row`` is a vertex's number. A file's vertices are as many as
         its header says; fewer are refused."""
-        begin = part.start
-        if begin > part.header.size:
-            fh.seek(begin - 1)
-            begin += fh.read(1 << 16).index(b"\n")
+        h = part.header
+        begin = part.start if part.start <= h.size else line_start(fh, part.start)
+        end = part.stop if part.last else line_start(fh, part.stop)
+        before = PlyReader._lines(fh, h.size, begin) if part.before is None else part.before
         fh.seek(begin)
-        data = fh.read(max(0, part.stop - begin))
-        while data and not data.endswith(b"\n"):
-            more = fh.read(1 << 16)
-            if not more:
-                break
-            data += more[: more.index(b"\n") + 1] if b"\n" in more else more
-        # places of the lines matter where other elements follow, and to tell a cut-off file
-        before = PlyReader._lines(fh, part.header.size, begin) if part.header.more or part.last else 0
-        lines, numbers, at = [], [], begin
-        for line in data.split(b"\n"):
-            if words := line.split():
-                lines.append(words)
-                numbers.append(at)
-            at += len(line) + 1
-        if part.last and before + len(lines) < part.header.count:
-            raise ValueError(f"{part.path}: {before + len(lines)} vertices of {part.header.count}")
-        if part.header.more or part.last:
-            keep = max(0, part.header.count - before)
-            lines, numbers = lines[:keep], numbers[:keep]
-        width = len(part.header.fields)
-        for words, place in zip(lines, numbers):
-            if len(words) != width:
-                raise ValueError(f"{part.path}: {len(words)} values at byte {place}, {width} expected")
+        data = fh.read(max(0, end - begin)) if begin < part.stop else b""
+        lines = [words for line in data.split(b"\n") if (words := line.split())]
+        if part.last and before + len(lines) < h.count:
+            raise ValueError(f"{part.path}: {before + len(lines)} vertices of {h.count}")
+        lines = lines[: max(0, h.count - before)]
+        for k, words in enumerate(lines):
+            if len(words) != len(h.fields):
+                raise ValueError(f"{part.path}: {len(words)} values in vertex {before + k}, {len(h.fields)} expected")
         if lines:
             wide = np.array(lines, dtype="S").astype("f8")
-            yield np.rec.fromarrays(list(wide.T), names=[n for n, _ in part.header.fields]), np.array(numbers)
+            yield np.rec.fromarrays(list(wide.T), names=[n for n, _ in h.fields]), before + np.arange(len(lines))
 
     @staticmethod
     def _lines(fh, start: int, stop: int) -> int:
@@ -242,6 +279,7 @@ class PlyWriter(DataSourceArrowWriter):
         dt = np.dtype([(f.name, kinds[f.dataType.simpleString()]) for f in self.schema if f.name != "scene_id"])
         words = {"<f8": "double", "<f4": "float", "<i4": "int", "<i2": "short", "i1": "char"}
         files, total, held, scene = [], 0, [], None
+        text = self.options.get("ascii") == "true"
 
         def flush():
             nonlocal held, total
@@ -249,12 +287,12 @@ class PlyWriter(DataSourceArrowWriter):
             if not n:
                 return
             name = f"scene-{scene}-{attempt}-{len(files)}.ply"
-            head = ["ply", "format binary_little_endian 1.0", f"comment scene {scene}", f"element vertex {n}"]
+            head = ["ply", f"format {'ascii' if text else 'binary_little_endian'} 1.0", f"comment scene {scene}", f"element vertex {n}"]
             head += [f"property {words[dt[k].str.lstrip('|')]} {k}" for k in names] + ["end_header"]
             with fs.open_output_stream(f"{root.rstrip('/')}/{name}") as fh:
                 fh.write(("\n".join(head) + "\n").encode("ascii"))
                 for b in held:
-                    fh.write(b.tobytes())
+                    fh.write("".join(" ".join(map(repr, r)) + "\n" for r in b.tolist()).encode("ascii") if text else b.tobytes())
             files.append(name)
             total += n
             held = []
@@ -328,14 +366,18 @@ def qualified(spark, path: str) -> str:
     return re.sub(r"^file:/+", "file:///", full)
 
 
-def write_table(df: DataFrame, path: str, columns: list[str]) -> None:
-    """Write scene_id + columns; rows are spread by scene and row so that no scene needs one task."""
+def write_table(df: DataFrame, path: str, columns: list[str], **options) -> None:
+    """Write scene_id + columns; rows are spread by scene and row so that no scene needs one task. ``ascii="true"`` writes text."""
     df.sparkSession.dataSource.register(PlySource)
     order = [c for c in ("scene_id", "row", "point_id", "splat_id") if c in df.columns]
-    df.repartitionByRange(*order).sortWithinPartitions(*order).select("scene_id", *columns).write.format("ply").mode("append").save(qualified(df.sparkSession, path))
+    df.repartitionByRange(*order).sortWithinPartitions(*order).select("scene_id", *columns).write.format("ply").options(**options).mode("append").save(qualified(df.sparkSession, path))
 
 
 def read_table(spark, path: str, schema: str | None = None, **options) -> DataFrame:
+    """The points under ``path`` (a file or a folder), in two passes; the first one's rows, one for each stretch, pass through the driver."""
     spark.dataSource.register(PlySource)
-    r = spark.read.format("ply").options(**options)
-    return (r.schema(schema) if schema else r).load(qualified(spark, path))
+    path = qualified(spark, path)
+    found = spark.read.format("ply").options(**options).option("survey", "true").schema(SURVEY).load(path).collect()
+    surveyed = json.dumps(sorted(tuple(r) for r in found), separators=(",", ":"))
+    r = spark.read.format("ply").options(**options).option("surveyed", surveyed)
+    return (r.schema(schema) if schema else r).load(path)

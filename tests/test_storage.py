@@ -49,6 +49,16 @@ def test_ascii_faces_are_no_points(spark, tmp_path, split):
         ply.read_table(spark, short, rowsPerSplit=split).count()
 
 
+@pytest.mark.parametrize("end", [b"\n", b""])
+@pytest.mark.parametrize("split", [1, 3, 1000])
+def test_ascii_without_a_last_newline(spark, tmp_path, end, split):
+    """Every vertex once, numbered from 0, wherever stretches begin; one line is longer than a read."""
+    body = b"\n".join([b"1 2", b"", b"3" + b" " * 70000 + b"4", b"5 6", b"7 8"]) + end
+    f = write(tmp_path / "e.ply", ["format ascii 1.0", "element vertex 4", "property float x", "property float y"], body)
+    for d in (ply.read_table(spark, f, rowsPerSplit=split * 100), spark.read.format("ply").option("rowsPerSplit", split * 100).load("file://" + f)):
+        assert sorted((r.row, r.x, r.y) for r in d.collect()) == [(0, 1, 2), (1, 3, 4), (2, 5, 6), (3, 7, 8)]
+
+
 def test_ply_keeps_large_integers_or_refuses(spark, tmp_path):
     df = spark.createDataFrame([(0, 1, 2**40 + 7, 300)], "scene_id int, row long, big long, small smallint")
     ply.write_table(df, str(tmp_path / "a"), ["big", "small"])
