@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
 from groundloom.functions.numeric import rounded
 
@@ -60,6 +61,24 @@ def clean_empty(tags: Column) -> Column:
     return F.map_filter(tags, lambda k, v: v.isNotNull() & ~v.isin("", "{}", "[]"))
 
 
+def clean(value: Column, kind: DataType) -> Column:
+    """``value`` without what says nothing, at every depth: empty text, bytes, empty lists, and structs and maps that hold nothing after
+    their own cleaning become NULL; NULL entries leave maps. Lists that hold something stay as they are."""
+    if isinstance(kind, StringType):
+        return F.nullif(value, F.lit(""))
+    if isinstance(kind, BinaryType):
+        return F.lit(None).cast(kind)
+    if isinstance(kind, ArrayType):
+        return F.when(F.size(value) > 0, value)
+    if isinstance(kind, MapType):
+        left = F.map_filter(F.transform_values(value, lambda _, v: clean(v, kind.valueType)), lambda _, v: v.isNotNull())
+        return F.when(F.size(left) > 0, left)
+    if isinstance(kind, StructType):
+        fields = {f.name: clean(value[f.name], f.dataType) for f in kind}
+        return F.when(F.exists(F.array(*[c.isNotNull() for c in fields.values()]), lambda x: x), F.struct(*[c.alias(n) for n, c in fields.items()]))
+    return value
+
+
 def two_digits(v: Column) -> Column:
     """Two significant digits, written out."""
     tens = F.format_string("%.0f", F.floor(v / 10 + 0.5).cast("double") * 10)

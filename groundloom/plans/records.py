@@ -156,6 +156,21 @@ def clean_empty(t):
     return c.select("event_id", F.try_element_at("tags", F.lit("make")).alias("make"), F.try_element_at("tags", F.lit("model")).alias("model"), F.size("tags").alias("tags"))
 
 
+@query("clean_nested", """WITH d AS (SELECT event_id, concat_ws(',', CASE WHEN user_id % 3 <> 0 THEN '"kind":"' || event_type || '"' END, CASE WHEN user_id % 5 = 0 THEN '"num":"' || user_id || '"' END) AS deep,
+  CASE WHEN event_id % 2 = 0 THEN '"note":"seen"' END AS note, CASE WHEN user_id % 2 = 0 THEN '"gps":{"place":"' || user_id || '"}' END AS gps, CASE WHEN event_id % 4 = 0 THEN '"list":["","' || event_id || '"]' END AS list FROM events),
+ o AS (SELECT event_id, concat_ws(',', CASE WHEN deep <> '' THEN '"deep":{' || deep || '}' END, note) AS inside, gps, list FROM d),
+ a AS (SELECT event_id, concat_ws(',', CASE WHEN inside <> '' THEN '"outer":{' || inside || '}' END, CASE WHEN gps <> '' THEN '"tags":{' || gps || '}' END, list) AS whole FROM o)
+ SELECT event_id, CASE WHEN whole <> '' THEN '{' || whole || '}' END AS kept FROM a""")
+def clean_nested(t):
+    """Records of three levels, empty at any of them, as JSON of what says something."""
+    deep = "named_struct('kind', CASE WHEN user_id % 3 <> 0 THEN event_type ELSE '' END, 'num', CASE WHEN user_id % 5 = 0 THEN CAST(user_id AS STRING) END, 'raw', CAST('x' AS BINARY))"
+    outer = f"named_struct('deep', {deep}, 'note', CASE WHEN event_id % 2 = 0 THEN 'seen' ELSE '' END)"
+    tags = "map('gps', map('place', CASE WHEN user_id % 2 = 0 THEN CAST(user_id AS STRING) ELSE '' END), 'none', map('place', ''))"
+    e = t.raw("events").selectExpr("event_id", f"named_struct('outer', {outer}, 'tags', {tags}, 'list', CASE WHEN event_id % 4 = 0 THEN array('', CAST(event_id AS STRING)) ELSE array() END) AS record")
+    kept = F.to_json(text.clean(F.col("record"), e.schema["record"].dataType))
+    return e.select("event_id", kept.alias("kept"))
+
+
 # --- measurements
 
 view("measured", (), """SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'distance' WHEN 1 THEN 'height' ELSE 'area' END AS kind, value/1e1 AS ax, user_id/1e1 AS ay, 1e0 AS az, value/2e1+1 AS bx, user_id/7e0 AS by_, 3e0+value/5e1 AS bz FROM events""")
