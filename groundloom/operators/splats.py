@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from groundloom.functions.numeric import sigmoid
 from groundloom.operators import sequence
 from groundloom.operators.order_stats import quantiles, top_n
+from groundloom.session import cut_lineage
 
 
 def with_visibility(splats: DataFrame) -> DataFrame:
@@ -14,12 +17,20 @@ def with_visibility(splats: DataFrame) -> DataFrame:
     return splats.withColumn("visibility", sigmoid("opacity_logit") * F.exp(2 * mean))
 
 
-def levels(splats: DataFrame, sizes: dict[str, int]) -> DataFrame:
-    """splat_id per level: the ``size`` most visible splats of each scene, least first in the ladder."""
-    v = with_visibility(splats).select("scene_id", "splat_id", "visibility")
+#: Splats of each level of detail (None: all of them), fixed values.
+LEVELS: dict[str, int | None] = {"high": None, "med": 400_000, "low": 150_000, "verylow": 50_000}
+
+
+def levels(splats: DataFrame, sizes: dict[str, int | None] = LEVELS) -> DataFrame:
+    """scene_id, splat_id and level: for each level the most visible splats of each scene (``visibility`` is taken as given where it is a
+    column). Each level is cut from the next larger one, so only the largest cut reads all splats."""
+    v = splats if "visibility" in splats.columns else with_visibility(splats)
+    v = v.select("scene_id", "splat_id", "visibility")
     out = None
-    for name, n in sizes.items():
-        part = top_n(v, ["scene_id"], "visibility", "splat_id", n).select("scene_id", "splat_id", F.lit(name).alias("level"))
+    for name, n in sorted(sizes.items(), key=lambda x: -(math.inf if x[1] is None else x[1])):
+        if n is not None:
+            v = cut_lineage(top_n(v, ["scene_id"], "visibility", "splat_id", n))
+        part = v.select("scene_id", "splat_id", F.lit(name).alias("level"))
         out = part if out is None else out.unionByName(part)
     return out
 

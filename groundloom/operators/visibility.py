@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 DOWN = 4  # depth images are a quarter of the frame
@@ -67,19 +69,32 @@ def depth_pixel() -> list[Column]:
     return [cut("u", "width").alias("iu"), cut("v", "height").alias("iv")]
 
 
-def depth_buffer(pairs: DataFrame) -> DataFrame:
-    """Nearest depth per camera pixel, pin-holes closed by the 3x3 minimum.
+def depth_buffer(pairs: DataFrame, hit_only: bool = False) -> DataFrame:
+    """Nearest depth per camera pixel, pin-holes closed by the 3x3 minimum; with ``hit_only`` just the pixels that some point falls in.
 
-    Points are reduced to pixels first; a frame then holds at most one row per pixel and can be
-    kept together, so the nine-fold scatter and its minimum need no further shuffle.
+    Points are reduced to pixels first. A camera's picture then holds a row per pixel at most, a bounded size whatever the number of
+    points, and is closed at once as an array.
     """
     iu, iv = depth_pixel()
     near = pairs.groupBy("scene_id", "frame", iu, iv, "width", "height").agg(F.min("depth").alias("depth"))
-    ring = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    grown = near.repartition("scene_id", "frame").withColumn("_o", ring)
-    grown = grown.withColumn("iu", F.col("iu") + F.col("_o.a")).withColumn("iv", F.col("iv") + F.col("_o.b"))
-    grown = grown.where((F.col("iu") >= 0) & (F.col("iv") >= 0) & (F.col("iu") < (F.col("width") / DOWN).cast("int")) & (F.col("iv") < (F.col("height") / DOWN).cast("int")))
-    return grown.groupBy("scene_id", "frame", "iu", "iv").agg(F.min("depth").alias("nearest"))
+    kinds = {f.name: f.dataType.simpleString() for f in near.schema}
+    return near.groupBy("scene_id", "frame").applyInArrow(_closing(hit_only), f"scene_id {kinds['scene_id']}, frame {kinds['frame']}, iu int, iv int, nearest double")
+
+
+def _closing(hit_only: bool):
+    def close(rows: pa.Table) -> pa.Table:
+        iu, iv = rows["iu"].to_numpy(), rows["iv"].to_numpy()
+        wide, high = rows["width"][0].as_py() // DOWN, rows["height"][0].as_py() // DOWN
+        image = np.full((high + 2, wide + 2), np.inf)
+        image[iv + 1, iu + 1] = rows["depth"].to_numpy()
+        across = np.minimum(np.minimum(image[:, :-2], image[:, 1:-1]), image[:, 2:])
+        closed = np.minimum(np.minimum(across[:-2], across[1:-1]), across[2:])
+        if not hit_only:
+            iv, iu = np.nonzero(closed < np.inf)
+        same = lambda c: pa.array([rows[c][0].as_py()] * len(iu), rows.schema.field(c).type)
+        return pa.table({"scene_id": same("scene_id"), "frame": same("frame"), "iu": pa.array(iu.astype(np.int32)), "iv": pa.array(iv.astype(np.int32)), "nearest": pa.array(closed[iv, iu])})
+
+    return close
 
 
 def visible(pairs: DataFrame, buffer: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:

@@ -177,3 +177,21 @@ def run_around(flags: DataFrame, centre: Column) -> DataFrame:
         F.max(F.when(~F.col("ok") & (F.col("k") < F.col("_s")), F.col("k"))).alias("_lo"), F.min(F.when(~F.col("ok") & (F.col("k") > F.col("_s")), F.col("k"))).alias("_hi"),
         F.min("k").alias("_k0"), F.max("k").alias("_k1"))
     return edge.select("scene_id", F.coalesce(F.col("_lo") + 1, F.col("_k0")).alias("first"), F.coalesce(F.col("_hi") - 1, F.col("_k1")).alias("last"))
+
+
+def nearest_view(views: DataFrame, cameras: DataFrame, length: DataFrame, far: float = 0.25, wide: float = 35.0) -> DataFrame:
+    """The filmed camera nearest to each view: scene_id, frame, nearest (its frame), near_dist (share of the walk's ``length``), view_angle
+    (degrees between the two directions), near_ok (no farther than ``far`` and no more than ``wide`` apart).
+
+    ``views``: scene_id, frame, px, py, pz and a direction ax, ay, az of any length; ``cameras``: scene_id, frame, px, py, pz and unit fx, fy, fz.
+    """
+    ends = [F.col(c).alias(p + d) for d, c in (("x", "px"), ("y", "py"), ("z", "pz")) for p in ("a_", "b_")]
+    cams = cameras.select("scene_id", F.col("frame").alias("nearest"), *ends, "fx", "fy", "fz")
+    look = ["ax", "ay", "az"]
+    n = nearest.nearest(views, cams, {"x": "px", "y": "py", "z": "pz"}, ["frame", *look], "nearest", ["nearest", "fx", "fy", "fz"], 3)
+    a, f = [F.col(c) for c in look], [F.col(c) for c in ("fx", "fy", "fz")]
+    cosine = (a[0] * f[0] + a[1] * f[1] + a[2] * f[2]) / F.sqrt(a[0] * a[0] + a[1] * a[1] + a[2] * a[2])
+    angle = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
+    share = F.col("distance") / F.col("length")
+    n = n.join(length, "scene_id").select("scene_id", "frame", "nearest", share.alias("near_dist"), angle.alias("view_angle"))
+    return n.withColumn("near_ok", (F.col("near_dist") <= far) & (F.col("view_angle") <= wide))

@@ -267,7 +267,7 @@ VISIBLE_SQL = """vis AS (SELECT s.* FROM seen s JOIN zbuf z ON z.scene_id=s.scen
 @query("visible_from", f"WITH {VISIBLE_SQL} SELECT scene_id, frame, count(*) AS visible, min(point_id) AS low_id, max(point_id) AS high_id FROM vis GROUP BY 1,2", "seen zbuf")
 def visible_from(t):
     p = pairs(t)
-    v = visibility.visible(p, visibility.depth_buffer(p))
+    v = visibility.visible(p, visibility.depth_buffer(p, hit_only=True))
     return v.groupBy("scene_id", "frame").agg(F.count(F.lit(1)).alias("visible"), F.min("point_id").alias("low_id"), F.max("point_id").alias("high_id"))
 
 

@@ -29,11 +29,10 @@ def visibility(t):
 
 # levels are ranked on a rounded visibility so that both engines see the same ties
 @query("splat_levels", """WITH r AS (SELECT scene_id, splat_id, row_number() OVER (PARTITION BY scene_id ORDER BY floor(vis*1e9+5e-1) DESC, splat_id) AS k FROM plain)
- SELECT scene_id, splat_id, level FROM r JOIN (VALUES ('med',2000),('low',800),('verylow',100)) l(level,n) ON k<=n""", "plain")
+ SELECT scene_id, splat_id, level FROM r JOIN (VALUES ('high',9000000000),('med',2000),('low',800),('verylow',100)) l(level,n) ON k<=n""", "plain")
 def splat_levels(t):
     s = splats.with_visibility(plain(t)).select("scene_id", "splat_id", F.floor(F.col("visibility") * 1e9 + 0.5).alias("visibility"))
-    parts = [splats.top_n(s, ["scene_id"], "visibility", "splat_id", n).select("scene_id", "splat_id", F.lit(level).alias("level")) for level, n in (("med", 2000), ("low", 800), ("verylow", 100))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return splats.levels(s, {"high": None, "med": 2000, "low": 800, "verylow": 100})
 
 
 @query("thin_splats", """WITH r AS (SELECT scene_id, splat_id, x, y, z, row_number() OVER (PARTITION BY scene_id ORDER BY floor((1e0/(1e0+exp(-opacity_logit)))*exp((ls0+ls1+ls2)/3)*1e9+5e-1) DESC, splat_id) AS k FROM plain)

@@ -8,7 +8,7 @@ from groundloom.functions.numeric import exact_sum, rounded
 from groundloom.operators import nearest, raster, sequence, walk
 from groundloom.operators.order_stats import quantiles
 from groundloom.plans.catalog import query
-from groundloom.plans.tables import view
+from groundloom.plans.tables import DIR, view
 from groundloom.plans.terrain import r6, r9
 
 R6 = rounded
@@ -87,18 +87,21 @@ def held_fallback(t):
     return walk.held_fallback(t.points, t.walk).select("scene_id", "points", R6("held").alias("held"))
 
 
+# the views that are asked about: every frame raised by half a unit; every third one looks to the side
+ASKED = {"ax": f"CASE WHEN frame % 3 = 0 THEN -({DIR['ry']}) ELSE {DIR['rx']} END", "ay": f"CASE WHEN frame % 3 = 0 THEN {DIR['rx']} ELSE {DIR['ry']} END", "az": DIR["rz"]}
+
+
 @query("nearest_camera", f"""WITH l AS (SELECT scene_id, CAST(sum(CAST(floor(step*1e6+5e-1) AS BIGINT)) AS DOUBLE)/1e6 AS len FROM steps GROUP BY 1),
- q AS (SELECT scene_id, frame, px, py, pz + 5e-1 AS qz FROM frames), n AS (SELECT q.scene_id, q.frame, arg_min(c.frame, row(d, c.frame)) AS nearest, min(d) AS d FROM q JOIN LATERAL (
- SELECT frame, sqrt((q.px-c.px)*(q.px-c.px)+(q.py-c.py)*(q.py-c.py)+(q.qz-c.pz)*(q.qz-c.pz)) AS d FROM walk c WHERE c.scene_id=q.scene_id) c ON true GROUP BY 1,2)
- SELECT n.scene_id, n.frame, n.nearest, {r6('d/len')} AS near_dist, d/len <= 25e-2 AS near_ok FROM n JOIN l ON l.scene_id=n.scene_id""", "frames steps")
+ q AS (SELECT scene_id, frame, px, py, pz + 5e-1 AS qz, {', '.join(f'{e} AS {n}' for n, e in ASKED.items())} FROM frames), n AS (SELECT q.scene_id, q.frame, arg_min(c.frame, row(d, c.frame)) AS nearest, min(d) AS d FROM q JOIN LATERAL (
+ SELECT frame, sqrt((q.px-c.px)*(q.px-c.px)+(q.py-c.py)*(q.py-c.py)+(q.qz-c.pz)*(q.qz-c.pz)) AS d FROM walk c WHERE c.scene_id=q.scene_id) c ON true GROUP BY 1,2),
+ g AS (SELECT n.*, degrees(acos(greatest(-1e0, least(1e0, (q.ax*c.fx+q.ay*c.fy+q.az*c.fz)/sqrt(q.ax*q.ax+q.ay*q.ay+q.az*q.az))))) AS angle FROM n JOIN q ON q.scene_id=n.scene_id AND q.frame=n.frame JOIN cameras c ON c.scene_id=n.scene_id AND c.frame=n.nearest)
+ SELECT g.scene_id, g.frame, g.nearest, {r6('d/len')} AS near_dist, floor(angle*1e4+5e-1)/1e4 AS view_angle, d/len <= 25e-2 AND angle <= 35 AS near_ok FROM g JOIN l ON l.scene_id=g.scene_id""", "frames steps cameras")
 def nearest_camera(t):
-    """Every frame's raised position against the placed cameras."""
-    q = t.frames.select("scene_id", "frame", "px", "py", F.expr("pz + 5e-1").alias("qz"))
-    cams = t.walk.select("scene_id", F.col("frame").alias("cam"), *[F.col(c).alias(p + d) for d, c in (("x", "px"), ("y", "py"), ("z", "pz")) for p in ("a_", "b_")])
-    n = nearest.nearest(q, cams, {"x": "px", "y": "py", "z": "qz"}, ["frame"], "cam", ["cam"], 3)
+    """Every frame's raised position and direction against the placed cameras."""
+    asked = t.frames.select("scene_id", "frame", "px", "py", F.expr("pz + 5e-1").alias("pz"), *[F.expr(e).alias(n) for n, e in ASKED.items()])
     length = walk.length_and_extent(t.walk).select("scene_id", "length")
-    rel = F.col("distance") / F.col("length")
-    return n.join(length, "scene_id").select("scene_id", "frame", F.col("cam").alias("nearest"), R6(rel).alias("near_dist"), (rel <= 0.25).alias("near_ok"))
+    n = walk.nearest_view(asked, t.cameras, length)
+    return n.select("scene_id", "frame", "nearest", R6("near_dist").alias("near_dist"), rounded("view_angle", 4).alias("view_angle"), "near_ok")
 
 
 @query("frame_status", """WITH m AS (SELECT scene_id, max(frame) AS last FROM frames WHERE on_disk=1 OR placed=1 GROUP BY 1), a AS (SELECT scene_id, unnest(generate_series(1,last)) AS frame FROM m)
