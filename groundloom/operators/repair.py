@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from groundloom.functions.constants import CELL_STRIDE
-from groundloom.operators import raster, tiles
+from groundloom.operators import raster, terrain, tiles
+from groundloom.operators.order_stats import quantiles
 from groundloom.session import cut_lineage
 
 KEY = raster.KEY
@@ -130,3 +131,33 @@ def unpinch(quads: DataFrame) -> DataFrame:
         if cut.isEmpty():
             return out
         out = cut_lineage(out.join(cut, KEY, "left_anti"))
+
+
+def large_regions(cells: DataFrame, meta: DataFrame, least: int) -> DataFrame:
+    """Cells of 8-connected regions of at least ``least`` cells."""
+    found = cut_lineage(label(cells, meta, diagonal=True))
+    big = found.groupBy("scene_id", "label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("scene_id", "label")
+    return found.join(big, ["scene_id", "label"], "left_semi").select(*KEY)
+
+
+def mesh_blocks(blocks: DataFrame, meta: DataFrame, least: int = 12) -> DataFrame:
+    """Blocks (scene_id, i, j) that are drawn as mesh: the mask closed by 3x3, without regions of under ``least`` blocks."""
+    return large_regions(raster.morph_close(blocks, meta), meta, least)
+
+
+def keep_faces(faces: DataFrame, blocks: DataFrame, grid: DataFrame, meta: DataFrame, cell: float, block: int = 2, ground_cells: float = 1.5, painted: float = 0.5, shard: float = 8.0) -> DataFrame:
+    """Each face with the rules it passes: scene_id, fid, in_block, on_ground, seen, whole, and kept where it passes all.
+
+    ``faces``: scene_id, fid, centre x, y, z, ``longest`` edge and painted ``share``; ``blocks``: those of ``mesh_blocks``. A face is a shard when its
+    longest edge is over ``shard`` medians of its scene's.
+    """
+    med = quantiles(faces.select("scene_id", "longest"), ["scene_id"], "longest", {"med": 0.5})
+    c = raster.bilinear(faces, grid, meta, cell).join(med, "scene_id")
+    own = blocks.select("scene_id", F.col("i").alias("bi"), F.col("j").alias("bj"), F.lit(True).alias("_in"))
+    c = terrain.block_of(c, meta, block * cell).join(own, ["scene_id", "bi", "bj"], "left")
+    no = F.lit(False)
+    c = c.select(
+        "scene_id", "fid", F.coalesce("_in", no).alias("in_block"), F.coalesce(F.abs(F.col("z") - F.col("ground")) <= ground_cells * cell, no).alias("on_ground"),
+        F.coalesce(F.col("share") >= painted, no).alias("seen"), (F.col("longest") <= shard * F.col("med")).alias("whole"),
+    )
+    return c.withColumn("kept", F.col("in_block") & F.col("on_ground") & F.col("seen") & F.col("whole"))

@@ -100,13 +100,24 @@ def closed_solid(t):
     return mesh.closed_check(faces).join(vol, "scene_id").select("scene_id", "closed", "edges", rounded("v", 4).alias("volume"))
 
 
-@query("keep_as_mesh", f"""WITH {BLOCK_SQL}, {PAINT}, med AS (SELECT scene_id, quantile_cont(longest,5e-1) AS med FROM fgeo GROUP BY 1),
- c AS (SELECT g.scene_id, g.fid, (xa+xb+xc)/3 AS x, (ya+yb+yc)/3 AS y, (za+zb+zc)/3 AS z, area, longest<=11e-1*med AS whole, coalesce(share,0e0)>=5e-1 AS seen FROM fgeo g JOIN med ON med.scene_id=g.scene_id LEFT JOIN painted p ON p.scene_id=g.scene_id AND p.fid=g.fid),
+def face_rules(blocks: str, shard: str) -> str:
+    """CTEs up to r: every face with the rules it passes; ``blocks`` has scene_id, bi, bj, mesh."""
+    return f"""{PAINT}, med AS (SELECT scene_id, quantile_cont(longest,5e-1) AS med FROM fgeo GROUP BY 1),
+ c AS (SELECT g.scene_id, g.fid, (xa+xb+xc)/3 AS x, (ya+yb+yc)/3 AS y, (za+zb+zc)/3 AS z, area, longest<={shard}*med AS whole, coalesce(share,0e0)>=5e-1 AS seen FROM fgeo g JOIN med ON med.scene_id=g.scene_id LEFT JOIN painted p ON p.scene_id=g.scene_id AND p.fid=g.fid),
  d AS (SELECT c.*, CAST(floor((m.y1-y)/1e0) AS BIGINT) AS bi, CAST(floor((x-m.x0)/1e0) AS BIGINT) AS bj, least(greatest(CAST(floor((x-m.x0)/5e-1-5e-1) AS BIGINT),0),nx-2) AS gj, least(greatest(CAST(floor((m.y1-y)/5e-1-5e-1) AS BIGINT),0),ny-2) AS gi,
  (x-m.x0)/5e-1-5e-1 AS fx, (m.y1-y)/5e-1-5e-1 AS fy FROM c JOIN meta m ON m.scene_id=c.scene_id),
- e AS (SELECT d.*, coalesce(k.mesh,false) AS in_block, a.z*(1-(fx-gj))*(1-(fy-gi))+b.z*(fx-gj)*(1-(fy-gi))+h.z*(1-(fx-gj))*(fy-gi)+f.z*(fx-gj)*(fy-gi) AS ground FROM d LEFT JOIN meshed k ON k.scene_id=d.scene_id AND k.bi=d.bi AND k.bj=d.bj
+ e AS (SELECT d.*, coalesce(k.mesh,false) AS in_block, a.z*(1-(fx-gj))*(1-(fy-gi))+b.z*(fx-gj)*(1-(fy-gi))+h.z*(1-(fx-gj))*(fy-gi)+f.z*(fx-gj)*(fy-gi) AS ground FROM d LEFT JOIN {blocks} k ON k.scene_id=d.scene_id AND k.bi=d.bi AND k.bj=d.bj
  LEFT JOIN grid a ON a.scene_id=d.scene_id AND a.i=gi AND a.j=gj LEFT JOIN grid b ON b.scene_id=d.scene_id AND b.i=gi AND b.j=gj+1 LEFT JOIN grid h ON h.scene_id=d.scene_id AND h.i=gi+1 AND h.j=gj LEFT JOIN grid f ON f.scene_id=d.scene_id AND f.i=gi+1 AND f.j=gj+1),
- r AS (SELECT *, coalesce(abs(z-ground)<=75e-2,false) AS on_ground FROM e)
+ r AS (SELECT *, coalesce(abs(z-ground)<=75e-2,false) AS on_ground FROM e)"""
+
+
+def face_marks(t):
+    """Centre, longest edge and painted share of every face."""
+    g = geometry(t).select("scene_id", "fid", "longest", *[((F.col(a + "a") + F.col(a + "b") + F.col(a + "c")) / 3).alias(a) for a in "xyz"])
+    return g.join(painted_share(t), ["scene_id", "fid"])
+
+
+@query("keep_as_mesh", f"""WITH {BLOCK_SQL}, {face_rules('meshed', '11e-1')}
  SELECT scene_id, count(*) AS faces, count(*) FILTER (in_block AND on_ground AND seen AND whole) AS kept, count(*) FILTER (NOT on_ground) AS not_on_ground, count(*) FILTER (NOT in_block) AS not_in_block, count(*) FILTER (NOT seen) AS not_seen, count(*) FILTER (NOT whole) AS shards FROM r GROUP BY 1""", "points meta grid fgeo")
 def keep_as_mesh(t):
     """Faces kept as mesh, and how many fail each rule."""

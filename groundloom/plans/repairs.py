@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from groundloom.functions.numeric import rounded
 from groundloom.operators import cloth, raster, repair
 from groundloom.plans.catalog import query
+from groundloom.plans.meshes import face_marks, face_rules
 from groundloom.plans.tables import CELL, view
-from groundloom.plans.terrain import r6, r9
+from groundloom.plans.terrain import BLOCK_SQL, CLOSE_SQL, block_meta, r6, r9, roughness
 
 OFF4 = "(VALUES (0,0),(-1,0),(1,0),(0,-1),(0,1)) o(di,dj)"
 OFF8 = "(SELECT a.di, b.dj FROM (VALUES (-1),(0),(1)) a(di) CROSS JOIN (VALUES (-1),(0),(1)) b(dj)) o"
@@ -110,3 +111,13 @@ def _unpinch_sql(rounds: int = 12) -> str:
 @query("quad_unpinch", _unpinch_sql(), "quads")
 def quad_unpinch(t):
     return repair.unpinch(t.quads).select("scene_id", "i", "j")
+
+
+@query("mesh_faces", f"""WITH RECURSIVE {BLOCK_SQL}, {CLOSE_SQL}, {label_sql('lab', 'closed', OFF8, 200)}, region AS (SELECT scene_id, l, count(*) AS n FROM lab GROUP BY 1,2),
+ drawn AS (SELECT lab.scene_id, lab.i AS bi, lab.j AS bj, true AS mesh FROM lab JOIN region g ON g.scene_id=lab.scene_id AND g.l=lab.l WHERE g.n >= 12), {face_rules('drawn', '8e0')}
+ SELECT scene_id, fid, in_block, on_ground, seen, whole, in_block AND on_ground AND seen AND whole AS kept FROM r""", "points meta grid fgeo")
+def mesh_faces(t):
+    """Every face with the rules it passes: blocks closed, regions of under twelve dropped, edges of at most eight medians."""
+    mask = roughness(t).where("mesh").select("scene_id", F.col("bi").alias("i"), F.col("bj").alias("j"))
+    blocks = repair.mesh_blocks(mask, block_meta(t))
+    return repair.keep_faces(face_marks(t), blocks, t.grid, t.meta, CELL)

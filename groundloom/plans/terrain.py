@@ -217,11 +217,14 @@ def height_band_recall(t):
         "band", "points", R9(F.col("hit").cast("double") / F.col("points")).alias("recall"))
 
 
-@query("morph_close", f"""WITH {BLOCK_SQL}, m2 AS (SELECT scene_id, (nx+1)//2+1 AS nx, (ny+1)//2+1 AS ny FROM meta), ok AS (SELECT scene_id, bi AS i, bj AS j FROM meshed WHERE mesh),
+CLOSE_SQL = """m2 AS (SELECT scene_id, (nx+1)//2+1 AS nx, (ny+1)//2+1 AS ny FROM meta), ok AS (SELECT scene_id, bi AS i, bj AS j FROM meshed WHERE mesh),
  o AS (SELECT a.di, b.dj FROM (VALUES (-1),(0),(1)) a(di) CROSS JOIN (VALUES (-1),(0),(1)) b(dj)),
- grown AS (SELECT DISTINCT k.scene_id, k.i+di AS i, k.j+dj AS j, nx, ny FROM ok k JOIN m2 ON m2.scene_id=k.scene_id CROSS JOIN o WHERE k.i+di>=0 AND k.j+dj>=0 AND k.i+di<ny AND k.j+dj<nx)
- SELECT g.scene_id, g.i, g.j FROM grown g WHERE NOT EXISTS (SELECT 1 FROM o WHERE g.i+di>=0 AND g.j+dj>=0 AND g.i+di<g.ny AND g.j+dj<g.nx
- AND NOT EXISTS (SELECT 1 FROM grown h WHERE h.scene_id=g.scene_id AND h.i=g.i+di AND h.j=g.j+dj))""", "points meta grid")
+ grown AS (SELECT DISTINCT k.scene_id, k.i+di AS i, k.j+dj AS j, nx, ny FROM ok k JOIN m2 ON m2.scene_id=k.scene_id CROSS JOIN o WHERE k.i+di>=0 AND k.j+dj>=0 AND k.i+di<ny AND k.j+dj<nx),
+ closed AS (SELECT g.scene_id, g.i, g.j FROM grown g WHERE NOT EXISTS (SELECT 1 FROM o WHERE g.i+di>=0 AND g.j+dj>=0 AND g.i+di<g.ny AND g.j+dj<g.nx
+ AND NOT EXISTS (SELECT 1 FROM grown h WHERE h.scene_id=g.scene_id AND h.i=g.i+di AND h.j=g.j+dj)))"""
+
+
+@query("morph_close", f"WITH {BLOCK_SQL}, {CLOSE_SQL} SELECT * FROM closed", "points meta grid")
 def morph_close(t):
     blocks = roughness(t).where("mesh").select("scene_id", F.col("bi").alias("i"), F.col("bj").alias("j"))
     return raster.morph_close(blocks, block_meta(t))
