@@ -49,7 +49,9 @@ def section(splats: DataFrame, spec: dict, low: float = 0.02, high: float = 0.98
     axes = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("v")) for a in "xyz"]))
     long = splats.select("scene_id", axes.alias("u")).select("scene_id", "u.axis", "u.v")
     q = quantiles(long, ["scene_id", "axis"], "v", {"lo": low, "hi": high}, "lower")
-    face = lambda a, f: F.max(F.when(F.col("axis") == a, F.col("lo") + (F.col("hi") - F.col("lo")) * f))
+    # a face left at an end is that end itself: lo + (hi - lo) can be one bit off hi
+    at = lambda f: F.col("lo") if f == 0 else F.col("hi") if f == 1 else F.col("lo") + (F.col("hi") - F.col("lo")) * f
+    face = lambda a, f: F.max(F.when(F.col("axis") == a, at(f)))
     box = q.groupBy("scene_id").agg(*[face(a, s[m][a]).alias(f"_{m}_{a}") for a in "xyz" for m in ("min", "max")])
     inside = F.lit(True)
     for a in "xyz":
