@@ -56,13 +56,14 @@ def fill_interior(grid: DataFrame, holes: DataFrame, meta: DataFrame, relax: int
 def outlier_groups(grid: DataFrame, meta: DataFrame, cell: float, limit: float = 3.0, largest: int = 12, passes: int = 3) -> tuple[DataFrame, int]:
     """Small groups standing above (or sunk below) everything around them are emptied and filled again."""
     ring5 = [(a, b) for a in range(-2, 3) for b in range(-2, 3) if (a, b) != (0, 0)]
+    most = raster.cells_long(limit, cell)
     out, found = cut_lineage(grid.select(*KEY, "z")), 0
     for _ in range(passes):
         med = raster.gather(out, ring5, {"med": F.percentile("nb", F.lit(0.5))}).where("home AND med IS NOT NULL")
         dev = cut_lineage(med.select(*KEY, F.col("own").alias("z"), (F.col("own") - F.col("med")).alias("dev")))
         holes = None
         for sign in (1, -1):
-            part = label(dev.where(F.col("dev") * sign > limit * cell), meta, diagonal=True)
+            part = label(dev.where(F.col("dev") * sign > most), meta, diagonal=True)
             small = part.groupBy("scene_id", "label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= largest).select("scene_id", "label")
             part = part.join(small, ["scene_id", "label"], "left_semi")
             body = part.join(out, KEY).withColumn("s", F.col("z") * sign)
@@ -70,7 +71,7 @@ def outlier_groups(grid: DataFrame, meta: DataFrame, cell: float, limit: float =
             ring = body.withColumn("_o", around).select("scene_id", "label", (F.col("i") + F.col("_o.a")).alias("i"), (F.col("j") + F.col("_o.b")).alias("j")).distinct()
             ring = ring.join(part.select(*KEY, "label"), [*KEY, "label"], "left_anti").join(out, KEY).groupBy("scene_id", "label").agg(F.max(F.col("z") * sign).alias("top"))
             low = body.groupBy("scene_id", "label").agg(F.min("s").alias("low"))
-            stands = low.join(ring, ["scene_id", "label"]).where(F.col("low") - F.col("top") > limit * cell).select("scene_id", "label")
+            stands = low.join(ring, ["scene_id", "label"]).where(F.col("low") - F.col("top") > most).select("scene_id", "label")
             cut = part.join(stands, ["scene_id", "label"], "left_semi").select(*KEY)
             holes = cut if holes is None else holes.unionByName(cut)
         holes = cut_lineage(holes.distinct())
