@@ -1,22 +1,23 @@
 """The plane that most points of a scene lie on: many hypotheses, each judged by every point.
 
-Hypotheses are planes through three drawn points, rows of a table. Points are counted into voxels; for a hypothesis a voxel lies inside
-its slab, outside, or across its faces. What lies inside is certain, what lies across can still be gained, so a hypothesis whose most is
-under another's certain count is dropped without looking at points. Coarse voxels come first, then finer ones for those left; the last
-few are counted exactly over the points of the voxels across their slabs. Least-squares refits follow from sums over all points near
-the plane; no task holds a scene.
+Hypotheses are planes through three drawn points, rows of a table. A part of a scene's points meets a block of its hypotheses in one task
+and leaves a count for each; the counts of the parts are summed up. Least-squares refits follow from sums over all points near the plane;
+no task holds a scene.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from groundloom.functions.numeric import exact_sum
+from groundloom.operators import meet
 from groundloom.session import cut_lineage
 
 AX = ("x", "y", "z")
-#: Voxels along a side, coarse and fine (each a multiple of the one before).
-GRIDS = (8, 32)
+#: Points and hypotheses that meet in one group.
+PART, BLOCK = 1 << 16, 1024
 #: Subgroups of a scene that are ranked apart when points are drawn.
 SALTS = 32
 LEAST_POINTS, LEAST_NEAR = 50, 10
@@ -46,36 +47,28 @@ def _off() -> Column:
     return F.abs(F.expr("x*nx+y*ny+z*nz-d"))
 
 
-def votes(points: DataFrame, planes: DataFrame, size: DataFrame, grids: tuple[int, ...] = GRIDS) -> DataFrame:
+def votes(points: DataFrame, planes: DataFrame, size: DataFrame) -> DataFrame:
     """The plane of each scene that most points lie closer to than tol: scene_id, k, nx, ny, nz, d, votes; of equals the smallest k."""
-    finest = grids[-1]
-    cell = lambda a: F.when(F.col("ext") > 0, F.least(F.lit(finest - 1), F.floor((F.col(a) - F.col("o" + a)) / F.col("ext") * finest).cast("int"))).otherwise(0)
-    own = ["c" + a for a in AX]
-    frame = size.select("scene_id", "ext", "tol", *["o" + a for a in AX])
-    at = points.select("scene_id", *AX).join(frame, "scene_id").withColumns({"c" + a: cell(a) for a in AX})
-    fine = cut_lineage(at.groupBy("scene_id", *own).agg(F.count(F.lit(1)).alias("n")))
-    live = cut_lineage(planes)
-    for g in grids:
-        cells = fine.select("scene_id", *[F.floor(F.col(c) / (finest // g)).cast("int").alias(c) for c in own], "n").groupBy("scene_id", *own).agg(F.sum("n").alias("n")).join(frame, "scene_id")
-        side = F.col("ext") / g
-        both = live.join(cells, "scene_id")
-        middle = sum((F.col("n" + a) * (F.col("o" + a) + (F.col("c" + a) + 0.5) * side) for a in "yz"), F.col("nx") * (F.col("ox") + (F.col("cx") + 0.5) * side)) - F.col("d")
-        # half the voxel seen along the normal, with slack for rounding
-        reach = (F.abs("nx") + F.abs("ny") + F.abs("nz")) * side * 0.5000001
-        sure, may = F.abs(middle) + reach < F.col("tol"), F.abs(middle) - reach < F.col("tol")
-        bound = both.groupBy("scene_id", "k").agg(F.sum(F.when(sure, F.col("n")).otherwise(0)).alias("least"), F.sum(F.when(may, F.col("n")).otherwise(0)).alias("most"))
-        best = bound.groupBy("scene_id").agg(F.max("least").alias("_top"))
-        left = bound.join(best, "scene_id").where("most >= _top").select("scene_id", "k", "least")
-        live = cut_lineage(live.drop("least").join(left, ["scene_id", "k"]))
-        across = both.where(may & ~sure).select("scene_id", "k", *own)
-    # only points of voxels across a slab are looked at one by one
-    open_ = across.join(live.select("scene_id", "k", "nx", "ny", "nz", "d"), ["scene_id", "k"])
-    exact = open_.join(at.select("scene_id", *own, *AX, "tol"), ["scene_id", *own]).where(_off() < F.col("tol")).groupBy("scene_id", "k").agg(F.count(F.lit(1)).alias("_more"))
-    total = live.join(exact, ["scene_id", "k"], "left").withColumn("votes", F.col("least") + F.coalesce("_more", F.lit(0)))
+    asked = planes.select("scene_id", "k", "nx", "ny", "nz", "d").join(size.select("scene_id", "tol"), "scene_id")
+    kinds = {f.name: f.dataType.simpleString() for f in asked.schema}
+    counts = meet.in_groups(points.select("scene_id", *AX), asked, ("x", "k"), (PART, BLOCK), _counted, f"scene_id {kinds['scene_id']}, k {kinds['k']}, votes bigint")
+    total = counts.groupBy("scene_id", "k").agg(F.sum("votes").alias("votes")).join(planes, ["scene_id", "k"])
     top = total.groupBy("scene_id").agg(F.max(F.struct("votes", (-F.col("k")).alias("_k"), "k", "nx", "ny", "nz", "d")).alias("b"))
     return top.select("scene_id", "b.k", "b.nx", "b.ny", "b.nz", "b.d", "b.votes")
 
 
+def _counted(points: pa.Table, planes: pa.Table) -> pa.Table:
+    """Votes of each plane among the points, in the order of operations that SQL has."""
+    x, y, z = (c[:, None] for c in meet.columns(points, *AX))
+    nx, ny, nz, d, tol = meet.columns(planes, "nx", "ny", "nz", "d", "tol")
+    n = np.zeros(len(d), np.int64)
+    step = max(1, meet.TILE // len(d))
+    for a in range(0, len(x), step):
+        s = slice(a, a + step)
+        n += (np.abs(x[s] * nx + y[s] * ny + z[s] * nz - d) < tol).sum(0)
+    return pa.table({"scene_id": planes["scene_id"], "k": planes["k"], "votes": n})
+
+
 # the smallest eigenvalue of a symmetric 3x3 matrix and its eigenvector in closed form; text that Spark and other engines read alike
 CENTRED = {f"c{a}{b}": f"s{a}{b}/m-s{a}/m*s{b}/m" for a in AX for b in AX if a <= b}
 MIDDLE = {"q": "(cxx+cyy+czz)/3e0"}

@@ -39,3 +39,18 @@ def test_votes_are_exact(spark):
         n = np.linalg.eigh(np.cov((near - near.mean(0)).T))[1][:, 0]
         n = n if n[2] >= 0 else -n
         assert np.allclose([x.nx, x.ny, x.nz, x.d], [*n, n @ near.mean(0)], atol=1e-6)
+
+
+def test_votes_add_up_over_parts_and_blocks(spark, monkeypatch):
+    """Points and hypotheses dealt into several groups each: the same votes as in one group, and as by counting all pairs."""
+    r = np.random.default_rng(2)
+    df = pd.concat([pd.DataFrame({"scene_id": np.int32(s), "point_id": np.arange(n), **{a: r.uniform(-3, 3, n) for a in "xyz"}}) for s, n in ((0, 700), (1, 60))])
+    points = spark.createDataFrame(df)
+    size = planes.extents(points, 0.02)
+    hyp = planes.hypotheses(points, 40, F.col("point_id")).localCheckpoint()
+    whole = {tuple(x) for x in planes.votes(points, hyp, size).collect()}
+    monkeypatch.setattr(planes, "PART", 100)
+    monkeypatch.setattr(planes, "BLOCK", 7)
+    assert {tuple(x) for x in planes.votes(points, hyp, size).collect()} == whole
+    pairs = hyp.join(size, "scene_id").join(points, "scene_id").where("abs(x*nx+y*ny+z*nz-d) < tol").groupBy("scene_id", "k").count().groupBy("scene_id").agg(F.max("count").alias("n"))
+    assert {(x.scene_id, x.n) for x in pairs.collect()} == {(x[0], x[6]) for x in whole}
