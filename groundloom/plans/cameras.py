@@ -256,8 +256,7 @@ def frustum_filter(t):
 @query("zbuffer", "SELECT scene_id, frame, count(*) AS pixels, CAST(sum(CAST(floor(nearest*1e4+5e-1) AS BIGINT)) AS BIGINT) AS depth_sum FROM zbuf GROUP BY 1,2", "zbuf")
 def zbuffer(t):
     """Closed depth images, summed per frame."""
-    b = visibility.depth_buffer(pairs(t))
-    return b.groupBy("scene_id", "frame").agg(F.count(F.lit(1)).alias("pixels"), F.sum(F.floor(F.col("nearest") * 1e4 + 0.5).cast("bigint")).alias("depth_sum"))
+    return visibility.depth_sums(t.points_wide, t.cameras)
 
 
 VISIBLE_SQL = """vis AS (SELECT s.* FROM seen s JOIN zbuf z ON z.scene_id=s.scene_id AND z.frame=s.frame AND z.iu=least(CAST(floor(u/4) AS INT),159) AND z.iv=least(CAST(floor(v/4) AS INT),119)
@@ -266,9 +265,7 @@ VISIBLE_SQL = """vis AS (SELECT s.* FROM seen s JOIN zbuf z ON z.scene_id=s.scen
 
 @query("visible_from", f"WITH {VISIBLE_SQL} SELECT scene_id, frame, count(*) AS visible, min(point_id) AS low_id, max(point_id) AS high_id FROM vis GROUP BY 1,2", "seen zbuf")
 def visible_from(t):
-    p = pairs(t)
-    v = visibility.visible(p, visibility.depth_buffer(p, hit_only=True))
-    return v.groupBy("scene_id", "frame").agg(F.count(F.lit(1)).alias("visible"), F.min("point_id").alias("low_id"), F.max("point_id").alias("high_id"))
+    return visibility.visible_counts(t.points_wide, t.cameras)
 
 
 view("fcent", ("corners",), """SELECT *, cxx/l AS nx, cyy/l AS ny, czz/l AS nz FROM (SELECT *, sqrt(cxx*cxx+cyy*cyy+czz*czz) AS l FROM (SELECT scene_id, fid, (xa+xb+xc)/3 AS x, (ya+yb+yc)/3 AS y, (za+zb+zc)/3 AS z,
@@ -289,7 +286,5 @@ def face_centres(t):
  SELECT scene_id, fid, frame, CAST(rank AS INT) AS rank, floor(score*1e3+5e-1)/1e3 AS score FROM (SELECT *, row_number() OVER (PARTITION BY scene_id, fid ORDER BY score DESC, frame) AS rank FROM r) q WHERE rank<=3""", "fcent cameras zbuf")
 def best_frames(t):
     """The three best frames per face of the gridded mesh, hidden ones left out."""
-    buffer = visibility.depth_buffer(pairs(t))
-    shown = visibility.visible(visibility.seen_pairs(face_centres(t), t.cameras.drop("name")), buffer)
-    b = visibility.best_frames(shown, ["scene_id", "fid"])
+    b = visibility.best_views(t.points_wide, face_centres(t), t.cameras)
     return b.select("scene_id", "fid", "frame", "rank", rounded("score", 3).alias("score"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from groundloom.functions.numeric import micro, rounded
-from groundloom.operators import images, tiles
-from groundloom.plans.cameras import out, pairs, r4
+from groundloom.operators import images, tiles, visibility
+from groundloom.plans.cameras import out, r4
 from groundloom.plans.catalog import query
 from groundloom.plans.tables import view
 from groundloom.plans.terrain import r6, r9
@@ -155,10 +155,8 @@ COVER = """cov AS (SELECT scene_id, frame, CAST(floor(u/1e1) AS INT) AS u, CAST(
 @query("coverage_share", f"WITH {COVER} SELECT scene_id, frame, CAST(sum(coalesce(own, CASE WHEN nf>=6 AND 2*ns>=nf THEN 1 ELSE 0 END)) AS BIGINT) AS seen_pixels, {r6('sum(coalesce(own, CASE WHEN nf>=6 AND 2*ns>=nf THEN 1 ELSE 0 END))/3072')} AS coverage FROM gp GROUP BY 1,2", "seen")
 def coverage_share(t):
     """Every placed camera's frame at 64 x 48: a quarter of the surface (by id) counts as unseen but still hides."""
-    p = pairs(t)
-    px = p.groupBy("scene_id", "frame", F.floor(F.col("u") / 10.0).cast("int").alias("u"), F.floor(F.col("v") / 10.0).cast("int").alias("v")).agg(
-        F.min_by(F.pmod("point_id", F.lit(4)) != 0, F.struct("depth", "point_id")).alias("seen"))
-    c = images.coverage(px.repartition("scene_id", "frame"), 64, 48)
+    p = t.points_wide.select("scene_id", "point_id", "x", "y", "z", (F.pmod("point_id", F.lit(4)) != 0).alias("seen"))
+    c = visibility.coverage(p, t.cameras, 64, 48, tenths=True)
     return c.select("scene_id", "frame", "seen_pixels", R6("coverage").alias("coverage"))
 
 
