@@ -2,13 +2,17 @@
 
 A stretch is open while some vertex lies farther from the chord of its ends than the tolerance. One aggregation a level finds the
 farthest vertex of every open stretch; it is kept and splits the stretch in two. So a long ring is spread over tasks by its vertices.
-Stretches of at most ``SHORT`` vertices are finished where they are, one stretch in a task's hands at a time, by the same rule.
+Stretches of at most ``SHORT`` vertices are finished where they are, many of them at once in arrays, by the same rule.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from groundloom.session import cut_lineage
@@ -90,11 +94,69 @@ def simplify(vertices: DataFrame, keys: list[str], tolerance: float, short: int
 
 
 def _finish(stretch: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
+    """Stretches dealt to tasks by a hash, as many together as a batch holds."""
     schema = stretch.select(*keys, "pos", "x", "y").schema
     names = [f.name for f in schema]
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos", kind="stable")
-        return rows.loc[_short(rows, tolerance), names]
-
-    return stretch.groupBy(*keys, "a").applyInPandas(run, schema)
+    own = [*keys, "a"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by stretch; the last stretch of a batch waits for the next batch."""
+        rest = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows])
+            starts = _starts(rows, own)
+            cut = starts[-1] if len(starts) else 0
+            rest = rows.slice(cut).combine_chunks()
+            if cut:
+                yield from _kept_rows(rows.slice(0, cut), starts[:-1], tolerance, names).to_batches()
+        if rest is not None and rest.num_rows:
+            yield from _kept_rows(rest, np.zeros(1, dtype=np.int64), tolerance, names).to_batches()
+
+    return stretch.repartition(*own).sortWithinPartitions(*own, "pos").mapInArrow(run, schema)
+
+
+def _starts(rows: pa.Table, keys: list[str]) -> np.ndarray:
+    """The rows at which another stretch begins."""
+    new = np.zeros(rows.num_rows, dtype=bool)
+    new[:1] = True
+    for k in keys:
+        codes = pc.dictionary_encode(rows[k].combine_chunks(), null_encoding="encode").indices.to_numpy()
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new)
+
+
+def _kept_rows(rows: pa.Table, starts: np.ndarray, tolerance: float, names: list[str]) -> pa.Table:
+    x, y, ax, ay, bx, by = (rows[c].to_numpy() for c in ("x", "y", "ax", "ay", "bx", "by"))
+    return rows.select(names).filter(pa.array(_many(x, y, ax, ay, bx, by, starts, tolerance)))
+
+
+def _many(x, y, ax, ay, bx, by, starts: np.ndarray, tolerance: float) -> np.ndarray:
+    """Which vertices of many stretches stay, level by level: ``_short`` on all of them at once."""
+    keep = np.zeros(len(x), dtype=bool)
+    at = np.arange(len(x))
+    begin = np.zeros(len(x), dtype=bool)
+    begin[starts] = True
+    while len(at):
+        seg = np.flatnonzero(begin)
+        size = np.diff(np.append(seg, len(at)))
+        of = np.repeat(np.arange(len(seg)), size)
+        px, py, dx, dy = x[at] - ax, y[at] - ay, bx - ax, by - ay
+        length = np.sqrt(dx * dx + dy * dy)
+        d = np.where(length > 0, np.abs(dx * py - dy * px) / np.where(length > 0, length, 1.0), np.sqrt(px * px + py * py))
+        most = np.maximum.reduceat(d, seg)
+        hit = np.flatnonzero(d == most[of])
+        first = np.full(len(seg), -1)
+        first[of[hit][::-1]] = hit[::-1]  # the first of equals
+        open_ = (most > tolerance) & (first >= 0)
+        keep[at[first[open_]]] = True
+        live = open_[of]
+        top = np.where(live, first[of], 0)
+        here = np.arange(len(at))
+        left = here < top
+        mx, my = x[at[top]], y[at[top]]
+        ax, ay, bx, by = np.where(left, ax, mx), np.where(left, ay, my), np.where(left, mx, bx), np.where(left, my, by)
+        begin = begin | (here == top + 1)
+        stay = live & (here != top)
+        at, ax, ay, bx, by, begin = at[stay], ax[stay], ay[stay], bx[stay], by[stay], begin[stay]
+    return keep

@@ -75,3 +75,20 @@ def test_long_ring(spark):
         rows = pd.DataFrame({"x": x[a + 1 : b], "y": y[a + 1 : b]}).assign(ax=x[a], ay=y[a], bx=x[b % n], by=y[b % n])
         want |= {a + 1 + int(k) for k in np.flatnonzero(simplify._short(rows, 0.2))}
     assert got == want and 50 < len(got) < 2000
+
+
+def test_stretches_are_finished_together(spark):
+    """Stretches are no groups of Python calls: they pass through tasks in batches, and stay as the plain rule has them."""
+    import pandas as pd
+
+    r = np.random.default_rng(8)
+    lines = {k: np.round(r.random((int(r.integers(3, 300)), 2)) * 8) / 4 for k in range(150)}
+    rows = [(k, p, float(x), float(y), False) for k, v in lines.items() for p, (x, y) in enumerate(v)]
+    s = simplify.simplify(spark.createDataFrame(rows, "k int, pos bigint, x double, y double, closed boolean"), ["k"], 0.4)
+    assert "FlatMapGroupsInPandas" not in s._jdf.queryExecution().analyzed().toString()
+    got = {(q.k, q.pos) for q in s.collect()}
+    want = set()
+    for k, v in lines.items():
+        d = pd.DataFrame({"x": v[1:-1, 0], "y": v[1:-1, 1], "ax": v[0, 0], "ay": v[0, 1], "bx": v[-1, 0], "by": v[-1, 1]})
+        want |= {(k, 0), (k, len(v) - 1)} | {(k, 1 + int(j)) for j in np.flatnonzero(simplify._short(d, 0.4))}
+    assert got == want
