@@ -1,24 +1,96 @@
 """Ordering directed segments into lines and rings by pointer doubling.
 
 Every node has at most one successor. Each round doubles how far a node has looked ahead, so a
-line of n nodes is ordered in about log2(n) joins and never has to fit in one task.
+line of n nodes is ordered in about log2(n) joins and never has to fit in one task. Groups of at most
+``TOGETHER`` edges are ordered in the same way in arrays, many groups to a task, without a join.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from groundloom.session import cut_lineage
 
+#: Edges of a group, and of all groups a task orders at once, that are held in arrays.
+TOGETHER = 1 << 16
 
-def order(edges: DataFrame, group: list[str], start: str, end: str) -> DataFrame:
+
+def order(edges: DataFrame, group: list[str], start: str, end: str, together: int = TOGETHER) -> DataFrame:
     """Nodes with line (a name shared by the nodes of one line), pos (0..), and closed.
 
     Open lines are named by their last node; rings by their smallest node, which comes first.
     """
     g = edges.select(*group, F.col(start).alias("node"), F.col(end).alias("nxt"))
+    sizes = cut_lineage(g.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.max(F.col("node").isNull() | F.col("nxt").isNull()).alias("_gap")))
+    apart = (F.col("_n") > together) | F.col("_gap")
+    for c in group:
+        apart = apart | F.col(c).isNull()
+    total, large = sizes.agg(F.sum("_n"), F.count(F.when(apart, 1))).first()
+    if not large:
+        return _order_together(g, group, total or 0, together)
+    many = sizes.where(apart).select(*[F.col(c).alias("_g" + c) for c in group])
+    same = [F.col(c).eqNullSafe(F.col("_g" + c)) for c in group]
+    return _order_apart(g.join(many, same, "left_semi"), group, "node", "nxt").unionByName(_order_together(g.join(many, same, "left_anti"), group, total, together))
+
+
+def _order_together(g: DataFrame, group: list[str], total: int, together: int) -> DataFrame:
+    """``order`` for small groups: each task takes a bucket of about ``together`` edges of whole groups."""
+    schema = StructType([*g.select(*group, "node", F.col("node").alias("line")).schema, StructField("pos", LongType()), StructField("closed", BooleanType())])
+    buckets = max(g.sparkSession.sparkContext.defaultParallelism, -(-total // together))
+    names = [f.name for f in schema]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        return _ordered(rows, group)[names]
+
+    keyed = g.withColumn("_b", F.pmod(F.xxhash64(*group), F.lit(buckets)))
+    return keyed.repartition(buckets, "_b").groupBy("_b").applyInPandas(run, schema)
+
+
+def _ordered(rows: pd.DataFrame, group: list[str]) -> pd.DataFrame:
+    """Pointer doubling over the edges (``group``, node, nxt) of several groups."""
+    of = rows.groupby(group, sort=False).ngroup().to_numpy()
+    ids, code = np.unique(np.concatenate([rows["node"].to_numpy(), rows["nxt"].to_numpy()]), return_inverse=True)
+    both = np.concatenate([of, of]) * len(ids) + code.ravel()
+    keys, place, at = np.unique(both, return_index=True, return_inverse=True)
+    n, m = len(keys), len(rows)
+    a, b = at.ravel()[:m], at.ravel()[m:]
+    nxt = np.full(n, -1)
+    np.maximum.at(nxt, a, b)
+    here = np.arange(n)
+    rounds = math.ceil(math.log2(max(2, int(np.bincount(keys // len(ids)).max())))) + 1
+
+    def double(nxt: np.ndarray):
+        jump, dist, tail = nxt, (nxt >= 0).astype(np.int64), np.where(nxt >= 0, nxt, here)
+        low = np.minimum(here, tail)
+        for _ in range(rounds):
+            go = jump >= 0
+            to = np.where(go, jump, 0)
+            dist, low = np.where(go, dist + dist[to], dist), np.where(go, np.minimum(low, low[to]), low)
+            tail, jump = np.where(go, tail[to], tail), np.where(go, jump[to], -1)
+            if not (jump >= 0).any():
+                break
+        return jump, dist, tail, low
+
+    jump, dist, line, low = double(nxt)
+    closed = jump >= 0
+    if closed.any():
+        cut = np.where(closed & (nxt != low), nxt, -1)
+        dist, line = np.where(closed, double(cut)[1], dist), np.where(closed, low, line)
+    length = np.zeros(2 * n, dtype=np.int64)
+    np.maximum.at(length, line + n * closed, dist)
+    out = rows.iloc[place % m][group].reset_index(drop=True)
+    node = ids[keys % len(ids)]
+    return out.assign(node=node, line=node[line], pos=length[line + n * closed] - dist, closed=closed)
+
+
+def _order_apart(edges: DataFrame, group: list[str], start: str, end: str) -> DataFrame:
+    """``order`` for groups of any size."""
+    g = edges.select(*group, F.col(start).alias("node"), F.col(end).alias("nxt"))
     heads = g.select(*group, F.col("nxt").alias("node"), F.lit(None).cast(g.schema["nxt"].dataType).alias("nxt"))
     nodes = cut_lineage(g.unionByName(heads).groupBy(*group, "node").agg(F.max("nxt").alias("nxt")))
     most = nodes.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
