@@ -3,7 +3,7 @@
 ``read_table`` takes two passes. The first one, in tasks, reads headers and counts the lines that begin in each stretch of an ASCII file;
 sums over the stretches give each its first line. The second one reads: a binary file's rows have a fixed size, so it is cut into row
 ranges; an ASCII file is cut into the counted stretches, and its first lines, as many as the header says, are its vertices. Only the
-properties in the requested schema are decoded. Without the first pass (a plain ``spark.read.format("ply")``) headers are read on the
+properties in the requested schema are decoded. A task takes as many small files or stretches as make up its share of the bytes. Without the first pass (a plain ``spark.read.format("ply")``) headers are read on the
 driver, and a stretch of an ASCII file counts the lines before it by itself. A written table is a folder of complete PLY files, one or
 more per task and scene.
 """
@@ -111,7 +111,14 @@ def read_header(path: str) -> Header:
 
 
 @dataclass
-class Slice(InputPartition):
+class Bundle(InputPartition):
+    """Slices, in the order of their files, that one task reads."""
+
+    slices: list[Slice]
+
+
+@dataclass
+class Slice:
     path: str
     header: Header
     start: int  # first row (binary) or byte (ascii)
@@ -122,6 +129,8 @@ class Slice(InputPartition):
 
 #: Bytes of an ASCII row at the least, for the length of stretches.
 ROW_BYTES = 16
+#: A task's bytes at the most, unless one slice has more, and tasks at the least, where there are as many slices.
+TASK_BYTES, TASKS = 8 << 20, 32
 SURVEY = "path string, start bigint, lines bigint, size bigint, header string"
 
 
@@ -135,15 +144,39 @@ def line_start(fh, at: int) -> int:
     return at - 1
 
 
+def stretch(chunk: int, files: list[tuple[str, int]]) -> int:
+    """Bytes of an ASCII file that are read at once: ``chunk``, or as many whole ones as a share of the files or half a task's bytes hold."""
+    return chunk * max(1, min(TASK_BYTES // 2, sum(size for _, size in files) // TASKS) // chunk)
+
+
+def bundled(slices: list[tuple[int, Slice]]) -> list[Bundle]:
+    """Neighbouring slices (each with its bytes) put together, so that the number of tasks follows bytes, not files or stretches."""
+    most = min(TASK_BYTES, sum(n for n, _ in slices) // TASKS)
+    out, held = [], 0
+    for n, s in slices:
+        if not out or held + n > most:
+            out.append(Bundle([]))
+            held = 0
+        out[-1].slices.append(s)
+        held += n
+    return out
+
+
 class PlyReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict):
         self.schema, self.options = schema, options
 
+    def __getstate__(self):
+        """Tasks have their slices: what the first pass found stays behind."""
+        return {"schema": self.schema, "options": {k: v for k, v in self.options.items() if k != "surveyed"}}
+
     def partitions(self):
         step = int(self.options.get("rowspersplit", 2_000_000))
         if self.options.get("survey") == "true":
             chunk = step * ROW_BYTES
-            return [Slice(path, None, a, min(size, a + chunk), a + chunk >= size) for path, size in _files(self.options["path"]) for a in range(0, max(size, 1), chunk)]
+            files = _files(self.options["path"])
+            long = stretch(chunk, files)
+            return bundled([(min(long, size - a), Slice(path, None, a, min(size, a + long), a + long >= size)) for path, size in files for a in range(0, max(size, 1), long)])
         out = []
         for path, size, h, lines in self._surveyed() if "surveyed" in self.options else ((path, size, read_header(path), None) for path, size in _files(self.options["path"])):
             missing = [f.name for f in self.schema if f.name not in EXTRA and f.name not in dict(h.fields)]
@@ -152,14 +185,14 @@ class PlyReader(DataSourceReader):
             if h.binary:
                 if size < h.size + h.count * h.dtype.itemsize:
                     raise ValueError(f"{path}: truncated, {size} bytes for {h.count} vertices")
-                out += [Slice(path, h, a, min(h.count, a + step)) for a in range(0, h.count, step)]
+                out += [((min(h.count, a + step) - a) * h.dtype.itemsize, Slice(path, h, a, min(h.count, a + step))) for a in range(0, h.count, step)]
             else:
-                starts = sorted(lines) if lines else list(range(0, max(size, 1), step * ROW_BYTES))
+                starts = sorted(lines) if lines else list(range(0, max(size, 1), stretch(step * ROW_BYTES, [(path, size)])))
                 before = 0
                 for a, b in zip(starts, [*starts[1:], size]):
-                    out.append(Slice(path, h, max(a, h.size), b, b == size, before if lines else None))
+                    out.append((b - a, Slice(path, h, max(a, h.size), b, b == size, before if lines else None)))
                     before += lines[a] if lines else 0
-        return out
+        return bundled(out)
 
     def _surveyed(self):
         """path, size, header and lines by stretch, from the rows of the first pass."""
@@ -186,7 +219,11 @@ class PlyReader(DataSourceReader):
         fh.seek(0, 2)
         yield pa.RecordBatch.from_pydict({"path": [part.path], "start": pa.array([part.start], pa.int64()), "lines": pa.array([lines], pa.int64()), "size": pa.array([fh.tell()], pa.int64()), "header": pa.array([header], pa.string())})
 
-    def read(self, part: Slice):
+    def read(self, part: Bundle):
+        for s in part.slices:
+            yield from self._read(s)
+
+    def _read(self, part: Slice):
         fs, p = _filesystem(part.path)
         with fs.open_input_file(p) as fh:
             if part.header is None:
@@ -197,7 +234,7 @@ class PlyReader(DataSourceReader):
                 cols = []
                 for f in self.schema:
                     if f.name == "path":
-                        cols.append(pa.array([part.path] * len(rows)))
+                        cols.append(pa.repeat(part.path, len(rows)))
                     elif f.name == "row":
                         cols.append(pa.array(numbers, pa.int64()))
                     else:

@@ -1,6 +1,7 @@
 """Files in and out, on files made here."""
 
 import json
+import pickle
 import struct
 
 import numpy as np
@@ -211,3 +212,16 @@ def test_obj_files(spark, tmp_path):
     sinks.write_obj(v, f, str(tmp_path / "o"))
     lines = [r["value"] for r in spark.read.text(str(tmp_path / "o")).collect()]
     assert "f 1 2 3" in lines and sum(x.startswith("v ") for x in lines) == 3
+
+
+@pytest.mark.parametrize("text", ["true", "false"])
+def test_small_stretches_share_tasks(spark, tmp_path, text):
+    """Many small files cut into short stretches: the tasks are bounded by bytes, the rows are whole, and no task is sent the first pass."""
+    rows = [(s, k, float(k) / 4, s) for s in range(120) for k in range(40)]
+    p = str(tmp_path / "many")
+    ply.write_table(spark.createDataFrame(rows, "scene_id int, point_id bigint, x double, r int"), p, ["x", "r"], ascii=text)
+    d = ply.read_table(spark, p, "path string, row bigint, x double, r int", rowsPerSplit=5)
+    assert d.rdd.getNumPartitions() <= 2 * ply.TASKS
+    assert sorted((q.r, q.x) for q in d.collect()) == sorted((s, x) for s, _, x, _ in rows)
+    reader = pickle.loads(pickle.dumps(ply.PlyReader(d.schema, {"path": p, "surveyed": "[]"})))
+    assert reader.options == {"path": p}
