@@ -1,7 +1,7 @@
 """Iterative raster stencils in rounds over tiles with halos.
 
 Each round copies a tile's surroundings (its halo) to it, runs sweeps on the dense tile and keeps
-the tile's own cells. K sweeps of reach r are exact with a halo of K*r, so N sweeps cost N*r/halo shuffles
+the tile's own cells. Scenes of one tile are stacked, many to a group. K sweeps of reach r are exact with a halo of K*r, so N sweeps cost N*r/halo shuffles
 instead of N. A tile is at most (TILE + 2*HALO)^2 cells, whatever the scene's size. Scenes that fit
 one tile finish in one round.
 """
@@ -17,24 +17,29 @@ from pyspark.sql import DataFrame, functions as F
 from groundloom.session import cut_lineage
 
 TILE, HALO = 256, 48
+#: Cells that one group of small scenes holds at about, cells of the stacked tiles that a kernel takes at once, and the step of their sides.
+GROUP, STACK, ROUND = 1 << 18, 1 << 16, 8
 Arrays = dict[str, np.ndarray]
 
 
 class Frame:
-    """Where a dense tile sits in its scene: cell (r, c) of the tile is (i0 + r, j0 + c)."""
+    """Where dense tiles of one shape sit in their scenes: cell (k, r, c) is cell (i0[k] + r, j0[k] + c) of tile k's scene."""
 
-    def __init__(self, i0: int, j0: int, shape: tuple[int, int], ny: int, nx: int, present: np.ndarray):
+    def __init__(self, i0: np.ndarray, j0: np.ndarray, shape: tuple[int, int], ny: np.ndarray, nx: np.ndarray, present: np.ndarray):
         self.i0, self.j0, self.shape, self.ny, self.nx, self.present = i0, j0, shape, ny, nx, present
 
-    def edge(self) -> tuple[np.ndarray, np.ndarray]:
-        return self.i0 + np.arange(self.shape[0]), self.j0 + np.arange(self.shape[1])
+    def sides(self) -> dict[tuple[int, int], np.ndarray]:
+        """Where the neighbour in each of the four directions lies beyond the scene's raster."""
+        rows, cols = self.i0[:, None] + np.arange(self.shape[0]), self.j0[:, None] + np.arange(self.shape[1])
+        return {(-1, 0): (rows == 0)[:, :, None], (1, 0): (rows == self.ny[:, None] - 1)[:, :, None],
+                (0, -1): (cols == 0)[:, None, :], (0, 1): (cols == self.nx[:, None] - 1)[:, None, :]}
 
 
 def shifted(a: np.ndarray, di: int, dj: int, fill: float = np.nan) -> np.ndarray:
-    """a[i + di, j + dj] at (i, j)."""
+    """a[..., i + di, j + dj] at (..., i, j)."""
     out = np.full(a.shape, fill, dtype=a.dtype)
-    h, w = a.shape
-    out[max(0, -di):h - max(0, di), max(0, -dj):w - max(0, dj)] = a[max(0, di):h - max(0, -di), max(0, dj):w - max(0, -dj)]
+    h, w = a.shape[-2:]
+    out[..., max(0, -di):h - max(0, di), max(0, -dj):w - max(0, dj)] = a[..., max(0, di):h - max(0, -di), max(0, dj):w - max(0, -dj)]
     return out
 
 
@@ -47,10 +52,11 @@ def rounds(cells: DataFrame, values: list[str], kernel: Callable[[Arrays, Frame,
     whatever it took from a cut-off halo is bettered later. Any other is held to the sweeps for which the halo is wide
     enough, since what it fills stays. Tiles far from any change stay out of the later rounds.
     """
-    size = cells.agg(F.max("ny").alias("h"), F.max("nx").alias("w")).first()
+    size = cells.agg(F.max("ny").alias("h"), F.max("nx").alias("w"), F.count(F.lit(1)).alias("n")).first()
     if size["h"] is None:
         return cells
     single = size["h"] <= tile and size["w"] <= tile
+    buckets = max(cells.sparkSession.sparkContext.defaultParallelism, -(-size["n"] // GROUP))
     pad = 0 if single else halo
     schema = "scene_id int, i bigint, j bigint, ny bigint, nx bigint, " + ", ".join(f"{v} double" for v in values) + ", changed boolean"
     left = sweeps
@@ -69,25 +75,42 @@ def rounds(cells: DataFrame, values: list[str], kernel: Callable[[Arrays, Frame,
             take = min(left, within)
 
         def run(rows: pd.DataFrame) -> pd.DataFrame:
+            """Tiles of like shape are stacked, so that a sweep is one step over all of them; still tiles stay as they are."""
+            of = rows.groupby(["scene_id", "_ti", "_tj"], sort=False, dropna=False).ngroup().to_numpy()
+            order = np.argsort(of, kind="stable")
+            rows, of = rows.iloc[order], of[order]
+            first = np.flatnonzero(np.diff(of, prepend=-1))
             i, j = rows["i"].to_numpy(), rows["j"].to_numpy()
-            i0, j0 = int(i.min()), int(j.min())
-            shape = (int(i.max()) - i0 + 1, int(j.max()) - j0 + 1)
-            at = (i - i0, j - j0)
-            dense: Arrays = {}
-            for v in values:
-                dense[v] = np.full(shape, np.nan)
-                dense[v][at] = rows[v].to_numpy()
-            present = np.zeros(shape, bool)
-            present[at] = True
-            frame = Frame(i0, j0, shape, int(rows["ny"].iloc[0]), int(rows["nx"].iloc[0]), present)
-            new = kernel({v: a.copy() for v, a in dense.items()}, frame, take)
-            own = (i // tile == rows["_ti"].iloc[0]) & (j // tile == rows["_tj"].iloc[0])
+            lows = [np.minimum.reduceat(c, first) for c in (i, j)]
+            spans = [np.maximum.reduceat(c, first) - low + 1 for c, low in zip((i, j), lows)]
+            own = (i // tile == rows["_ti"].to_numpy()) & (j // tile == rows["_tj"].to_numpy())
+            was = {v: rows[v].to_numpy() for v in values}
+            now = {v: np.empty(len(rows)) for v in values}
+            room = np.stack([-(-n // ROUND) * ROUND for n in spans], axis=1)
+            ends = np.append(first, len(rows))
+            for shape in np.unique(room, axis=0):
+                alike = np.flatnonzero((room == shape).all(axis=1))
+                most = max(1, STACK // int(shape.prod()))
+                for part in (alike[k:k + most] for k in range(0, len(alike), most)):
+                    pick = np.concatenate([np.arange(ends[k], ends[k + 1]) for k in part])
+                    layer = np.repeat(np.arange(len(part)), ends[part + 1] - ends[part])
+                    at = (layer, i[pick] - lows[0][part][layer], j[pick] - lows[1][part][layer])
+                    size3 = (len(part), *map(int, shape))
+                    dense: Arrays = {v: np.full(size3, np.nan) for v in values}
+                    for v in values:
+                        dense[v][at] = was[v][pick]
+                    present = np.zeros(size3, bool)
+                    present[at] = True
+                    ny, nx = (rows[c].to_numpy()[first[part]] for c in ("ny", "nx"))
+                    new = kernel(dense, Frame(lows[0][part], lows[1][part], size3[1:], ny, nx, present), take)
+                    for v in values:
+                        now[v][pick] = new[v][at]
             out = rows.loc[own, ["scene_id", "i", "j", "ny", "nx"]].copy()
             changed = np.zeros(int(own.sum()), bool)
             for v in values:
-                was, now = dense[v][at][own], new[v][at][own]
-                out[v] = now
-                changed |= ~((was == now) | (np.isnan(was) & np.isnan(now)))
+                a, b = was[v][own], now[v][own]
+                out[v] = b
+                changed |= ~((a == b) | (np.isnan(a) & np.isnan(b)))
             out["changed"] = changed
             return out
 
@@ -95,7 +118,9 @@ def rounds(cells: DataFrame, values: list[str], kernel: Callable[[Arrays, Frame,
         spread = state.withColumn("_ti", F.explode(near("i"))).withColumn("_tj", F.explode(near("j")))
         if active is not None:
             spread = spread.join(active, ["scene_id", "_ti", "_tj"], "left_semi")
-        done = spread.groupBy("scene_id", "_ti", "_tj").applyInPandas(run, schema)
+        # a bucket holds about GROUP cells of whole tiles; tiles that are large already have one each
+        deal = F.pmod(F.xxhash64("scene_id", "_ti", "_tj"), F.lit(buckets))
+        done = spread.withColumn("_b", deal).repartition(buckets, "_b").groupBy("_b", *([] if single else ["scene_id", "_ti", "_tj"])).applyInPandas(run, schema)
         # Arrow brings NaN; the tables use NULL
         done = done.select("scene_id", "i", "j", "ny", "nx", *[F.nanvl(F.col(v), F.lit(None).cast("double")).alias(v) for v in values], "changed")
         if active is not None:
@@ -168,8 +193,7 @@ def fill_around(a: Arrays, f: Frame, sweeps: int | None) -> Arrays:
 def relax(a: Arrays, f: Frame, sweeps: int | None) -> Arrays:
     """Hole cells become the mean of their four neighbours; a neighbour beyond the raster's edge is the cell itself."""
     z, hole = a["z"], a["hole"] > 0
-    rows, cols = f.edge()
-    beyond = {(-1, 0): (rows == 0)[:, None], (1, 0): (rows == f.ny - 1)[:, None], (0, -1): (cols == 0)[None, :], (0, 1): (cols == f.nx - 1)[None, :]}
+    beyond = f.sides()
     for _ in range(sweeps or 0):
         around = [np.where(off, z, shifted(z, *s)) for s, off in beyond.items()]
         n = sum(np.isfinite(x).astype(float) for x in around)
@@ -202,8 +226,8 @@ def drape(rigidness: int):
 
     def kernel(a: Arrays, f: Frame, sweeps: int | None) -> Arrays:
         cloth, floor, drop = a["cloth"], a["floor"], a["drop"]
-        rows, cols = f.edge()
-        inner = ((rows > 0) & (rows < f.ny - 1))[:, None] & ((cols > 0) & (cols < f.nx - 1))[None, :]
+        north, south, west, east = f.sides().values()
+        inner = ~(north | south | west | east)
         for _ in range(sweeps or 0):
             cloth = np.maximum(cloth - drop, floor)
             for _ in range(rigidness):
