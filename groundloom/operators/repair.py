@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from groundloom.functions.constants import CELL_STRIDE
 from groundloom.operators import raster, terrain, tiles
 from groundloom.operators.order_stats import quantiles
-from groundloom.session import cut_lineage
+from groundloom.session import cut_lineage, in_parts
 
 KEY = raster.KEY
 
@@ -117,21 +117,22 @@ def drain(grid: DataFrame, meta: DataFrame, cell: float) -> DataFrame:
     return tiles.rounds(c, ["z", "rim", "eps", "w"], tiles.drain, monotone=True).select(*KEY, F.col("w").alias("z"), (F.col("w") > F.col("z") + 1e-9).alias("raised"))
 
 
-def unpinch(quads: DataFrame) -> DataFrame:
+def unpinch(quads: DataFrame, parts: int | None = None) -> DataFrame:
     """Quads thinned until none touch only at a corner. A round is one gather per vertex; rounds end when nothing is cut."""
-    out = quads.select(*KEY)
+    out = cut_lineage(quads.select(*KEY))
     while True:
         spot = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)]))
         v = out.withColumn("_o", spot)
         has = lambda a, b: F.max((F.col("_o.a") == a) & (F.col("_o.b") == b))
-        around = v.groupBy("scene_id", (F.col("i") + F.col("_o.a")).alias("vi"), (F.col("j") + F.col("_o.b")).alias("vj")).agg(
+        v = v.withColumn("vi", F.col("i") + F.col("_o.a")).withColumn("vj", F.col("j") + F.col("_o.b"))
+        around = in_parts(v, parts, "scene_id", "vi", "vj").groupBy("scene_id", "vi", "vj").agg(
             has(1, 1).alias("nw"), has(1, 0).alias("ne"), has(0, 1).alias("sw"), has(0, 0).alias("se"))
         falling = around.where("nw AND se AND NOT ne AND NOT sw").select("scene_id", F.col("vi").alias("i"), F.col("vj").alias("j"))
         rising = around.where("ne AND sw AND NOT nw AND NOT se").select("scene_id", F.col("vi").alias("i"), (F.col("vj") - 1).alias("j"))
         cut = cut_lineage(falling.unionByName(rising))
         if cut.isEmpty():
             return out
-        out = cut_lineage(out.join(cut, KEY, "left_anti"))
+        out = cut_lineage(in_parts(out, parts, *KEY).join(in_parts(cut, parts, *KEY), KEY, "left_anti"))
 
 
 def large_regions(cells: DataFrame, meta: DataFrame, least: int) -> DataFrame:

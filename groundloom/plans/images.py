@@ -34,13 +34,13 @@ def prune_blurry(t):
 @query("depth_edges", f"""SELECT scene_id, u, v, {r6('greatest(abs(depth-coalesce(dl,depth)),abs(depth-coalesce(du,depth)))/greatest(depth,1e-6)')} AS step,
  greatest(abs(depth-coalesce(dl,depth)),abs(depth-coalesce(du,depth)))/greatest(depth,1e-6)<3e-2 AS keep FROM pixn""", "pixn")
 def depth_edges(t):
-    return images.depth_edges(t.pixels.select("scene_id", "u", "v", "depth")).select("scene_id", "u", "v", R6("step").alias("step"), "keep")
+    return images.depth_edges(t.pixels.select("scene_id", "u", "v", "depth"), parts=t.parts).select("scene_id", "u", "v", R6("step").alias("step"), "keep")
 
 
 @query("depth_gradient", f"""WITH g AS (SELECT scene_id, u, v, coalesce((dr-dl)/2,dr-depth,depth-dl,0e0)*5e2/greatest(depth,1e-6) AS gx, coalesce((dd-du)/2,dd-depth,depth-du,0e0)*5e2/greatest(depth,1e-6) AS gy FROM pixn)
  SELECT scene_id, u, v, {r6('gx/sqrt(gx*gx+gy*gy+1)')} AS nx, {r6('gy/sqrt(gx*gx+gy*gy+1)')} AS ny, {r6('-1/sqrt(gx*gx+gy*gy+1)')} AS nz FROM g""", "pixn")
 def depth_gradient(t):
-    return out(images.depth_normals(t.pixels.select("scene_id", "u", "v", "depth"), 500.0), ["scene_id", "u", "v"], nx="nx", ny="ny", nz="nz")
+    return out(images.depth_normals(t.pixels.select("scene_id", "u", "v", "depth"), 500.0, t.parts), ["scene_id", "u", "v"], nx="nx", ny="ny", nz="nz")
 
 
 @query("unproject_depth", f"SELECT scene_id, u, v, {r6('(u-1e2)*depth/5e2')} AS x, {r6('(v-7e1)*depth/5e2')} AS y, {r6('depth')} AS z, {r6('depth*1/5e2*75e-2')} AS size FROM pixels WHERE depth>0", "pixels")

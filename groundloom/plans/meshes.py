@@ -78,7 +78,7 @@ WALLS = """q AS (SELECT scene_id, (i+1)*1048576+j AS p, (i+1)*1048576+j+1 AS q,
 
 @query("solid_walls", f"WITH {WALLS} SELECT * FROM solid", "quads")
 def solid_walls(t):
-    return mesh.solid_quads(t.quads)
+    return mesh.solid_quads(t.quads, t.parts)
 
 
 @query("closed_solid", f"""WITH {WALLS}, tri AS (SELECT scene_id, p AS a, q AS b, r AS c FROM solid UNION ALL SELECT scene_id, p, r, s FROM solid), d AS (SELECT scene_id, a, b FROM tri UNION ALL SELECT scene_id, b, c FROM tri UNION ALL SELECT scene_id, c, a FROM tri),
@@ -89,15 +89,15 @@ def solid_walls(t):
 def closed_solid(t):
     """The gridded mesh closed by a flat base at -5: is it watertight, and its volume (corner-touching quads not
     thinned here, so scenes that have any are reported open)."""
-    tri = mesh.quads_to_triangles(mesh.solid_quads(t.quads))
+    tri = mesh.quads_to_triangles(mesh.solid_quads(t.quads, t.parts))
     v = t.vertices
     both = v.unionByName(v.withColumn("vid", -F.col("vid") - 1).withColumn("z", F.lit(-5.0)))
     fid = F.monotonically_increasing_id()
     from groundloom.session import cut_lineage
 
     faces = cut_lineage(tri.select("scene_id", fid.alias("fid"), "a", "b", "c"))
-    vol = mesh.face_corners(faces, both).groupBy("scene_id").agg(mesh.signed_volume().alias("v"))
-    return mesh.closed_check(faces).join(vol, "scene_id").select("scene_id", "closed", "edges", rounded("v", 4).alias("volume"))
+    vol = mesh.face_corners(faces, both, t.parts).groupBy("scene_id").agg(mesh.signed_volume().alias("v"))
+    return mesh.closed_check(faces, t.parts).join(vol, "scene_id").select("scene_id", "closed", "edges", rounded("v", 4).alias("volume"))
 
 
 def face_rules(blocks: str, shard: str) -> str:

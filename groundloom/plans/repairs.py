@@ -110,7 +110,7 @@ def _unpinch_sql(rounds: int = 12) -> str:
 
 @query("quad_unpinch", _unpinch_sql(), "quads")
 def quad_unpinch(t):
-    return repair.unpinch(t.quads).select("scene_id", "i", "j")
+    return repair.unpinch(t.quads, t.parts).select("scene_id", "i", "j")
 
 
 @query("mesh_faces", f"""WITH RECURSIVE {BLOCK_SQL}, {CLOSE_SQL}, {label_sql('lab', 'closed', OFF8, 200)}, region AS (SELECT scene_id, l, count(*) AS n FROM lab GROUP BY 1,2),
