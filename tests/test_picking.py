@@ -52,3 +52,24 @@ def test_first_hit(spark, reach):
     assert set(got) == set(want) and len(want) > 25
     for k, (t, i) in want.items():
         assert got[k].splat_id == i and abs(got[k].distance - t) < 1e-9, k
+
+
+@pytest.mark.parametrize("pairs", [0, 2000, 1 << 24])
+def test_scenes_in_groups_and_through_voxels(spark, pairs):
+    """Small scenes in arrays and larger ones through voxels have the same hits, ties by the smaller id included."""
+    r = np.random.default_rng(5)
+    splats, rays = [], []
+    for scene, n in ((1, 80), (2, 7)):
+        for i in range(n):
+            v = (*r.uniform(-5, 5, 3).tolist(), *r.uniform(-3, 0, 3).tolist(), *r.normal(size=4).tolist(), 1.0)
+            splats += [(scene, 2 * i + 1, *v), (scene, 2 * i, *v)]
+        for k in range(40):
+            d = r.normal(size=3)
+            rays.append((scene, k, *r.uniform(-7, 7, 3).tolist(), *(d / np.linalg.norm(d)).tolist()))
+    s = spark.createDataFrame(splats, "scene_id int, splat_id long, x double, y double, z double, ls0 double, ls1 double, ls2 double, rw double, rx double, ry double, rz double, opacity_logit double")
+    q = spark.createDataFrame(rays, "scene_id int, ray_id long, ox double, oy double, oz double, dx double, dy double, dz double")
+    hits = picking.ray_hits(g.with_rotation(s, ("rw", "rx", "ry", "rz")), q, pairs=pairs)
+    plan = hits._jdf.queryExecution().analyzed().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and ("lox#" in plan) == (pairs < 1 << 24)
+    got, want = {(x.scene_id, x.ray_id): x for x in hits.collect()}, brute(splats, rays, 3.0)
+    assert set(got) == set(want) and all(got[k].splat_id == i and abs(got[k].distance - t) < 1e-9 for k, (t, i) in want.items())
