@@ -118,8 +118,8 @@ def stars(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
-def compare_blocks(blocks: DataFrame, radius: int, block: int = BLOCK, width: int = 8) -> DataFrame:
-    """Links (a, b: fingerprints) that join what is near in the first ``width`` bytes in each row of ``blocks`` (members: array of fingerprints).
+def compare_blocks(blocks: DataFrame, radius: int, block: int = BLOCK, width: int | None = None) -> DataFrame:
+    """Links (a, b: fingerprints) that join what is near in the first ``width`` bytes (None: all) in each row of ``blocks`` (members: array of fingerprints).
 
     Short rows are compared together, up to ``block`` members at once: a near pair from two rows is a true link too. A longer row is
     compared in parts of half a block, every two of them at once.
