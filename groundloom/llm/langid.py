@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from groundloom.llm.common import body
+from groundloom.llm.common import body, give_back, lean
 
 BUCKETS = 1 << 15
 #: Training rows at most, chosen by a hash of the text.
@@ -74,7 +74,7 @@ def train(docs: DataFrame, rows: int = TRAINING_ROWS, smoothing: float = 0.5) ->
             at = np.flatnonzero(c)
             yield pd.DataFrame({"lang": lang, "gram": at, "n": c[at]})
 
-    counts = sample.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = sample.mapInPandas(lean(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     found = counts.groupBy("lang").agg(F.collect_list("gram").alias("gram"), F.collect_list("n").alias("n")).collect()
     found.sort(key=lambda r: r["lang"])
     table = np.full((len(found), BUCKETS), smoothing)
@@ -149,7 +149,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
             yield judged(x["text"], model).assign(doc_id=x["doc_id"].to_numpy(dtype=object))[["doc_id", "lang_pred", "score", "languages"]]
 
     rows = docs.select(docs["doc_id"].cast("string").alias("doc_id"), body(docs).alias("text"))
-    done = rows.mapInPandas(run, f"doc_id string, lang_pred string, score double, languages {SHARES}")
+    done = rows.mapInPandas(lean(run), f"doc_id string, lang_pred string, score double, languages {SHARES}")
     return done.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
@@ -158,6 +158,7 @@ def accepted(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float
 
     @F.pandas_udf("boolean")
     def clear(texts: pd.Series) -> pd.Series:
+        give_back()
         found = judged(texts, model)
         return (found["lang_pred"] != "und") & (found["score"] >= least)
 

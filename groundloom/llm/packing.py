@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from groundloom.llm.common import body, shared_table, slices
+from groundloom.llm.common import body, lean, shared_table, slices
 from groundloom.llm.words import chunk_ids
 
 WINDOW = 2048
@@ -47,7 +47,7 @@ def token_table(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                 yield pd.DataFrame(rows, columns=["doc_id", "part", "before", "start", "doc_tokens", "ids"])
 
     rows = docs.select(docs["doc_id"].cast("string").alias("doc_id"), F.spark_partition_id().cast("long").alias("part"), body(docs).alias("text"))
-    return shared_table(rows.mapInPandas(run, "doc_id string, part long, before long, start long, doc_tokens long, ids binary"), "tokens")
+    return shared_table(rows.mapInPandas(lean(run, path), "doc_id string, part long, before long, start long, doc_tokens long, ids binary"), "tokens")
 
 
 def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = 1) -> DataFrame:
@@ -78,5 +78,5 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = 1) -> D
                     out.append((doc, s, b - a, n, (at + a) // window, (at + a) % window, s > 0, s + b - a < n, ids[a:b].tobytes()))
             yield pd.DataFrame(out, columns=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "cut_before", "cut_after", "ids"])
 
-    done = placed.mapInPandas(cut, "doc_id string, start long, length long, doc_tokens long, sequence_id long, offset long, cut_before boolean, cut_after boolean, ids binary")
+    done = placed.mapInPandas(lean(cut, path), "doc_id string, start long, length long, doc_tokens long, sequence_id long, offset long, cut_before boolean, cut_after boolean, ids binary")
     return done.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))

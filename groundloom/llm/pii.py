@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from groundloom.llm.common import body
+from groundloom.llm.common import body, give_back, lean
 
 KINDS = ("email", "ip", "card", "phone")
 MORE = ("iban", "card13", "ssn", "local_phone")
@@ -161,7 +161,7 @@ def find(docs: DataFrame) -> DataFrame:
         for x in batches:
             yield pd.DataFrame({"doc_id": x["doc_id"], "spans": [[{"kind": k, "start": a, "end": b, "score": s, "fixed": f} for k, a, b, s, f in spans(t)] for t in x["text"]]})
 
-    rows = docs.select(docs["doc_id"].cast("string").alias("doc_id"), body(docs).alias("text")).mapInPandas(run, f"doc_id string, spans {SPAN}")
+    rows = docs.select(docs["doc_id"].cast("string").alias("doc_id"), body(docs).alias("text")).mapInPandas(lean(run), f"doc_id string, spans {SPAN}")
     return rows.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "spans")
 
 
@@ -189,6 +189,7 @@ def redact(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("string")
     def cleaned(texts: pd.Series) -> pd.Series:
+        give_back()
         return texts.map(lambda t: None if t is None else redacted(t))
 
     out = docs.withColumn("text", cleaned(docs["text"]))

@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from groundloom.llm.common import body, shared_table
+from groundloom.llm.common import body, lean, shared_table
 from groundloom.llm.components import components
 
 #: Members of one block. Larger buckets take the ways described at ``near_fingerprints`` and ``near_texts``.
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
         for x in batches:
             yield pd.DataFrame({"doc_id": x["doc_id"], "fp": [majority(b"".join(map(digest, shingles(t, size))), 8) for t in x["text"]]})
 
-    rows = docs.select(docs["doc_id"].cast("string").alias("doc_id"), body(docs).alias("text")).mapInPandas(run, "doc_id string, fp binary")
+    rows = docs.select(docs["doc_id"].cast("string").alias("doc_id"), body(docs).alias("text")).mapInPandas(lean(run), "doc_id string, fp binary")
     return rows.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "fp")
 
 
@@ -146,7 +146,7 @@ def compare_blocks(blocks: DataFrame, radius: int, block: int = BLOCK, width: in
             yield pd.DataFrame(out, columns=["a", "b"])
         yield pd.DataFrame(links(waiting) if waiting else [], columns=["a", "b"])
 
-    return blocks.select("members").mapInPandas(run, "a binary, b binary")
+    return blocks.select("members").mapInPandas(lean(run), "a binary, b binary")
 
 
 def sized(keys: DataFrame) -> DataFrame:
@@ -182,7 +182,7 @@ def near_fingerprints(fps: DataFrame, block: int = BLOCK) -> DataFrame:
             flips = np.append(np.uint64(0), np.uint64(1) << np.arange(64, dtype=np.uint64))
             yield pd.DataFrame({"fp": np.repeat(x["fp"].to_numpy(), 65), "name": (v[:, None] ^ flips).astype(np.int64).ravel() if len(v) else np.zeros(0, dtype=np.int64)})
 
-    named = large.mapInPandas(names, "fp binary, name long")
+    named = large.mapInPandas(lean(names), "fp binary, name long")
     low = named.groupBy("name").agg(F.min("fp").alias("low"), F.count("*").alias("n")).where("n > 1")
     return links.union(named.join(low, "name").select(F.col("fp").alias("a"), F.col("low").alias("b")).where("a <> b").distinct())
 
@@ -254,7 +254,7 @@ def sketches(docs: DataFrame, size: int = 5) -> DataFrame:
             yield pd.DataFrame({"doc_id": x["doc_id"], "row_key": x["row_key"], "fp": [f for f, _, _ in out], "keys": [k for _, k, _ in out], "n": [n for _, _, n in out]})
 
     rows = docs.select(docs["doc_id"].cast("string").alias("doc_id"), row_key(docs).alias("row_key"), body(docs).alias("text"))
-    done = rows.mapInPandas(run, "doc_id string, row_key string, fp binary, keys array<long>, n long")
+    done = rows.mapInPandas(lean(run), "doc_id string, row_key string, fp binary, keys array<long>, n long")
     return done.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
@@ -340,7 +340,7 @@ def verified_links(docs: DataFrame, first: DataFrame, candidates: DataFrame, siz
     texts = docs.select(row_key(docs).alias("row_key"), body(docs).alias("text"))
     named = texts.join(dealt, "row_key").dropDuplicates(["row_key"]).select("root", meetings(F.col("parts")).alias("x"), "fp", "text")
     named = named.select("root", "x.p", "x.q", "fp", "text").repartition("root", "p", "q").sortWithinPartitions("root", "p", "q")
-    return named.mapInPandas(run, "a binary, b binary")
+    return named.mapInPandas(lean(run), "a binary, b binary")
 
 
 def near_texts(docs: DataFrame, size: int = 5, block: int = BLOCK, least: float = 0.78) -> DataFrame:

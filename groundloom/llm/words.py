@@ -8,6 +8,7 @@ from functools import lru_cache
 import numpy as np
 import regex
 
+from groundloom.llm.common import DROPS
 from groundloom.llm.ragged import word_ends
 
 #: The pre-token pattern of the vocabulary file, fixed value.
@@ -45,13 +46,16 @@ class ChunkIds:
         self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.parts.clear()
+
     def learn(self, texts: list[list[str]]) -> None:
         new = set().union(*texts).difference(self.known)
         if not new:
             return
         if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            self.parts.clear()
+            self.forget()
             new = set().union(*texts)
         cut = {c: pretokens(c) for c in new if not odd(c)}
         if words := list(set().union(*cut.values()).difference(self.parts)):
@@ -71,4 +75,6 @@ class ChunkIds:
 
 @lru_cache(maxsize=2)
 def chunk_ids(path: str) -> ChunkIds:
-    return ChunkIds(path)
+    made = ChunkIds(path)
+    DROPS[path] = made.forget
+    return made
