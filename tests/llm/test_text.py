@@ -72,6 +72,40 @@ def test_chunk_ids_match_library():
     assert [np.frombuffer(b, coder.dtype).tolist() for b in coder.encode(texts)] == want
 
 
+def test_cut_like_library():
+    """Every character up to U+0400 and all white space beside letters, digits and signs; contractions after all kinds; odd chunks among others."""
+    coder = words.chunk_ids(WORD_BPE)
+    spaces = [c for c in map(chr, range(0x1000, 0x3100)) if c.isspace()]
+    texts = [f"{c}|a{c}B'S{c}1 {c}'{c}LL" for c in [*map(chr, range(0x400)), *spaces]]
+    texts += [f"{a}'{b}{c}" for a in ("", "a", "1", "!", "'", "é", "'s", "<|", "—") for b in ("s", "T", "re", "vE", "m", "ll", "d", "l", "r", "'", "ĺ", "s's") for c in ("", "x", "9", "'", "?", " ", "É", "|", "…")]
+    texts += ["", " ", "x <|startoftext|>y z—z 日本 x", "z—z", "'", "\n'\n", "x'"]
+    want = [coder.model.library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(b, coder.dtype).tolist() for b in coder.encode(texts)] == want
+    assert [np.frombuffer(b, coder.dtype).tolist() for t in texts for b in coder.encode([t])] == want
+    assert coder.encode([]) == [] and coder.encode(["", "\t"]) == [b"", b""]
+
+
+def test_one_entry_a_pretoken():
+    """Chunks put together from few pre-tokens are neither encoded nor remembered one by one."""
+    coder = words.ChunkIds(WORD_BPE)
+    texts = [" ".join(f"w{'abcdefghij'[k % 10]}-{k // 10}x" for k in range(a, a + 1000)) for a in range(0, 20_000, 1000)]
+    got = [np.frombuffer(b, coder.dtype).tolist() for b in coder.encode(texts)]
+    assert got == [coder.model.library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(coder.known) == 10 + 10 + 1 + 1
+
+
+def test_long_texts_and_forgetting(monkeypatch):
+    """Texts of many stretches, and stretches with more pre-tokens than are remembered."""
+    text = "it's <|x one—two 3rd café " * 40 + "y" * 300 + " end" * 50
+    coder = words.ChunkIds(WORD_BPE)
+    want = coder.encode([text, "a", text])
+    assert np.frombuffer(want[0], coder.dtype).tolist() == coder.model.library.encode(text, add_special_tokens=False).ids
+    assert "".join(words.stretches(text, 64)) == text and max(map(len, words.stretches(text, 64))) > 300
+    monkeypatch.setattr(words, "REMEMBERED", 4)
+    monkeypatch.setattr(words.stretches, "__defaults__", (64,))
+    assert coder.encode([text, "a", text]) == want
+
+
 def test_long_and_short_sequences_merge_alike():
     merges = ragged.word_ends(WORD_BPE).merges
     for seq in (np.arange(60) % 7, np.zeros(50, dtype=int), np.array([5])):
