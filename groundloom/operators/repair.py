@@ -53,34 +53,30 @@ def fill_interior(grid: DataFrame, holes: DataFrame, meta: DataFrame, relax: int
     return tiles.rounds(filled, ["z", "hole"], tiles.relax, sweeps=relax).select(*KEY, "z", (F.col("hole") > 0).alias("filled"))
 
 
-def outlier_groups(grid: DataFrame, meta: DataFrame, cell: float, limit: float = 3.0, largest: int = 12, passes: int = 3) -> tuple[DataFrame, int]:
-    """Small groups standing above (or sunk below) everything around them are emptied and filled again."""
-    ring5 = [(a, b) for a in range(-2, 3) for b in range(-2, 3) if (a, b) != (0, 0)]
+def outlier_groups(grid: DataFrame, meta: DataFrame, cell: float, limit: float = 3.0, largest: int = 12, passes: int = 3, relax: int = 200, tile: int = tiles.TILE) -> tuple[DataFrame, int]:
+    """Small groups standing above (or sunk below) everything around them are emptied and filled again; also how many cells were.
+
+    Scenes of one tile go through all passes in one group. In larger ones a pass is one round over tiles, and only holes and the cells around
+    them are filled.
+    """
     most = raster.cells_long(limit, cell)
-    out, found = cut_lineage(grid.select(*KEY, "z")), 0
+    cells = cut_lineage(framed(grid.select(*KEY, "z"), meta))
+    fits = (F.col("ny") <= tile) & (F.col("nx") <= tile)
+    done = tiles.rounds(cells.where(fits).withColumn("times", F.lit(0.0)), ["z", "times"], tiles.refill_outliers(most, largest, passes, relax), tile=tile, monotone=True)
+    out, found = done.select(*KEY, "z"), int(done.agg(F.coalesce(F.sum("times"), F.lit(0.0))).first()[0])
+    large = cells.where(~fits)
+    if large.isEmpty():
+        return out, found
     for _ in range(passes):
-        med = raster.gather(out, ring5, {"med": F.percentile("nb", F.lit(0.5))}).where("home AND med IS NOT NULL")
-        dev = cut_lineage(med.select(*KEY, F.col("own").alias("z"), (F.col("own") - F.col("med")).alias("dev")))
-        holes = None
-        for sign in (1, -1):
-            part = label(dev.where(F.col("dev") * sign > most), meta, diagonal=True)
-            small = part.groupBy("scene_id", "label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= largest).select("scene_id", "label")
-            part = part.join(small, ["scene_id", "label"], "left_semi")
-            body = part.join(out, KEY).withColumn("s", F.col("z") * sign)
-            around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in raster.EIGHT]))
-            ring = body.withColumn("_o", around).select("scene_id", "label", (F.col("i") + F.col("_o.a")).alias("i"), (F.col("j") + F.col("_o.b")).alias("j")).distinct()
-            ring = ring.join(part.select(*KEY, "label"), [*KEY, "label"], "left_anti").join(out, KEY).groupBy("scene_id", "label").agg(F.max(F.col("z") * sign).alias("top"))
-            low = body.groupBy("scene_id", "label").agg(F.min("s").alias("low"))
-            stands = low.join(ring, ["scene_id", "label"]).where(F.col("low") - F.col("top") > most).select("scene_id", "label")
-            cut = part.join(stands, ["scene_id", "label"], "left_semi").select(*KEY)
-            holes = cut if holes is None else holes.unionByName(cut)
-        holes = cut_lineage(holes.distinct())
+        marked = tiles.rounds(large.withColumn("mark", F.lit(0.0)), ["z", "mark"], tiles.mark_outliers(most, largest), largest + 3, 1, tile, max(tiles.HALO, largest + 3))
+        holes = marked.where("mark = 2").select(*KEY)
         n = holes.count()
         if n == 0:
             break
         found += n
-        out = fill_interior(out.join(holes, KEY, "left_anti"), holes, meta).select(*KEY, "z")
-    return out, found
+        filled = fill_interior(marked.where("mark = 1"), holes, meta, relax).where("filled").select(*KEY, "z")
+        large = marked.where("mark < 2").drop("mark").unionByName(framed(filled, meta))
+    return out.unionByName(large.select(*KEY, "z")), found
 
 
 def ground_with_surface(ground: DataFrame, surface: DataFrame, meta: DataFrame, cell: float, narrow: int = 5, fade: int = 3, two_level: float = 3.0) -> DataFrame:

@@ -192,14 +192,103 @@ def fill_around(a: Arrays, f: Frame, sweeps: int | None) -> Arrays:
 
 def relax(a: Arrays, f: Frame, sweeps: int | None) -> Arrays:
     """Hole cells become the mean of their four neighbours; a neighbour beyond the raster's edge is the cell itself."""
-    z, hole = a["z"], a["hole"] > 0
-    beyond = f.sides()
+    shape, at = a["z"].shape, np.flatnonzero(a["hole"] > 0)
+    z, place = np.append(a["z"].ravel(), np.nan), np.arange(a["z"].size).reshape(shape)
+    # where the neighbours of each hole cell lie; absent ones are the NaN at the end
+    near = [np.where(off, place, shifted(place, *s, place.size)).ravel()[at] for s, off in f.sides().items()]
     for _ in range(sweeps or 0):
-        around = [np.where(off, z, shifted(z, *s)) for s, off in beyond.items()]
+        around = [z[k] for k in near]
         n = sum(np.isfinite(x).astype(float) for x in around)
         total = sum(np.where(np.isfinite(x), x, 0.0) for x in around)
-        z = np.where(hole, np.where(n > 0, total / np.maximum(n, 1), 0.0), z)
-    return {"z": z, "hole": a["hole"]}
+        z[at] = np.where(n > 0, total / np.maximum(n, 1), 0.0)
+    return {"z": z[:-1].reshape(shape), "hole": a["hole"]}
+
+
+def patches(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The set cells of stacked masks as flat positions, and for each the number of its 8-connected patch (its first cell's place in the list)."""
+    at = np.flatnonzero(mask)
+    place = np.full(mask.shape, -1)
+    place.ravel()[at] = np.arange(len(at))
+    pairs = []
+    for step in ((0, 1), (1, -1), (1, 0), (1, 1)):
+        other = shifted(place, *step, -1).ravel()[at]
+        pairs.append(np.stack([np.flatnonzero(other >= 0), other[other >= 0]]))
+    a, b = np.concatenate(pairs, axis=1)
+    label = np.arange(len(at))
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        new = new[new]
+        if np.array_equal(new, label):
+            return at, label
+        label = new
+
+
+def outstanding(z: np.ndarray, most: float, largest: int) -> np.ndarray:
+    """Cells of 8-connected groups of at most ``largest`` that stand more than ``most`` above (or are sunk below) every cell around them.
+
+    Candidates differ by more than ``most`` from the median of the measured cells among the 24 around them. A cell's verdict depends on the
+    cells up to ``largest`` + 2 away.
+    """
+    ring = [(a, b) for a in range(-2, 3) for b in range(-2, 3) if (a, b) != (0, 0)]
+    around = np.sort(np.stack([shifted(z, *s) for s in ring], axis=-1), axis=-1)  # NaN comes last
+    n = (~np.isnan(around)).sum(-1)
+    pick = lambda k: np.take_along_axis(around, k[..., None], -1)[..., 0]
+    dev = z - (0.5 * pick(np.maximum(n - 1, 0) // 2) + 0.5 * pick(np.minimum(n // 2, len(ring) - 1)))
+    holes = np.zeros(z.shape, bool)
+    place = np.arange(z.size).reshape(z.shape)
+    for sign in (1, -1):
+        at, label = patches(dev * sign > most)
+        fits = (np.bincount(label, minlength=len(at)) <= largest)[label]
+        at, label = at[fits], label[fits]
+        own = np.full(z.size + 1, -1)
+        own[at] = label
+        height = np.append(z.ravel() * sign, np.nan)
+        low, top = np.full(z.size, np.inf), np.full(z.size, -np.inf)
+        np.minimum.at(low, label, height[at])
+        for s in ((a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b):
+            k = shifted(place, *s, z.size).ravel()[at]
+            outside = (own[k] != label) & ~np.isnan(height[k])
+            np.maximum.at(top, label[outside], height[k[outside]])
+        stands = (top[label] > -np.inf) & (low[label] - top[label] > most)
+        holes.ravel()[at[stands]] = True
+    return holes
+
+
+def refill_outliers(most: float, largest: int, passes: int, sweeps: int):
+    """Outstanding groups are emptied and filled from around them, until none is left or ``passes`` times; whole scenes only. ``times`` counts
+    how often a cell was emptied."""
+
+    def kernel(a: Arrays, f: Frame, _: int | None) -> Arrays:
+        z, times, todo = a["z"].copy(), a["times"].copy(), np.arange(len(a["z"]))
+        for _ in range(passes):
+            holes = outstanding(z[todo], most, largest)
+            hit = holes.any(axis=(1, 2))
+            todo, holes = todo[hit], holes[hit]
+            if not len(todo):
+                break
+            part = Frame(f.i0[todo], f.j0[todo], f.shape, f.ny[todo], f.nx[todo], f.present[todo])
+            empty = {"z": np.where(holes, np.nan, z[todo]), "hole": holes.astype(float)}
+            z[todo] = relax(fill_from_rims(empty, part, None), part, sweeps)["z"]
+            times[todo] += holes
+        return {"z": z, "times": times}
+
+    return kernel
+
+
+def mark_outliers(most: float, largest: int):
+    """``mark``: 2 for cells of outstanding groups, 1 for the cells around them, 0 for others."""
+
+    def kernel(a: Arrays, f: Frame, _: int | None) -> Arrays:
+        holes = outstanding(a["z"], most, largest)
+        beside = np.zeros(holes.shape, bool)
+        for s in ((a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b):
+            beside |= shifted(holes, *s, False)
+        return {"z": a["z"], "mark": np.where(holes, 2.0, np.where(beside, 1.0, 0.0))}
+
+    return kernel
 
 
 def drain(a: Arrays, f: Frame, _: int | None) -> Arrays:
