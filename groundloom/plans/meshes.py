@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from groundloom.functions.numeric import micro, rounded
-from groundloom.operators import mesh, raster, terrain
+from groundloom.operators import mesh, raster, scene_faces, terrain
 from groundloom.operators.order_stats import quantiles
 from groundloom.plans.catalog import query
 from groundloom.plans.cameras import out
-from groundloom.plans.tables import CELL, view
+from groundloom.plans.tables import CELL, MIN_POINTS, view
 from groundloom.plans.terrain import BLOCK_SQL, r6, r9, roughness
+from groundloom.session import cut_lineage
 
 R6 = rounded
 
@@ -93,8 +94,6 @@ def closed_solid(t):
     v = t.vertices
     both = v.unionByName(v.withColumn("vid", -F.col("vid") - 1).withColumn("z", F.lit(-5.0)))
     fid = F.monotonically_increasing_id()
-    from groundloom.session import cut_lineage
-
     faces = cut_lineage(tri.select("scene_id", fid.alias("fid"), "a", "b", "c"))
     vol = mesh.face_corners(faces, both, t.parts).groupBy("scene_id").agg(mesh.signed_volume().alias("v"))
     return mesh.closed_check(faces, t.parts).join(vol, "scene_id").select("scene_id", "closed", "edges", rounded("v", 4).alias("volume"))
@@ -120,7 +119,19 @@ def face_marks(t):
 @query("keep_as_mesh", f"""WITH {BLOCK_SQL}, {face_rules('meshed', '11e-1')}
  SELECT scene_id, count(*) AS faces, count(*) FILTER (in_block AND on_ground AND seen AND whole) AS kept, count(*) FILTER (NOT on_ground) AS not_on_ground, count(*) FILTER (NOT in_block) AS not_in_block, count(*) FILTER (NOT seen) AS not_seen, count(*) FILTER (NOT whole) AS shards FROM r GROUP BY 1""", "points meta grid fgeo")
 def keep_as_mesh(t):
-    """Faces kept as mesh, and how many fail each rule."""
+    """Faces kept as mesh, and how many fail each rule. Scenes are judged in groups; those with more points than a group takes, on tables."""
+    large = cut_lineage(scene_faces.large_scenes(t.points))
+    if large.isEmpty():
+        return scene_faces.counts(t.points, MESH_RULES, t.parts)
+    small = scene_faces.counts(t.points.join(large, "scene_id", "left_anti"), MESH_RULES, t.parts)
+    return small.unionByName(kept_on_tables(t.only(large)))
+
+
+#: The limits of ``roughness`` and of the faces, as in the SQL.
+MESH_RULES = scene_faces.Rules(CELL, min_points=MIN_POINTS, shard=1.1, rough=0.6, above=0.5, min_ground=4)
+
+
+def kept_on_tables(t):
     g = geometry(t)
     med = quantiles(g.select("scene_id", "longest"), ["scene_id"], "longest", {"med": 0.5})
     c = g.select("scene_id", "fid", "longest", *[((F.col(a + "a") + F.col(a + "b") + F.col(a + "c")) / 3).alias(a) for a in "xyz"])
