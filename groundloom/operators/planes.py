@@ -21,6 +21,8 @@ PART, BLOCK = 1 << 16, 1024
 #: Subgroups of a scene that are ranked apart when points are drawn.
 SALTS = 32
 LEAST_POINTS, LEAST_NEAR = 50, 10
+#: Planes that are tried in each scene.
+TRIALS = 600
 
 
 def extents(points: DataFrame, tolerance: float) -> DataFrame:
@@ -30,14 +32,28 @@ def extents(points: DataFrame, tolerance: float) -> DataFrame:
     return e.where(F.col("n") >= LEAST_POINTS).drop(*["_e" + a for a in AX])
 
 
-def hypotheses(points: DataFrame, trials: int, draw: Column) -> DataFrame:
-    """scene_id, k, nx, ny, nz, d: planes through the 3k-th to (3k+2)-th of the points with the smallest ``draw`` (then point_id)."""
+def drawn(s: str, n: str) -> str:
+    """SQL for the place that the ``s``-th draw takes among ``n``: a linear sequence squared modulo a prime, the same in any engine."""
+    h = f"(({s})*1103515245+12345)%2147483647"
+    return f"((({h})*({h}))%2147483647)%({n})"
+
+
+def hypotheses(points: DataFrame, trials: int, draw: Column, again: bool = True) -> DataFrame:
+    """scene_id, k, nx, ny, nz, d: planes through the 3k-th to (3k+2)-th of the points with the smallest ``draw`` (then point_id).
+
+    Scenes with fewer than three points a trial draw points ``again`` for each corner, so they too have that many trials; without, each point is
+    drawn once and trials end with the points. Trials whose three points are not apart, or on a line, give no plane.
+    """
     order = [F.col("_draw"), F.col("point_id")]
     p = points.withColumn("_draw", draw).withColumn("_salt", F.pmod(F.xxhash64("point_id"), F.lit(SALTS)))
     p = p.withColumn("_r", F.row_number().over(Window.partitionBy("scene_id", "_salt").orderBy(*order))).where(F.col("_r") <= 3 * trials)
     p = p.withColumn("_r", F.row_number().over(Window.partitionBy("scene_id").orderBy(*order)) - 1).where(F.col("_r") < 3 * trials)
-    corner = lambda a, j: F.max(F.when(F.col("_r") % 3 == j, F.col(a))).alias(f"{a}{j}")
-    t = p.groupBy("scene_id", F.floor(F.col("_r") / 3).alias("k")).agg(*[corner(a, j) for a in AX for j in range(3)], F.count(F.lit(1)).alias("_n")).where("_n = 3")
+    t = p.groupBy("scene_id").agg(F.array_sort(F.collect_list(F.struct("_r", *AX))).alias("_p")).withColumn("_n", F.size("_p").cast("bigint"))
+    place = lambda s: f"CASE WHEN _n < {3 * trials} THEN {drawn(s, '_n')} ELSE {s} END" if again else s
+    corners = ", ".join(f"_p[CAST({place(f'3*k+{j}')} AS INT)] AS c{j}" for j in range(3))
+    last = trials - 1 if again else f"least({trials}, floor(_n / 3)) - 1"
+    t = t.where("_n >= 3").selectExpr("scene_id", f"explode(transform(sequence(0L, CAST({last} AS BIGINT)), k -> struct(k AS k, {corners}))) AS h")
+    t = t.selectExpr("scene_id", "h.k", *[f"h.c{j}.{a} AS {a}{j}" for a in AX for j in range(3)])
     t = t.selectExpr("scene_id", "k", "x0", "y0", "z0", *[f"({b}1-{b}0)*({c}2-{c}0)-({c}1-{c}0)*({b}2-{b}0) AS c{a}" for a, b, c in ("xyz", "yzx", "zxy")])
     t = t.withColumn("_l", F.expr("sqrt(cx*cx+cy*cy+cz*cz)")).where("_l > 1e-12").selectExpr("scene_id", "k", "x0", "y0", "z0", "cx/_l AS nx", "cy/_l AS ny", "cz/_l AS nz")
     return t.selectExpr("scene_id", "k", "nx", "ny", "nz", "nx*x0+ny*y0+nz*z0 AS d")
@@ -102,7 +118,7 @@ def refitted(points: DataFrame, planes: DataFrame, size: DataFrame) -> DataFrame
     return new.select("scene_id", *[F.when(F.col("ux").isNotNull(), F.col("u" + a)).otherwise(F.col(c)).alias(c) for a, c in (("x", "nx"), ("y", "ny"), ("z", "nz"), ("d", "d"))])
 
 
-def dominant_plane(points: DataFrame, trials: int = 256, tolerance: float = 0.02, refits: int = 2, draw: Column | None = None) -> DataFrame:
+def dominant_plane(points: DataFrame, trials: int = TRIALS, tolerance: float = 0.02, refits: int = 2, draw: Column | None = None) -> DataFrame:
     """scene_id, nx, ny, nz, d, tol, share of the points on the plane n . p = d; scenes of under 50 points have no row.
 
     ``points``: scene_id, point_id, x, y, z. Points within ``tolerance`` of the longest side count. Draws are hashes of ids unless ``draw`` says otherwise.

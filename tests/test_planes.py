@@ -54,3 +54,36 @@ def test_votes_add_up_over_parts_and_blocks(spark, monkeypatch):
     assert {tuple(x) for x in planes.votes(points, hyp, size).collect()} == whole
     pairs = hyp.join(size, "scene_id").join(points, "scene_id").where("abs(x*nx+y*ny+z*nz-d) < tol").groupBy("scene_id", "k").count().groupBy("scene_id").agg(F.max("count").alias("n"))
     assert {(x.scene_id, x.n) for x in pairs.collect()} == {(x[0], x[6]) for x in whole}
+
+
+def test_every_scene_has_all_trials(spark):
+    """600 trials in a scene of any size from 50 points on; only those whose points coincide or lie on a line are lost."""
+    r = np.random.default_rng(3)
+    df = pd.concat([pd.DataFrame({"scene_id": np.int32(s), "point_id": r.permutation(n).astype(np.int64), **{a: r.uniform(-3, 3, n) for a in "xyz"}}) for s, n in ((0, 2500), (1, 50), (2, 400))])
+    hyp = planes.hypotheses(spark.createDataFrame(df).repartition(3), planes.TRIALS, F.col("point_id")).toPandas()
+    n = hyp.groupby("scene_id")["k"].nunique()
+    assert planes.TRIALS == 600 and n[0] == 600 and n[1] > 540 and n[2] > 590
+    distinct = hyp[["scene_id", "nx", "ny", "nz", "d"]].round(9).drop_duplicates().groupby("scene_id").size()
+    assert distinct[1] > 530 and distinct[2] > 585
+    # each plane runs through three points of its scene
+    for s, h in hyp.groupby("scene_id"):
+        p, v = df[df["scene_id"] == s][["x", "y", "z"]].to_numpy(), h[["nx", "ny", "nz"]].to_numpy()
+        assert ((np.abs(p @ v.T - h["d"].to_numpy()) < 1e-9).sum(0) >= 3).all()
+
+
+def test_dominant_plane_of_small_scenes_matches_sql(spark, tmp_path):
+    import duckdb
+
+    from groundloom.plans import catalog
+    from groundloom.plans.verify import differences
+
+    catalog.load()
+    rows = pd.read_parquet("/root/testdata/sf0.001/lineitem.parquet").head(700)
+    rows["l_suppkey"] = [0] * 60 + [5] * 49 + [10] * 591
+    rows.to_parquet(tmp_path / "lineitem.parquet", coerce_timestamps="us")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    for name in ("dominant_plane", "plane_votes"):
+        got = catalog.QUERIES[name](spark, str(tmp_path)).toPandas()
+        assert sorted(got["scene_id"]) == [0, 2]
+        assert differences(got, con.execute(catalog.ORACLES[name]).df()) is None
